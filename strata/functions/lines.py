@@ -67,3 +67,12 @@ def ext_of(name) -> Column:
     """``os.path.splitext`` extension of a base name: the last dot with some
     non-dot character before it; '' otherwise."""
     return F.regexp_extract(_col(name), r"[^.].*(\.[^.]*)$", 1)
+
+
+def explode_rows(df, keys, array_col: str, alias: str):
+    """``explode`` for computed arrays: ``explode_outer`` + a not-null filter
+    on the generated column. (A plain ``explode`` makes the optimizer infer
+    ``size(array) > 0`` and push it below the projections, re-inlining the
+    whole array expression.)"""
+    return (df.select(*keys, F.explode_outer(array_col).alias(alias))
+            .filter(F.col(alias).isNotNull()))

@@ -41,7 +41,12 @@ def _member_of(toks):
     return lambda x: F.array_contains(arr, x)
 
 
-def guess_lang(text, markers=LANG_MARKERS) -> Column:
+def marker_tokens(text) -> Column:
+    t = F.col(text) if isinstance(text, str) else text
+    return F.regexp_extract_all(F.lower(t), F.lit("[a-z]+"), 0)
+
+
+def guess_lang(tokens, markers=LANG_MARKERS) -> Column:
     """Content language by marker words, computed inside the row.
 
     Tokens are ``[a-z]+`` runs of the lower-cased text; each marker token
@@ -49,8 +54,7 @@ def guess_lang(text, markers=LANG_MARKERS) -> Column:
     language name; no marker at all gives null. The marker table is a small
     driver-side dimension, so it becomes literal arrays (no join, no shuffle).
     """
-    t = F.col(text) if isinstance(text, str) else text
-    tokens = F.regexp_extract_all(F.lower(t), F.lit("[a-z]+"), 0)
+    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
     by_lang: dict[str, list[str]] = {}
     for lang, tok in markers:
         by_lang.setdefault(lang, []).append(tok)
@@ -66,7 +70,8 @@ def guess_lang(text, markers=LANG_MARKERS) -> Column:
 
 
 def lang_by_content(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "lang", guess_lang("text").alias("guess"))
+    d = docs.select("doc_id", "lang", marker_tokens("text").alias("_tok"))
+    return d.select("doc_id", "lang", guess_lang("_tok").alias("guess"))
 
 
 def lang_confusion(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dims import KNOWLEDGE_BASE, NO_DESCRIPTION, RULES, SEVERITY_SCORE, UNKNOWN_LINE
-from ..functions.lines import lines_l2, py_strip
+from ..functions.lines import explode_rows, lines_l2, py_strip
 
 
 def _c(x) -> Column:
@@ -46,13 +46,13 @@ def _pattern_hit(p):
                               py_strip(x["line"]).alias("line_code"))
 
 
-def findings_array(text, lang, rules=RULES) -> Column:
+def findings_array(text, lang, rules=RULES, idx: Column | None = None) -> Column:
     """All (rule, line) hits of one text, ordered by (line_no, check_id).
 
     Element: struct<line_no int, check_id string, message string, cwe string,
     severity string>. Rules with language '*' apply to every text.
     """
-    idx = indexed_lines(text)
+    idx = indexed_lines(text) if idx is None else idx
     parts = []
     empty = F.array().cast("array<struct<line_no:int,check_id:string,message:string,cwe:string,severity:string>>")
     for rule_id, rlang, regex, message, cwe, severity in rules:
@@ -64,12 +64,15 @@ def findings_array(text, lang, rules=RULES) -> Column:
 
 
 def with_findings(df: DataFrame, text: str, lang: str) -> DataFrame:
-    return df.withColumn("findings", findings_array(text, lang))
+    """Adds ``findings``; the indexed line array is a column of its own so
+    the text is split once per row, not once per rule."""
+    d = df.withColumn("_idx", indexed_lines(text))
+    return d.withColumn("findings", findings_array(None, lang, idx=F.col("_idx"))).drop("_idx")
 
 
 def explode_findings(df: DataFrame, keys: list[str]) -> DataFrame:
     """R3 as rows: one row per hit."""
-    return df.select(*keys, F.explode("findings").alias("f")).select(
+    return explode_rows(df, keys, "findings", "f").select(
         *keys, "f.line_no", "f.check_id", "f.message", "f.cwe", "f.severity")
 
 

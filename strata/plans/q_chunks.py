@@ -1 +1,246 @@
-"""Queries (filled in below)."""
+"""Queries: chunkers and interval operators (C1-C5, C1b-C1d)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.dims import FALLBACK_THRESHOLDS, KINDS_BY_LANG, DEFAULT_KINDS, sql_literal
+from ..functions.lines import explode_rows, lines_l1, py_strip
+from ..operators import chunking as C
+from ..operators.splitter import recursive_pieces
+from ..sources.tables import code_corpus, table
+from .catalog import query
+from .sqlparts import CC, l1, pylstrip, pystrip, values
+
+THRESH_SQL = values(sorted(FALLBACK_THRESHOLDS.items()), ["tlang", "t"])
+DELIM_SQL = "chr(10) || chr(10) || '-----' || chr(10) || chr(10)"
+
+
+# ------------------------------------------------------------------ C3
+
+@query("chunk_fixed_lines", """
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l2 FROM documents),
+x AS (SELECT doc_id, unnest(l2) AS line, generate_subscripts(l2, 1) AS i, len(l2) AS n2 FROM l),
+y AS (SELECT doc_id, i, CASE WHEN i < n2 THEN line || chr(10) ELSE line END AS lt FROM x)
+SELECT doc_id, CAST((i - 1) // 20 AS INTEGER) AS chunk_no, CAST(min(i) AS INTEGER) AS start_line,
+       CAST(max(i) AS INTEGER) AS end_line, sha256(string_agg(lt, '' ORDER BY i)) AS hash
+FROM y WHERE lt <> '' GROUP BY doc_id, (i - 1) // 20""")
+def q_chunk_fixed_lines(spark, sf_dir):
+    d = C.with_fixed_line_chunks(table(spark, sf_dir, "documents"), "text")
+    return (explode_rows(d, ["doc_id"], "chunks", "c")
+            .select("doc_id", "c.chunk_no", "c.start_line", "c.end_line", F.sha2("c.text", 256).alias("hash")))
+
+
+# ------------------------------------------------------------------ C2
+
+def fallback_sql(src_cte: str) -> str:
+    """Recursive-CTE oracle of the fallback fold. ``src_cte`` defines
+    ``srcs(src, id, lang, text)``; yields CTE ``fb`` with one row per chunk."""
+    return f"""{src_cte},
+thr AS (SELECT s.src, s.id, s.text, coalesce(t.t, 50) AS t FROM srcs s LEFT JOIN {THRESH_SQL} t ON t.tlang = s.lang),
+ll AS (SELECT src, id, t, {l1('text')} AS ls FROM thr),
+lx AS (SELECT src, id, t, unnest(ls) AS line, generate_subscripts(ls, 1) AS phys FROM ll),
+nb AS (SELECT src, id, t, phys, line, length(line) - length({pylstrip('line')}) AS ind,
+              row_number() OVER (PARTITION BY src, id ORDER BY phys) AS o FROM lx WHERE {pystrip('line')} <> ''),
+fold AS (SELECT src, id, o, 1 AS n, ind AS prev, (1 >= t) AS fl FROM nb WHERE o = 1
+    UNION ALL
+    SELECT nb.src, nb.id, nb.o, CASE WHEN fold.fl THEN 1 ELSE fold.n + 1 END, nb.ind,
+           (CASE WHEN fold.fl THEN 1 ELSE fold.n + 1 END) >= nb.t
+           OR ((CASE WHEN fold.fl THEN 1 ELSE fold.n + 1 END) >= 2 AND nb.ind < fold.prev)
+    FROM fold JOIN nb ON nb.src = fold.src AND nb.id = fold.id AND nb.o = fold.o + 1),
+fg AS (SELECT fold.src, fold.id, fold.o, nb.phys, nb.line,
+          coalesce(sum(CAST(fold.fl AS INTEGER)) OVER (PARTITION BY fold.src, fold.id ORDER BY fold.o
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk_no
+       FROM fold JOIN nb ON nb.src = fold.src AND nb.id = fold.id AND nb.o = fold.o),
+fb AS (SELECT src, id, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(min(phys) AS INTEGER) AS start_line,
+          CAST(max(phys) AS INTEGER) AS end_line, CAST(min(o) AS INTEGER) AS start_ord,
+          CAST(max(o) AS INTEGER) AS end_ord, CAST(count(*) AS INTEGER) AS n_lines,
+          string_agg(line, chr(10) ORDER BY o) AS text
+       FROM fg GROUP BY src, id, chunk_no)"""
+
+
+FB_SRC = f"""{CC},
+srcs AS (SELECT 'doc' AS src, doc_id AS id, lang, text FROM documents
+         UNION ALL SELECT 'page', page_id, 'html', html FROM pages
+         UNION ALL SELECT 'code', file_id, lang, code FROM cc)"""
+
+
+def _fb_sources(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.lit("doc").alias("src"), F.col("doc_id").alias("id"), "lang", "text")
+    p = table(spark, sf_dir, "pages").select(F.lit("page").alias("src"), F.col("page_id").alias("id"),
+                                             F.lit("html").alias("lang"), F.col("html").alias("text"))
+    c = code_corpus(spark, sf_dir).select(F.lit("code").alias("src"), F.col("file_id").alias("id"), "lang",
+                                          F.col("code").alias("text"))
+    return d.unionByName(p).unionByName(c)
+
+
+@query("chunk_fallback", f"""WITH RECURSIVE {fallback_sql(FB_SRC)}
+SELECT src, id, chunk_no, start_line, end_line, start_ord, end_ord, n_lines, sha256(text) AS hash FROM fb""", kind="R")
+def q_chunk_fallback(spark, sf_dir):
+    out = C.chunk_fallback(_fb_sources(spark, sf_dir), ["src", "id"], "text", "lang")
+    return out.select("src", "id", "chunk_no", "start_line", "end_line", "start_ord", "end_ord", "n_lines", "hash")
+
+
+# ------------------------------------------------------------------ C1
+
+def _kind_case(lang: str, first: str) -> str:
+    parts = []
+    for klang, kind, rx in C.KIND_PATTERNS:
+        if kind in KINDS_BY_LANG.get(klang, DEFAULT_KINDS):
+            parts.append(f"WHEN {lang} = '{klang}' AND regexp_matches({first}, {sql_literal(rx)}) THEN '{kind}'")
+    return "CASE " + " ".join(parts) + " END"
+
+
+def blocks_sql(files_cte: str) -> str:
+    """Window-based oracle of C1 over ``files(file_id, lang, code)``; yields CTE ``blk``."""
+    mask = sql_literal(C.MASK_RE)
+    return f"""{files_cte},
+b1 AS (SELECT file_id, lang, unnest(string_split(code, chr(10))) AS line,
+              generate_subscripts(string_split(code, chr(10)), 1) - 1 AS pos FROM files),
+b2 AS (SELECT *, {pystrip('line')} = '' AS blank, regexp_replace(line, {mask}, '', 'g') AS m FROM b1),
+b3 AS (SELECT *, (length(m) - length(replace(m, '{{', ''))) - (length(m) - length(replace(m, '}}', ''))) AS delta FROM b2),
+b4 AS (SELECT *, coalesce(sum(delta) OVER (PARTITION BY file_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth,
+              {pystrip('lag(line) OVER (PARTITION BY file_id ORDER BY pos)')} AS ps,
+              lag(line) OVER (PARTITION BY file_id ORDER BY pos) IS NULL AS first_line FROM b3),
+b5 AS (SELECT *, CASE WHEN lang = 'python' THEN NOT blank AND length(line) - length({pylstrip('line')}) = 0
+                 ELSE NOT blank AND depth <= 0 AND (first_line OR ps = '' OR starts_with(ps, '#') OR ends_with(ps, ';') OR ends_with(ps, '}}')) END AS st FROM b4),
+bg AS (SELECT *, sum(CAST(st AS INTEGER)) OVER (PARTITION BY file_id ORDER BY pos) AS seg FROM b5),
+bb AS (SELECT file_id, lang, seg, min(pos) FILTER (WHERE NOT blank) AS first, max(pos) FILTER (WHERE NOT blank) AS last
+       FROM bg WHERE seg > 0 GROUP BY file_id, lang, seg),
+bt AS (SELECT bb.file_id, bb.lang, bb.first, bb.last, string_agg(bg.line, chr(10) ORDER BY bg.pos) AS text,
+              {pystrip("max(CASE WHEN bg.pos = bb.first THEN bg.line END)")} AS fl
+       FROM bb JOIN bg ON bg.file_id = bb.file_id AND bg.pos BETWEEN bb.first AND bb.last
+       GROUP BY bb.file_id, bb.lang, bb.first, bb.last),
+bk AS (SELECT *, {_kind_case('lang', 'fl')} AS kind FROM bt),
+blk AS (SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY first) - 1 AS INTEGER) AS chunk_no,
+               CAST(first + 1 AS INTEGER) AS start_line, CAST(last + 1 AS INTEGER) AS end_line,
+               CAST(last - first + 1 AS INTEGER) AS n_lines, kind, text FROM bk WHERE kind IS NOT NULL)"""
+
+
+BLOCKS_ORACLE = f"""WITH RECURSIVE {blocks_sql(CC + ", files AS (SELECT file_id, lang, code FROM cc)")},
+{fallback_sql("srcs AS (SELECT 'code' AS src, file_id AS id, lang, code AS text FROM files WHERE file_id NOT IN (SELECT file_id FROM blk))")}
+SELECT file_id, chunk_no, start_line, end_line, n_lines, kind, sha256(text) AS hash FROM blk
+UNION ALL SELECT id, chunk_no, start_line, end_line, n_lines, NULL, sha256(text) FROM fb"""
+
+
+@query("chunk_blocks", BLOCKS_ORACLE, kind="R")
+def q_chunk_blocks(spark, sf_dir):
+    out = C.block_chunks(code_corpus(spark, sf_dir), ["file_id"], "code", "lang")
+    return out.select("file_id", "chunk_no", "start_line", "end_line", "n_lines", "kind", "hash")
+
+
+# ------------------------------------------------------------------ C1c
+
+@query("drop_trivial_chunks", f"""WITH RECURSIVE {blocks_sql(CC + ", files AS (SELECT file_id, lang, code FROM cc)")},
+pieces AS (
+  SELECT file_id, start_line, end_line, kind, NULL AS parent_kind, text FROM blk
+  UNION ALL
+  SELECT file_id, start_line + list_position(list_transform(string_split(text, chr(10)), lambda s: regexp_matches(s, '^\\s+def\\s')), true) - 1,
+         end_line, 'function_definition', 'class_definition',
+         array_to_string(string_split(text, chr(10))[list_position(list_transform(string_split(text, chr(10)), lambda s: regexp_matches(s, '^\\s+def\\s')), true):], chr(10))
+  FROM blk WHERE kind = 'class_definition' AND regexp_matches(text, '\\n\\s+def\\s')
+  UNION ALL
+  SELECT file_id, start_line, start_line, 'variable_declarator', 'lexical_declaration',
+         regexp_extract(text, '^(const|let)\\s+(.*);\\s*$', 2)
+  FROM blk WHERE kind = 'lexical_declaration')
+SELECT file_id, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, kind, parent_kind
+FROM pieces
+WHERE NOT ((kind = 'variable_declarator' AND len({l1(pystrip('text'))}) < 2 AND length({pystrip('text')}) < 30)
+           OR (parent_kind IS NOT NULL AND end_line - start_line < 2))""", kind="R")
+def q_drop_trivial_chunks(spark, sf_dir):
+    blocks = C.block_chunks(code_corpus(spark, sf_dir), ["file_id"], "code", "lang").filter(F.col("kind").isNotNull())
+    top = blocks.select("file_id", "start_line", "end_line", "kind", F.lit(None).cast("string").alias("parent_kind"), "text")
+    ls = F.split("text", "\n", -1)
+    pos = F.array_position(F.transform(ls, lambda s: s.rlike(r"^\s+def\s")), True).cast("int")
+    methods = (blocks.filter((F.col("kind") == "class_definition") & F.col("text").rlike(r"\n\s+def\s"))
+               .select("file_id", (F.col("start_line") + pos - 1).alias("start_line"), "end_line",
+                       F.lit("function_definition").alias("kind"), F.lit("class_definition").alias("parent_kind"),
+                       F.array_join(F.slice(ls, pos, F.size(ls) - pos + 1), "\n").alias("text")))
+    decls = (blocks.filter(F.col("kind") == "lexical_declaration")
+             .select("file_id", "start_line", F.col("start_line").alias("end_line"),
+                     F.lit("variable_declarator").alias("kind"), F.lit("lexical_declaration").alias("parent_kind"),
+                     F.regexp_extract("text", r"^(const|let)\s+(.*);\s*$", 2).alias("text")))
+    pieces = top.unionByName(methods).unionByName(decls)
+    return C.drop_trivial(pieces).select("file_id", "start_line", "end_line", "kind", "parent_kind")
+
+
+# ------------------------------------------------------------------ C1b
+
+@query("drop_contained_ranges", """
+WITH iv AS (SELECT user_id, event_id, ts AS s, ts + to_microseconds(CAST(floor(value * 3600000000) AS BIGINT)) AS e FROM events),
+r AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM iv)
+SELECT user_id, event_id, strftime(s, '%Y-%m-%d %H:%M:%S.%f') AS start_ts, strftime(e, '%Y-%m-%d %H:%M:%S.%f') AS end_ts
+FROM r WHERE pm IS NULL OR e > pm""")
+def q_drop_contained_ranges(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select(
+        "user_id", "event_id", F.col("ts").alias("s"),
+        F.timestamp_add("MICROSECOND", F.floor(F.col("value") * 3600000000).cast("bigint"), F.col("ts")).alias("e"))
+    kept = C.drop_contained(ev, ["user_id"], "s", "e", "event_id", F.to_date("s"))
+    fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    return kept.select("user_id", "event_id", F.date_format("s", fmt).alias("start_ts"), F.date_format("e", fmt).alias("end_ts"))
+
+
+# ------------------------------------------------------------------ C1d
+
+GAP_CHARS = 40
+
+
+@query("merge_adjacent", f"""
+WITH l AS (SELECT doc_id, {l1('text')} AS ls FROM documents),
+x AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM l),
+g AS (SELECT *, length({pystrip('line')}) < {GAP_CHARS} AS gap FROM x),
+s AS (SELECT *, CASE WHEN i = 1 OR NOT (lag(gap) OVER (PARTITION BY doc_id ORDER BY i) AND gap) THEN 1 ELSE 0 END AS st FROM g),
+k AS (SELECT *, sum(st) OVER (PARTITION BY doc_id ORDER BY i) AS isl FROM s)
+SELECT doc_id, CAST(min(i) AS INTEGER) AS start_line, CAST(max(i) AS INTEGER) AS end_line, CAST(count(*) AS INTEGER) AS n_pieces,
+       bool_and(gap) AS is_gap, sha256(string_agg(line, chr(10) ORDER BY i)) AS hash
+FROM k GROUP BY doc_id, isl""")
+def q_merge_adjacent(spark, sf_dir):
+    d = C.with_merged_gaps(table(spark, sf_dir, "documents"), lines_l1("text"),
+                           lambda l: F.length(py_strip(l)) < GAP_CHARS)
+    return (explode_rows(d, ["doc_id"], "merged", "m")
+            .select("doc_id", "m.start_line", "m.end_line", "m.n_pieces", "m.is_gap", F.sha2("m.text", 256).alias("hash")))
+
+
+# ------------------------------------------------------------------ C5
+
+PACK_ORACLE = f"""WITH RECURSIVE {fallback_sql("srcs AS (SELECT 'doc' AS src, doc_id AS id, lang, text FROM documents)")},
+pieces AS (SELECT 'conv' AS src, conv_id AS id, CAST(turn AS BIGINT) AS ord, text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS o FROM conversations
+           UNION ALL SELECT 'doc', id, CAST(chunk_no AS BIGINT), text, chunk_no + 1 FROM fb),
+r AS (SELECT src, id, o, CAST(length(text) AS BIGINT) AS len, 0 AS b FROM pieces WHERE o = 1
+      UNION ALL
+      SELECT p.src, p.id, p.o,
+             CASE WHEN r.len + 9 + length(p.text) > 4000 THEN length(p.text)
+                  ELSE r.len + CASE WHEN r.len > 0 THEN 9 ELSE 0 END + length(p.text) END,
+             CASE WHEN r.len + 9 + length(p.text) > 4000 THEN r.b + 1 ELSE r.b END
+      FROM r JOIN pieces p ON p.src = r.src AND p.id = r.id AND p.o = r.o + 1)
+SELECT r.src, r.id, CAST(r.b AS INTEGER) AS batch_no, min(p.ord) AS first_ord, max(p.ord) AS last_ord,
+       CAST(count(*) AS INTEGER) AS n_pieces, CAST(length(string_agg(p.text, {DELIM_SQL} ORDER BY p.o)) AS INTEGER) AS n_chars,
+       sha256(string_agg(p.text, {DELIM_SQL} ORDER BY p.o)) AS hash
+FROM r JOIN pieces p ON p.src = r.src AND p.id = r.id AND p.o = r.o GROUP BY r.src, r.id, r.b"""
+
+
+@query("pack_batches", PACK_ORACLE, kind="R")
+def q_pack_batches(spark, sf_dir):
+    conv = (table(spark, sf_dir, "conversations")
+            .groupBy("conv_id")
+            .agg(F.array_sort(F.collect_list(F.struct(F.col("turn").alias("ord"), "text"))).alias("pieces"))
+            .select(F.lit("conv").alias("src"), F.col("conv_id").alias("id"), "pieces"))
+    docs = C.with_fallback_chunks(table(spark, sf_dir, "documents"), "text", C.threshold_for("lang"))
+    dp = docs.select(F.lit("doc").alias("src"), F.col("doc_id").alias("id"),
+                     F.transform("chunks", lambda c: F.struct(c["chunk_no"].cast("bigint").alias("ord"),
+                                                            c["text"].alias("text"))).alias("pieces"))
+    both = conv.unionByName(dp)
+    return (explode_rows(C.with_packed(both, "pieces"), ["src", "id"], "batches", "b")
+            .select("src", "id", "b.batch_no", "b.first_ord", "b.last_ord", "b.n_pieces",
+                    F.length("b.text").cast("int").alias("n_chars"), F.sha2("b.text", 256).alias("hash")))
+
+
+# ------------------------------------------------------------------ C4
+
+@query("chunk_recursive")
+def q_chunk_recursive(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("pieces", recursive_pieces("text"))
+    return (explode_rows(d, ["doc_id"], "pieces", "p")
+            .select("doc_id", "p.piece_no", "p.start", "p.end", F.length("p.text").alias("n_chars"),
+                    F.sha2("p.text", 256).alias("hash")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.dims import RULES, SEVERITY_BUCKETS, SEVERITY_SCORE
+from ..functions.lines import explode_rows
 from ..operators import rules as R
 from ..operators.consensus import severity_bucket
 from ..sources.tables import code_corpus, table
@@ -104,7 +105,8 @@ SELECT file_id, p.pattern, line_no, {pystrip('line')} AS line_code
 FROM l JOIN {PATTERNS_SQL} p ON p.language = l.lang AND contains(l.line, p.pattern)""")
 def q_pattern_lines(spark, sf_dir):
     cc = code_corpus(spark, sf_dir)
-    return (cc.select("file_id", F.explode(R.pattern_hits("code", "lang")).alias("h"))
+    cc = cc.withColumn("hits", R.pattern_hits("code", "lang"))
+    return (explode_rows(cc, ["file_id"], "hits", "h")
             .select("file_id", "h.pattern", "h.line_no", "h.line_code"))
 
 
