@@ -40,8 +40,9 @@ def _plurality(votes: DataFrame, keys: list[str], value: str, skip_empty: bool,
     if skip_empty:
         v = v.filter(F.col(value).isNotNull() & (F.col(value) != ""))
     counts = v.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"), F.min("_ord").alias("_first"))
-    return counts.groupBy(*keys).agg(
-        F.max_by(F.col(value), F.struct(F.col("_n"), -F.col("_first"))).alias(out))
+    # most votes first, then the earliest first vote (ordinal fields negated)
+    rank = F.struct(F.col("_n"), *[-F.col(f"_first.{f}") for f in counts.schema["_first"].dataType.names])
+    return counts.groupBy(*keys).agg(F.max_by(F.col(value), rank).alias(out))
 
 
 def _top_share(votes: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
@@ -59,16 +60,18 @@ def _upper_median(votes: DataFrame, keys: list[str], risk: str, out: str) -> Dat
     return hit.groupBy(*keys).agg(F.min("_r").alias(out))
 
 
-def consensus(votes: DataFrame, keys: list[str], ordinal: Column, flag: str = "flag", cwe: str = "cwe",
+def consensus(votes: DataFrame, keys: list[str], ordinal: list[Column], flag: str = "flag", cwe: str = "cwe",
               risk: str = "risk", fix: str = "fix") -> DataFrame:
     """One consensus record per group.
 
-    ``votes`` holds one verdict per row; ``ordinal`` gives the first-seen
-    order inside a group (ties in the votes go to the earliest value).
+    ``votes`` holds one verdict per row; ``ordinal`` (numeric columns,
+    compared in order) gives the first-seen order inside a group (ties in
+    the votes go to the earliest value).
     A missing flag counts as false, a missing risk as 0.0 and a missing fix
     as '' in the fix vote but as its own value in the confidence.
     """
-    v = votes.select(*keys, ordinal.alias("_ord"), flag, cwe, risk, fix)
+    ordv = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(ordinal)])
+    v = votes.select(*keys, ordv.alias("_ord"), flag, cwe, risk, fix)
     base = v.groupBy(*keys).agg(
         F.count(F.lit(1)).cast("bigint").alias("n_votes"),
         (F.avg(F.coalesce(F.col(flag), F.lit(False)).cast("int")) >= F.lit(AGREEMENT_THRESHOLD)).alias("is_vulnerability"),

@@ -1 +1,137 @@
-"""Queries (filled in below)."""
+"""Queries: consensus of several verdicts per group (A1-A7) and fix scoring."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.dims import (BLACKLIST, CRITICAL_CWE, CWE_KEYWORDS, SAFE_PATTERNS, SEVERITY_BUCKETS,
+                              TEST_MARKERS, WHITELIST, sql_literal)
+from ..operators import consensus as A
+from ..operators.scoring import score_fix
+from ..sources.tables import table
+from .catalog import query
+from .q_verdicts import MV_SQL, model_verdicts
+from .sqlparts import l1, values
+
+EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+
+
+def votes(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    et = F.col("event_type")
+    cwe = (F.when(et == "error", F.concat(F.lit("CWE-"), (20 + k % 3).cast("string")))
+           .when(et == "purchase", F.lit("")).when(et == "view", F.lit(None).cast("string"))
+           .otherwise(F.concat(F.lit("CWE-"), (78 + k % 2).cast("string"))))
+    risk = F.when(et == "signup", F.lit(None).cast("double")).otherwise(F.floor(F.col("value") / 5) / 10)
+    fix = F.when(k % 7 == 0, F.lit(None).cast("string")).when(k % 5 == 0, F.lit("")).otherwise(et)
+    micros = F.timestamp_diff("MICROSECOND", F.expr(EPOCH), F.col("ts"))
+    return ev.select("user_id", micros.alias("t_us"), "event_id", (F.col("value") >= 10).alias("flag"),
+                     cwe.alias("cwe"), risk.alias("risk"), fix.alias("fix"))
+
+
+VOTES_SQL = """v AS (SELECT user_id, ts, event_id, value >= 10 AS flag,
+    CASE event_type WHEN 'error' THEN 'CWE-' || CAST(20 + CAST(json_extract_string(props, '$.k') AS INTEGER) % 3 AS VARCHAR)
+                    WHEN 'purchase' THEN '' WHEN 'view' THEN NULL
+                    ELSE 'CWE-' || CAST(78 + CAST(json_extract_string(props, '$.k') AS INTEGER) % 2 AS VARCHAR) END AS cwe,
+    CASE WHEN event_type = 'signup' THEN NULL ELSE floor(value / 5) / 10 END AS risk,
+    CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 7 = 0 THEN NULL
+         WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 5 = 0 THEN '' ELSE event_type END AS fix
+  FROM events)"""
+
+
+@query("consensus", f"""WITH {VOTES_SQL},
+base AS (SELECT user_id, count(*) AS n, avg(CASE WHEN coalesce(flag, false) THEN 1 ELSE 0 END) >= 0.7 AS vul,
+                list_sort(list(coalesce(risk, 0.0))) AS risks FROM v GROUP BY user_id),
+cc AS (SELECT user_id, cwe, count(*) AS c, min(ts) AS ft, min(event_id) FILTER (WHERE true) AS dummy FROM v
+       WHERE cwe IS NOT NULL AND cwe <> '' GROUP BY user_id, cwe),
+cfirst AS (SELECT v.user_id, v.cwe, arg_min(v.event_id, (v.ts, v.event_id)) AS fe, min(v.ts) AS ft FROM v
+           WHERE v.cwe IS NOT NULL AND v.cwe <> '' GROUP BY v.user_id, v.cwe),
+cw AS (SELECT user_id, cwe FROM (SELECT cc.user_id, cc.cwe, row_number() OVER (PARTITION BY cc.user_id
+          ORDER BY cc.c DESC, cf.ft, cf.fe) AS rn FROM cc JOIN cfirst cf USING (user_id, cwe)) WHERE rn = 1),
+fx AS (SELECT user_id, f, count(*) AS c, min(ts) AS ft, arg_min(event_id, (ts, event_id)) AS fe
+       FROM (SELECT user_id, coalesce(fix, '') AS f, ts, event_id FROM v) GROUP BY user_id, f),
+fw AS (SELECT user_id, f FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY c DESC, ft, fe) AS rn FROM fx) WHERE rn = 1),
+c1 AS (SELECT user_id, max(c) AS m FROM (SELECT user_id, cwe, count(*) AS c FROM v GROUP BY user_id, cwe) GROUP BY user_id),
+c2 AS (SELECT user_id, max(c) AS m FROM (SELECT user_id, fix, count(*) AS c FROM v GROUP BY user_id, fix) GROUP BY user_id)
+SELECT b.user_id, CAST(b.n AS BIGINT) AS n_votes, b.vul AS is_vulnerability, cw.cwe, b.risks[b.n // 2 + 1] AS risk_level,
+       fw.f AS fix_code, round(least(c1.m, c2.m) / b.n, 6) AS confidence
+FROM base b LEFT JOIN cw USING (user_id) LEFT JOIN fw USING (user_id) JOIN c1 USING (user_id) JOIN c2 USING (user_id)""")
+def q_consensus(spark, sf_dir):
+    v = votes(spark, sf_dir)
+    return A.consensus(v, ["user_id"], [F.col("t_us"), F.col("event_id")])
+
+
+@query("consensus_missing", """SELECT c_custkey AS user_id, 'No valid analyses available' AS error FROM customer
+WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = customer.c_custkey)""")
+def q_consensus_missing(spark, sf_dir):
+    groups = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
+    return A.consensus_missing(groups, table(spark, sf_dir, "events"), ["user_id"])
+
+
+BUCKETS_SQL = values(SEVERITY_BUCKETS, ["bucket", "lo", "hi"])
+
+
+@query("severity_histogram", f"""WITH r AS (SELECT floor(value / 2.5) / 20 AS risk FROM events)
+SELECT b.bucket AS severity_bucket, CAST(count(*) AS BIGINT) AS n_events, min(r.risk) AS min_risk, max(r.risk) AS max_risk
+FROM r LEFT JOIN {BUCKETS_SQL} b ON r.risk BETWEEN b.lo AND b.hi GROUP BY b.bucket""")
+def q_severity_histogram(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select((F.floor(F.col("value") / 2.5) / 20).alias("risk"))
+    return (ev.withColumn("severity_bucket", A.severity_bucket("risk")).groupBy("severity_bucket")
+            .agg(F.count(F.lit(1)).cast("bigint").alias("n_events"), F.min("risk").alias("min_risk"),
+                 F.max("risk").alias("max_risk")))
+
+
+# ------------------------------------------------------------------ G1-G8, P5
+
+def _case_any(table: dict, test) -> str:
+    parts = [f"WHEN cwe = '{k}' THEN (" + " OR ".join(test(x) for x in items) + ")" for k, items in table.items()]
+    return "CASE " + " ".join(parts) + " ELSE false END"
+
+
+def _kw_sql() -> str:
+    parts = [f"WHEN cwe = '{k}' THEN (" + " AND ".join(f"contains(vt, {sql_literal(w)})" for w in ws) + ")"
+             for k, ws in CWE_KEYWORDS.items()]
+    return "CASE " + " ".join(parts) + " ELSE true END"
+
+
+SCORE_SQL = f"""WITH {MV_SQL},
+s0 AS (SELECT file_id, is_vulnerability, cwe, lower(coalesce(vtype, '')) AS vt, coalesce(fix_code, '') AS fix,
+              {l1("hit_code || chr(10) || 'guess' || chr(10) || ''")} AS orig FROM mv),
+s1 AS (SELECT *, cwe IN ({', '.join(sql_literal(c) for c in CRITICAL_CWE)}) AS crit,
+              {_kw_sql()} AS kw,
+              {_case_any(SAFE_PATTERNS, lambda p: f"regexp_matches(fix, {sql_literal(p)}, 'i')")} AS safe,
+              NOT {_case_any(BLACKLIST, lambda x: f"contains(fix, {sql_literal(x)})")} AS black,
+              {_case_any(WHITELIST, lambda x: f"contains(fix, {sql_literal(x)})")} AS white,
+              ({' OR '.join(f"contains(fix, {sql_literal(m)})" for m in TEST_MARKERS)}) AS tests,
+              len(list_filter(orig, lambda o: NOT list_contains({l1('fix')}, o))) > 0 AS removed FROM s0),
+s2 AS (SELECT *, removed AND safe AS impact,
+              least(CAST(1.0 AS DOUBLE), (CAST(kw AS INTEGER) + CAST(removed AND safe AS INTEGER) + CAST(safe AS INTEGER)) / CAST(3.0 AS DOUBLE)
+                    + (CAST(black AS INTEGER) + CAST(white AS INTEGER) + CAST(tests AS INTEGER)) * CAST(0.2 AS DOUBLE)) AS conf FROM s1)"""
+
+
+@query("score_fixes", f"""{SCORE_SQL}
+SELECT file_id, cwe, crit AS is_critical,
+  CASE WHEN crit THEN kw END AS keywords_ok, CASE WHEN crit THEN impact END AS impact_ok, CASE WHEN crit THEN safe END AS safe_ok,
+  CASE WHEN crit THEN black END AS blacklist_ok, CASE WHEN crit THEN white END AS whitelist_ok, CASE WHEN crit THEN tests END AS tests_ok,
+  CASE WHEN crit THEN round(conf, 6) ELSE CAST(0.0 AS DOUBLE) END AS confidence,
+  CASE WHEN crit THEN conf >= 0.8 ELSE true END AS valid, CASE WHEN crit THEN conf >= 0.8 ELSE false END AS verified
+FROM s2""")
+def q_score_fixes(spark, sf_dir):
+    mv = model_verdicts(spark, sf_dir)
+    v = F.col("verdict")
+    s = mv.select("file_id", v["cwe"].alias("cwe"),
+                  score_fix(v["cwe"], v["vulnerabilityType"], v["vulnerabilityLines"], v["fixCode"]).alias("s"))
+    return s.select("file_id", "cwe", "s.*")
+
+
+@query("flagged_only", f"""{SCORE_SQL}
+SELECT file_id, cwe, CASE WHEN crit THEN round(conf, 6) ELSE CAST(0.0 AS DOUBLE) END AS confidence,
+  CASE WHEN crit THEN conf >= 0.8 ELSE true END AS valid FROM s2 WHERE coalesce(is_vulnerability, false)""")
+def q_flagged_only(spark, sf_dir):
+    mv = model_verdicts(spark, sf_dir)
+    v = F.col("verdict")
+    flagged = mv.filter(F.coalesce(v["is_vulnerability"], F.lit(False)))
+    s = flagged.select("file_id", v["cwe"].alias("cwe"),
+                       score_fix(v["cwe"], v["vulnerabilityType"], v["vulnerabilityLines"], v["fixCode"]).alias("s"))
+    return s.select("file_id", "cwe", "s.confidence", "s.valid")
