@@ -1 +1,103 @@
-"""Queries (filled in below)."""
+"""Queries: near-copy pairs, diff statistics, diff texts, snapshot comparison."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import diffs as D
+from ..sources.tables import table
+from .catalog import query
+from .q_verdicts import model_verdicts
+from .sqlparts import l1, pystrip
+
+PAIRS_SQL = f"""h AS (SELECT doc_id, sha256(text) AS th, text FROM documents),
+rep AS (SELECT min(doc_id) AS id FROM h GROUP BY th),
+rt AS (SELECT h.doc_id AS id, h.text FROM h JOIN rep ON rep.id = h.doc_id),
+rl AS (SELECT id, unnest({l1('text')}) AS line FROM rt),
+tl AS (SELECT DISTINCT id, sha256({pystrip('line')}) AS tok FROM rl WHERE length({pystrip('line')}) >= 40),
+tn AS (SELECT id, count(*) AS n FROM tl GROUP BY id),
+tc AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS n_common FROM tl a JOIN tl b ON a.tok = b.tok AND a.id < b.id GROUP BY 1, 2),
+pairs AS (SELECT tc.id_a, tc.id_b, CAST(na.n AS INTEGER) AS n_a, CAST(nb.n AS INTEGER) AS n_b, CAST(tc.n_common AS INTEGER) AS n_common
+          FROM tc JOIN tn na ON na.id = tc.id_a JOIN tn nb ON nb.id = tc.id_b
+          WHERE tc.n_common * 2 >= na.n + nb.n - tc.n_common)"""
+
+
+def _pairs(spark, sf_dir):
+    return D.near_copy_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("near_copy_pairs", f"WITH {PAIRS_SQL} SELECT * FROM pairs")
+def q_near_copy_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir)
+
+
+@query("diff_stats", f"""WITH {PAIRS_SQL},
+lc AS (SELECT doc_id AS id, line, count(*) AS c FROM (SELECT doc_id, unnest({l1('text')}) AS line FROM documents) GROUP BY ALL),
+pa AS (SELECT p.id_a, p.id_b, lc.line, lc.c AS ca FROM pairs p JOIN lc ON lc.id = p.id_a),
+pb AS (SELECT p.id_a, p.id_b, lc.line, lc.c AS cb FROM pairs p JOIN lc ON lc.id = p.id_b),
+j AS (SELECT coalesce(pa.id_a, pb.id_a) AS id_a, coalesce(pa.id_b, pb.id_b) AS id_b, coalesce(ca, 0) AS ca, coalesce(cb, 0) AS cb
+      FROM pa FULL OUTER JOIN pb ON pa.id_a = pb.id_a AND pa.id_b = pb.id_b AND pa.line = pb.line)
+SELECT id_a, id_b, CAST(sum(least(ca, cb)) AS BIGINT) AS n_kept, CAST(sum(ca - least(ca, cb)) AS BIGINT) AS n_removed,
+       CAST(sum(cb - least(ca, cb)) AS BIGINT) AS n_added FROM j GROUP BY id_a, id_b""")
+def q_diff_stats(spark, sf_dir):
+    return D.diff_stats(_pairs(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _pair_texts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    p = _pairs(spark, sf_dir).select("id_a", "id_b")
+    return (p.join(docs.withColumnRenamed("doc_id", "id_a").withColumnRenamed("text", "text_a"), "id_a")
+             .join(docs.withColumnRenamed("doc_id", "id_b").withColumnRenamed("text", "text_b"), "id_b"))
+
+
+@query("diff_pairs")
+def q_diff_pairs(spark, sf_dir):
+    d = _pair_texts(spark, sf_dir).withColumn("diff", D.commit_view_udf("text_a", "text_b"))
+    return d.select("id_a", "id_b", F.size(F.split("diff", "\n")).alias("n_diff_lines"),
+                    F.sha2("diff", 256).alias("diff_hash"))
+
+
+@query("diff_report")
+def q_diff_report(spark, sf_dir):
+    d = _pair_texts(spark, sf_dir).withColumn("html", D.html_report(D.commit_view_udf("text_a", "text_b")))
+    return d.select("id_a", "id_b", F.length("html").alias("html_len"), F.sha2("html", 256).alias("html_hash"))
+
+
+@query("incident_diff")
+def q_incident_diff(spark, sf_dir):
+    mv = model_verdicts(spark, sf_dir)
+    rel = F.transform("verdict.vulnerabilityLines", lambda l: l["lineNum"])
+    d = mv.withColumn("diff", D.incident_udf(F.col("code"), F.coalesce("verdict.fixCode", "code"), rel))
+    return d.select("file_id", F.size(F.split("diff", "\n")).alias("n_lines"), F.sha2("diff", 256).alias("diff_hash"))
+
+
+SNAP_SQL = """WITH ev AS (SELECT user_id, ts < TIMESTAMP '2024-01-16 00:00:00' AS is_old,
+        CAST(CASE WHEN ts < TIMESTAMP '2024-01-16 00:00:00' THEN day(ts) ELSE day(ts) - 15 END AS INTEGER) AS day_no,
+        CAST(hour(ts) AS INTEGER) AS hr, event_type AS item FROM events),
+old AS (SELECT * FROM ev WHERE is_old), new AS (SELECT * FROM ev WHERE NOT is_old),
+lst AS (SELECT user_id, day_no, max(hr) AS lh FROM old GROUP BY ALL),
+ol AS (SELECT o.user_id, o.day_no, o.item FROM old o JOIN lst l ON l.user_id = o.user_id AND l.day_no = o.day_no WHERE o.hr = l.lh),
+nr AS (SELECT DISTINCT user_id, day_no, hr FROM new),
+ad AS (SELECT n.user_id, n.day_no, n.hr, count(*) AS n, string_agg(DISTINCT n.item, ',' ORDER BY n.item) AS s FROM new n
+       WHERE NOT EXISTS (SELECT 1 FROM ol WHERE ol.user_id = n.user_id AND ol.day_no = n.day_no AND ol.item = n.item) GROUP BY ALL),
+rm AS (SELECT r.user_id, r.day_no, r.hr, count(*) AS n, string_agg(DISTINCT ol.item, ',' ORDER BY ol.item) AS s
+       FROM ol JOIN nr r ON r.user_id = ol.user_id AND r.day_no = ol.day_no
+       WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.user_id = r.user_id AND n.day_no = r.day_no AND n.hr = r.hr AND n.item = ol.item)
+       GROUP BY ALL)
+SELECT nr.user_id, nr.day_no, nr.hr AS hour, CAST(coalesce(ad.n, 0) AS BIGINT) AS n_added, coalesce(ad.s, '') AS added,
+       CAST(coalesce(rm.n, 0) AS BIGINT) AS n_removed, coalesce(rm.s, '') AS removed
+FROM nr LEFT JOIN ad ON ad.user_id = nr.user_id AND ad.day_no = nr.day_no AND ad.hr = nr.hr
+        LEFT JOIN rm ON rm.user_id = nr.user_id AND rm.day_no = nr.day_no AND rm.hr = nr.hr"""
+
+
+@query("compare_snapshots", SNAP_SQL)
+def q_compare_snapshots(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    cut = F.expr("TIMESTAMP_NTZ '2024-01-16 00:00:00'")
+    is_old = F.col("ts") < cut
+    items = ev.select("user_id", is_old.alias("is_old"),
+                      F.when(is_old, F.dayofmonth("ts")).otherwise(F.dayofmonth("ts") - 15).alias("day_no"),
+                      F.hour("ts").alias("hour"), F.col("event_type").alias("item"))
+    old = items.filter("is_old").drop("is_old")
+    new = items.filter(~F.col("is_old")).drop("is_old")
+    return D.compare_snapshots(old, new, ["user_id", "day_no"], "hour", "item")
