@@ -1 +1,109 @@
-"""Queries (filled in below)."""
+"""Queries: embeddings, exact and approximate kNN, hybrid retrieval."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.dims import FILTERED_TOP_K, KNOWLEDGE_BASE, RAG_TOP_K
+from ..functions.lines import explode_rows
+from ..operators import rules as R
+from ..operators import vectors as X
+from ..sources.tables import code_corpus, table
+from .catalog import query
+from .q_rules import PATTERNS_SQL
+from .sqlparts import CC, pystrip, values
+
+DIM = X.EMBED_DIM
+
+
+def _embed_sql(src: str, id_col: str, text: str, out: str) -> str:
+    """CTE ``out``(id, vec list<double>) of the hashed-token embedding."""
+    return f"""{out}_t AS (SELECT {id_col} AS id, unnest(regexp_extract_all(lower({text}), '{X.TOKEN_RE}')) AS tok FROM {src}),
+{out}_b AS (SELECT id, ('0x' || substr(sha256(tok), 1, 8))::BIGINT % {DIM} AS dim FROM {out}_t),
+{out}_n AS (SELECT id, count(*) AS n FROM {out}_b GROUP BY id),
+{out}_c AS (SELECT id, dim, count(*) AS c FROM {out}_b GROUP BY ALL),
+{out}_g AS (SELECT n.id, n.n, r.range AS dim FROM {out}_n n CROSS JOIN range({DIM}) r),
+{out}_v AS (SELECT g.id, g.dim, coalesce(c.c, 0) / g.n AS v FROM {out}_g g LEFT JOIN {out}_c c ON c.id = g.id AND c.dim = g.dim),
+{out} AS (SELECT id, list(v ORDER BY dim) AS vec FROM {out}_v GROUP BY id)"""
+
+
+@query("embed_docs", f"""WITH {_embed_sql('documents', 'doc_id', 'text', 'emb')}
+SELECT id AS doc_id, CAST(dim AS INTEGER) AS dim, round(v, 6) AS value FROM emb_v""")
+def q_embed_docs(spark, sf_dir):
+    d = X.embedding_table(table(spark, sf_dir, "documents"), "doc_id", "text").select(
+        "doc_id", F.posexplode("embedding").alias("dim", "v"))
+    return d.select("doc_id", F.col("dim").cast("int").alias("dim"), F.round("v", 6).alias("value"))
+
+
+def _knn_sql(k: int, same_label: bool) -> str:
+    cond = "WHERE a.label = b.label" if same_label else ""
+    return f"""WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id,
+    list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i:
+        (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) * (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)))) AS d2
+  FROM embeddings a JOIN embeddings b ON true {cond}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, neighbor_id) AS rk FROM d)
+SELECT query_id, CAST(rk AS INTEGER) AS rank, neighbor_id, round(sqrt(d2), 6) AS dist FROM r WHERE rk <= {k}"""
+
+
+@query("knn_l2", _knn_sql(RAG_TOP_K, False))
+def q_knn_l2(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return X.knn_exact(e, "vec_id", "embedding", RAG_TOP_K)
+
+
+@query("knn_filtered", _knn_sql(FILTERED_TOP_K, True))
+def q_knn_filtered(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return X.knn_exact(e, "vec_id", "embedding", FILTERED_TOP_K, group_col="label")
+
+
+@query("knn_lsh")
+def q_knn_lsh(spark, sf_dir):
+    """Approximate self-join; the distance bound is the median distance to
+    the nearest other vector (from the exact top-2)."""
+    e = table(spark, sf_dir, "embeddings")
+    exact = X.knn_exact(e, "vec_id", "embedding", 2).filter(F.col("rank") == 2)
+    thr = exact.agg(F.percentile_approx("dist", 0.5)).first()[0] or 1.0
+    return X.knn_lsh(e, "vec_id", "embedding", float(thr))
+
+
+KB_SQL = values([(r[0], r[1], r[2], r[3], r[4]) for r in KNOWLEDGE_BASE],
+                ["kb_id", "text", "language", "vulnerability_type", "risk_level"])
+
+HYBRID_SQL = f"""{CC}, kb AS (SELECT * FROM {KB_SQL}),
+{_embed_sql('cc', 'file_id', 'code', 'ce')},
+{_embed_sql('kb', 'kb_id', 'text', 'ke')},
+sem0 AS (SELECT cc.file_id, kb.kb_id, kb.vulnerability_type, kb.text, kb.risk_level,
+    sqrt(list_sum(list_transform(range(1, {DIM} + 1), lambda i: (ce.vec[i] - ke.vec[i]) * (ce.vec[i] - ke.vec[i])))) AS d
+  FROM cc JOIN kb ON kb.language = cc.lang JOIN ce ON ce.id = cc.file_id JOIN ke ON ke.id = kb.kb_id),
+sem AS (SELECT file_id, 0 AS src, rk AS o1, '' AS o2, vulnerability_type || chr(1) || text AS k, 'semantic' AS kind, text, risk_level
+        FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY d, kb_id) AS rk FROM sem0) WHERE rk <= 3),
+pl AS (SELECT file_id, lang, unnest(string_split(code, chr(10))) AS line,
+              CAST(generate_subscripts(string_split(code, chr(10)), 1) AS INTEGER) AS line_no FROM cc),
+ph AS (SELECT pl.file_id, p.pattern, pl.line_no, {pystrip('pl.line')} AS line_code
+       FROM pl JOIN {PATTERNS_SQL} p ON p.language = pl.lang AND contains(pl.line, p.pattern)),
+pat AS (SELECT file_id, 1 AS src, line_no AS o1, pattern AS o2, line_code || chr(1) || CAST(line_no AS VARCHAR) AS k, 'pattern' AS kind,
+               'Pattern match at line ' || CAST(line_no AS VARCHAR) || ': ' || line_code AS text, 'High' AS risk_level FROM ph),
+u AS (SELECT * FROM sem UNION ALL SELECT * FROM pat),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id, k ORDER BY src, o2, o1) AS kk FROM u) WHERE kk = 1),
+ctx AS (SELECT file_id, CAST(rk AS INTEGER) AS rank, kind, text, risk_level
+        FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY src, o2, o1) AS rk FROM f) WHERE rk <= 5)"""
+
+
+def _hybrid(spark, sf_dir):
+    cc = X.with_embedding(code_corpus(spark, sf_dir), "code", "file_id")
+    kb = X.with_embedding(R.kb_table(spark), "text", "kb_id")
+    hits = explode_rows(cc.withColumn("hits", R.pattern_hits("code", "lang")), ["file_id"], "hits", "h") \
+        .select("file_id", "h.pattern", "h.line_no", "h.line_code")
+    return X.hybrid_context(cc.select("file_id", "lang", "embedding"), kb, hits)
+
+
+@query("hybrid_retrieve", f"WITH {HYBRID_SQL} SELECT * FROM ctx")
+def q_hybrid_retrieve(spark, sf_dir):
+    return _hybrid(spark, sf_dir)
+
+
+@query("context_digest", f"""WITH {HYBRID_SQL}
+SELECT file_id, string_agg('- ' || text || ' (Risk: ' || risk_level || ')', chr(10) ORDER BY rank) AS context FROM ctx GROUP BY file_id""")
+def q_context_digest(spark, sf_dir):
+    return X.context_digest(_hybrid(spark, sf_dir))
