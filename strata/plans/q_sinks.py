@@ -1 +1,46 @@
-"""Queries (filled in below)."""
+"""Queries: result envelope per source (K3) and the extension predicate (S3)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.dims import SCAN_EXTENSIONS
+from ..operators import rules as R
+from ..operators.langs import guess_lang, marker_tokens
+from ..operators.sinks import result_envelope
+from ..sources.tables import corpus_paths, table
+from .catalog import query
+from .q_langs import GUESS_SQL
+from .q_rules import RULES_SQL
+from .sqlparts import CP, values
+
+EXT_SQL = values([(e,) for e in SCAN_EXTENSIONS], ["ext"])
+
+
+@query("result_envelope", f"""WITH {GUESS_SQL},
+hl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+fl AS (SELECT DISTINCT hl.doc_id FROM hl JOIN {RULES_SQL} r ON r.rlang = '*' AND r.cwe IS NOT NULL AND regexp_matches(hl.line, r.regex)),
+rows AS (SELECT d.source, g.guess IS NULL AS failed, fl.doc_id IS NOT NULL AS flagged
+         FROM documents d JOIN guess g ON g.doc_id = d.doc_id LEFT JOIN fl ON fl.doc_id = d.doc_id)
+SELECT source, CASE WHEN count(*) FILTER (WHERE failed) = 0 THEN 'SUCCESS' ELSE 'FAILURE' END AS status,
+       CAST(count(*) AS BIGINT) AS n_results, CAST(count(*) FILTER (WHERE flagged) AS BIGINT) AS n_flagged,
+       CAST(count(*) FILTER (WHERE failed) AS BIGINT) AS n_rejects,
+       CASE WHEN count(*) FILTER (WHERE failed) > 0 THEN CAST(count(*) FILTER (WHERE failed) AS VARCHAR) || ' result(s) failed' END AS error
+FROM rows GROUP BY source""")
+def q_result_envelope(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    d = docs.withColumn("_tok", marker_tokens("text")).withColumn("guess", guess_lang("_tok"))
+    d = R.with_findings(d, "text", "lang")
+    rows = d.select("source", F.col("guess").isNull().alias("failed"),
+                    F.exists("findings", lambda f: f["cwe"].isNotNull()).alias("flagged"))
+    return result_envelope(rows, "source", "failed", "flagged")
+
+
+@query("filter_supported", f"""WITH {CP}
+SELECT file_id, file_path FROM cp WHERE EXISTS (SELECT 1 FROM {EXT_SQL} e WHERE ends_with(cp.file_path, e.ext))""")
+def q_filter_supported(spark, sf_dir):
+    cp = corpus_paths(spark, sf_dir)
+    cond = F.lit(False)
+    for e in SCAN_EXTENSIONS:
+        cond = cond | F.col("file_path").endswith(e)
+    return cp.filter(cond).select("file_id", "file_path")

@@ -1 +1,25 @@
-"""Queries (filled in below)."""
+"""Query: streaming TTL dedupe (T1); must equal the batch H7 result."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from ..session import scratch_path
+from ..sources.tables import table
+from ..streaming.ttl import EPOCH_NTZ, run_to_table, ttl_dedupe_stream
+from .catalog import query
+from .q_cache import TS_FMT, TTL_SQL
+
+
+@query("ttl_dedupe_stream", TTL_SQL, kind="R")
+def q_ttl_dedupe_stream(spark, sf_dir):
+    schema = table(spark, sf_dir, "events").schema
+    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+              .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    kept = ttl_dedupe_stream(stream.select("user_id", "event_type", "event_id", "ts"), ["user_id", "event_type"])
+    base = scratch_path(spark, "ttl-stream")
+    out = run_to_table(spark, kept, os.path.join(base, "out"), os.path.join(base, "chk"))
+    ts = F.timestamp_add("MICROSECOND", F.col("t_us"), F.expr(EPOCH_NTZ))
+    return out.select("user_id", "event_type", "event_id", F.date_format(ts, TS_FMT).alias("ts"))
