@@ -155,6 +155,21 @@ RULES = [
     ("js-eval", "javascript", r"(^|[^A-Za-z0-9_.])eval\(", "Use of eval on dynamic input", "CWE-95", "high"),
 ]
 
+# literal prefilters per rule: (case_insensitive, literals); a line is only
+# tested with the regex when it contains one of the literals (every regex
+# match contains one, so the hint never changes a result)
+RULE_HINTS = {
+    "secret-assignment": (True, ["secret", "password", "passwd", "token", "api"]),
+    "email-address": (False, ["@"]),
+    "license-line": (True, ["licensed under", "released under", "copyright", "spdx-license-identifier"]),
+    "py-eval": (False, ["eval("]),
+    "py-pickle": (False, ["pickle.load"]),
+    "c-strcpy": (False, ["strcpy("]),
+    "c-gets": (False, ["gets("]),
+    "js-innerhtml": (False, [".innerHTML"]),
+    "js-eval": (False, ["eval("]),
+}
+
 # severity label -> numeric risk used for scoring rule findings
 SEVERITY_SCORE = {"info": 0.0, "low": 2.0, "medium": 5.0, "high": 7.5, "critical": 9.5}
 
@@ -176,6 +191,12 @@ SCAN_EXTENSIONS = [
     ".html", ".css", ".rs", ".scala", ".kt", ".sh", ".pl", ".r", ".sql", ".lua",
 ]
 
+# the characters Python's str.strip() removes (str.isspace), as one string
+PY_WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+               "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+# line breaks other than \n that str.splitlines() honours
+OTHER_BREAKS_RE = r"[\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
+
 # line-model split patterns (common subset of Java regex and RE2)
 SPLITLINES_RE = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 PY_WS_CLASS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dims import PY_WS_CLASS, SPLITLINES_RE
+from .dims import OTHER_BREAKS_RE, PY_WS_CHARS, SPLITLINES_RE
 
 
 def _col(c) -> Column:
@@ -21,8 +21,10 @@ def _col(c) -> Column:
 
 
 def lines_l1(text) -> Column:
-    """``str.splitlines()``: split on every line break, drop a trailing empty piece."""
-    parts = F.split(_col(text), SPLITLINES_RE, -1)
+    """``str.splitlines()``: split on every line break, drop a trailing empty piece.
+    Texts with no break other than ``\\n`` take the plain ``split('\\n')`` path."""
+    t = _col(text)
+    parts = F.when(t.rlike(OTHER_BREAKS_RE), F.split(t, SPLITLINES_RE, -1)).otherwise(F.split(t, "\n", -1))
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
@@ -40,12 +42,13 @@ def lines_l3(text) -> Column:
 
 
 def py_strip(c) -> Column:
-    """Python ``str.strip()`` (Spark ``trim`` only removes spaces)."""
-    return F.regexp_replace(_col(c), f"^{PY_WS_CLASS}+|{PY_WS_CLASS}+$", "")
+    """Python ``str.strip()``: ``btrim`` over the exact whitespace set
+    (plain ``trim`` only removes spaces); no regex."""
+    return F.btrim(_col(c), F.lit(PY_WS_CHARS))
 
 
 def py_lstrip(c) -> Column:
-    return F.regexp_replace(_col(c), f"^{PY_WS_CLASS}+", "")
+    return F.ltrim(_col(c), F.lit(PY_WS_CHARS))
 
 
 def indent_of(c) -> Column:

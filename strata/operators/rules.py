@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dims import KNOWLEDGE_BASE, NO_DESCRIPTION, RULES, SEVERITY_SCORE, UNKNOWN_LINE
+from ..functions.dims import KNOWLEDGE_BASE, NO_DESCRIPTION, RULE_HINTS, RULES, SEVERITY_SCORE, UNKNOWN_LINE
 from ..functions.lines import explode_rows, lines_l2, py_strip
 
 
@@ -26,8 +26,20 @@ def indexed_lines(text) -> Column:
     return F.transform(lines_l2(text), lambda l, i: F.struct((i + 1).alias("line_no"), l.alias("line")))
 
 
-def _matches(regex):
-    return lambda x: x["line"].rlike(regex)
+def _matches(regex, hint=None):
+    """Line predicate: literal prefilter (cheap ``contains``) then the regex."""
+    if not hint:
+        return lambda x: x["line"].rlike(regex)
+    ci, lits = hint
+
+    def pred(x):
+        line = F.lower(x["line"]) if ci else x["line"]
+        pre = None
+        for lit in lits:
+            c = line.contains(lit)
+            pre = c if pre is None else (pre | c)
+        return pre & x["line"].rlike(regex)
+    return pred
 
 
 def _finding(rule_id, message, cwe, severity):
@@ -56,7 +68,8 @@ def findings_array(text, lang, rules=RULES, idx: Column | None = None) -> Column
     parts = []
     empty = F.array().cast("array<struct<line_no:int,check_id:string,message:string,cwe:string,severity:string>>")
     for rule_id, rlang, regex, message, cwe, severity in rules:
-        hits = F.transform(F.filter(idx, _matches(regex)), _finding(rule_id, message, cwe, severity))
+        hits = F.transform(F.filter(idx, _matches(regex, RULE_HINTS.get(rule_id))),
+                           _finding(rule_id, message, cwe, severity))
         if rlang != "*":
             hits = F.when(_c(lang) == F.lit(rlang), hits).otherwise(empty)
         parts.append(hits)

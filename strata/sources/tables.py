@@ -20,8 +20,22 @@ TABLES = (
 ).split()
 
 
+# tables whose rows carry whole texts: per-row work is CPU-heavy
+TEXT_TABLES = {"documents", "pages", "conversations", "part"}
+
+
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Round-robin repartition when a scan yields fewer partitions than
+    ``factor`` x the cluster's default parallelism (small files or a single
+    Parquet row group read by one task). On a large input the scan already
+    has far more splits and this is a no-op, so no text is shuffled."""
+    target = factor * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def _nl():
