@@ -6,9 +6,10 @@ Physical layout:
   C1d (gap merge) run *inside the row* with higher-order functions: no line
   explode, no shuffle, codegen-friendly.
 * C1 (definition blocks) needs running sums over lines; it posexplodes the
-  lines and uses windows partitioned by the file key, and the segment
-  ``groupBy`` reuses that partitioning (no second exchange). A file is
-  bounded, so a window partition is bounded.
+  lines and uses windows partitioned by the file key; the segment and the
+  per-file aggregations reuse that partitioning (one exchange in all), and
+  the per-file row chooses between its blocks and the C2 fallback in-row.
+  A file is bounded, so a window partition is bounded.
 * C1b (contained ranges) runs over a *group* (e.g. a user) that may be
   hot; it uses a two-level running max: per (group, day) partitions plus a
   carried-in maximum from the earlier days of the group.
@@ -210,27 +211,32 @@ def block_chunks(df: DataFrame, keys: list[str], text: str, lang: str) -> DataFr
     indent_start = (~blank) & (indent_of(F.col("_line")) == 0)
     is_start = F.when(F.col("_lang").isin(*INDENT_LANGS), indent_start).otherwise(brace_start)
     seg = lines.withColumn("_seg", F.sum(is_start.cast("int")).over(w)).withColumn("_blank", blank)
-    blocks = (seg.filter(F.col("_seg") > 0).groupBy(*keys, "_lang", "_seg").agg(
+    # one row per segment (same partitioning as the window: no new exchange)
+    segs = (seg.groupBy(*keys, "_lang", "_seg").agg(
         F.array_sort(F.collect_list(F.struct("_pos", "_line", "_blank"))).alias("_ls"))
-        .withColumn("_nb", F.filter("_ls", lambda x: ~x["_blank"]))
-        .withColumn("_first", F.element_at("_nb", 1)["_pos"])
-        .withColumn("_last", F.element_at("_nb", -1)["_pos"])
-        .withColumn("_body", F.filter("_ls", lambda x: x["_pos"] <= F.col("_last")))
-        .withColumn("kind", _kind_of(F.col("_lang"), py_strip(F.element_at("_nb", 1)["_line"])))
-        .filter(F.col("kind").isNotNull()))
-    w2 = Window.partitionBy(*keys).orderBy("_first")
-    out = blocks.select(
-        *keys, (F.row_number().over(w2) - 1).cast("int").alias("chunk_no"),
-        (F.col("_first") + 1).cast("int").alias("start_line"), (F.col("_last") + 1).cast("int").alias("end_line"),
+        .withColumn("_nb", F.filter("_ls", lambda x: ~x["_blank"])))
+    first = F.element_at("_nb", 1)["_pos"]
+    last = F.element_at("_nb", -1)["_pos"]
+    kind = F.when((F.col("_seg") > 0) & (F.size("_nb") > 0),
+                  _kind_of(F.col("_lang"), py_strip(F.element_at("_nb", 1)["_line"])))
+    body = F.array_join(F.transform(F.filter("_ls", lambda x: x["_pos"] <= last), lambda x: x["_line"]), "\n")
+    block = F.when(kind.isNotNull(), F.struct(
+        first.alias("_first"), (first + 1).cast("int").alias("start_line"), (last + 1).cast("int").alias("end_line"),
+        (last - first + 1).cast("int").alias("n_lines"), kind.alias("kind"), body.alias("text")))
+    everything = F.array_join(F.transform("_ls", lambda x: x["_line"]), "\n")
+    # one row per file: its kept blocks, and its full text for the fallback
+    per_file = segs.groupBy(*keys, "_lang").agg(
+        F.array_sort(F.collect_list(block)).alias("_blocks"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_seg"), everything.alias("t")))),
+                                 lambda x: x["t"]), "\n").alias("_text"))
+    blocks = F.transform("_blocks", lambda b, i: F.struct(
+        i.alias("chunk_no"), b["start_line"].alias("start_line"), b["end_line"].alias("end_line"),
         F.lit(None).cast("int").alias("start_ord"), F.lit(None).cast("int").alias("end_ord"),
-        (F.col("_last") - F.col("_first") + 1).cast("int").alias("n_lines"), "kind",
-        F.array_join(F.transform("_body", lambda x: x["_line"]), "\n").alias("text"))
-    out = out.withColumn("hash", F.sha2("text", 256))
-    with_blocks = out.select(*keys).distinct()
-    rest = df.join(with_blocks, keys, "left_anti")
-    fb = chunk_fallback(rest, keys, text, lang)
-    cols = [*keys, "chunk_no", "start_line", "end_line", "start_ord", "end_ord", "n_lines", "kind", "hash", "text"]
-    return out.select(*cols).unionByName(fb.select(*cols))
+        b["n_lines"].alias("n_lines"), b["kind"].alias("kind"), b["text"].alias("text")))
+    pf = per_file.withColumn("_fbt", F.when(F.size("_blocks") == 0, F.col("_text")))
+    pf = with_fallback_chunks(pf, "_fbt", threshold_for("_lang"), out="_fb")
+    pf = pf.withColumn("chunks", F.when(F.size("_blocks") > 0, blocks).otherwise(F.col("_fb")))
+    return explode_chunks(pf, keys)
 
 
 # ------------------------------------------------------------------ C1b contained ranges

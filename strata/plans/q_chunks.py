@@ -149,18 +149,20 @@ WHERE NOT ((kind = 'variable_declarator' AND len({l1(pystrip('text'))}) < 2 AND
            OR (parent_kind IS NOT NULL AND end_line - start_line < 2))""", kind="R")
 def q_drop_trivial_chunks(spark, sf_dir):
     blocks = C.block_chunks(code_corpus(spark, sf_dir), ["file_id"], "code", "lang").filter(F.col("kind").isNotNull())
-    top = blocks.select("file_id", "start_line", "end_line", "kind", F.lit(None).cast("string").alias("parent_kind"), "text")
+    piece = "struct<start_line:int,end_line:int,kind:string,parent_kind:string,text:string>"
     ls = F.split("text", "\n", -1)
     pos = F.array_position(F.transform(ls, lambda s: s.rlike(r"^\s+def\s")), True).cast("int")
-    methods = (blocks.filter((F.col("kind") == "class_definition") & F.col("text").rlike(r"\n\s+def\s"))
-               .select("file_id", (F.col("start_line") + pos - 1).alias("start_line"), "end_line",
-                       F.lit("function_definition").alias("kind"), F.lit("class_definition").alias("parent_kind"),
-                       F.array_join(F.slice(ls, pos, F.size(ls) - pos + 1), "\n").alias("text")))
-    decls = (blocks.filter(F.col("kind") == "lexical_declaration")
-             .select("file_id", "start_line", F.col("start_line").alias("end_line"),
-                     F.lit("variable_declarator").alias("kind"), F.lit("lexical_declaration").alias("parent_kind"),
-                     F.regexp_extract("text", r"^(const|let)\s+(.*);\s*$", 2).alias("text")))
-    pieces = top.unionByName(methods).unionByName(decls)
+    top = F.struct("start_line", "end_line", "kind", F.lit(None).cast("string").alias("parent_kind"), "text")
+    method = F.when((F.col("kind") == "class_definition") & F.col("text").rlike(r"\n\s+def\s"), F.struct(
+        (F.col("start_line") + pos - 1).alias("start_line"), F.col("end_line"), F.lit("function_definition").alias("kind"),
+        F.lit("class_definition").alias("parent_kind"), F.array_join(F.slice(ls, pos, F.size(ls) - pos + 1), "\n").alias("text")))
+    decl = F.when(F.col("kind") == "lexical_declaration", F.struct(
+        F.col("start_line"), F.col("start_line").alias("end_line"), F.lit("variable_declarator").alias("kind"),
+        F.lit("lexical_declaration").alias("parent_kind"),
+        F.regexp_extract("text", r"^(const|let)\s+(.*);\s*$", 2).alias("text")))
+    # every block yields itself plus its nested pieces, in one pass over the blocks
+    arr = F.filter(F.array(top.cast(piece), method.cast(piece), decl.cast(piece)), lambda p: p.isNotNull())
+    pieces = explode_rows(blocks.withColumn("_p", arr), ["file_id"], "_p", "p").select("file_id", "p.*")
     return C.drop_trivial(pieces).select("file_id", "start_line", "end_line", "kind", "parent_kind")
 
 
