@@ -1,7 +1,8 @@
 """Diffs and snapshot comparison.
 
 * Near-copy pairs: documents are first collapsed by exact content hash
-  (copies are one representative), then pairs of representatives whose
+  (copies are one representative; only hashes and small token arrays are
+  shuffled, never texts), then pairs of representatives whose
   distinct long-line hash sets have Jaccard >= threshold are found with
   *prefix filtering* (exact): tokens are ordered by (document frequency,
   hash); two sets that reach the threshold must share a token inside both
@@ -28,40 +29,37 @@ from ..functions.lines import lines_l1, normalize_text, py_strip
 LONG_LINE = 40
 
 
-def line_tokens(df: DataFrame, id_col: str, text: str, min_len: int = LONG_LINE) -> DataFrame:
-    """(id, tok) distinct hashes of the stripped long lines of each text."""
-    d = df.select(id_col, F.transform(F.filter(F.transform(lines_l1(text), lambda l: py_strip(l)),
-                                               lambda l: F.length(l) >= min_len),
-                                      lambda l: F.sha2(l, 256)).alias("_toks"))
-    return d.select(id_col, F.explode(F.array_distinct("_toks")).alias("tok"))
+def line_token_array(text, min_len: int = LONG_LINE) -> Column:
+    """Distinct sha256 hashes of the stripped long lines of a text (in-row)."""
+    return F.array_distinct(F.transform(F.filter(F.transform(lines_l1(text), lambda l: py_strip(l)),
+                                                 lambda l: F.length(l) >= min_len),
+                                        lambda l: F.sha2(l, 256)))
 
 
 def near_copy_pairs(docs: DataFrame, id_col: str, text: str, threshold_num: int = 1, threshold_den: int = 2) -> DataFrame:
     """Pairs (id_a < id_b) of distinct texts with Jaccard(long lines) >=
     num/den, on one representative (smallest id) per exact text.
 
+    Only (hash, id, token array) rows are shuffled, never the texts.
     Returns (id_a, id_b, n_a, n_b, n_common)."""
-    reps = (docs.select(id_col, F.sha2(F.col(text), 256).alias("_h"), text)
-            .groupBy("_h").agg(F.min_by(F.struct(F.col(id_col).alias("id"), F.col(text).alias("text")),
-                                        F.col(id_col)).alias("_r"))
-            .select(F.col("_r.id").alias("id"), F.col("_r.text").alias("text")))
-    toks = line_tokens(reps, "id", "text")
+    d = docs.select(F.col(id_col).alias("id"), F.sha2(F.col(text), 256).alias("_h"),
+                    line_token_array(F.col(text)).alias("s"))
+    reps = (d.groupBy("_h").agg(F.min_by(F.struct("id", "s"), F.col("id")).alias("_r"))
+            .select("_r.id", "_r.s"))
+    toks = reps.select("id", F.explode("s").alias("tok"), F.size("s").alias("_n"))
     df_tok = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("_df"))
-    ranked = toks.join(df_tok, "tok")
-    # global token order: rare first; rank inside each document by that order
+    # global token order: rare first; rank inside each text by that order
     w = Window.partitionBy("id").orderBy("_df", "tok")
-    sized = (ranked.withColumn("_pos", F.row_number().over(w))
-             .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("id"))))
+    ranked = toks.join(df_tok, "tok").withColumn("_pos", F.row_number().over(w))
     # prefix length for Jaccard >= t: n - ceil(t * n) + 1
     need = F.ceil(F.col("_n") * threshold_num / threshold_den)
-    prefix = sized.filter(F.col("_pos") <= F.col("_n") - need + 1).select("id", "tok", "_n")
+    prefix = ranked.filter(F.col("_pos") <= F.col("_n") - need + 1).select("id", "tok", "_n")
     a, b = prefix.alias("a"), prefix.alias("b")
     cand = (a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.id") < F.col("b.id")))
             # length filter: |small| >= t * |large|
             .filter((F.least("a._n", "b._n") * threshold_den) >= (F.greatest("a._n", "b._n") * threshold_num))
             .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct())
-    sets = toks.groupBy("id").agg(F.collect_set("tok").alias("s"))
-    sa, sb = sets.alias("sa"), sets.alias("sb")
+    sa, sb = reps.alias("sa"), reps.alias("sb")
     v = (cand.join(sa, F.col("id_a") == F.col("sa.id")).join(sb, F.col("id_b") == F.col("sb.id"))
          .select("id_a", "id_b", F.size("sa.s").alias("n_a"), F.size("sb.s").alias("n_b"),
                  F.size(F.array_intersect("sa.s", "sb.s")).alias("n_common")))
@@ -77,10 +75,17 @@ def line_counts(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
 def diff_stats(pairs: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """Lines kept / removed / added between the two texts of each pair,
-    with multiplicity (an occurrence matches at most one occurrence)."""
-    lc = line_counts(docs, id_col, text)
-    pa = pairs.select("id_a", "id_b").join(lc.withColumnRenamed(id_col, "id_a").withColumnRenamed("c", "ca"), "id_a")
-    pb = pairs.select("id_a", "id_b").join(lc.withColumnRenamed(id_col, "id_b").withColumnRenamed("c", "cb"), "id_b")
+    with multiplicity (an occurrence matches at most one occurrence).
+    Lines are exploded only for texts that are in some pair. The pair table
+    (small: one row per output row) is written once to the shared checkpoint
+    folder because it feeds three joins."""
+    from ..session import checkpoint_dir
+    checkpoint_dir(pairs.sparkSession)
+    p = pairs.select("id_a", "id_b").checkpoint(eager=True)
+    ids = p.select(F.col("id_a").alias(id_col)).union(p.select(F.col("id_b").alias(id_col))).distinct()
+    lc = line_counts(docs.select(id_col, text).join(ids, id_col, "left_semi"), id_col, text)
+    pa = p.join(lc.withColumnRenamed(id_col, "id_a").withColumnRenamed("c", "ca"), "id_a")
+    pb = p.join(lc.withColumnRenamed(id_col, "id_b").withColumnRenamed("c", "cb"), "id_b")
     j = pa.join(pb, ["id_a", "id_b", "line"], "full_outer")
     ca, cb = F.coalesce(F.col("ca"), F.lit(0)), F.coalesce(F.col("cb"), F.lit(0))
     kept = F.least(ca, cb)

@@ -284,6 +284,5 @@ def q_scan_verdicts(spark, sf_dir):
     f = R.with_findings(_texts(spark, sf_dir), "text", "lang")
     req = f.select("src", "id", "lang", R.work_key("text", "findings").alias("work_key"),
                    V.findings_for_fn("findings").alias("findings_json"))
-    out = V.run_verdicts(req)
-    return (req.select("src", "id", "work_key").join(out, "work_key", "inner")
+    return (V.scan_verdicts(req, ["src", "id"])
             .select("src", "id", "is_vulnerability", "cwe", "n_lines", "severity", "explanation"))
