@@ -98,29 +98,53 @@ def ttl_next(events: DataFrame, keys: list[str], ts: str, eid: str, ttl_seconds:
     return j.select(F.col("_src").alias("id"), F.coalesce(F.col("_hit"), F.col("_later"))["id"].alias("nxt"))
 
 
+GROUP_FOLD_BOUND = 10_000
+
+
+def _ttl_fold(events: DataFrame, keys: list[str], ts: str, eid: str, ttl_seconds: int) -> DataFrame:
+    """Per-key fold for keys with a bounded number of events: sort the
+    key's (time, id) pairs in the row and keep an event when it is at least
+    ``ttl`` after the last kept one."""
+    us = F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), F.col(ts))
+    g = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(us.alias("t"), F.col(eid).alias("id"))))
+                                  .alias("_ev"))
+    ttl_us = int(ttl_seconds) * 1_000_000
+    init = F.struct(F.lit(None).cast("long").alias("a"), F.array().cast("array<long>").alias("k"))
+
+    def step(acc, x):
+        keep = acc["a"].isNull() | (x["t"] - acc["a"] >= ttl_us)
+        return F.struct(F.when(keep, x["t"]).otherwise(acc["a"]).alias("a"),
+                        F.when(keep, F.concat(acc["k"], F.array(x["id"]))).otherwise(acc["k"]).alias("k"))
+    kept = g.select(F.explode(F.aggregate("_ev", init, step, lambda a: a["k"])).alias(eid))
+    return events.join(kept, eid, "left_semi")
+
+
 def ttl_dedupe(events: DataFrame, keys: list[str], ts: str, eid: str,
-               ttl_seconds: int = CACHE_TTL_SECONDS, span_seconds: float | None = None) -> DataFrame:
+               ttl_seconds: int = CACHE_TTL_SECONDS, span_seconds: float | None = None,
+               bound: int = GROUP_FOLD_BOUND) -> DataFrame:
     """H7: keep an event when no *kept* event of its key is younger than the
     TTL (strict ``age < ttl`` is a hit; a hit does not renew the entry).
 
-    Kept events form a chain per key: the first event, then repeatedly the
-    first event at least ``ttl`` later (``ttl_next``). The chain is followed
-    by pointer doubling: J_0 = next, J_{i+1} = J_i o J_i; the kept set grows
-    as T := T u J_i(T). ``ceil(log2(span/ttl + 2))`` rounds cover every chain;
-    each round is two equi-joins on the event id (no group in one task) and
-    is checkpointed. Returns the kept rows of ``events``.
+    Keys with at most ``bound`` events are folded in one row each (bounded
+    memory). Larger keys never go to one task: kept events form a chain per
+    key (the first event, then repeatedly the first event at least ``ttl``
+    later, ``ttl_next``), followed by pointer doubling; ``ceil(log2(span/ttl
+    + 2))`` rounds cover every chain, each two equi-joins on the event id,
+    checkpointed. Returns the kept rows of ``events``.
     """
+    from .ordered import follow_chains
+    counts = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
+    largest = counts.agg(F.max("_cnt")).first()[0] or 0
+    sized = events.join(counts, keys)
+    out = _ttl_fold(sized.filter(F.col("_cnt") <= bound).drop("_cnt"), keys, ts, eid, ttl_seconds)
+    if largest <= bound:
+        return out
+    big = sized.filter(F.col("_cnt") > bound).drop("_cnt")
     if span_seconds is None:
-        r = events.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
+        r = big.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
         span_seconds = 0.0 if r["lo"] is None else (r["hi"] - r["lo"]).total_seconds()
     rounds = max(1, math.ceil(math.log2(span_seconds / ttl_seconds + 2)))
-    jump = _checkpoint(ttl_next(events, keys, ts, eid, ttl_seconds).filter(F.col("nxt").isNotNull()))
-    first = events.groupBy(*keys).agg(F.min(F.struct(F.col(ts), F.col(eid))).alias("_f"))
-    kept = _checkpoint(first.select(F.col(f"_f.{eid}").alias("id")))
-    for i in range(rounds):
-        step = kept.join(jump, "id", "inner").select(F.col("nxt").alias("id"))
-        kept = _checkpoint(kept.unionByName(step).distinct())
-        if i + 1 < rounds:
-            j2 = jump.alias("a").join(jump.alias("b"), F.col("a.nxt") == F.col("b.id"), "inner")
-            jump = _checkpoint(j2.select(F.col("a.id").alias("id"), F.col("b.nxt").alias("nxt")))
-    return events.join(kept.withColumnRenamed("id", eid), eid, "left_semi")
+    jump = ttl_next(big, keys, ts, eid, ttl_seconds)
+    first = big.groupBy(*keys).agg(F.min(F.struct(F.col(ts), F.col(eid))).alias("_f"))
+    kept = follow_chains(jump, first.select(F.col(f"_f.{eid}").alias("id")), rounds, _checkpoint)
+    return out.unionByName(big.join(kept.withColumnRenamed("id", eid), eid, "left_semi"))

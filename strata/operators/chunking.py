@@ -335,3 +335,90 @@ def with_packed(df: DataFrame, pieces: str, max_chars: int = BATCH_MAX_CHARS,
         return F.struct(k.alias("batch_no"), F.element_at(part, 1)["ord"].alias("first_ord"),
                         F.element_at(part, -1)["ord"].alias("last_ord"), (nxt - s).alias("n_pieces"), body.alias("text"))
     return d.withColumn(out, F.transform(starts, mk)).drop("_bs")
+
+
+def _ckpt(df: DataFrame) -> DataFrame:
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+GROUP_FOLD_BOUND = 10_000
+
+
+def pack_groups(pieces: DataFrame, keys: list[str], ord_col: str, text: str, max_chars: int = BATCH_MAX_CHARS,
+                delimiter: str = BATCH_DELIMITER, bound: int = GROUP_FOLD_BOUND) -> DataFrame:
+    """C5 over groups of rows (e.g. the turns of a conversation). Groups of
+    at most ``bound`` rows are folded in one row each (``with_packed``,
+    bounded memory); larger groups take the exact parallel path
+    (``pack_groups_parallel``), which never collects a group. The parallel
+    path only runs when some group is larger than the bound."""
+    counts = pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
+    largest = counts.agg(F.max("_cnt")).first()[0] or 0
+    sized = pieces.join(counts, keys)
+    small = (sized.filter(F.col("_cnt") <= bound).groupBy(*keys)
+             .agg(F.array_sort(F.collect_list(F.struct(F.col(ord_col).cast("bigint").alias("ord"),
+                                                       F.col(text).alias("text")))).alias("_pieces")))
+    out = (explode_rows(with_packed(small, "_pieces", max_chars, delimiter), keys, "batches", "b")
+           .select(*keys, "b.batch_no", F.col("b.first_ord").alias("first_ord"), F.col("b.last_ord").alias("last_ord"),
+                   "b.n_pieces", "b.text"))
+    if largest > bound:
+        big = sized.filter(F.col("_cnt") > bound).drop("_cnt")
+        par = pack_groups_parallel(big, keys, ord_col, text, max_chars, delimiter)
+        out = out.unionByName(par.select(*keys, "batch_no", F.col("first_ord").cast("bigint").alias("first_ord"),
+                                         F.col("last_ord").cast("bigint").alias("last_ord"), "n_pieces", "text"))
+    return out
+
+
+def pack_groups_parallel(pieces: DataFrame, keys: list[str], ord_col: str, text: str,
+                         max_chars: int = BATCH_MAX_CHARS, delimiter: str = BATCH_DELIMITER,
+                         block: int = 1024) -> DataFrame:
+    """C5 for large groups, with the same next-fit rule as ``with_packed``
+    but without collecting a group.
+
+    With Q = running sum of (len + |delimiter|) in order, a batch whose first
+    non-empty piece is f closes before the first later piece i with
+    Q[i] > Q[f] - len_f + max (a batch of only empty pieces closes before f
+    when len_f alone is too long). So every piece j knows where a batch
+    starting at j would end (``next``, an as-of lookup on Q); the real batch
+    starts are the chain root -> next -> next ... of each group, followed by
+    pointer doubling. All scans are blocked (see ``ordered``); ``ord_col``
+    must be unique inside a group. Returns (keys, batch_no, first_ord,
+    last_ord, n_pieces, text).
+    """
+    import math
+
+    from .ordered import asof_first, asof_last, blocked_running_sum, follow_chains
+    dl = len(delimiter)
+    p = _ckpt(pieces.select(*keys, F.col(ord_col).alias("o"), F.col(text).alias("text"),
+                            F.length(text).cast("long").alias("l"))
+              .withColumn("id", F.monotonically_increasing_id()))
+    p = p.withColumn("_blk", F.floor(F.col("o") / block))
+    q = blocked_running_sum(p, keys, ["o"], F.col("l") + dl, F.col("_blk"), "Q")
+    # f: first non-empty piece at or after each piece
+    nonempty = q.filter(F.col("l") > 0).select(*keys, F.col("o").alias("t"), "id")
+    f = asof_first(nonempty, q.select(*keys, F.col("o").alias("t"), F.col("id").alias("src")), keys, block)
+    fq = q.select(F.col("id").alias("nxt"), F.col("Q").alias("fQ"), F.col("l").alias("fl"))
+    pj = q.join(f.withColumnRenamed("src", "id"), "id", "left").join(fq, "nxt", "left").withColumnRenamed("nxt", "f")
+    early = F.col("f").isNotNull() & (F.col("f") != F.col("id")) & (F.col("fl") > max_chars - dl)
+    probes = (pj.filter(F.col("f").isNotNull() & ~early)
+              .select(*keys, (F.greatest(F.col("fQ") - F.col("fl") + max_chars, F.col("fQ")) + 1).alias("t"),
+                      F.col("id").alias("src")))
+    later = asof_first(q.select(*keys, F.col("Q").alias("t"), "id"), probes, keys, max_chars + dl)
+    jump = (pj.filter(early).select("id", F.col("f").alias("nxt"))
+            .unionByName(later.select(F.col("src").alias("id"), "nxt")))
+    roots = p.groupBy(*keys).agg(F.min(F.struct("o", "id")).alias("_r")).select(F.col("_r.id").alias("id"))
+    largest = p.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
+    starts = follow_chains(jump, roots, max(1, math.ceil(math.log2(largest + 1))), _ckpt)
+    st = p.join(starts, "id", "left_semi")
+    st = blocked_running_sum(st, keys, ["o"], F.lit(1), F.col("_blk"), "_rank")
+    owner = asof_last(st.select(*keys, "o", "id", "_blk"), p.select(*keys, "o", F.col("id").alias("src"), "_blk"),
+                      keys, "_blk")
+    assigned = (p.join(owner.withColumnRenamed("src", "id"), "id")
+                .join(st.select(F.col("id").alias("prev"), (F.col("_rank") - 1).cast("int").alias("batch_no")), "prev"))
+    b = assigned.groupBy(*keys, "batch_no").agg(
+        F.min("o").alias("first_ord"), F.max("o").alias("last_ord"), F.count(F.lit(1)).cast("int").alias("n_pieces"),
+        F.array_sort(F.collect_list(F.struct("o", "text"))).alias("_parts"))
+    body = F.aggregate(F.transform("_parts", lambda x: x["text"]), F.lit(""),
+                       lambda acc, t: F.when(acc == "", t).otherwise(F.concat(acc, F.lit(delimiter), t)))
+    return b.select(*keys, "batch_no", "first_ord", "last_ord", "n_pieces", body.alias("text"))

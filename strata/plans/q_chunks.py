@@ -224,18 +224,20 @@ FROM r JOIN pieces p ON p.src = r.src AND p.id = r.id AND p.o = r.o GROUP BY r.s
 
 @query("pack_batches", PACK_ORACLE, kind="R")
 def q_pack_batches(spark, sf_dir):
-    conv = (table(spark, sf_dir, "conversations")
-            .groupBy("conv_id")
-            .agg(F.array_sort(F.collect_list(F.struct(F.col("turn").alias("ord"), "text"))).alias("pieces"))
-            .select(F.lit("conv").alias("src"), F.col("conv_id").alias("id"), "pieces"))
+    # turns of a conversation: packed without collecting a conversation
+    conv = (C.pack_groups(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"),
+                          ["conv_id"], "turn", "text")
+            .select(F.lit("conv").alias("src"), F.col("conv_id").alias("id"), "batch_no", "first_ord", "last_ord",
+                    "n_pieces", F.length("text").cast("int").alias("n_chars"), F.sha2("text", 256).alias("hash")))
+    # chunks of one document: one row, packed in-row
     docs = C.with_fallback_chunks(table(spark, sf_dir, "documents"), "text", C.threshold_for("lang"))
     dp = docs.select(F.lit("doc").alias("src"), F.col("doc_id").alias("id"),
                      F.transform("chunks", lambda c: F.struct(c["chunk_no"].cast("bigint").alias("ord"),
                                                             c["text"].alias("text"))).alias("pieces"))
-    both = conv.unionByName(dp)
-    return (explode_rows(C.with_packed(both, "pieces"), ["src", "id"], "batches", "b")
-            .select("src", "id", "b.batch_no", "b.first_ord", "b.last_ord", "b.n_pieces",
-                    F.length("b.text").cast("int").alias("n_chars"), F.sha2("b.text", 256).alias("hash")))
+    dpk = (explode_rows(C.with_packed(dp, "pieces"), ["src", "id"], "batches", "b")
+           .select("src", "id", "b.batch_no", "b.first_ord", "b.last_ord", "b.n_pieces",
+                   F.length("b.text").cast("int").alias("n_chars"), F.sha2("b.text", 256).alias("hash")))
+    return conv.unionByName(dpk)
 
 
 # ------------------------------------------------------------------ C4

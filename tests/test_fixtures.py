@@ -246,3 +246,32 @@ def test_hybrid_priority(spark):
     got = [(r.kind, r.text) for r in hybrid_context(files, kb, hits).orderBy("rank").collect()]
     assert got == [("semantic", "kb1"), ("semantic", "kb2"), ("semantic", "kb3"),
                    ("pattern", "Pattern match at line 1: a"), ("pattern", "Pattern match at line 2: b")]
+
+
+def test_pack_parallel_equals_fold(spark):
+    """The large-group path (no group collected) gives the fold's batches."""
+    lengths = [0, 0, 30, 1, 5, 5, 5, 0, 12, 0, 3, 25, 0, 0, 7]
+    rows = [(g, i, "x" * n) for g in (1, 2) for i, n in enumerate(lengths if g == 1 else lengths[::-1])]
+    df = spark.createDataFrame(rows, "g long, o long, text string")
+    fold = C.pack_groups(df, ["g"], "o", "text", max_chars=20)
+    par = C.pack_groups(df, ["g"], "o", "text", max_chars=20, bound=1)
+    a = sorted(tuple(r) for r in fold.collect())
+    b = sorted(tuple(r) for r in par.collect())
+    assert a == b and len(a) > 4
+
+
+def test_pack_parallel_on_conversations(spark):
+    conv = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "text")
+    fold = {tuple(r) for r in C.pack_groups(conv, ["conv_id"], "turn", "text").collect()}
+    par = {tuple(r) for r in C.pack_groups(conv, ["conv_id"], "turn", "text", bound=1).collect()}
+    assert fold == par
+
+
+def test_ttl_parallel_equals_fold(spark):
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", "event_type", "event_id", "ts")
+    keys = ["user_id", "event_type"]
+    fold = {r.event_id for r in K.ttl_dedupe(ev, keys, "ts", "event_id").collect()}
+    par = {r.event_id for r in K.ttl_dedupe(ev, keys, "ts", "event_id", bound=1).collect()}
+    assert fold == par and len(fold) == 685
+    hours = {r.event_id for r in K.ttl_dedupe(_hours_events(spark), keys, "ts", "event_id", bound=1).collect()}
+    assert hours == {0, 3, 6}
