@@ -29,8 +29,12 @@ def spread(df: DataFrame, factor: int = 2) -> DataFrame:
     ``factor`` x the cluster's default parallelism (small files or a single
     Parquet row group read by one task). On a large input the scan already
     has far more splits and this is a no-op, so no text is shuffled."""
-    target = factor * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = factor * df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a Connect session): leave the scan as it is
+        return df
+    return df.repartition(target) if n < target else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
