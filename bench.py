@@ -19,7 +19,7 @@ HEADLINE = [
     "finding_histogram", "rule_findings", "lang_by_content", "chunk_fallback", "chunk_blocks",
     "chunk_fixed_lines", "pack_batches", "ttl_dedupe", "cache_upsert", "dedupe_work", "validate_verdicts",
     "consensus", "score_fixes", "near_copy_pairs", "diff_stats", "embed_docs", "knn_l2", "hybrid_retrieve",
-    "compare_snapshots", "scan_verdicts",
+    "compare_snapshots", "scan_verdicts", "scan_source",
 ]
 
 

@@ -286,3 +286,33 @@ def q_scan_verdicts(spark, sf_dir):
                    V.findings_for_fn("findings").alias("findings_json"))
     return (V.scan_verdicts(req, ["src", "id"])
             .select("src", "id", "is_vulnerability", "cwe", "n_lines", "severity", "explanation"))
+
+
+# ------------------------------------------------------------------ E1 end to end
+
+def _scan_source_sql() -> str:
+    from .q_chunks import blocks_sql, fallback_sql
+    from .q_rules import RULES_SQL
+    return f"""WITH RECURSIVE {blocks_sql(CC + ", files AS (SELECT file_id, lang, code FROM cc)")},
+{fallback_sql("srcs AS (SELECT 'code' AS src, file_id AS id, lang, code AS text FROM files WHERE file_id NOT IN (SELECT file_id FROM blk))")},
+ch AS (SELECT file_id, chunk_no, start_line, end_line, text FROM blk
+       UNION ALL SELECT id, chunk_no, start_line, end_line, text FROM fb),
+cl AS (SELECT ch.file_id, ch.chunk_no, cc.lang, unnest(string_split(ch.text, chr(10))) AS line,
+              generate_subscripts(string_split(ch.text, chr(10)), 1) AS line_no
+       FROM ch JOIN cc ON cc.file_id = ch.file_id),
+hh AS (SELECT cl.file_id, cl.chunk_no, cl.line_no, r.rule_id AS check_id, r.cwe, r.severity, s.rk
+       FROM cl JOIN {RULES_SQL} r ON (r.rlang = '*' OR r.rlang = cl.lang) AND regexp_matches(cl.line, r.regex)
+       JOIN {SEV_RANK_SQL} s ON s.sv = r.severity WHERE r.cwe IS NOT NULL),
+top AS (SELECT file_id, chunk_no, cwe, severity, n FROM (
+          SELECT *, row_number() OVER (PARTITION BY file_id, chunk_no ORDER BY rk DESC, line_no, check_id) AS rn,
+                 count(*) OVER (PARTITION BY file_id, chunk_no) AS n FROM hh) WHERE rn = 1)
+SELECT ch.file_id, ch.chunk_no, ch.start_line, ch.end_line, sha256(ch.text) AS chunk_hash,
+       top.n IS NOT NULL AS is_vulnerability, coalesce(top.cwe, '') AS cwe, coalesce(top.severity, 'info') AS severity,
+       CAST(coalesce(top.n, 0) AS INTEGER) AS n_flagged
+FROM ch LEFT JOIN top ON top.file_id = ch.file_id AND top.chunk_no = ch.chunk_no"""
+
+
+@query("scan_source", _scan_source_sql(), kind="R")
+def q_scan_source(spark, sf_dir):
+    from .pipeline import scan_source
+    return scan_source(code_corpus(spark, sf_dir))
