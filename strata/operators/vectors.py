@@ -76,39 +76,51 @@ def encoder_udf(load_model, dim: int):
 
 # ------------------------------------------------------------------ X2 / X3 exact top-k
 
+def _topk_merge(best_d, best_i, d2, ids, k):
+    cand_d = np.concatenate([best_d, d2], axis=1)
+    cand_i = np.concatenate([best_i, np.broadcast_to(ids, d2.shape)], axis=1)
+    keep = min(k, cand_d.shape[1])
+    order = np.lexsort((cand_i, cand_d), axis=1)[:, :keep]  # by (distance, id)
+    return np.take_along_axis(cand_d, order, axis=1), np.take_along_axis(cand_i, order, axis=1)
+
+
+def _sq_dist(q, c):
+    d2 = np.zeros((len(q), len(c)))
+    for j in range(c.shape[1]):  # fixed summation order over dimensions
+        diff = q[:, j][:, None] - c[:, j][None, :]
+        d2 += diff * diff
+    return d2
+
+
 def _local_topk(q_ids, q_grp, q_mat, k, id_col, vec_col, grp_col):
-    """mapInPandas body: local top-k per query over one corpus partition."""
+    """mapInPandas body: local top-k per query over one corpus partition.
+    With a group column, corpus rows are only compared with the queries of
+    their own group."""
+    groups = {None: np.arange(len(q_ids))} if not grp_col else {
+        g: np.flatnonzero(q_grp == g) for g in np.unique(q_grp)}
+
     def run(batches):
-        best_d = np.full((len(q_ids), 0), np.inf)
-        best_i = np.zeros((len(q_ids), 0), dtype=np.int64)
+        best = {g: (np.full((len(ix), 0), np.inf), np.zeros((len(ix), 0), dtype=np.int64)) for g, ix in groups.items()}
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             c_ids = pdf[id_col].to_numpy(dtype=np.int64)
             c_mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
             c_grp = pdf[grp_col].to_numpy() if grp_col else None
-            for s in range(0, len(c_ids), 2048):
-                cm = c_mat[s:s + 2048]
-                d2 = np.zeros((len(q_ids), len(cm)))
-                for j in range(cm.shape[1]):  # fixed summation order over dimensions
-                    diff = q_mat[:, j][:, None] - cm[:, j][None, :]
-                    d2 += diff * diff
-                if grp_col:
-                    d2[q_grp[:, None] != c_grp[s:s + 2048][None, :]] = np.inf
-                cand_d = np.concatenate([best_d, d2], axis=1)
-                cand_i = np.concatenate([best_i, np.broadcast_to(c_ids[s:s + 2048], d2.shape)], axis=1)
-                keep = min(k, cand_d.shape[1])
-                # order by (distance, id) and keep k
-                order = np.lexsort((cand_i, cand_d), axis=1)[:, :keep]
-                best_d = np.take_along_axis(cand_d, order, axis=1)
-                best_i = np.take_along_axis(cand_i, order, axis=1)
+            for g, ix in groups.items():
+                sel = np.arange(len(c_ids)) if g is None else np.flatnonzero(c_grp == g)
+                for s in range(0, len(sel), 2048):
+                    part = sel[s:s + 2048]
+                    d2 = _sq_dist(q_mat[ix], c_mat[part])
+                    best[g] = _topk_merge(*best[g], d2, c_ids[part], k)
         rows_q, rows_c, rows_d = [], [], []
-        for qi in range(len(q_ids)):
-            for c in range(best_d.shape[1]):
-                if np.isfinite(best_d[qi, c]):
+        for g, ix in groups.items():
+            bd, bi = best[g]
+            for r, qi in enumerate(ix):
+                for c in range(bd.shape[1]):
                     rows_q.append(q_ids[qi])
-                    rows_c.append(best_i[qi, c])
-                    rows_d.append(best_d[qi, c])
+                    rows_c.append(bi[r, c])
+                    rows_d.append(bd[r, c])
         yield pd.DataFrame({"query_id": np.asarray(rows_q, dtype=np.int64),
                             "neighbor_id": np.asarray(rows_c, dtype=np.int64),
                             "d2": np.asarray(rows_d, dtype=np.float64)})

@@ -31,3 +31,14 @@ def test_filters_reach_the_scan(spark, catalog):
 def test_column_pruning(spark, catalog):
     plan = _plan(catalog.QUERIES["hash_docs"](spark, SF_SMALL))
     assert "ReadSchema: struct<doc_id:bigint,text:string,n_chars:bigint>" in plan
+
+
+def test_knowledge_base_is_broadcast(spark, catalog):
+    plan = _plan(catalog.QUERIES["hybrid_retrieve"](spark, SF_SMALL))
+    assert "BroadcastExchange" in plan
+
+
+def test_votes_use_partial_aggregation(spark, catalog):
+    """Consensus never collects a group: only mergeable aggregates below the exchanges."""
+    plan = _plan(catalog.QUERIES["consensus"](spark, SF_SMALL))
+    assert "collect_list" not in plan and "partial_" in plan
