@@ -17,6 +17,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -66,7 +67,7 @@ def encoder_udf(load_model, dim: int):
     from pyspark.sql import types as T
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def enc(batches):
+    def enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load_model()
         for s in batches:
             vecs = model(list(s.fillna("")))

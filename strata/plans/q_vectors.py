@@ -107,3 +107,46 @@ def q_hybrid_retrieve(spark, sf_dir):
 SELECT file_id, string_agg('- ' || text || ' (Risk: ' || risk_level || ')', chr(10) ORDER BY rank) AS context FROM ctx GROUP BY file_id""")
 def q_context_digest(spark, sf_dir):
     return X.context_digest(_hybrid(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ X5: retrieval flow over real tables
+
+CHUNK_ID_BASE = 1_000_000
+
+
+def _rag(spark, sf_dir):
+    from ..operators import chunking as C
+    docs = C.with_fixed_line_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    chunks = explode_rows(docs, ["doc_id"], "chunks", "c").select(
+        (F.col("doc_id") * CHUNK_ID_BASE + F.col("c.chunk_no")).alias("chunk_id"), "doc_id",
+        F.col("c.chunk_no").alias("chunk_no"), F.col("c.text").alias("text"))
+    corpus = X.embedding_table(chunks, "chunk_id", "text")
+    queries = X.embedding_table(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id"), "text"),
+                                "chunk_id", "text")
+    top = X.knn_exact(corpus, "chunk_id", "embedding", RAG_TOP_K, queries=queries)
+    # Neighbour position -> chunk text and its document
+    return (top.join(chunks.withColumnRenamed("chunk_id", "neighbor_id"), "neighbor_id")
+            .select(F.col("query_id").alias("item_id"), "rank", "doc_id", "chunk_no", "dist",
+                    F.sha2("text", 256).alias("chunk_hash")))
+
+
+def _rag_sql() -> str:
+    return f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l2 FROM documents),
+x AS (SELECT doc_id, unnest(l2) AS line, generate_subscripts(l2, 1) AS i, len(l2) AS n2 FROM l),
+y AS (SELECT doc_id, i, CASE WHEN i < n2 THEN line || chr(10) ELSE line END AS lt FROM x),
+chunks AS (SELECT doc_id * {CHUNK_ID_BASE} + (i - 1) // 20 AS chunk_id, doc_id, CAST((i - 1) // 20 AS INTEGER) AS chunk_no,
+                  string_agg(lt, '' ORDER BY i) AS text FROM y WHERE lt <> '' GROUP BY doc_id, (i - 1) // 20),
+bq AS (SELECT item_id, text FROM benchmark),
+{_embed_sql('chunks', 'chunk_id', 'text', 'ce')},
+{_embed_sql('bq', 'item_id', 'text', 'qe')},
+d AS (SELECT qe.id AS item_id, ce.id AS chunk_id,
+        list_sum(list_transform(range(1, {DIM} + 1), lambda i: (qe.vec[i] - ce.vec[i]) * (qe.vec[i] - ce.vec[i]))) AS d2
+      FROM qe JOIN ce ON true),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY d2, chunk_id) AS rk FROM d)
+SELECT r.item_id, CAST(r.rk AS INTEGER) AS rank, c.doc_id, c.chunk_no, round(sqrt(r.d2), 6) AS dist, sha256(c.text) AS chunk_hash
+FROM r JOIN chunks c ON c.chunk_id = r.chunk_id WHERE r.rk <= {RAG_TOP_K}"""
+
+
+@query("rag_retrieve", _rag_sql())
+def q_rag_retrieve(spark, sf_dir):
+    return _rag(spark, sf_dir)

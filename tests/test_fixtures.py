@@ -275,3 +275,14 @@ def test_ttl_parallel_equals_fold(spark):
     assert fold == par and len(fold) == 685
     hours = {r.event_id for r in K.ttl_dedupe(_hours_events(spark), keys, "ts", "event_id", bound=1).collect()}
     assert hours == {0, 3, 6}
+
+
+def test_user_encoder_slot(spark):
+    """A user encoder runs once per worker over Arrow batches."""
+    from strata.operators.vectors import encoder_udf
+
+    def load():
+        return lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts]
+    df = spark.createDataFrame([("a b",), ("abc",)], "t string")
+    got = [r[0] for r in df.select(encoder_udf(load, 2)("t")).collect()]
+    assert got == [[3.0, 1.0], [3.0, 0.0]]
