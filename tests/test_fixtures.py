@@ -286,3 +286,14 @@ def test_user_encoder_slot(spark):
     df = spark.createDataFrame([("a b",), ("abc",)], "t string")
     got = [r[0] for r in df.select(encoder_udf(load, 2)("t")).collect()]
     assert got == [[3.0, 1.0], [3.0, 0.0]]
+
+
+def test_knn_query_chunks_equal_single_chunk(spark):
+    from strata.operators.vectors import knn_exact
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    one = {tuple(r) for r in knn_exact(e, "vec_id", "embedding", 3).collect()}
+    many = {tuple(r) for r in knn_exact(e, "vec_id", "embedding", 3, chunk_rows=37).collect()}
+    assert one == many and len(one) == 3 * e.count()
+    grp = {tuple(r) for r in knn_exact(e, "vec_id", "embedding", 2, group_col="label", chunk_rows=50).collect()}
+    labels = dict((r.vec_id, r.label) for r in e.select("vec_id", "label").collect())
+    assert all(labels[q] == labels[n] for q, _, n, _ in grp)

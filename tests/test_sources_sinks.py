@@ -22,6 +22,9 @@ def test_source_tree(spark, tmp_path):
     got = {r.name: r.text for r in df.collect()}
     assert set(got) == {"a.py", "__init__.py", ".hid.py"}
     assert got["a.py"] == "x = 1\ny = 2\n"
+    one_per_task = (spark.read.format("sourcetree").option("extensions", ".py").option("exclude_dirs", "vendor")
+                    .option("files_per_partition", "1").load(str(root)))
+    assert one_per_task.rdd.getNumPartitions() >= 3 and one_per_task.count() == 3
 
 
 def test_results_round_trip(spark, tmp_path):
