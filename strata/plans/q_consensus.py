@@ -43,12 +43,10 @@ VOTES_SQL = """v AS (SELECT user_id, ts, event_id, value >= 10 AS flag,
 @query("consensus", f"""WITH {VOTES_SQL},
 base AS (SELECT user_id, count(*) AS n, avg(CASE WHEN coalesce(flag, false) THEN 1 ELSE 0 END) >= 0.7 AS vul,
                 list_sort(list(coalesce(risk, 0.0))) AS risks FROM v GROUP BY user_id),
-cc AS (SELECT user_id, cwe, count(*) AS c, min(ts) AS ft, min(event_id) FILTER (WHERE true) AS dummy FROM v
+cc AS (SELECT user_id, cwe, count(*) AS c, min(ts) AS ft, arg_min(event_id, (ts, event_id)) AS fe FROM v
        WHERE cwe IS NOT NULL AND cwe <> '' GROUP BY user_id, cwe),
-cfirst AS (SELECT v.user_id, v.cwe, arg_min(v.event_id, (v.ts, v.event_id)) AS fe, min(v.ts) AS ft FROM v
-           WHERE v.cwe IS NOT NULL AND v.cwe <> '' GROUP BY v.user_id, v.cwe),
-cw AS (SELECT user_id, cwe FROM (SELECT cc.user_id, cc.cwe, row_number() OVER (PARTITION BY cc.user_id
-          ORDER BY cc.c DESC, cf.ft, cf.fe) AS rn FROM cc JOIN cfirst cf USING (user_id, cwe)) WHERE rn = 1),
+cw AS (SELECT user_id, cwe FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY c DESC, ft, fe) AS rn
+       FROM cc) WHERE rn = 1),
 fx AS (SELECT user_id, f, count(*) AS c, min(ts) AS ft, arg_min(event_id, (ts, event_id)) AS fe
        FROM (SELECT user_id, coalesce(fix, '') AS f, ts, event_id FROM v) GROUP BY user_id, f),
 fw AS (SELECT user_id, f FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY c DESC, ft, fe) AS rn FROM fx) WHERE rn = 1),
