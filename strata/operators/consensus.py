@@ -35,19 +35,9 @@ def severity_bucket(score) -> Column:
     return expr
 
 
-def _plurality(votes: DataFrame, keys: list[str], value: str, skip_empty: bool, out: str) -> DataFrame:
-    v = votes
-    if skip_empty:
-        v = v.filter(F.col(value).isNotNull() & (F.col(value) != ""))
-    counts = v.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"), F.min("_ord").alias("_first"))
-    # most votes first, then the earliest first vote (ordinal fields negated)
-    rank = F.struct(F.col("_n"), *[-F.col(f"_first.{f}") for f in counts.schema["_first"].dataType.names])
-    return counts.groupBy(*keys).agg(F.max_by(F.col(value), rank).alias(out))
-
-
-def _top_share(votes: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    counts = votes.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.groupBy(*keys).agg(F.max("_n").alias(out))
+def _rank(first_col: str, names) -> Column:
+    """Most votes first, then the earliest first vote (ordinal fields negated)."""
+    return F.struct(F.col("_n"), *[-F.col(f"{first_col}.{f}") for f in names])
 
 
 def _upper_median(votes: DataFrame, keys: list[str], risk: str, out: str) -> DataFrame:
@@ -69,20 +59,32 @@ def consensus(votes: DataFrame, keys: list[str], ordinal: list[Column], flag: st
     the votes go to the earliest value).
     A missing flag counts as false, a missing risk as 0.0 and a missing fix
     as '' in the fix vote but as its own value in the confidence.
+
+    Three pipelines over the votes, each one shuffle of pre-aggregated rows:
+    (group, cwe) counts give the vote count, the flag share, the CWE
+    plurality and the CWE top share; (group, fix) counts give the fix
+    plurality (null and '' merged) and the fix top share; (group, risk)
+    counts give the upper median.
     """
     ordv = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(ordinal)])
+    names = [f"o{i}" for i in range(len(ordinal))]
     v = votes.select(*keys, ordv.alias("_ord"), flag, cwe, risk, fix)
-    base = v.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast("bigint").alias("n_votes"),
-        (F.avg(F.coalesce(F.col(flag), F.lit(False)).cast("int")) >= F.lit(AGREEMENT_THRESHOLD)).alias("is_vulnerability"),
-    )
-    cw = _plurality(v, keys, cwe, True, "cwe")
-    fx = _plurality(v.withColumn(fix, F.coalesce(F.col(fix), F.lit(""))), keys, fix, False, "fix_code")
+    flag_int = F.coalesce(F.col(flag), F.lit(False)).cast("int")
+    cc = v.groupBy(*keys, cwe).agg(F.count(F.lit(1)).alias("_n"), F.min("_ord").alias("_first"),
+                                   F.sum(flag_int).alias("_pos"))
+    real = F.col(cwe).isNotNull() & (F.col(cwe) != "")
+    base = cc.groupBy(*keys).agg(
+        F.sum("_n").cast("bigint").alias("n_votes"),
+        (F.sum("_pos") / F.sum("_n") >= F.lit(AGREEMENT_THRESHOLD)).alias("is_vulnerability"),
+        F.max_by(F.col(cwe), F.when(real, _rank("_first", names))).alias("cwe"),
+        F.max("_n").alias("_top_cwe"))
+    fc = v.groupBy(*keys, fix).agg(F.count(F.lit(1)).alias("_n"), F.min("_ord").alias("_first"))
+    fn = (fc.groupBy(*keys, F.coalesce(F.col(fix), F.lit("")).alias("_f"))
+          .agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first"), F.max("_n").alias("_raw_top")))
+    fx = fn.groupBy(*keys).agg(F.max_by(F.col("_f"), _rank("_first", names)).alias("fix_code"),
+                               F.max("_raw_top").alias("_top_fix"))
     med = _upper_median(v, keys, risk, "risk_level")
-    c_cwe = _top_share(v, keys, cwe, "_top_cwe")
-    c_fix = _top_share(v, keys, fix, "_top_fix")
-    out = (base.join(cw, keys, "left").join(fx, keys, "left").join(med, keys, "left")
-           .join(c_cwe, keys, "left").join(c_fix, keys, "left"))
+    out = base.join(fx, keys, "left").join(med, keys, "left")
     conf = F.least(F.col("_top_cwe"), F.col("_top_fix")) / F.col("n_votes")
     return out.select(*keys, "n_votes", "is_vulnerability", "cwe", "risk_level", "fix_code",
                       F.round(conf, 6).alias("confidence"))
