@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.lines import lines_l1, normalize_text, py_strip
+from ..functions.lines import lines_l1, py_strip
 
 LONG_LINE = 40
 
@@ -180,4 +180,4 @@ def compare_snapshots(old_items: DataFrame, new_items: DataFrame, keys: list[str
 
 
 __all__ = ["near_copy_pairs", "diff_stats", "commit_view", "incident", "commit_view_udf", "incident_udf",
-           "html_report", "compare_snapshots", "normalize_text"]
+           "html_report", "compare_snapshots"]

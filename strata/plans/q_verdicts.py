@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.dims import RISK_LABELS, SEVERITY_SCORE
+from ..functions.dims import RISK_LABELS
 from ..functions.lines import explode_rows, lines_l2, py_strip
 from ..operators import rules as R
 from ..operators import verdicts as V

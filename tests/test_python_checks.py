@@ -3,7 +3,6 @@
 import difflib
 
 import pyarrow.parquet as pq
-from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from strata.operators.splitter import split_offsets
