@@ -297,3 +297,33 @@ def test_knn_query_chunks_equal_single_chunk(spark):
     grp = {tuple(r) for r in knn_exact(e, "vec_id", "embedding", 2, group_col="label", chunk_rows=50).collect()}
     labels = dict((r.vec_id, r.label) for r in e.select("vec_id", "label").collect())
     assert all(labels[q] == labels[n] for q, _, n, _ in grp)
+
+
+def test_blocked_scans_carry_across_blocks(spark):
+    """Tiny blocks force every carry path of the blocked helpers."""
+    from pyspark.sql import Window
+
+    from strata.operators.ordered import asof_first, asof_last, blocked_running_sum
+    rows = [(g, o, (o * 7 + g) % 5) for g in (1, 2) for o in range(23)]
+    df = spark.createDataFrame(rows, "g long, o long, v long")
+    got = blocked_running_sum(df, ["g"], ["o"], F.col("v"), F.floor(F.col("o") / 2), "rs")
+    want = df.withColumn("rs", F.sum("v").over(Window.partitionBy("g").orderBy("o")))
+    assert sorted(map(tuple, got.select("g", "o", "rs").collect())) == sorted(map(tuple, want.select("g", "o", "rs").collect()))
+    ev = spark.createDataFrame([(1, t, t) for t in (3, 4, 10, 11, 30)], "g long, t long, id long")
+    pr = spark.createDataFrame([(1, t, 100 + t) for t in (0, 4, 5, 12, 31)], "g long, t long, src long")
+    nxt = {r.src: r.nxt for r in asof_first(ev, pr, ["g"], 2).collect()}
+    assert nxt == {100: 3, 104: 4, 105: 10, 112: 30, 131: None}
+    marks = spark.createDataFrame([(1, o, o, o // 3) for o in (2, 9)], "g long, o long, id long, b long")
+    probes = spark.createDataFrame([(1, o, 200 + o, o // 3) for o in (1, 2, 5, 9, 14)], "g long, o long, src long, b long")
+    prev = {r.src: r.prev for r in asof_last(marks, probes, ["g"], "b").collect()}
+    assert prev == {201: None, 202: 2, 205: 2, 209: 9, 214: 9}
+
+
+def test_pack_parallel_small_blocks(spark):
+    lengths = [0, 0, 30, 1, 5, 5, 5, 0, 12, 0, 3, 25, 0, 0, 7, 9, 9, 9, 1]
+    df = spark.createDataFrame([(1, i, "y" * n) for i, n in enumerate(lengths)], "g long, o long, text string")
+    fold = sorted(tuple(r) for r in C.pack_groups(df, ["g"], "o", "text", max_chars=20).collect())
+    par = sorted(tuple(r) for r in C.pack_groups_parallel(df, ["g"], "o", "text", max_chars=20, block=3)
+                 .select("g", "batch_no", F.col("first_ord").cast("bigint"), F.col("last_ord").cast("bigint"),
+                         "n_pieces", "text").collect())
+    assert fold == par
