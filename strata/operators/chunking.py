@@ -416,9 +416,16 @@ def pack_groups_parallel(pieces: DataFrame, keys: list[str], ord_col: str, text:
                       keys, "_blk")
     assigned = (p.join(owner.withColumnRenamed("src", "id"), "id")
                 .join(st.select(F.col("id").alias("prev"), (F.col("_rank") - 1).cast("int").alias("batch_no")), "prev"))
-    b = assigned.groupBy(*keys, "batch_no").agg(
+    stats = assigned.groupBy(*keys, "batch_no").agg(
         F.min("o").alias("first_ord"), F.max("o").alias("last_ord"), F.count(F.lit(1)).cast("int").alias("n_pieces"),
-        F.array_sort(F.collect_list(F.struct("o", "text"))).alias("_parts"))
+        F.min(F.when(F.col("l") > 0, F.col("o"))).alias("_first_ne"))
+    # leading empty pieces add neither text nor a delimiter; leaving them out
+    # bounds what is collected per batch (every other piece adds >= 9 chars)
+    kept = (assigned.join(stats.select(*keys, "batch_no", "_first_ne"), [*keys, "batch_no"])
+            .filter(F.col("o") >= F.col("_first_ne")))
+    parts = kept.groupBy(*keys, "batch_no").agg(F.array_sort(F.collect_list(F.struct("o", "text"))).alias("_parts"))
     body = F.aggregate(F.transform("_parts", lambda x: x["text"]), F.lit(""),
                        lambda acc, t: F.when(acc == "", t).otherwise(F.concat(acc, F.lit(delimiter), t)))
-    return b.select(*keys, "batch_no", "first_ord", "last_ord", "n_pieces", body.alias("text"))
+    b = stats.join(parts, [*keys, "batch_no"], "left")
+    return b.select(*keys, "batch_no", "first_ord", "last_ord", "n_pieces",
+                    F.coalesce(body, F.lit("")).alias("text"))
