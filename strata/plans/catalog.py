@@ -8,6 +8,7 @@ joins) rather than derived from the Spark plan.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
@@ -19,7 +20,13 @@ def query(name: str, oracle: str | None = None, kind: str | None = None):
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            from ..session import ship_package
+            ship_package(spark)
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
         KIND[name] = kind or ("S" if oracle is not None else "P")

@@ -26,6 +26,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -51,3 +52,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for a written table."""
     base = checkpoint_dir(spark)
     return os.path.join(base, f"strata-{name}-{uuid.uuid4().hex}")
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``strata`` importable in the Python workers (pandas/Arrow
+    functions, the stateful stream, the data source): zip the package once
+    per process and hand it to ``addPyFile``, which distributes it to every
+    executor. No-op without a SparkContext (e.g. a Connect session)."""
+    try:
+        sc = spark.sparkContext
+    except Exception:
+        return
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+
+    import strata
+    pkg = os.path.dirname(os.path.abspath(strata.__file__))
+    root = os.path.dirname(pkg)
+    fd, path = tempfile.mkstemp(prefix="strata-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)

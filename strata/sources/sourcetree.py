@@ -91,6 +91,8 @@ class SourceTreeDataSource(DataSource):
 
 
 def register(spark) -> None:
+    from ..session import ship_package
+    ship_package(spark)
     spark.dataSource.register(SourceTreeDataSource)
 
 
