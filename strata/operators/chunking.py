@@ -199,9 +199,12 @@ def block_chunks(df: DataFrame, keys: list[str], text: str, lang: str) -> DataFr
     base = df.select(*keys, F.col(lang).alias("_lang"), F.col(text).alias("_text"))
     lines = base.select(*keys, "_lang", F.posexplode(lines_l2("_text")).alias("_pos", "_line"))
     blank = py_strip(F.col("_line")) == ""
-    masked = F.regexp_replace(F.col("_line"), MASK_RE, "")
-    delta = (F.length(masked) - F.length(F.regexp_replace(masked, r"\{", ""))
-             - (F.length(masked) - F.length(F.regexp_replace(masked, r"\}", ""))))
+    # only lines with a quote or a slash can hold a string or a comment
+    line = F.col("_line")
+    masked = F.when(line.rlike("[\"'/]"), F.regexp_replace(line, MASK_RE, "")).otherwise(line)
+    brace_delta = (F.length(masked) - F.length(F.replace(masked, F.lit("{"), F.lit("")))
+                   - (F.length(masked) - F.length(F.replace(masked, F.lit("}"), F.lit("")))))
+    delta = F.when(F.col("_lang").isin(*INDENT_LANGS), F.lit(0)).otherwise(brace_delta)
     w = Window.partitionBy(*keys).orderBy("_pos")
     before = Window.partitionBy(*keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
     prev = F.lag("_line").over(w)
