@@ -42,3 +42,12 @@ def test_votes_use_partial_aggregation(spark, catalog):
     """Consensus never collects a group: only mergeable aggregates below the exchanges."""
     plan = _plan(catalog.QUERIES["consensus"](spark, SF_SMALL))
     assert "collect_list" not in plan and "partial_" in plan
+
+
+def test_no_cross_joins(spark, catalog):
+    """No query plans a cartesian product or a nested-loop join."""
+    for name in sorted(catalog.QUERIES):
+        if name == "ttl_dedupe_stream":  # runs a stream while building; its result is a plain scan
+            continue
+        plan = _plan(catalog.QUERIES[name](spark, SF_SMALL))
+        assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
