@@ -189,31 +189,50 @@ def _kind_of(lang: Column, first: Column) -> Column:
 def block_chunks(df: DataFrame, keys: list[str], text: str, lang: str) -> DataFrame:
     """Outermost definition blocks without a parser (see SURVEY N2).
 
-    Brace languages: a line at brace depth 0 starts a block when the line
-    before it is the first/blank, a preprocessor line, or ends a statement
-    (``;``) or a block (``}``). Python: a non-blank line with indent 0.
-    Blocks run to their last non-blank line; a block is kept when its first
-    line matches a kind of its language. Files without any block fall back
-    to C2. Output columns as ``explode_chunks``.
+    Comments are not code: strings and same-line comments are masked, and a
+    running balance of ``/*`` and ``*/`` marks lines inside block comments
+    (``#`` lines in Python). Brace languages: a code line at brace depth 0
+    starts a block when it is the first code line, follows a blank line, or
+    the previous *code* line is a preprocessor line or ends a statement
+    (``;``) or a block (``}``). Python: a code line with indent 0. Blocks run
+    to their last code line; a block is kept when its first line matches a
+    kind of its language. Files without any block fall back to C2. Output
+    columns as ``explode_chunks``.
     """
     base = df.select(*keys, F.col(lang).alias("_lang"), F.col(text).alias("_text"))
     lines = base.select(*keys, "_lang", F.posexplode(lines_l2("_text")).alias("_pos", "_line"))
-    blank = py_strip(F.col("_line")) == ""
     # only lines with a quote or a slash can hold a string or a comment
     line = F.col("_line")
-    masked = F.when(line.rlike("[\"'/]"), F.regexp_replace(line, MASK_RE, "")).otherwise(line)
-    brace_delta = (F.length(masked) - F.length(F.replace(masked, F.lit("{"), F.lit("")))
-                   - (F.length(masked) - F.length(F.replace(masked, F.lit("}"), F.lit("")))))
-    delta = F.when(F.col("_lang").isin(*INDENT_LANGS), F.lit(0)).otherwise(brace_delta)
+    indent_lang = F.col("_lang").isin(*INDENT_LANGS)
+    lines = lines.withColumn("_m", F.when(line.rlike("[\"'/]"), F.regexp_replace(line, MASK_RE, "")).otherwise(line))
+    m = F.col("_m")
+    opens = F.when(indent_lang, F.lit(0)).otherwise((F.length(m) - F.length(F.replace(m, F.lit("/*"), F.lit("")))) / 2)
+    closes = F.when(indent_lang, F.lit(0)).otherwise((F.length(m) - F.length(F.replace(m, F.lit("*/"), F.lit("")))) / 2)
     w = Window.partitionBy(*keys).orderBy("_pos")
     before = Window.partitionBy(*keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    # inside a block comment at the start of the line: running balance of /* and */
+    lines = (lines.withColumn("_open", opens.cast("int")).withColumn("_close", closes.cast("int"))
+             .withColumn("_inb", F.coalesce(F.sum(F.col("_open") - F.col("_close")).over(before), F.lit(0)) > 0))
+    code = (F.when(indent_lang, F.when(py_strip(line).startswith("#"), F.lit("")).otherwise(line))
+            .when(F.col("_inb"), F.when(F.col("_close") > 0, F.regexp_extract(m, r"^.*\*/(.*)$", 1)).otherwise(F.lit("")))
+            .when(F.col("_open") > 0, F.regexp_extract(m, r"^(.*?)/\*", 1))
+            .otherwise(m))
+    lines = lines.withColumn("_code", py_strip(code))
+    is_code = F.col("_code") != ""
+    c = F.col("_code")
+    delta = F.when(indent_lang, F.lit(0)).otherwise(
+        (F.length(c) - F.length(F.replace(c, F.lit("{"), F.lit(""))))
+        - (F.length(c) - F.length(F.replace(c, F.lit("}"), F.lit("")))))
     prev = F.lag("_line").over(w)
-    prev_s = py_strip(prev)
-    brace_start = (~blank) & (F.coalesce(F.sum(delta).over(before), F.lit(0)) <= 0) & (
-        prev.isNull() | (prev_s == "") | prev_s.startswith("#") | prev_s.endswith(";") | prev_s.endswith("}"))
-    indent_start = (~blank) & (indent_of(F.col("_line")) == 0)
-    is_start = F.when(F.col("_lang").isin(*INDENT_LANGS), indent_start).otherwise(brace_start)
-    seg = lines.withColumn("_seg", F.sum(is_start.cast("int")).over(w)).withColumn("_blank", blank)
+    prev_code = F.last(F.when(is_code, c), ignorenulls=True).over(before)
+    brace_start = is_code & (F.coalesce(F.sum(delta).over(before), F.lit(0)) <= 0) & (
+        prev.isNull() | (py_strip(prev) == "") | prev_code.isNull() | prev_code.startswith("#")
+        | prev_code.endswith(";") | prev_code.endswith("}"))
+    indent_start = is_code & (indent_of(line) == 0)
+    is_start = F.when(indent_lang, indent_start).otherwise(brace_start)
+    # "_blank": not code (blank, comment-only or inside a block comment)
+    seg = (lines.withColumn("_seg", F.sum(is_start.cast("int")).over(w)).withColumn("_blank", ~is_code)
+           .select(*keys, "_lang", "_pos", "_line", "_seg", "_blank"))
     # one row per segment (same partitioning as the window: no new exchange)
     segs = (seg.groupBy(*keys, "_lang", "_seg").agg(
         F.array_sort(F.collect_list(F.struct("_pos", "_line", "_blank"))).alias("_ls"))

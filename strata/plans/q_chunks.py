@@ -97,13 +97,19 @@ def blocks_sql(files_cte: str) -> str:
     return f"""{files_cte},
 b1 AS (SELECT file_id, lang, unnest(string_split(code, chr(10))) AS line,
               generate_subscripts(string_split(code, chr(10)), 1) - 1 AS pos FROM files),
-b2 AS (SELECT *, {pystrip('line')} = '' AS blank, regexp_replace(line, {mask}, '', 'g') AS m FROM b1),
-b3 AS (SELECT *, (length(m) - length(replace(m, '{{', ''))) - (length(m) - length(replace(m, '}}', ''))) AS delta FROM b2),
+b2 AS (SELECT *, CASE WHEN regexp_matches(line, '["''/]') THEN regexp_replace(line, {mask}, '', 'g') ELSE line END AS m FROM b1),
+b2a AS (SELECT *, CASE WHEN lang = 'python' THEN 0 ELSE (length(m) - length(replace(m, '/*', ''))) // 2 END AS op,
+               CASE WHEN lang = 'python' THEN 0 ELSE (length(m) - length(replace(m, '*/', ''))) // 2 END AS cl FROM b2),
+b2b AS (SELECT *, coalesce(sum(op - cl) OVER (PARTITION BY file_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS inb FROM b2a),
+b2c AS (SELECT *, {pystrip("CASE WHEN lang = 'python' THEN CASE WHEN starts_with(" + pystrip('line') + ", '#') THEN '' ELSE line END WHEN inb THEN CASE WHEN cl > 0 THEN regexp_extract(m, '^.*\\*/(.*)$', 1) ELSE '' END WHEN op > 0 THEN regexp_extract(m, '^(.*?)/\\*', 1) ELSE m END")} AS code FROM b2b),
+b3 AS (SELECT *, code = '' AS blank,
+              CASE WHEN lang = 'python' THEN 0 ELSE (length(code) - length(replace(code, '{{', ''))) - (length(code) - length(replace(code, '}}', ''))) END AS delta FROM b2c),
 b4 AS (SELECT *, coalesce(sum(delta) OVER (PARTITION BY file_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth,
               {pystrip('lag(line) OVER (PARTITION BY file_id ORDER BY pos)')} AS ps,
-              lag(line) OVER (PARTITION BY file_id ORDER BY pos) IS NULL AS first_line FROM b3),
+              lag(line) OVER (PARTITION BY file_id ORDER BY pos) IS NULL AS first_line,
+              last_value(CASE WHEN code <> '' THEN code END IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pc FROM b3),
 b5 AS (SELECT *, CASE WHEN lang = 'python' THEN NOT blank AND length(line) - length({pylstrip('line')}) = 0
-                 ELSE NOT blank AND depth <= 0 AND (first_line OR ps = '' OR starts_with(ps, '#') OR ends_with(ps, ';') OR ends_with(ps, '}}')) END AS st FROM b4),
+                 ELSE NOT blank AND depth <= 0 AND (first_line OR ps = '' OR pc IS NULL OR starts_with(pc, '#') OR ends_with(pc, ';') OR ends_with(pc, '}}')) END AS st FROM b4),
 bg AS (SELECT *, sum(CAST(st AS INTEGER)) OVER (PARTITION BY file_id ORDER BY pos) AS seg FROM b5),
 bb AS (SELECT file_id, lang, seg, min(pos) FILTER (WHERE NOT blank) AS first, max(pos) FILTER (WHERE NOT blank) AS last
        FROM bg WHERE seg > 0 GROUP BY file_id, lang, seg),

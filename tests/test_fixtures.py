@@ -327,3 +327,52 @@ def test_pack_parallel_small_blocks(spark):
                  .select("g", "batch_no", F.col("first_ord").cast("bigint"), F.col("last_ord").cast("bigint"),
                          "n_pieces", "text").collect())
     assert fold == par
+
+
+C_SRC = """/* header comment
+ * with { braces }
+ */
+#include <stdio.h>
+
+int a(int x) {
+    return x; /* trailing { */
+}
+/* between */
+int b(void)
+{
+    // { not counted
+    char *s = "}";
+    return 0;
+}
+// trailing comment
+struct S { int v; };
+"""
+
+PY_SRC = """import os
+# comment at col 0
+
+def f(x):
+    y = 1
+# odd comment inside
+    return y
+
+class C:
+    pass
+"""
+
+
+def test_definition_blocks_with_comments(spark):
+    import duckdb
+
+    from strata.plans.q_chunks import blocks_sql
+    files = [(1, "c", C_SRC), (2, "python", PY_SRC)]
+    df = spark.createDataFrame(files, "file_id long, lang string, code string")
+    got = sorted((r.file_id, r.start_line, r.end_line, r.kind)
+                 for r in C.block_chunks(df, ["file_id"], "code", "lang").collect())
+    assert got == [(1, 6, 8, "function_definition"), (1, 10, 15, "function_definition"),
+                   (1, 17, 17, "struct_specifier"), (2, 4, 7, "function_definition"), (2, 9, 10, "class_definition")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE src(file_id BIGINT, lang VARCHAR, code VARCHAR)")
+    con.executemany("INSERT INTO src VALUES (?, ?, ?)", files)
+    sql = "WITH " + blocks_sql("files AS (SELECT * FROM src)") + " SELECT file_id, start_line, end_line, kind FROM blk"
+    assert sorted(tuple(r) for r in con.execute(sql).fetchall()) == got
