@@ -11,8 +11,8 @@ Physical layout:
   the per-file row chooses between its blocks and the C2 fallback in-row.
   A file is bounded, so a window partition is bounded.
 * C1b (contained ranges) runs over a *group* (e.g. a user) that may be
-  hot; it uses a two-level running max: per (group, day) partitions plus a
-  carried-in maximum from the earlier days of the group.
+  hot; it uses a two-level running max: per (group, time bucket) partitions
+  plus a carried-in maximum from the earlier buckets of the group.
 * C5 (packing) folds the ordered pieces of one file/conversation.
 """
 

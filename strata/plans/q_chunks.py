@@ -183,7 +183,8 @@ def q_drop_contained_ranges(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select(
         "user_id", "event_id", F.col("ts").alias("s"),
         F.timestamp_add("MICROSECOND", F.floor(F.col("value") * 3600000000).cast("bigint"), F.col("ts")).alias("e"))
-    kept = C.drop_contained(ev, ["user_id"], "s", "e", "event_id", F.to_date("s"))
+    # hour buckets: a burst of one user inside a day is still split over tasks
+    kept = C.drop_contained(ev, ["user_id"], "s", "e", "event_id", F.date_trunc("HOUR", "s"))
     fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     return kept.select("user_id", "event_id", F.date_format("s", fmt).alias("start_ts"), F.date_format("e", fmt).alias("end_ts"))
 
