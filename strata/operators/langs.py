@@ -58,6 +58,8 @@ def guess_lang(tokens, markers=LANG_MARKERS) -> Column:
     by_lang: dict[str, list[str]] = {}
     for lang, tok in markers:
         by_lang.setdefault(lang, []).append(tok)
+    # one pass keeps only marker words; the per-language counts then scan that short array
+    tokens = F.filter(tokens, _member_of(sorted({t for _, t in markers})))
     scored = [
         F.struct(
             (-F.size(F.filter(tokens, _member_of(toks)))).alias("neg"),
