@@ -54,9 +54,9 @@ tests AS (
     sum(CASE WHEN quality = 0 AND coalesce(ratios[rule], 0) > cutoff THEN 1 ELSE 0 END) AS caught
   FROM m JOIN labels USING (doc_id), range(1, 7) AS x(rule), cuts WHERE quality IN (0, 1) GROUP BY ALL),
 tails AS (
-  SELECT stratum, rule, cutoff, sum(exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln(0.02 / 6) + (n_good - i) * ln(1 - 0.02 / 6))) AS tail,
-    any_value(caught) AS caught
-  FROM (SELECT *, unnest(range(0, CAST(lost AS BIGINT) + 1)) AS i FROM tests WHERE n_good > 0 AND lost < 0.02 / 6 * n_good) GROUP BY ALL),
+  SELECT stratum, rule, cutoff, sum(exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln(0.05 / 6) + (n_good - i) * ln(1 - 0.05 / 6))) AS tail,
+    any_value(caught) - 20 * any_value(lost) AS caught
+  FROM (SELECT *, unnest(range(0, CAST(lost AS BIGINT) + 1)) AS i FROM tests WHERE n_good > 0 AND lost < 0.05 / 6 * n_good) GROUP BY ALL),
 used AS (
   SELECT stratum, rule, max(cutoff) AS cutoff FROM tails
   WHERE tail <= 0.05 / (SELECT count(*) FROM tests) AND caught > 0

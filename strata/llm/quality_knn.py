@@ -1,6 +1,7 @@
 """Quality scores by votes of the nearest labelled documents in a latent-semantic space.
 
-Features are hashed pairs of bytes, weighted by the square root of their number and
+Features are hashed pairs of bytes and a few kinds of words (repeated, upper case,
+with symbols, lines seen before), weighted by the square root of their number and
 by inverse document frequency over all documents. A truncated singular value
 decomposition of labelled documents gives the latent space. The labelled vectors
 are broadcast; every document's cosine with every one of them is computed exactly,
@@ -19,7 +20,9 @@ they come; other columns play no part.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import mix64, prepare, text_blocks, unit_hash
 
-FEATURES = 1024
+PAIRS = 1024
+FEATURES = PAIRS + 5
+SYMBOL = re.compile(r"[#*$%&|<>{}!=_~^]")
 #: Pair of bytes -> feature.
-_HASHED = (mix64(np.arange(1 << 16, dtype=np.uint64) + np.uint64(77)) % np.uint64(FEATURES)).astype(np.int16)
+_HASHED = (mix64(np.arange(1 << 16, dtype=np.uint64) + np.uint64(77)) % np.uint64(PAIRS)).astype(np.int16)
 STEP = 1 << 20
 
 
@@ -40,7 +45,11 @@ def counts(text: str) -> np.ndarray:
     out = np.zeros(FEATURES, dtype=np.int64)
     for lo in range(0, max(len(raw) - 1, 0), STEP):
         part = raw[lo:lo + STEP + 1].astype(np.uint16)
-        out += np.bincount(_HASHED[(part[:-1] << 8) | part[1:]], minlength=FEATURES)
+        out[:PAIRS] += np.bincount(_HASHED[(part[:-1] << 8) | part[1:]], minlength=PAIRS)
+    words = text.split()
+    lines = [x for x in text.split("\n") if x.strip()]
+    out[PAIRS:] = (sum(map(eq, words, words[1:])), sum(map(str.isupper, words)), len(SYMBOL.findall(text)),
+                   sum(map(str.isdigit, words)), len(lines) - len(set(lines)))
     return out
 
 

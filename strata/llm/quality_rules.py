@@ -7,8 +7,8 @@ is at most ``risk / rules`` with certainty: the exact binomial (Clopper-Pearson)
 upper bound at level ``error / tests``, where ``tests`` counts all strata, rules and
 cutoffs (Bonferroni). So with probability 1 - ``error`` all admitted cutoffs keep
 their promise together, and a stratum loses at most ``risk`` of its good documents to all
-rules. Of the admitted cutoffs, the one that rejects the most bad documents is
-used, the highest such. Where the labels are too few to admit any, the rule is off.
+rules. Of the admitted cutoffs, the one that rejects the most bad documents, less
+``PRICE`` for each good one, is used, the highest such. Where the labels are too few to admit any, the rule is off.
 
 Words are runs of characters other than ASCII white space.
 
@@ -40,6 +40,7 @@ RATIOS = {
     "bangs": "n_bangs / n_words",
     "word_length": "word_chars / n_words / 20",
 }
+PRICE = 20
 CUTOFFS = [0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0, 1.5, 2.0]
 
 
@@ -106,7 +107,7 @@ def binomial_below(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(F.filter(F.sequence(F.lit(0).cast("bigint"), k), lambda i: i > 0), start, add, lambda acc: acc["sum"])
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.02, error: float = 0.05) -> DataFrame:
+def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05) -> DataFrame:
     """stratum, rule, cutoff: the admitted cutoffs in use. labels: doc_id, label (1 is good)."""
     grid = F.array(*[F.lit(c) for c in CUTOFFS])
     known = measured.join(labels.where("label in (0, 1)"), "doc_id")
@@ -127,8 +128,9 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.02, error: f
     share = risk / len(RATIOS)
     level = error / max(1, tests.count())
     admitted = tests.where(F.when(F.col("lost") < share * F.col("n_good"), binomial_below(F.col("lost"), F.col("n_good"), share) <= level).otherwise(False))
-    best = F.max(F.struct("caught", "cutoff"))
-    return admitted.where("caught > 0").groupBy("stratum", "rule").agg(best.alias("b")).select("stratum", "rule", F.col("b.cutoff").alias("cutoff"))
+    gain = F.col("caught") - PRICE * F.col("lost")
+    best = F.max(F.struct(gain, "cutoff"))
+    return admitted.where(gain > 0).groupBy("stratum", "rule").agg(best.alias("b")).select("stratum", "rule", F.col("b.cutoff").alias("cutoff"))
 
 
 def _ratios() -> dict[str, str]:
@@ -136,7 +138,7 @@ def _ratios() -> dict[str, str]:
     return {r: (e if e.count("/") == 1 else "{} / ({} * {})".format(*e.split(" / "))) for r, e in RATIOS.items()}
 
 
-def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, error: float = 0.05) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05) -> DataFrame:
     """doc_id, the counts, base_failed, rejected_by (names of rules) and kept for every row of ``docs`` (doc_id, lang, text)."""
     measured = written(counts(docs), "rule-counts")
     used = written(cutoffs(measured, labels, risk, error), "rule-cutoffs")
