@@ -87,6 +87,6 @@ def judge(pages: DataFrame, entries: DataFrame, keys_per_block: int = 4) -> Data
     best = written(hits.groupBy("host", "path").agg(
         F.max(F.when(~F.col("listed"), F.struct(F.length("rule").alias("n"), "rule", "said"))).alias("best"),
         F.bool_or("listed").alias("listed")), "url-best")
-    return (rows.join(best, ["host", "path"], "left")
+    return (rows.join(best.hint("merge"), ["host", "path"], "left")
             .select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("listed", F.lit(False)).alias("listed"),
                     F.coalesce("best.said", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict")))
