@@ -18,13 +18,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import prepare, text_blocks
-from .pieces import PieceEncoder
+from .pieces import BYTE_LEVEL, PieceEncoder
 
 #: How ids are stored.
 IDS = "<u4"
@@ -68,6 +69,8 @@ class RankQueue:
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
+        if pattern != BYTE_LEVEL:
+            raise ValueError("only the byte-level split pattern is known to allow cutting texts into pieces")
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.queue = RankQueue(max(ranks.values()) + 1)
@@ -75,8 +78,9 @@ class Codec:
                                   regex.compile(pattern).findall)
 
     @classmethod
+    @lru_cache(maxsize=1)
     def from_file(cls, data: bytes, pattern: str) -> Codec:
-        """data: lines of a base64 token and its rank."""
+        """data: lines of a base64 token and its rank. One codec per worker process."""
         return cls({base64.b64decode(a): int(b) for a, b in (x.split() for x in data.splitlines() if x.strip())}, pattern)
 
     def merge(self, pretokens: list[bytes]) -> list[list[int]]:

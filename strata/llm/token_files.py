@@ -22,6 +22,7 @@ import os
 import struct
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .common import mix64, prepare, text_blocks
-from .pieces import PieceEncoder
+from .pieces import BYTE_LEVEL, PieceEncoder
 
 MAGIC = b"STRATAID"
 HEADER = struct.Struct("<8sHHI")
@@ -159,12 +160,16 @@ class Shard:
 
 # ---------------------------------------------------------------- Spark
 
-#: How byte-level vocabularies split texts; other vocabularies need their own.
-SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+def byte_characters() -> str:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it's visible, else one from U+0100 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return "".join(chr(b if b in visible else 0x100 + hidden.index(b)) for b in range(256))
 
 
+@lru_cache(maxsize=1)
 def library_encoder(vocabulary: bytes, width: int) -> PieceEncoder:
-    """Encodes with the tokenizers library; special tokens' strings are ordinary text."""
+    """Encodes with the tokenizers library; special tokens' strings are ordinary text. One per worker process."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     import regex
     from tokenizers import Tokenizer
@@ -172,9 +177,17 @@ def library_encoder(vocabulary: bytes, width: int) -> PieceEncoder:
     tok.encode_special_tokens = True
     kind = f"<u{width}"
 
-    def encode(texts):
+    def whole(texts):
         return [np.array(e.ids, dtype=kind).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-    return PieceEncoder(encode, regex.compile(SPLIT).findall, encode)
+
+    # the library's model alone takes a pre-token's bytes as characters; that saves its work per text on offsets
+    spelled = {i: ord(c) for i, c in enumerate(byte_characters())}
+    model = tok.model
+
+    def encode(tokens):
+        return [np.array([x.id for x in model.tokenize(t.encode("utf-8", "replace").decode("latin-1").translate(spelled))], dtype=kind).tobytes()
+                for t in tokens]
+    return PieceEncoder(encode, regex.compile(BYTE_LEVEL).findall, whole)
 
 
 def _encode(shared, bounds, end_id, width):
