@@ -11,6 +11,7 @@ pieces, and pre-tokens of the rarer kinds, over its tasks, in bounded memory, so
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable
 
@@ -54,6 +55,7 @@ class PieceEncoder:
         texts that can't be cut (by default those of their pre-tokens)."""
         self.encode, self.split, self.whole = encode, split, whole or self._of_tokens
         self.first, self.rest, self.tokens = Recent(tokens), Recent(limit), Recent(tokens)
+        gc.set_threshold(200_000, 20, 20)  # many small strings and no cycles: looking for garbage often is wasted
         self.ends = dict(zip(".,", encode([".", ","])))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
