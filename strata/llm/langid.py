@@ -268,7 +268,7 @@ RESULT = "lang_pred string, score double, cross_entropy double, rejected boolean
 
 
 def train(docs: DataFrame, label: str = "lang", usable: Column | None = None, order: int = 4,
-          train_chars: int = 1_200_000, margin: float = 6.0, key: str = "doc_id") -> Model:
+          train_chars: int = 1_200_000, margin: float = 8.0, key: str = "doc_id") -> Model:
     """Fit the models and their limits of rejection.
 
     ``docs`` needs ``text``, ``label`` and ``key``. ``train_chars`` is the documented bound: about so many
@@ -301,7 +301,7 @@ def train(docs: DataFrame, label: str = "lang", usable: Column | None = None, or
     for r in (scored.where("lang_pred = lang").groupBy("lang")
               .agg(F.expr("percentile(cross_entropy, array(0.5, 0.99))").alias("q")).collect()):
         # the sample is too small to see the far tail, so the limit lies well beyond the 99th percentile
-        model.limits[r["lang"]] = r["q"][0] + margin * max(r["q"][1] - r["q"][0], 0.05)
+        model.limits[r["lang"]] = r["q"][0] + margin * max(r["q"][1] - r["q"][0], 0.1)
     return model
 
 

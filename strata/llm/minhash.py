@@ -210,10 +210,9 @@ def _neighbours(batches):
         key, doc = key[-2:], doc[-2:]
 
 
-def star(rows: DataFrame, *centers: str) -> DataFrame:
-    """Edges a < b from the ids in columns ``centers`` to doc_id."""
-    ends = F.array(*[F.struct(F.least(c, "doc_id").alias("a"), F.greatest(c, "doc_id").alias("b")) for c in centers])
-    return rows.select(F.explode(ends).alias("e")).select("e.a", "e.b").where("a < b")
+def star(rows: DataFrame, center: str) -> DataFrame:
+    """Edges a < b from the ids in column ``center`` to doc_id."""
+    return rows.select(F.least(center, "doc_id").alias("a"), F.greatest(center, "doc_id").alias("b")).where("a < b")
 
 
 def candidates(members: DataFrame, tails: DataFrame) -> DataFrame:
@@ -221,7 +220,7 @@ def candidates(members: DataFrame, tails: DataFrame) -> DataFrame:
     order = members.join(tails, "doc_id").select("key", "doc_id", F.element_at("tails", (F.pmod("key", F.lit(TAILS)) + 1).cast("int")).alias("tail"))
     lines = order.repartitionByRange("key", "tail", "doc_id").sortWithinPartitions("key", "tail", "doc_id")
     chain = lines.select("key", "doc_id").mapInArrow(_neighbours, "a bigint, b bigint")
-    return star(members, "low", "high").union(chain).distinct()
+    return star(members, "low").union(star(members, "high")).union(chain).distinct()
 
 
 def again(members: DataFrame, labels: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:

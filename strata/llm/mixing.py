@@ -100,16 +100,14 @@ def plan(docs: DataFrame, weights: dict[str | None, float] | None = None, block_
     return spark.createDataFrame(pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(kinds)}))
 
 
-def slots(docs: DataFrame, planned: DataFrame, source: str = "source", key: str = "doc_id") -> DataFrame:
+def slots(docs: DataFrame, planned: DataFrame, source: str = "source", key: str = "doc_id", prefix: str = "mix_") -> DataFrame:
     """``docs`` with mix_block, mix_slot, mix_release and mix_deadline (columns of these names are replaced)."""
-    names = ["mix_block", "mix_slot", "mix_release", "mix_deadline"]
-    docs = docs.drop(*names, "mix_blocks_")
+    docs = docs.drop(*[prefix + n for n in ("block", "slot", "release", "deadline")])
     total = F.broadcast(planned.select(F.col("source").alias("_s"), F.col("blocks").alias("_n")).distinct())
-    at = F.broadcast(planned.select(F.col("source").alias("_t"), F.col("block").alias("mix_block"), F.col("slot").alias("mix_slot"),
-                                    F.col("release").alias("mix_release"), F.col("deadline").alias("mix_deadline")))
+    at = F.broadcast(planned.select(F.col("source").alias("_t"), *[F.col(n).alias(prefix + n) for n in ("block", "slot", "release", "deadline")]))
     rows = docs.join(total, docs[source].eqNullSafe(F.col("_s"))).drop("_s")
     rows = rows.withColumn("_b", _block(F.col(key), F.col("_n"))).drop("_n")
-    return rows.join(at, rows[source].eqNullSafe(F.col("_t")) & (F.col("_b") == F.col("mix_block"))).drop("_t", "_b")
+    return rows.join(at, rows[source].eqNullSafe(F.col("_t")) & (F.col("_b") == F.col(f"{prefix}block"))).drop("_t", "_b")
 
 
 def _block(key: Column, blocks: Column) -> Column:
@@ -120,7 +118,7 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block
           source: str = "source", key: str = "doc_id") -> DataFrame:
     """``docs`` in the order of the schedule: by slot, and within a block by a hash of the id. One shuffle, by ranges of slots."""
     columns = docs.columns
-    rows = slots(docs, plan(docs, weights, block_rows, max_blocks, source), source, key)
+    rows = slots(docs, plan(docs, weights, block_rows, max_blocks, source), source, key, "_mixing_")
     turn = F.xxhash64(F.col(key), F.lit(11))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(parts, "mix_slot", turn).sortWithinPartitions("mix_slot", turn).select(*columns)
+    return rows.repartitionByRange(parts, "_mixing_slot", turn).sortWithinPartitions("_mixing_slot", turn).select(*columns)
