@@ -183,6 +183,7 @@ def build(counts: dict[str, Counter], order: int) -> Model:
             for g, c in level.items():
                 lower = probs[k - 2][g[1:]] if k > 1 else 1 / symbols
                 probs[k - 1][g] = (c - d) / sums[g[:-1]] + weights[k - 1][g[:-1]] * lower
+        model.limits[lang] = float(np.log(symbols))  # guessing evenly among the known characters explains nothing
         unseen.append(np.log(weights[0].get("", 1.0) / symbols))
         for k in range(order):
             for g, p in probs[k].items():
@@ -275,7 +276,7 @@ def train(docs: DataFrame, label: str = "lang", usable: Column | None = None, or
     characters, shared by the languages, are counted, and about as many calibrate; rows are drawn whole by a
     hash of ``key``. The model's size follows that bound, not the input, so it may be broadcast.
     A text is rejected if its cross-entropy exceeds the median of correctly labelled calibration texts by more
-    than ``margin`` times the distance from there to their 99th percentile, plus 4 / sqrt(characters) nats.
+    than ``margin`` times the distance from there to their 99th percentile, or reaches that of even guessing, plus 4 / sqrt(characters) nats.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -301,7 +302,8 @@ def train(docs: DataFrame, label: str = "lang", usable: Column | None = None, or
     for r in (scored.where("lang_pred = lang").groupBy("lang")
               .agg(F.expr("percentile(cross_entropy, array(0.5, 0.99))").alias("q")).collect()):
         # the sample is too small to see the far tail, so the limit lies well beyond the 99th percentile
-        model.limits[r["lang"]] = r["q"][0] + margin * max(r["q"][1] - r["q"][0], 0.1)
+        limit = r["q"][0] + margin * max(r["q"][1] - r["q"][0], 0.1)
+        model.limits[r["lang"]] = min(model.limits[r["lang"]], limit)
     return model
 
 
