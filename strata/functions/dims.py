@@ -186,6 +186,7 @@ CORPUS_NAME_SUFFIXES = [
     ".py", ".js", ".c", ".h", ".tar.c", ".PY", ".tsx", ".jsx", ".rs", ".go", ".java", ".cpp",
     ".txt", "", ".rb", ".php", ".kt", ".sh", ".min.js", ".sql", ".lua", ".r", ".scala", ".swift",
 ]
+# FIXED VALUES: file extensions that a source scan reads by default (must equal the established list)
 SCAN_EXTENSIONS = [
     ".py", ".js", ".jsx", ".ts", ".tsx", ".java", ".cpp", ".c", ".h", ".go", ".rb", ".php",
     ".html", ".css", ".rs", ".scala", ".kt", ".sh", ".pl", ".r", ".sql", ".lua",

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import diffs as D
 from ..sources.tables import table
 from .catalog import query
-from .q_verdicts import model_verdicts
 from .sqlparts import l1, pystrip
 
 PAIRS_SQL = f"""h AS (SELECT doc_id, sha256(text) AS th, text FROM documents),
@@ -43,34 +42,6 @@ def q_diff_stats(spark, sf_dir):
     return D.diff_stats(_pairs(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def _pair_texts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    p = _pairs(spark, sf_dir).select("id_a", "id_b")
-    return (p.join(docs.withColumnRenamed("doc_id", "id_a").withColumnRenamed("text", "text_a"), "id_a")
-             .join(docs.withColumnRenamed("doc_id", "id_b").withColumnRenamed("text", "text_b"), "id_b"))
-
-
-@query("diff_pairs")
-def q_diff_pairs(spark, sf_dir):
-    d = _pair_texts(spark, sf_dir).withColumn("diff", D.commit_view_udf("text_a", "text_b"))
-    return d.select("id_a", "id_b", F.size(F.split("diff", "\n")).alias("n_diff_lines"),
-                    F.sha2("diff", 256).alias("diff_hash"))
-
-
-@query("diff_report")
-def q_diff_report(spark, sf_dir):
-    d = _pair_texts(spark, sf_dir).withColumn("html", D.html_report(D.commit_view_udf("text_a", "text_b")))
-    return d.select("id_a", "id_b", F.length("html").alias("html_len"), F.sha2("html", 256).alias("html_hash"))
-
-
-@query("incident_diff")
-def q_incident_diff(spark, sf_dir):
-    mv = model_verdicts(spark, sf_dir)
-    rel = F.transform("verdict.vulnerabilityLines", lambda l: l["lineNum"])
-    d = mv.withColumn("diff", D.incident_udf(F.col("code"), F.coalesce("verdict.fixCode", "code"), rel))
-    return d.select("file_id", F.size(F.split("diff", "\n")).alias("n_lines"), F.sha2("diff", 256).alias("diff_hash"))
-
-
 SNAP_SQL = """WITH ev AS (SELECT user_id, ts < TIMESTAMP '2024-01-16 00:00:00' AS is_old,
         CAST(CASE WHEN ts < TIMESTAMP '2024-01-16 00:00:00' THEN day(ts) ELSE day(ts) - 15 END AS INTEGER) AS day_no,
         CAST(hour(ts) AS INTEGER) AS hr, event_type AS item FROM events),

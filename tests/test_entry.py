@@ -19,5 +19,5 @@ def test_entry_contract(spark):
     assert [f.name for f in df1.schema.fields] == ["cwe", "severity_bucket", "n_findings"]
     assert df1.count() > 0
     q, o = m.queries(), m.oracle_sql()
-    assert set(o) <= set(q) and len(q) >= 59
+    assert set(o) <= set(q) and len(q) >= 56
     assert all(callable(f) for f in q.values()) and all(isinstance(s, str) and s for s in o.values())
