@@ -9,11 +9,14 @@
    stars, from its smallest and its largest id to all others, and edges between
    neighbours in the order of further bins, which puts similar documents side by
    side: at most four times as many edges as members, however large the bucket.
-4. Each distinct edge is confirmed on the full shingle sets of both whole texts.
+   An edge goes where sizes and bitmaps of its two sets rule a link out: the bits in
+   which two bitmaps differ are a lower bound of the shingles that only one text has.
+4. The edges of the first star are confirmed on the full shingle sets of both whole
+   texts; then those of the other edges whose ends these links don't join.
 5. Smallest reachable id by label propagation with pointer jumping; every round
-   is written to the shared folder.
-6. Buckets whose members don't all share a component yet give further stars, with
-   other centres, until two rounds in a row find no link.
+   is written to the shared folder. Later links join the components found so far.
+6. Buckets whose members don't all share a component yet give further stars, from four
+   other centres a round, until a round finds no link.
 
 Defined results: words are the runs of characters other than ASCII white space, A-Z in lower
 case; a text with fewer words than a shingle is one shingle of all its words; null
@@ -44,6 +47,8 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 CHUNK = 1 << 20
 TAILS = 4
+#: 64-bit words of the bitmap of a shingle set.
+BITMAP = 8
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -94,6 +99,13 @@ def shingles(text: str, size: int) -> np.ndarray:
     return np.unique(mix64(total))
 
 
+def bitmap(sets: np.ndarray) -> np.ndarray:
+    """A bit for each residue that some hash has."""
+    bits = np.zeros(64 * BITMAP, dtype=np.uint8)
+    bits[(sets % np.uint64(64 * BITMAP)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 class Sketcher:
     """Band keys of shingle sets."""
 
@@ -129,14 +141,14 @@ class Sketcher:
         return mix64((values * _PLACES[:self.rows]).sum(axis=1, dtype=np.uint64) + self.numbers), tails.astype(np.uint64)
 
 
-SKETCH = "doc_id bigint, n_shingles bigint, words binary, bands array<bigint>, tails array<bigint>"
+SKETCH = "doc_id bigint, n_shingles bigint, words binary, bands array<bigint>, tails array<bigint>, bits array<bigint>"
 
 
 def _sketch(size, bands, rows):
     def sketch(batches):
         made = Sketcher(bands, rows)
         for batch, texts in text_blocks(batches):
-            counts, names, keys, tails = [], [], [], []
+            counts, names, keys, tails, bits = [], [], [], [], []
             for t in texts:
                 s = shingles(t, size)
                 counts.append(len(s))
@@ -144,9 +156,10 @@ def _sketch(size, bands, rows):
                 k, tail = made(s) if len(s) else (None, None)
                 keys.append(None if k is None else k.view(np.int64))
                 tails.append(None if k is None else tail.view(np.int64))
+                bits.append(None if k is None else bitmap(s))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
-                 pa.array(tails, pa.list_(pa.int64()))], names=[c.split()[0] for c in SKETCH.split(", ")])
+                 pa.array(tails, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=[c.split()[0] for c in SKETCH.split(", ")])
     return sketch
 
 
@@ -170,8 +183,8 @@ def _confirm(size, percent):
 
 def confirmed(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The rows of ``edges`` (a, b) whose full shingle sets are similar. texts: doc_id, text."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")).join(edges.select(c).distinct(), c, "left_semi")
+                   for c in ("a", "b"))
     return (edges.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "text_a", "text_b")
             .mapInArrow(_confirm(size, percent), "a bigint, b bigint").distinct())
 
@@ -195,46 +208,77 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return now.select(F.col("u").alias("doc_id"), F.col("label").alias("component_id"))
 
 
-def _neighbours(batches):
-    """Edges between rows of one key that follow each other directly or with one row between."""
-    key, doc = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in batches:
-        key = np.concatenate([key, batch.column("key").to_numpy()])
-        doc = np.concatenate([doc, batch.column("doc_id").to_numpy()])
-        old = len(key) - batch.num_rows
-        for step in (1, 2):
-            lo = max(old - step, 0)  # pairs of rows before have been given
-            k0, k1, d0, d1 = key[lo:-step], key[lo + step:], doc[lo:-step], doc[lo + step:]
-            edge = (k0 == k1) & (d0 != d1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(d0, d1)[edge]), pa.array(np.maximum(d0, d1)[edge])], names=["a", "b"])
-        key, doc = key[-2:], doc[-2:]
-
-
-def star(rows: DataFrame, center: str) -> DataFrame:
-    """Edges a < b from the ids in column ``center`` to doc_id."""
-    return rows.select(F.least(center, "doc_id").alias("a"), F.greatest(center, "doc_id").alias("b")).where("a < b")
-
-
-def candidates(members: DataFrame, tails: DataFrame) -> DataFrame:
-    """Distinct edges of the buckets' members (key, doc_id, low, high): two stars each, and neighbours by tail."""
-    order = members.join(tails, "doc_id").select("key", "doc_id", F.element_at("tails", (F.pmod("key", F.lit(TAILS)) + 1).cast("int")).alias("tail"))
-    lines = order.repartitionByRange("key", "tail", "doc_id").sortWithinPartitions("key", "tail", "doc_id")
-    chain = lines.select("key", "doc_id").mapInArrow(_neighbours, "a bigint, b bigint")
-    return star(members, "low").union(star(members, "high")).union(chain).distinct()
-
-
-def again(members: DataFrame, labels: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
-    """The members of buckets with several components, and edges from other centres to members of other components."""
-    rows = members.select("key", "doc_id").join(labels.withColumnRenamed("component_id", "label"), "doc_id", "left")
+def _neighbours(percent):
+    """Edges between rows of one key that follow each other directly or with one row between, if they may link."""
+    def neighbours(batches):
+        rows = [np.zeros(0, np.int64)] * 3 + [np.zeros((0, BITMAP), np.int64)]
+        for batch in batches:
+            new = [batch.column(c).to_numpy() for c in ("key", "doc_id", "size")]
+            new.append(batch.column("bits").flatten().to_numpy().reshape(-1, BITMAP))
+            rows = [np.concatenate([x, y]) for x, y in zip(rows, new)]
+            key, doc, size, bits = rows
+            old = len(key) - batch.num_rows
+            for step in (1, 2):
+                lo = max(old - step, 0)  # pairs of rows before have been given
+                one, two = slice(lo, -step), slice(lo + step, None)
+                apart = np.maximum(np.bitwise_count(bits[one] ^ bits[two]).sum(axis=1, dtype=np.int64), np.abs(size[one] - size[two]))
+                edge = (key[one] == key[two]) & (doc[one] != doc[two]) & ((size[one] + size[two]) * (100 - percent) >= apart * (100 + percent))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[one], doc[two])[edge]), pa.array(np.maximum(doc[one], doc[two])[edge])],
+                                                 names=["a", "b"])
+            rows = [x[-2:] for x in rows]
+    return neighbours
+
+
+def star(rows: DataFrame, center: str, percent: int) -> DataFrame:
+    """Edges a < b from the documents in column ``center`` to those of the rows, if they may link."""
+    c = F.col(center)
+    bits = F.aggregate(F.zip_with("bits", c["bits"], lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    apart = F.greatest(bits.cast("bigint"), F.abs(F.col("size") - c["size"]))
+    near = (F.col("size") + c["size"]) * (100 - percent) >= apart * (100 + percent)
+    return rows.where((F.col("doc_id") != c["doc_id"]) & F.coalesce(near, F.lit(True))).select(
+        F.least(c["doc_id"], "doc_id").alias("a"), F.greatest(c["doc_id"], "doc_id").alias("b"))
+
+
+def candidates(members: DataFrame, percent: int) -> DataFrame:
+    """Further distinct edges of the buckets' members (key, doc_id, size, bits, tail, low, high): a star from the largest
+    id, and neighbours by tail."""
+    lines = members.where("size is not null").select("key", "tail", "doc_id", "size", "bits").repartitionByRange("key", "tail", "doc_id")
+    chain = (lines.sortWithinPartitions("key", "tail", "doc_id").select("key", "doc_id", "size", "bits")
+             .mapInArrow(_neighbours(percent), "a bigint, b bigint"))
+    return star(members, "high", percent).union(chain).distinct()
+
+
+def _ends(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """``edges`` with the components of both ends (label_a, label_b); an id that has none is its own."""
+    for c in ("a", "b"):
+        known = labels.select(F.col("doc_id").alias(c), F.col("component_id").alias("_label"))
+        edges = edges.join(known, c, "left").withColumn(f"label_{c}", F.coalesce("_label", c)).drop("_label")
+    return edges
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (doc_id, component_id) after more ``links`` (a, b): only the components that these touch are walked."""
+    ends = _ends(links, labels).select(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")).where("a < b")
+    roots = components(ends, "near-roots").select(F.col("doc_id").alias("component_id"), F.col("component_id").alias("root"))
+    new = links.select(F.col("a").alias("doc_id")).union(links.select("b"))
+    known = labels.union(new.select("doc_id", "doc_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    return written(known.join(roots, "component_id", "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id")), "near-labels")
+
+
+def again(members: DataFrame, labels: DataFrame, salt: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The members of buckets with several components, and edges from four other centres to members of other components."""
+    rows = members.select("key", "doc_id", "size", "bits").join(labels.withColumnRenamed("component_id", "label"), "doc_id", "left")
     rows = rows.withColumn("label", F.coalesce("label", "doc_id"))
-    turn = F.xxhash64("doc_id", F.lit(salt))
-    centers = written(rows.groupBy("key").agg(
-        F.min("label").alias("l0"), F.max("label").alias("l1"),
-        F.min_by("doc_id", turn).alias("c0"), F.min_by("label", turn).alias("b0"),
-        F.max_by("doc_id", turn).alias("c1"), F.max_by("label", turn).alias("b1")).where("l0 < l1").drop("l0", "l1"), "near-again")
+    me, picks = F.struct("doc_id", "size", "bits", "label"), []
+    for turn in (F.xxhash64("doc_id", F.lit(2 * salt + k)) for k in (0, 1)):
+        picks += [pick(me, turn).alias(f"c{len(picks) + n}") for n, pick in enumerate((F.min_by, F.max_by))]
+    centers = written(rows.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), *picks)
+                      .where("l0 < l1").drop("l0", "l1"), "near-again")
     rows = written(rows.join(centers, "key"), "near-open")
-    edges = star(rows.where("label <> b0"), "c0").union(star(rows.where("label <> b1"), "c1")).distinct()
-    return rows, edges
+    edges = star(rows.where("label <> c0.label"), "c0", percent)
+    for c in ("c1", "c2", "c3"):
+        edges = edges.union(star(rows.where(f"label <> {c}.label"), c, percent))
+    return rows, edges.distinct()
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
@@ -254,26 +298,31 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 32, r
     # one row for each distinct text
     reps = ids.join(folded.select(F.col("rep").alias("doc_id"), "words"), ["doc_id", "words"], "left_semi")
     buckets = written(reps.select(F.explode("bands").alias("key"), "doc_id"), "near-buckets")
-    centers = written(buckets.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high"), "near-centers")
-    members = written(buckets.join(centers, "key"), "near-members")
-    tails = written(sketch.select("doc_id", "tails").join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "near-tails")
-    edges = written(candidates(members, tails), "near-edges")
+    shared = written(buckets.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+                     .where("low < high").select("key"), "near-shared")
+    members = written(buckets.join(shared, "key"), "near-members")
+    one = F.count(F.lit(1)) == 1  # an id of several texts has no size and bitmap, which rules nothing out
+    marks = (reps.join(members.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id")
+             .agg(F.when(one, F.min("n_shingles")).alias("size"), F.when(one, F.first("bits")).alias("bits"), F.first("tails").alias("tails")))
+    tail = F.element_at("tails", (F.pmod("key", F.lit(TAILS)) + 1).cast("int")).alias("tail")
+    members = written(members.join(marks, "doc_id").select("key", "doc_id", "size", "bits", tail), "near-marked")
+    me = F.struct("doc_id", "size", "bits")
+    centers = written(members.groupBy("key").agg(F.min_by(me, "doc_id").alias("low"), F.max_by(me, "doc_id").alias("high")), "near-centers")
+    members = written(members.join(centers, "key"), "near-members")
+    tested = written(star(members, "low", percent).distinct(), "near-edges")
     texts = written(docs.where("text is not null").join(written(members.select("doc_id").distinct(), "near-ends"), "doc_id", "left_semi"), "near-texts")
-    links = written(confirmed(edges, texts, size, percent), "near-links")
-    labels = components(links.union(same))
-    tested, salt, idle = edges, 0, 0
-    while idle < 2:
-        salt += 1
-        members, more = again(members, labels, salt)
-        more = written(more.join(tested, ["a", "b"], "left_anti"), "near-edges")
+    labels = components(written(confirmed(tested, texts, size, percent), "near-links").union(same))
+    apart = _ends(candidates(members, percent).join(tested, ["a", "b"], "left_anti"), labels).where("label_a <> label_b")
+    more, salt = written(apart.select("a", "b"), "near-edges"), 0
+    while True:
         new = written(confirmed(more, texts, size, percent), "near-links")
-        tested = tested.union(more)
-        if new.isEmpty():
-            idle += 1
-            continue
-        idle = 0
-        links = links.union(new)
-        labels = components(links.union(same))
+        none = new.isEmpty()
+        if none and salt:
+            break
+        labels = labels if none else joined(labels, new)
+        tested, salt = tested.union(more), salt + 1
+        members, more = again(members, labels, salt, percent)
+        more = written(more.join(tested, ["a", "b"], "left_anti"), "near-edges")
     return (sketch.select("doc_id", "n_shingles").join(labels, "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
                     F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept")))
