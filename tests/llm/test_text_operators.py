@@ -228,3 +228,11 @@ def test_language_id(spark, odd, none):
     assert {r.lang_pred for r in langid.identify(odd, langid.train(none)).collect()} == {"und"}
     long = "the cat and the dog " * 200_000
     assert abs(model.entropies([long])[0] - model.entropies([long[:len(long) // 8]])[0]).max() < 0.01
+
+
+def test_near_copies_of_an_id_with_several_texts(spark):
+    """An id with two texts joins the partners of both."""
+    one, two = ([f"{p}{n}" for n in range(120)] for p in "xy")
+    rows = [(1, " ".join(one + ["end"])), (5, " ".join(one)), (5, " ".join(two)), (9, " ".join(two + ["end"])), (12, "other words stand alone here now")]
+    got = minhash.groups(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "component_id").distinct().collect()
+    assert {tuple(r) for r in got} == {(1, 1), (5, 1), (9, 1), (12, 12)}
