@@ -50,6 +50,15 @@ def _upper_median(votes: DataFrame, keys: list[str], risk: str, out: str) -> Dat
     return hit.groupBy(*keys).agg(F.min("_r").alias(out))
 
 
+def _same_group(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on the group; null keys are equal."""
+    other = right.withColumnsRenamed({k: f"_g_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+    return left.join(other, cond, "left").drop(*[f"_g_{k}" for k in keys])
+
+
 def consensus(votes: DataFrame, keys: list[str], ordinal: list[Column], flag: str = "flag", cwe: str = "cwe",
               risk: str = "risk", fix: str = "fix") -> DataFrame:
     """One consensus record per group.
@@ -84,7 +93,7 @@ def consensus(votes: DataFrame, keys: list[str], ordinal: list[Column], flag: st
     fx = fn.groupBy(*keys).agg(F.max_by(F.col("_f"), _rank("_first", names)).alias("fix_code"),
                                F.max("_raw_top").alias("_top_fix"))
     med = _upper_median(v, keys, risk, "risk_level")
-    out = base.join(fx, keys, "left").join(med, keys, "left")
+    out = _same_group(_same_group(base, fx, keys), med, keys)
     conf = F.least(F.col("_top_cwe"), F.col("_top_fix")) / F.col("n_votes")
     return out.select(*keys, "n_votes", "is_vulnerability", "cwe", "risk_level", "fix_code",
                       F.round(conf, 6).alias("confidence"))

@@ -376,3 +376,9 @@ def test_definition_blocks_with_comments(spark):
     con.executemany("INSERT INTO src VALUES (?, ?, ?)", files)
     sql = "WITH " + blocks_sql("files AS (SELECT * FROM src)") + " SELECT file_id, start_line, end_line, kind FROM blk"
     assert sorted(tuple(r) for r in con.execute(sql).fetchall()) == got
+
+
+def test_consensus_null_group(spark):
+    votes = _votes(spark, [(True, "CWE-89", 7.0, "x"), (True, "CWE-89", 8.0, "x")]).withColumn("g", F.lit(None).cast("int"))
+    r = A.consensus(votes, ["g"], [F.col("o")]).first()
+    assert (r.g, r.risk_level, r.fix_code, r.confidence) == (None, 8.0, "x", 1.0)
