@@ -3,7 +3,7 @@
 * Near-copy pairs: documents are first collapsed by exact content hash
   (copies are one representative; only hashes and small token arrays are
   shuffled, never texts), then pairs of representatives whose
-  distinct long-line hash sets have Jaccard >= threshold are found with
+  distinct line hash sets have Jaccard >= threshold are found with
   *prefix filtering* (exact): tokens are ordered by (document frequency,
   hash); two sets that reach the threshold must share a token inside both
   prefixes, so only prefix tokens are joined. Candidates are verified with
@@ -20,24 +20,23 @@ from pyspark.sql import functions as F
 
 from ..functions.lines import lines_l1, py_strip
 
-LONG_LINE = 40
 
-
-def line_token_array(text, min_len: int = LONG_LINE) -> Column:
-    """Distinct sha256 hashes of the stripped long lines of a text (in-row)."""
+def line_token_array(text, min_len: int = 1) -> Column:
+    """Distinct sha256 hashes of the stripped lines of at least ``min_len`` characters (in-row); 1: all that aren't blank."""
     return F.array_distinct(F.transform(F.filter(F.transform(lines_l1(text), lambda l: py_strip(l)),
                                                  lambda l: F.length(l) >= min_len),
                                         lambda l: F.sha2(l, 256)))
 
 
-def near_copy_pairs(docs: DataFrame, id_col: str, text: str, threshold_num: int = 1, threshold_den: int = 2) -> DataFrame:
-    """Pairs (id_a < id_b) of distinct texts with Jaccard(long lines) >=
+def near_copy_pairs(docs: DataFrame, id_col: str, text: str, threshold_num: int = 1, threshold_den: int = 2,
+                    min_len: int = 1) -> DataFrame:
+    """Pairs (id_a < id_b) of distinct texts with Jaccard(lines) >=
     num/den, on one representative (smallest id) per exact text.
 
     Only (hash, id, token array) rows are shuffled, never the texts.
     Returns (id_a, id_b, n_a, n_b, n_common)."""
     d = docs.select(F.col(id_col).alias("id"), F.sha2(F.col(text), 256).alias("_h"),
-                    line_token_array(F.col(text)).alias("s"))
+                    line_token_array(F.col(text), min_len).alias("s"))
     reps = (d.groupBy("_h").agg(F.min_by(F.struct("id", "s"), F.col("id")).alias("_r"))
             .select("_r.id", "_r.s"))
     toks = reps.select("id", F.explode("s").alias("tok"), F.size("s").alias("_n"))

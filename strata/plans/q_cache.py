@@ -20,9 +20,13 @@ def _as_of():
     return F.expr(f"TIMESTAMP_NTZ '{AS_OF}'")
 
 
+def _upserted(events):
+    return K.cache_upsert(events, KEYS, "ts", "value", "event_id")
+
+
 def _cache(spark, sf_dir):
-    ev = table(spark, sf_dir, "events")
-    return K.cache_upsert(ev.filter(F.col("ts") < _as_of()), KEYS, "ts", "value", "event_id")
+    """The cache as it stands at AS_OF, for the lookups."""
+    return _upserted(table(spark, sf_dir, "events").filter(F.col("ts") < _as_of()))
 
 
 def _requests(spark, sf_dir):
@@ -38,10 +42,14 @@ req AS (SELECT DISTINCT user_id, event_type FROM events
 valid AS (SELECT * FROM up WHERE epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts) < 86400000000)"""
 
 
-@query("cache_upsert", f"""WITH {UPSERT_SQL}
-SELECT user_id, event_type, strftime(ts, {DUCK_FMT}) AS ts, write_id, value FROM up""")
+LAST_SQL = """last AS (SELECT user_id, event_type, max(struct_pack(ts := ts, id := event_id, value := value)) AS w
+    FROM events GROUP BY user_id, event_type)"""
+
+
+@query("cache_upsert", f"""WITH {LAST_SQL}
+SELECT user_id, event_type, strftime(w.ts, {DUCK_FMT}) AS ts, w.id AS write_id, w.value AS value FROM last""")
 def q_cache_upsert(spark, sf_dir):
-    return _cache(spark, sf_dir).withColumn("ts", F.date_format("ts", TS_FMT))
+    return _upserted(table(spark, sf_dir, "events")).withColumn("ts", F.date_format("ts", TS_FMT))
 
 
 @query("cache_hits", f"""WITH {UPSERT_SQL}
@@ -59,11 +67,11 @@ def q_cache_misses(spark, sf_dir):
     return K.cache_misses(_requests(spark, sf_dir), _cache(spark, sf_dir), KEYS, _as_of())
 
 
-@query("cache_evict", f"""WITH {UPSERT_SQL}
-SELECT user_id, event_type, strftime(ts, {DUCK_FMT}) AS ts, write_id FROM up
-ORDER BY up.ts DESC, user_id, event_type LIMIT 1000""")
+@query("cache_evict", f"""WITH {LAST_SQL}
+SELECT user_id, event_type, strftime(w.ts, {DUCK_FMT}) AS ts, w.id AS write_id FROM last
+ORDER BY w.ts DESC, user_id, event_type LIMIT 1000""")
 def q_cache_evict(spark, sf_dir):
-    kept = K.cache_evict(_cache(spark, sf_dir), KEYS)
+    kept = K.cache_evict(_upserted(table(spark, sf_dir, "events")), KEYS)
     return kept.select(*KEYS, F.date_format("ts", TS_FMT).alias("ts"), "write_id")
 
 

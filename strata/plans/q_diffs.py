@@ -13,7 +13,7 @@ PAIRS_SQL = f"""h AS (SELECT doc_id, sha256(text) AS th, text FROM documents),
 rep AS (SELECT min(doc_id) AS id FROM h GROUP BY th),
 rt AS (SELECT h.doc_id AS id, h.text FROM h JOIN rep ON rep.id = h.doc_id),
 rl AS (SELECT id, unnest({l1('text')}) AS line FROM rt),
-tl AS (SELECT DISTINCT id, sha256({pystrip('line')}) AS tok FROM rl WHERE length({pystrip('line')}) >= 40),
+tl AS (SELECT DISTINCT id, sha256({pystrip('line')}) AS tok FROM rl WHERE length({pystrip('line')}) >= 1),
 tn AS (SELECT id, count(*) AS n FROM tl GROUP BY id),
 tc AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS n_common FROM tl a JOIN tl b ON a.tok = b.tok AND a.id < b.id GROUP BY 1, 2),
 pairs AS (SELECT tc.id_a, tc.id_b, CAST(na.n AS INTEGER) AS n_a, CAST(nb.n AS INTEGER) AS n_b, CAST(tc.n_common AS INTEGER) AS n_common

@@ -16,8 +16,9 @@ from .q_cache import TS_FMT, TTL_SQL
 @query("ttl_dedupe_stream", TTL_SQL, kind="R")
 def q_ttl_dedupe_stream(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    # a glob of one name: matches a table of one file as well as a directory of part files; these
+    # aren't in time order, so they make one micro-batch
+    stream = spark.readStream.schema(schema).parquet(os.path.join(sf_dir, "{events.parquet}"))
     kept = ttl_dedupe_stream(stream.select("user_id", "event_type", "event_id", "ts"), ["user_id", "event_type"])
     base = scratch_path(spark, "ttl-stream")
     out = run_to_table(spark, kept, os.path.join(base, "out"), os.path.join(base, "chk"))

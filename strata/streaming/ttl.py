@@ -55,7 +55,12 @@ def _ttl_fn(ttl_us: int, out_cols: list[str]):
 def ttl_dedupe_stream(stream: DataFrame, keys: list[str], ts: str = "ts", eid: str = "event_id",
                       ttl_seconds: int = CACHE_TTL_SECONDS, lateness: str = "1 day") -> DataFrame:
     """Streaming DataFrame of the kept rows: keys, event id, ``t_us``
-    (microseconds since the epoch of ``ts``)."""
+    (microseconds since the epoch of ``ts``).
+
+    ``lateness`` is the contract of the input: Spark leaves out rows that are
+    older than the watermark (the largest time seen, less ``lateness``) and
+    counts them in the progress metric ``numRowsDroppedByWatermark``; set it
+    to the largest delay the source can have."""
     s = stream.select(*keys, eid, F.timestamp_diff("MICROSECOND", F.expr(EPOCH_NTZ), F.col(ts)).alias("t_us"),
                       F.col(ts).cast("timestamp").alias("_wm"))
     s = s.withWatermark("_wm", lateness)
@@ -75,4 +80,4 @@ def run_to_table(spark, streaming_df: DataFrame, out_path: str, checkpoint: str)
          .option("checkpointLocation", checkpoint).outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out_path)
+    return spark.read.schema(streaming_df.schema).parquet(out_path)

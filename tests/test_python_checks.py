@@ -61,3 +61,27 @@ def test_ttl_stream_across_batches(spark, tmp_path):
     out = scratch_path(spark, "t")
     kept = run_to_table(spark, ttl_dedupe_stream(stream, ["user_id", "event_type"]), out + "/o", out + "/c")
     assert sorted(r.event_id for r in kept.collect()) == [0, 3, 6]
+
+def _event_table(spark, tmp_path, events):
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    return str(tmp_path)
+
+
+def test_stream_reads_a_directory_of_part_files(spark, catalog, tmp_path):
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    folder = _event_table(spark, tmp_path, events.repartition(5, "event_id"))
+    got = sorted(map(tuple, catalog.QUERIES["ttl_dedupe_stream"](spark, folder).collect()))
+    assert got == sorted(map(tuple, catalog.QUERIES["ttl_dedupe"](spark, f"{SF_SMALL}").collect())) and got
+
+
+def test_stream_of_an_empty_table(spark, catalog, tmp_path):
+    folder = _event_table(spark, tmp_path, spark.read.parquet(f"{SF_SMALL}/events.parquet").where("false"))
+    assert catalog.QUERIES["ttl_dedupe_stream"](spark, folder).collect() == []
+
+
+def test_near_copies_of_short_lines(spark):
+    from strata.operators.diffs import near_copy_pairs
+    rows = [(1, "a\nb\nc"), (2, "a\nb\nd"), (3, "x\n\ny"), (4, "a\nb\nc"), (5, None), (6, ""), (7, " \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [tuple(r) for r in near_copy_pairs(docs, "doc_id", "text").collect()] == [(1, 2, 3, 3, 2)]
+    assert near_copy_pairs(docs, "doc_id", "text", min_len=2).collect() == []
