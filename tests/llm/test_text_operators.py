@@ -236,3 +236,21 @@ def test_near_copies_of_an_id_with_several_texts(spark):
     rows = [(1, " ".join(one + ["end"])), (5, " ".join(one)), (5, " ".join(two)), (9, " ".join(two + ["end"])), (12, "other words stand alone here now")]
     got = minhash.groups(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "component_id").distinct().collect()
     assert {tuple(r) for r in got} == {(1, 1), (5, 1), (9, 1), (12, 12)}
+
+
+def test_near_copies_that_no_star_or_neighbour_edge_tests(spark, monkeypatch):
+    """Links inside a bucket don't depend on the edges that stars and neighbours happen to propose."""
+    base, rows = [f"w{n}" for n in range(200)], []
+    for i in range(60):  # a family just under 80 %; every tenth has one partner above it
+        own = [f"d{i}x{n}" for n in range(26)]
+        rows.append((i, " ".join(base + own)))
+        if i % 10 == 3:
+            rows.append((100 + i, " ".join(base + own[:5] + [f"e{i}x{n}" for n in range(21)])))
+    rows += [(200, " ".join(base[:120])), (200, " ".join(f"v{n}" for n in range(90))), (201, " ".join(base[:125]))]
+    star, further = minhash.star, minhash.candidates
+    monkeypatch.setattr(minhash, "star", lambda *args: star(*args).where("false"))
+    monkeypatch.setattr(minhash, "candidates", lambda *args: further(*args).where("false"))
+    monkeypatch.setattr(minhash, "BLOCK", 16, raising=False)  # buckets of several blocks
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in minhash.groups(docs).collect()}
+    assert got == {i: 200 if i >= 200 else i - 100 if i >= 100 else i for i, _ in rows}
