@@ -23,14 +23,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, prepare, text_blocks, unit_hash
+from .common import mix64, prepare, text_blocks, written
 
 UNDETERMINED = "und"
 START = 0  # stands before the first character of a text
 SPACE = 32
+#: Rows of each language that count, and as many that calibrate, if it has them.
+LEAST_ROWS = 20
 #: Odd multipliers of the places in an n-gram, from a fixed seed.
 PLACES = np.random.default_rng(20240101).integers(1 << 62, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -268,27 +270,56 @@ def _entropy_rows(shared):
 RESULT = "lang_pred string, score double, cross_entropy double, rejected boolean"
 
 
+def draw(rows: DataFrame, chars: int) -> DataFrame | None:
+    """The rows (lang, text, counts) that count and that calibrate, of ``rows`` (lang, text, key); None if no text has a letter.
+
+    Only rows below a threshold of their language are ranked: the place in [0, 1) where the running sum of characters,
+    by sixteenths of an octave, has reached what both kinds need."""
+    place = (F.shiftrightunsigned(F.xxhash64("key", "text", F.lit(1)), 11) + 1) / F.lit(float(1 << 53))
+    rows = rows.where(F.col("text").rlike(r"\p{L}")).withColumn("u", place).withColumn("level", F.floor(F.log2("u") * 16).cast("int"))
+    names = [r["lang"] for r in rows.select("lang").distinct().collect()]  # the share depends on their number
+    if not names:
+        return None
+    share = chars / len(names)
+    rows = rows.withColumn("weight", F.least(F.length("text").cast("double"), F.lit(share / LEAST_ROWS)))
+    found: dict[str, list] = {}
+    for r in rows.groupBy("lang", "level").agg(F.sum("weight").alias("weight")).collect():
+        found.setdefault(r["lang"], []).append((r["level"], r["weight"]))
+    last = {}
+    for lang, levels in found.items():
+        total = 0.0
+        for last[lang], weight in sorted(levels):
+            total += weight
+            if total >= 3 * share:  # two shares, and one as rows of unequal length fall by turns
+                break
+    bound = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
+    rows = rows.where(F.col("level") <= F.element_at(bound, F.col("lang")))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("u", "key")) % 2 == 1
+    rows = rows.withColumn("counts", turn)
+    before = F.sum("weight").over(Window.partitionBy("lang", "counts").orderBy("u", "key").rowsBetween(Window.unboundedPreceding, -1))
+    return written(rows.withColumn("before", F.coalesce(before, F.lit(0.0))).where(F.col("before") < share)
+                   .select("lang", "text", "counts"), "language-sample")
+
+
 def train(docs: DataFrame, label: str = "lang", usable: Column | None = None, order: int = 4,
           train_chars: int = 1_200_000, margin: float = 8.0, key: str = "doc_id") -> Model:
     """Fit the models and their limits of rejection.
 
     ``docs`` needs ``text``, ``label`` and ``key``. ``train_chars`` is the documented bound: about so many
-    characters, shared by the languages, are counted, and about as many calibrate; rows are drawn whole by a
-    hash of ``key``. The model's size follows that bound, not the input, so it may be broadcast.
+    characters, shared by the languages, are counted, and about as many calibrate. The rows of a language are drawn
+    whole, in the order of a hash, by turns to count and to calibrate, until its share is met; a row counts for at most
+    a LEAST_ROWS-th of the share, so each language has that many rows of either kind, or all it has, however
+    long its texts are. The model's size follows that bound, not the input, so it may be broadcast.
     A text is rejected if its cross-entropy exceeds the median of correctly labelled calibration texts by more
     than ``margin`` times the distance from there to their 99th percentile, or reaches that of even guessing, plus 4 / sqrt(characters) nats.
     """
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull() & (usable if usable is not None else F.lit(True)))
-    rows = rows.select(F.col(label).alias("lang"), "text", unit_hash(F.col(key), 1).alias("u"))
-    sizes = {r["lang"]: r["chars"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).collect() if r["chars"]}
-    if not sizes:
+    drawn = draw(rows.select(F.col(label).alias("lang"), "text", F.col(key).alias("key")), train_chars)
+    if drawn is None:
         return Model([], order)
-    share = train_chars / len(sizes)
-    rate = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(0.5, share / n)))])
-    limit = F.element_at(rate, F.col("lang"))
-    grams = (rows.where(F.col("u") < limit).select("lang", "text")
+    grams = (drawn.where("counts").select("lang", "text")
              .mapInArrow(_count(order), "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     counts: dict[str, Counter] = {}
     table = grams.toArrow()
@@ -297,7 +328,7 @@ def train(docs: DataFrame, label: str = "lang", usable: Column | None = None, or
     if not counts:
         return Model([], order)
     model = build(counts, order)
-    held = rows.where((F.col("u") >= 0.5) & (F.col("u") < 0.5 + limit)).select("lang", "text")
+    held = drawn.where("not counts").select("lang", "text")
     scored = held.mapInArrow(_entropy_rows(spark.sparkContext.broadcast(model)), f"lang string, text string, {RESULT}")
     for r in (scored.where("lang_pred = lang").groupBy("lang")
               .agg(F.expr("percentile(cross_entropy, array(0.5, 0.99))").alias("q")).collect()):

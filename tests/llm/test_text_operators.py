@@ -254,3 +254,17 @@ def test_near_copies_that_no_star_or_neighbour_edge_tests(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r.doc_id: r.component_id for r in minhash.groups(docs).collect()}
     assert got == {i: 200 if i >= 200 else i - 100 if i >= 100 else i for i, _ in rows}
+
+
+def test_language_model_covers_every_labelled_language(spark):
+    """Languages of few rows, and of few very long ones, are counted and calibrated."""
+    words = {"en": "the cat and the dog ", "de": "der Hund und die Katze ", "ru": "кошка и собака вместе ", "el": "η γάτα και ο σκύλος "}
+    rows = [(f"{lang}{i}", words[lang] * times, lang) for lang, n, times in (("en", 400, 30), ("de", 2, 30), ("ru", 6, 20_000), ("el", 1, 30)) for i in range(n)]
+    rows += [(f"en-long{i}", words["en"] * 50_000, "en") for i in range(3)] + [("none", "12 34", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    model = langid.train(docs)
+    assert model.languages == ["de", "el", "en", "ru"]
+    drawn = langid.draw(docs.select("lang", "text", docs.doc_id.alias("key")), 1_200_000)
+    got = {(r["lang"], r["counts"]): r["count"] for r in drawn.groupBy("lang", "counts").count().collect()}
+    assert got["de", True] == got["de", False] == got["el", True] == 1 and got["ru", True] == got["ru", False] == 3
+    assert min(got["en", True], got["en", False]) >= langid.LEAST_ROWS
