@@ -60,6 +60,15 @@ def near_copy_pairs(docs: DataFrame, id_col: str, text: str, threshold_num: int
     return v.filter(inter * threshold_den >= union * threshold_num)
 
 
+def copy_members(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, rep_id) for every row: the representative (smallest id of equal texts) that stands for it in ``near_copy_pairs``.
+
+    Only hashes and ids are shuffled; null texts are one class."""
+    d = docs.select(id_col, F.sha2(F.col(text), 256).alias("_h"))
+    reps = d.groupBy("_h").agg(F.min(id_col).alias("rep_id")).withColumnRenamed("_h", "_rh")
+    return d.join(reps, F.col("_h").eqNullSafe(F.col("_rh"))).select(id_col, "rep_id")
+
+
 def line_counts(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, line, c): multiplicity of each L1 line of a text."""
     return (df.select(id_col, F.explode(lines_l1(text)).alias("line"))
@@ -122,4 +131,4 @@ def compare_snapshots(old_items: DataFrame, new_items: DataFrame, keys: list[str
     return out
 
 
-__all__ = ["near_copy_pairs", "diff_stats", "compare_snapshots"]
+__all__ = ["near_copy_pairs", "copy_members", "diff_stats", "compare_snapshots"]

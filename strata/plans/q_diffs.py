@@ -30,6 +30,13 @@ def q_near_copy_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir)
 
 
+@query("near_copy_members", """SELECT d.doc_id, (SELECT min(o.doc_id) FROM documents o WHERE o.text IS NOT DISTINCT FROM d.text) AS rep_id
+FROM documents d""")
+def q_near_copy_members(spark, sf_dir):
+    """Which representative of ``near_copy_pairs`` and ``diff_stats`` stands for each document."""
+    return D.copy_members(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @query("diff_stats", f"""WITH {PAIRS_SQL},
 lc AS (SELECT doc_id AS id, line, count(*) AS c FROM (SELECT doc_id, unnest({l1('text')}) AS line FROM documents) GROUP BY ALL),
 pa AS (SELECT p.id_a, p.id_b, lc.line, lc.c AS ca FROM pairs p JOIN lc ON lc.id = p.id_a),

@@ -85,3 +85,12 @@ def test_near_copies_of_short_lines(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert [tuple(r) for r in near_copy_pairs(docs, "doc_id", "text").collect()] == [(1, 2, 3, 3, 2)]
     assert near_copy_pairs(docs, "doc_id", "text", min_len=2).collect() == []
+
+
+def test_every_exact_copy_has_its_representative(spark, catalog, tmp_path):
+    rows = [(1, "a\nb\nc"), (2, "a\nb\nd"), (4, "a\nb\nc"), (5, None), (6, ""), (7, None), (9, "a\nb\nc"), (10, "a\nb\nd")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    members = {r.doc_id: r.rep_id for r in catalog.QUERIES["near_copy_members"](spark, str(tmp_path)).collect()}
+    assert members == {1: 1, 2: 2, 4: 1, 5: 5, 6: 6, 7: 5, 9: 1, 10: 2}
+    pairs = {(r.id_a, r.id_b) for r in catalog.QUERIES["near_copy_pairs"](spark, str(tmp_path)).collect()}
+    assert pairs and {i for p in pairs for i in p} <= set(members.values())
