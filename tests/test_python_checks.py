@@ -2,6 +2,7 @@
 
 
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from strata.operators.splitter import split_offsets
@@ -94,3 +95,16 @@ def test_every_exact_copy_has_its_representative(spark, catalog, tmp_path):
     assert members == {1: 1, 2: 2, 4: 1, 5: 5, 6: 6, 7: 5, 9: 1, 10: 2}
     pairs = {(r.id_a, r.id_b) for r in catalog.QUERIES["near_copy_pairs"](spark, str(tmp_path)).collect()}
     assert pairs and {i for p in pairs for i in p} <= set(members.values())
+
+
+def test_stream_bounds_the_rows_of_a_key(spark, catalog, tmp_path, monkeypatch):
+    """A key of most rows, in files of no order, comes in several micro-batches of bounded size."""
+    from strata.streaming import ttl
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet").withColumn("user_id", F.when(F.col("event_id") % 4 > 0, 1).otherwise(F.col("user_id")))
+    folder = _event_table(spark, tmp_path, events.repartition(5, "event_id"))
+    monkeypatch.setattr(ttl, "SLICE_ROWS", events.count() // 3, raising=False)
+    runs, run = [], ttl.run_to_table
+    monkeypatch.setattr(ttl, "run_to_table", lambda *args: runs.append(1) or run(*args))
+    got = sorted(map(tuple, catalog.QUERIES["ttl_dedupe_stream"](spark, folder).collect()))
+    assert got == sorted(map(tuple, catalog.QUERIES["ttl_dedupe"](spark, folder).collect())) and got
+    assert len(runs) >= 3
