@@ -15,12 +15,11 @@
    texts; then those of the other edges whose ends these links don't join.
 5. Smallest reachable id by label propagation with pointer jumping; every round
    is written to the shared folder. Later links join the components found so far.
-6. Buckets whose members don't all share a component yet give further stars, from four
-   other centres a round, until a round finds no link.
-7. What is then left in buckets of several components is compared whole: each bucket falls into
-   blocks of members, each two blocks meet in one task, and every pair of different components that
-   sizes and bitmaps allow is confirmed on the full sets. So each pair that shares a bucket is joined
-   by links, ruled out by a bound, or confirmed.
+6. Buckets whose members don't all share a component yet are compared whole: each falls into blocks of members, each two blocks
+   meet in one task, and a member goes on, with its set, if sizes and bitmaps allow a pair with a member of another
+   component. In the task that holds two blocks with their sets, the pairs of different components are confirmed on the full sets,
+   and only links that join two components come out. So each pair that shares a bucket is joined by links, ruled
+   out by a bound, or confirmed, and rows grow with members, not with pairs.
 
 Defined results: words are the runs of characters other than ASCII white space, A-Z in lower
 case; a text with fewer words than a shingle is one shingle of all its words; null
@@ -40,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, prepare, text_blocks, written
+from .linking import block_count, grouped, in_blocks, links
 
 _RNG = np.random.default_rng(20240404)
 _BYTES = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -51,8 +51,7 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 CHUNK = 1 << 20
 TAILS = 4
-#: Members of one block of a bucket, and cells of the arrays that compare two blocks at a time.
-BLOCK = 2048
+#: Cells of the arrays that compare two blocks at a time.
 CELLS = 1 << 18
 #: 64-bit words of the bitmap of a shingle set.
 BITMAP = 8
@@ -272,75 +271,56 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(known.join(roots, "component_id", "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id")), "near-labels")
 
 
-def _block_pairs(percent):
-    """Edges between the members of different components in each group (key, lo, hi), if they may link. Rows come in
-    order of the group; those of block ``lo`` are paired with each other (lo = hi) or with those of block ``hi``."""
-    names = ["key", "lo", "hi", "block", "doc_id", "label", "size"]
-
-    def edges(rows):
-        lo, hi = (np.flatnonzero(rows["block"] == rows[c][0]) for c in ("lo", "hi"))
-        doc, label, size, bits = (rows[c] for c in ("doc_id", "label", "size", "bits"))
-        same = rows["lo"][0] == rows["hi"][0]
-        step = max(1, CELLS // max(1, len(hi)))
-        for at in range(0, len(lo), step):
-            one = lo[at:at + step]
-            apart = np.abs(size[one][:, None] - size[hi][None, :])
-            both = np.zeros(apart.shape, dtype=np.int64)
-            for k in range(BITMAP):
-                both += np.bitwise_count(bits[one, k][:, None] ^ bits[hi, k][None, :])
-            near = (size[one][:, None] + size[hi][None, :]) * (100 - percent) >= np.maximum(apart, both) * (100 + percent)
-            near |= (size[one] < 0)[:, None] | (size[hi] < 0)[None, :]  # an id of several texts: nothing is ruled out
-            near &= label[one][:, None] != label[hi][None, :]
-            if same:
-                near &= doc[one][:, None] < doc[hi][None, :]
-            i, j = np.nonzero(near)
-            a, b = doc[one[i]], doc[hi[j]]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    def pairs(batches):
-        held = None
-        for batch in batches:
-            new = {c: batch.column(c).to_numpy() for c in names}
-            new["bits"] = batch.column("bits").flatten().to_numpy().reshape(-1, BITMAP)
-            held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
-            starts = np.flatnonzero(np.concatenate([[True], (held["key"][1:] != held["key"][:-1]) | (held["lo"][1:] != held["lo"][:-1])
-                                                    | (held["hi"][1:] != held["hi"][:-1])])) if len(held["key"]) else np.zeros(1, np.int64)
-            for x, y in zip(starts[:-1], starts[1:]):
-                yield from edges({c: v[x:y] for c, v in held.items()})
-            held = {c: v[starts[-1]:] for c, v in held.items()}  # the group may go on in the next batch
-        if held is not None and len(held["key"]):
-            yield from edges(held)
-    return pairs
-
-
-def all_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct edges between all members of different components in each bucket of ``rows`` (key, doc_id, size, bits,
-    label, n: members of the bucket), if they may link."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("doc_id", F.lit(BLOCK)), blocks).cast("int")
-    rows = rows.select("key", "doc_id", "label", F.coalesce("size", F.lit(-1)).alias("size"),
-                       F.coalesce("bits", F.array_repeat(F.lit(0).cast("bigint"), BITMAP)).alias("bits"), block.alias("block"),
-                       F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_other"))
-    rows = rows.withColumns({"lo": F.least("block", "_other"), "hi": F.greatest("block", "_other")}).drop("_other")
+def _undecided(percent):
+    """Rows (key, lo, hi, block, doc_id, label, size, bits) in order of the group -> the members of a pair of components that may link."""
+    def run(batches):
+        for group in grouped(batches, ["key", "lo", "hi"]):
+            lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+            block, label, size = (group.column(c).to_numpy() for c in ("block", "label", "size"))
+            bits = group.column("bits").combine_chunks().flatten().to_numpy().reshape(-1, BITMAP)
+            left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+            keep = np.zeros(len(block), dtype=bool)
+            step = max(1, CELLS // max(1, len(right)))
+            for at in range(0, len(left), step):
+                one = left[at:at + step]
+                near = label[one][:, None] != label[right][None, :]
+                if not near.any():
+                    continue
+                apart = np.abs(size[one][:, None] - size[right][None, :])
+                both = np.zeros(apart.shape, dtype=np.int64)
+                for k in range(BITMAP):
+                    both += np.bitwise_count(bits[one, k][:, None] ^ bits[right, k][None, :])
+                fits = (size[one][:, None] + size[right][None, :]) * (100 - percent) >= np.maximum(apart, both) * (100 + percent)
+                fits |= (size[one] < 0)[:, None] | (size[right] < 0)[None, :]  # an id of several texts: nothing is ruled out
+                near &= fits
+                keep[one] |= near.any(axis=1)
+                keep[right] |= near.any(axis=0)
+            if keep.any():
+                yield from group.select(["key", "lo", "hi", "block", "doc_id", "label"]).filter(pa.array(keep)).to_batches()
+    return run
+
+
+def undecided(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Of the buckets that hold several components, the members of pairs of different components that sizes and bitmaps allow: a row for
+    each two blocks of a bucket that have such a pair."""
+    rows = members.select("key", "doc_id", "size", "bits").join(labels.withColumnRenamed("component_id", "label"), "doc_id", "left")
+    rows = rows.withColumn("label", F.coalesce("label", "doc_id"))
+    several = (rows.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("m"), F.sum("size").alias("total"))
+               .where("l0 < l1").select("key", block_count(F.col("m"), F.coalesce("total", "m")).alias("blocks")))
+    rows = in_blocks(rows.join(several, "key"), F.col("blocks"), "doc_id").select(
+        "key", "lo", "hi", "block", "doc_id", "label", F.coalesce("size", F.lit(-1)).alias("size"),
+        F.coalesce("bits", F.array_repeat(F.lit(0).cast("bigint"), BITMAP)).alias("bits"))
     return (rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-            .mapInArrow(_block_pairs(percent), "a bigint, b bigint").distinct())
+            .mapInArrow(_undecided(percent), "key bigint, lo int, hi int, block int, doc_id bigint, label bigint"))
 
 
-def again(members: DataFrame, labels: DataFrame, salt: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The members of buckets with several components (with label and n, the bucket's members), and edges from four other centres to members of other components."""
-    rows = members.select("key", "doc_id", "size", "bits").join(labels.withColumnRenamed("component_id", "label"), "doc_id", "left")
-    rows = rows.withColumn("label", F.coalesce("label", "doc_id"))
-    me, picks = F.struct("doc_id", "size", "bits", "label"), []
-    for turn in (F.xxhash64("key", "doc_id", F.lit(2 * salt + k)) for k in (0, 1)):
-        picks += [pick(me, turn).alias(f"c{len(picks) + n}") for n, pick in enumerate((F.min_by, F.max_by))]
-    centers = written(rows.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("n"), *picks)
-                      .where("l0 < l1").drop("l0", "l1"), "near-again")
-    rows = written(rows.join(centers, "key"), "near-open")
-    edges = star(rows.where("label <> c0.label"), "c0", percent)
-    for c in ("c1", "c2", "c3"):
-        edges = edges.union(star(rows.where(f"label <> {c}.label"), c, percent))
-    return rows, edges.distinct()
+def _sets(size):
+    def sets(batches):
+        for batch, texts in text_blocks(batches):
+            made = [shingles(t, size) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())],
+                                             names=["doc_id", "size", "shingles"])
+    return sets
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
@@ -375,19 +355,12 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 32, r
     texts = written(docs.where("text is not null").join(written(members.select("doc_id").distinct(), "near-ends"), "doc_id", "left_semi"), "near-texts")
     labels = components(written(confirmed(tested, texts, size, percent), "near-links").union(same))
     apart = _ends(candidates(members, percent).join(tested, ["a", "b"], "left_anti"), labels).where("label_a <> label_b")
-    more, salt = written(apart.select("a", "b"), "near-edges"), 0
-    while True:
-        new = written(confirmed(more, texts, size, percent), "near-links")
-        none = new.isEmpty()
-        if none and salt:
-            break
-        labels = labels if none else joined(labels, new)
-        tested, salt = tested.union(more), salt + 1
-        members, more = again(members, labels, salt, percent)
-        more = written(more.join(tested, ["a", "b"], "left_anti"), "near-edges")
-    tested = tested.union(more)
-    rest = written(all_pairs(members, percent).join(tested, ["a", "b"], "left_anti"), "near-edges")
-    new = written(confirmed(rest, texts, size, percent), "near-links")
+    new = written(confirmed(written(apart.select("a", "b"), "near-edges"), texts, size, percent), "near-links")
+    labels = labels if new.isEmpty() else joined(labels, new)
+    left = written(undecided(members, labels, percent), "near-open")
+    sets = texts.join(left.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id bigint, size bigint, shingles binary")
+    left = left.join(sets.where("size > 0"), "doc_id").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    new = written(left.mapInArrow(links(percent, ["key"]), "a bigint, b bigint").distinct(), "near-links")
     labels = labels if new.isEmpty() else joined(labels, new)
     return (sketch.select("doc_id", "n_shingles").join(labels, "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),

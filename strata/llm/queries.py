@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, langid, minhash, mixing, quality_knn, quality_rules, token_files, url_filter
+from . import alignment, bpe, exact_dedup, html_extract, langid, minhash, mixing, ngram_join, periodic, quality_knn, quality_rules, token_files, url_filter
 from .common import id_remainder, prepare, read_table
 from .oracles import SQL
 
@@ -74,8 +76,36 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.slots(docs, mixing.plan(docs))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return alignment.link_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read_table(spark, sf_dir, "documents"), size=5, percent=80)
+
+
+def repeating(doc_id: int | None, n: int) -> list[int] | None:
+    """The word numbers that `op13` looks at: from a place on, the words of some documents repeat. A null id keeps its words."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [*range(a), *(a + (i - a) % p for i in range(a, n))]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    runs = periodic.find_runs(docs, exponent=4, min_length=6, rewrite=repeating)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return runs.select("doc_id", "n_runs", "start", "length", "period", F.expr("1000 * length div period").alias("exponent_milli"),
+                       F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_token_files, op4_minhash, op5_html_extract, op6_url_filter,
-                                   op7_quality_knn, op8_quality_rules, op9_byte_bpe, op10_mixing)}
+                                   op7_quality_knn, op8_quality_rules, op9_byte_bpe, op10_mixing, op11_alignment, op12_ngram_join, op13_periodic_runs)}
 ORACLES = SQL
 
 
