@@ -2,8 +2,11 @@
 
 1. *Sets*: the distinct n-grams of each whole text, as 64-bit hashes. Documents of one set fold into a class, whose smallest
    id represents it.
-2. *Alive*: of each class the n - ceil(0.8 n) + 1 n-grams of smallest hash. Two similar sets share one of these, so a class that
-   shares none with any other class is out, without loss.
+2. *Alive*: two similar sets share the first k of their common n-grams in any order, and those stand among the n - ceil(0.8 n) + k
+   first of each. So of each set the n-grams of smallest hash are counted, with k a fifth of n, and a document goes on only if enough
+   of them are held by another one; nothing is lost. The n-grams travel packed, a block of documents at a time, to the task that counts
+   their range of hashes, and only numbers per document come back. An n-gram that several documents of a block hold is sent
+   once, so a very common one makes a row per block.
 3. *Rare first*: for the others, how many classes hold each n-gram. Each set is put in order of that number (ties by
    hash). What only one class holds comes first and never joins, so of the prefix of n - ceil(0.8 n) + 1 n-grams only the rest is
    exposed.
@@ -33,6 +36,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,39 +60,133 @@ def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.binary()), ("low", pa.list_(pa.int64()))])
-
-
-def _sketch(size, percent):
-    def sketch(batches):
+def common(n: int) -> int:
+    """k of step 2: of the first n-grams of a set of n."""
+    return max(1, n // 5)
+
+
+#: n-grams and documents that a block holds, about. Documents are numbered in 16 bits; the last number stands for several.
+BLOCK_GRAMS, BLOCK_DOCS, SEVERAL = 1 << 22, 60_000, 65_535
+#: kind 1: numbers of a block's documents with n-grams (on the way there) or credits (on the way back); kind 2: a document.
+_PACKED = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()),
+                     ("class", pa.binary()), ("credit", pa.int64()), ("owners", pa.binary()), ("grams", pa.binary())])
+_PACKED_SQL = "part int, block bigint, kind int, place int, doc_id bigint, n bigint, class binary, credit bigint, owners binary, grams binary"
+
+
+def _in_order(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the n-grams, and where each is first, in that order; the end comes last."""
+    order = np.argsort(grams, kind="stable")
+    sorted_ = grams[order]
+    return order, np.append(np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(grams) else np.zeros(0, np.int64), len(grams))
+
+
+def _scatter(size, percent, parts):
+    """Documents -> a row for each, and the first n-grams of each block by range of hash."""
+    edges = np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64)
+
+    def block_rows(block, docs, first):
+        owner = np.repeat(np.arange(len(docs)), [len(x) for x in first])
+        grams = np.concatenate(first)
+        order, starts = _in_order(grams)
+        held = np.diff(starts)
+        alone = np.repeat(held, held) == 1
+        credit = np.bincount(owner[order][~alone], minlength=len(docs))
+        sent = grams[order][starts[:-1]]
+        owners = np.where(held == 1, owner[order][starts[:-1]], SEVERAL).astype("<u2")
+        rows = [(i % parts, block, 2, i, *d, c, None, None) for i, (d, c) in enumerate(zip(docs, credit.tolist()))]
+        cuts = [0, *np.searchsorted(sent, edges).tolist(), len(sent)]
+        rows += [(part, block, 1, None, None, None, None, None, owners[x:y].tobytes(), sent[x:y].tobytes())
+                 for part, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
+        for lo in range(0, len(rows), 1000):
+            yield _batch(rows[lo:lo + 1000], _PACKED)
+
+    def scatter(batches):
+        block, docs, first, total = TaskContext.get().partitionId() << 32, [], [], 0
         for batch, texts in text_blocks(batches):
-            rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts):
                 s = shingles(text, size)
                 known = len(s) and doc is not None
+                docs.append((doc, len(s), hashlib.sha256(s.tobytes()).digest()[:16] if known else None))
                 # hashes are sorted
-                rows.append((doc, len(s), hashlib.sha256(s.tobytes()).digest()[:16] if known else None,
-                             s[:prefix(len(s), percent)].view(np.int64) if known else None))
+                first.append(s[:prefix(len(s), percent) - 1 + common(len(s))] if known else s[:0])
+                total += len(first[-1])
+                if total >= BLOCK_GRAMS or len(docs) == BLOCK_DOCS:
+                    yield from block_rows(block, docs, first)
+                    block, docs, first, total = block + 1, [], [], 0
+        if docs:
+            yield from block_rows(block, docs, first)
+    return scatter
+
+
+def _gather(batches):
+    """The n-grams of a range from all blocks -> per block how many of them each document shares with another block. Rows of documents pass."""
+    blocks, owners, grams = [], [], []
+    for batch in batches:
+        kinds = batch.column("kind").to_numpy()
+        yield batch.filter(pa.array(kinds == 2))
+        packed = batch.filter(pa.array(kinds == 1))
+        blocks += packed.column("block").to_pylist()
+        owners += [np.frombuffer(x, dtype="<u2") for x in packed.column("owners").to_pylist()]
+        grams += [np.frombuffer(x, dtype=np.uint64) for x in packed.column("grams").to_pylist()]
+    if not blocks:
+        return
+    order, starts = _in_order(np.concatenate(grams))
+    held = np.diff(starts)
+    shared = np.zeros(len(order), dtype=bool)
+    shared[order] = np.repeat(held, held) > 1
+    cuts = np.concatenate([[0], np.cumsum([len(g) for g in grams])])
+    for block, own, lo, hi in zip(blocks, owners, cuts[:-1], cuts[1:]):
+        mine, n = np.unique(own[shared[lo:hi]], return_counts=True)
+        mine, n = mine[mine != SEVERAL], n[mine != SEVERAL]
+        if len(mine):
+            yield _batch([(0, block, 1, None, None, None, None, None, mine.astype("<u2").tobytes(), n.astype("<u8").tobytes())], _PACKED)
+
+
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.binary()), ("alive", pa.bool_())])
+
+
+def _alive(percent):
+    """Rows in order of block and kind: credits come before documents."""
+    def alive(batches):
+        block = credits = None
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                if r["block"] != block:
+                    block, credits = r["block"], np.zeros(SEVERAL, dtype=np.int64)
+                if r["kind"] == 1:
+                    credits[np.frombuffer(r["owners"], dtype="<u2")] += np.frombuffer(r["grams"], dtype="<i8")
+                else:  # a similar set has at least that share of this one's size
+                    need = common(-(-percent * r["n"] // 100))
+                    rows.append((r["doc_id"], r["n"], r["class"], bool(r["class"] and r["credit"] + credits[r["place"]] >= need)))
             yield _batch(rows, _SKETCH)
-    return sketch
+    return alive
+
+
+def sketch_of(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, n, class and alive of every row of ``docs`` (doc_id, text)."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = docs.mapInArrow(_scatter(size, percent, parts), _PACKED_SQL).repartitionById(parts, F.col("part")).mapInArrow(_gather, _PACKED_SQL)
+    rows = written(packed, "grams-packed").repartition("block").sortWithinPartitions("block", "kind")
+    return rows.mapInArrow(_alive(percent), "doc_id bigint, n bigint, class binary, alive boolean")
 
 
-_SETS = pa.schema([("class", pa.binary()), ("rep", pa.int64()), ("n", pa.int64()), ("grams", pa.list_(pa.int64()))])
+_SETS = pa.schema([("node", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
 
 def _sets(size):
     def sets(batches):
         for batch, texts in text_blocks(batches):
             rows = []
-            for doc, wanted, text in zip(batch.column("doc_id").to_pylist(), batch.column("class").to_pylist(), texts):
+            for node, wanted, text in zip(batch.column("node").to_pylist(), batch.column("class").to_pylist(), texts):
                 s = shingles(text, size)
                 if hashlib.sha256(s.tobytes()).digest()[:16] == wanted:  # the id may have other texts
-                    rows.append((wanted, doc, len(s), s.view(np.int64)))
+                    rows.append((node, s.view(np.int64)))
             yield _batch(rows, _SETS)
     return sets
 
 
-_ORDERED = pa.schema([("class", pa.binary()), ("rep", pa.int64()), ("n", pa.int64()), ("alone", pa.int64()), ("shingles", pa.binary()),
+_ORDERED = pa.schema([("node", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("alone", pa.int64()), ("shingles", pa.binary()),
                       ("ranges", pa.binary()), ("exposed", pa.list_(pa.int64()))])
 
 
@@ -97,7 +195,7 @@ def _ordered(percent):
     def ordered(batches):
         for batch in batches:
             rows = []
-            for key, rep, n, grams in zip(*(batch.column(c) for c in ("class", "rep", "n", "grams"))):
+            for key, rep, n, grams in zip(*(batch.column(c) for c in ("node", "rep", "n", "grams"))):
                 s = grams.values.to_numpy().view(np.uint64)
                 n = n.as_py()
                 count = np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=RANGES)
@@ -133,7 +231,7 @@ def _star(percent):
         for batch in batches:
             center = pa.Table.from_arrays(list(batch.column("center").flatten()), names=[f.name for f in batch.schema.field("center").type])
             keep = pa.array(may_link(_columns(batch), _columns(center), percent))
-            yield pa.RecordBatch.from_arrays([center.column("class").combine_chunks().filter(keep), batch.column("class").filter(keep)], names=["center", "class"])
+            yield pa.RecordBatch.from_arrays([center.column("node").combine_chunks().filter(keep), batch.column("node").filter(keep)], names=["center", "node"])
     return star
 
 
@@ -157,19 +255,19 @@ def _verify_star(percent):
 
 
 def star_links(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links among ``edges`` (center, class). A center's members are dealt in blocks, each with a copy of its set."""
-    sets = sets.select("class", "rep", "n", "shingles")
+    """The links among ``edges`` (center, node). A center's members are dealt in blocks, each with a copy of its set."""
+    sets = sets.select("node", "rep", "n", "shingles")
     blocks = edges.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / linking.BLOCK_ROWS).cast("int").alias("blocks"))
-    members = edges.join(blocks, "center").select("center", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("salt"), F.lit(1).alias("role"), "class")
-    centers = blocks.select("center", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("center").alias("class"))
-    rows = members.union(centers).join(sets, "class").drop("class")
+    members = edges.join(blocks, "center").select("center", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("salt"), F.lit(1).alias("role"), "node")
+    centers = blocks.select("center", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("center").alias("node"))
+    rows = members.union(centers).join(sets, "node").drop("node")
     return (rows.repartition("center", "salt").sortWithinPartitions("center", "salt", "role")
             .mapInArrow(_verify_star(percent), "a bigint, b bigint"))
 
 
 def _open(percent):
-    """Members (gram, lo, hi, block, class, label, n, alone, at, ranges) in order of the group -> those of a pair of components that may link."""
-    names = ["gram", "lo", "hi", "block", "class", "label", "at"]
+    """Members (gram, lo, hi, block, node, label, n, alone, at, ranges) in order of the group -> those of a pair of components that may link."""
+    names = ["gram", "lo", "hi", "block", "node", "label", "at"]
 
     def run(batches):
         for group in grouped(batches, ["gram", "lo", "hi"]):
@@ -197,44 +295,40 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     Two documents link if 100 * shared n-grams >= percent * n-grams of either."""
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sketch = written(docs.mapInArrow(_sketch(size, percent), "doc_id bigint, n bigint, class binary, low array<bigint>"), "grams-sketch")
+    sketch = written(sketch_of(docs, size, percent), "grams-sketch")
     ids = sketch.where("class is not null")
-    folded = written(ids.groupBy("class").agg(F.min("doc_id").alias("rep")), "grams-folded")
-    same = (ids.select("doc_id", "class").join(folded, "class").where("doc_id <> rep")
+    folded = written(ids.groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("alive").alias("alive")), "grams-folded")
+    same = (ids.select("doc_id", "class").join(folded.select("class", "rep"), "class").where("doc_id <> rep")
             .select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct())
     same = written(same, "grams-same")
-    # 2. alive
-    reps = folded.select(F.col("rep").alias("doc_id"), "class")
-    low = ids.join(reps, ["doc_id", "class"], "left_semi").select(F.explode("low").alias("gram"), "class")
-    several = low.groupBy("gram").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("gram")
-    alive = written(low.join(several, "gram").select("class").distinct(), "grams-alive")
-    alive = reps.join(alive, "class", "left_semi")
-    sets = docs.join(alive, "doc_id").mapInArrow(_sets(size), "class binary, rep bigint, n bigint, grams array<bigint>")
+    nodes = written(folded.where("alive").select(F.monotonically_increasing_id().alias("node"), "rep", "n", "class"), "grams-nodes")
+    sets = docs.join(nodes.select("node", F.col("rep").alias("doc_id"), "class"), "doc_id").mapInArrow(_sets(size), "node bigint, grams array<bigint>")
     sets = written(sets, "grams-sets")
     # 3. rare first
-    rows = sets.select("class", "rep", "n", F.explode("grams").alias("gram"))
+    rows = sets.select("node", F.explode("grams").alias("gram"))
     held = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    shared = (rows.join(held, "gram").groupBy("class", "rep", "n").agg(F.sort_array(F.collect_set(F.struct("held", "gram"))).alias("x"))
-              .select("class", "rep", "n", F.col("x.gram").alias("grams")))
-    ordered = shared.mapInArrow(_ordered(percent), "class binary, rep bigint, n bigint, alone bigint, shingles binary, ranges binary, exposed array<bigint>")
+    shared = (rows.join(held, "gram").groupBy("node").agg(F.sort_array(F.collect_set(F.struct("held", "gram"))).alias("x"))
+              .select("node", F.col("x.gram").alias("grams")))
+    ordered = shared.join(nodes.select("node", "rep", "n"), "node").mapInArrow(
+        _ordered(percent), "node bigint, rep bigint, n bigint, alone bigint, shingles binary, ranges binary, exposed array<bigint>")
     ordered = written(ordered.where("size(exposed) > 0"), "grams-ordered")
     # 4. prefix join
-    exposed = ordered.select("class", "rep", "n", "alone", "ranges", F.posexplode("exposed").alias("at", "gram")).withColumn("at", F.col("alone") + F.col("at"))
-    me = F.struct("rep", "class", "n", "alone", "at", "ranges")
+    exposed = ordered.select("node", "rep", "n", "alone", "ranges", F.posexplode("exposed").alias("at", "gram")).withColumn("at", F.col("alone") + F.col("at"))
+    me = F.struct("rep", "node", "n", "alone", "at", "ranges")
     groups = exposed.groupBy("gram").agg(F.min(me).alias("center"), F.count(F.lit(1)).alias("m")).where("m > 1")
     members = written(exposed.join(groups, "gram"), "grams-members")
     # 5. star
-    edges = members.where("class <> center.class").select("class", "n", "alone", "at", "ranges", "center")
-    edges = written(edges.mapInArrow(_star(percent), "center binary, class binary").distinct(), "grams-star")
+    edges = members.where("node <> center.node").select("node", "n", "alone", "at", "ranges", "center")
+    edges = written(edges.mapInArrow(_star(percent), "center bigint, node bigint").distinct(), "grams-star")
     labels = components(written(star_links(edges, ordered, percent), "grams-links").union(same), "grams-labels")
     # 6. the rest
     rows = members.drop("center").join(labels.select(F.col("doc_id").alias("rep"), F.col("component_id").alias("label")), "rep", "left")
     rows = rows.withColumn("label", F.coalesce("label", "rep"))
     several = rows.groupBy("gram").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.sum("n").alias("grams")).where("l0 < l1").select("gram", "grams")
-    rows = in_blocks(rows.join(several, "gram"), block_count(F.col("m"), F.col("grams")), "class")
-    left = rows.select("gram", "lo", "hi", "block", "class", "label", "n", "alone", "at", "ranges").repartition("gram", "lo", "hi").sortWithinPartitions("gram", "lo", "hi")
-    left = written(left.mapInArrow(_open(percent), "gram bigint, lo int, hi int, block int, class binary, label bigint, at bigint"), "grams-open")
-    left = left.join(ordered.select("class", "rep", "n", "alone", "shingles"), "class").select(
+    rows = in_blocks(rows.join(several, "gram"), block_count(F.col("m"), F.col("grams")), "node")
+    left = rows.select("gram", "lo", "hi", "block", "node", "label", "n", "alone", "at", "ranges").repartition("gram", "lo", "hi").sortWithinPartitions("gram", "lo", "hi")
+    left = written(left.mapInArrow(_open(percent), "gram bigint, lo int, hi int, block int, node bigint, label bigint, at bigint"), "grams-open")
+    left = left.join(ordered.select("node", "rep", "n", "alone", "shingles"), "node").select(
         "gram", "lo", "hi", "block", F.col("rep").alias("doc_id"), "label", F.col("n").alias("size"), "shingles", (F.col("at") - F.col("alone")).alias("at"))
     new = (left.repartition("gram", "lo", "hi").sortWithinPartitions("gram", "lo", "hi").mapInArrow(links(percent, ["gram"]), "a bigint, b bigint"))
     new = written(new.distinct(), "grams-links")
