@@ -7,7 +7,8 @@
    of them are held by another one; nothing is lost. The n-grams travel packed, a block of documents at a time, to the task that counts
    their range of hashes, and only numbers per document come back. An n-gram that several documents of a block hold is sent
    once, so a very common one makes a row per block.
-3. *Rare first*: for the others, how many classes hold each n-gram. Each set is put in order of that number (ties by
+   The texts of those that go on are read again, behind a fixed-size bit table of their ids.
+3. *Rare first*: for them, how many classes hold each n-gram. Each set is put in order of that number (ties by
    hash). What only one class holds comes first and never joins, so of the prefix of n - ceil(0.8 n) + 1 n-grams only the rest is
    exposed.
 4. *Prefix join*: the exposed n-grams group the classes. In a group, a pair goes where a filter rules it out. Length: sizes
@@ -35,6 +36,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -254,6 +256,26 @@ def _verify_star(percent):
     return verify
 
 
+#: Bits of the filter of alive ids: what is broadcast is bounded by it. When most bits are set it lets most texts pass, and the join below decides.
+FILTER_BITS = 1 << 27
+
+
+def may_hold(ids: DataFrame, column: str):
+    """A condition on an id that holds for all ids of the column, and for few others while there are far fewer ids than bits."""
+    bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    words = (ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow())  # a row per word at most
+    table = np.zeros(FILTER_BITS >> 6, dtype=np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = ids.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def known(bit: pd.Series) -> pd.Series:
+        b = bit.to_numpy()
+        return pd.Series((shared.value[b >> 6] >> (b & 63)) & 1 == 1)
+    return lambda c: known(F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)))
+
+
 def star_links(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links among ``edges`` (center, node). A center's members are dealt in blocks, each with a copy of its set."""
     sets = sets.select("node", "rep", "n", "shingles")
@@ -302,7 +324,8 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
             .select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct())
     same = written(same, "grams-same")
     nodes = written(folded.where("alive").select(F.monotonically_increasing_id().alias("node"), "rep", "n", "class"), "grams-nodes")
-    sets = docs.join(nodes.select("node", F.col("rep").alias("doc_id"), "class"), "doc_id").mapInArrow(_sets(size), "node bigint, grams array<bigint>")
+    texts = docs.where("doc_id is not null").where(may_hold(nodes, "rep")("doc_id"))  # few other texts are shuffled
+    sets = texts.join(nodes.select("node", F.col("rep").alias("doc_id"), "class"), "doc_id").mapInArrow(_sets(size), "node bigint, grams array<bigint>")
     sets = written(sets, "grams-sets")
     # 3. rare first
     rows = sets.select("node", F.explode("grams").alias("gram"))
