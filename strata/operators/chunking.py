@@ -5,11 +5,7 @@ Physical layout:
 * A file/document is one row. C2 (fallback fold), C3 (fixed windows) and
   C1d (gap merge) run *inside the row* with higher-order functions: no line
   explode, no shuffle, codegen-friendly.
-* C1 (definition blocks) needs running sums over lines; it posexplodes the
-  lines and uses windows partitioned by the file key; the segment and the
-  per-file aggregations reuse that partitioning (one exchange in all), and
-  the per-file row chooses between its blocks and the C2 fallback in-row.
-  A file is bounded, so a window partition is bounded.
+* C1 (definition blocks) is in ``blocks``; it works inside the row, too.
 * C1b (contained ranges) runs over a *group* (e.g. a user) that may be
   hot; it uses a two-level running max: per (group, time bucket) partitions
   plus a carried-in maximum from the earlier buckets of the group.
@@ -21,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dims import (BATCH_DELIMITER, BATCH_MAX_CHARS, DEFAULT_KINDS, DEFAULT_THRESHOLD,
-                              FALLBACK_THRESHOLDS, KINDS_BY_LANG, RAG_LINES_PER_CHUNK)
+from ..functions.dims import (BATCH_DELIMITER, BATCH_MAX_CHARS, DEFAULT_THRESHOLD,
+                              FALLBACK_THRESHOLDS, RAG_LINES_PER_CHUNK)
 from ..functions.lines import explode_rows, indent_of, lines_l1, lines_l2, py_strip
 
 
@@ -121,146 +117,6 @@ def with_fixed_line_chunks(df: DataFrame, text: str, size: int = RAG_LINES_PER_C
     return d.withColumn(out, F.transform(seq, mk)).drop("_l2", "_np")
 
 
-# ------------------------------------------------------------------ C1 definition blocks
-
-# Own kind recognisers: (lang, kind, regex on the stripped first line of a block).
-# The first matching row wins; a block is kept when its kind is in the
-# language's kind list.
-KIND_PATTERNS = [
-    ("python", "function_definition", r"^(async\s+)?def\s"),
-    ("python", "class_definition", r"^class\s"),
-    ("python", "lambda", r"^[A-Za-z_][A-Za-z0-9_]*\s*=\s*lambda[\s:]"),
-    ("javascript", "function", r"^(export\s+)?(default\s+)?(async\s+)?function[\s*(]"),
-    ("javascript", "class_declaration", r"^(export\s+)?(default\s+)?class\s"),
-    ("javascript", "lexical_declaration", r"^(export\s+)?(const|let)\s"),
-    ("javascript", "variable_declarator", r"^var\s"),
-    ("typescript", "function", r"^(export\s+)?(async\s+)?function[\s*(]"),
-    ("java", "class_declaration", r"^((public|private|protected|abstract|final|static)\s+)*class\s"),
-    ("java", "interface_declaration", r"^((public|private|protected)\s+)*interface\s"),
-    ("java", "method_declaration", r"^((public|private|protected|static|final|synchronized)\s+)*[A-Za-z_<>\[\], ]+\s+[A-Za-z_][A-Za-z0-9_]*\s*\("),
-    ("java", "field_declaration", r";$"),
-    ("go", "function_declaration", r"^func\s+[A-Za-z_]"),
-    ("go", "method_declaration", r"^func\s*\("),
-    ("go", "type_declaration", r"^type\s"),
-    ("rust", "function_item", r"^(pub(\([a-z]+\))?\s+)?(async\s+)?(unsafe\s+)?fn\s"),
-    ("rust", "struct_item", r"^(pub(\([a-z]+\))?\s+)?struct\s"),
-    ("rust", "enum_item", r"^(pub(\([a-z]+\))?\s+)?enum\s"),
-    ("rust", "trait_item", r"^(pub(\([a-z]+\))?\s+)?trait\s"),
-    ("rust", "impl_item", r"^impl[\s<]"),
-    ("rust", "mod_item", r"^(pub\s+)?mod\s"),
-    ("rust", "macro_definition", r"^macro_rules!"),
-    ("rust", "use_declaration", r"^(pub\s+)?use\s"),
-    ("rust", "const_item", r"^(pub\s+)?const\s"),
-    ("php", "function_definition", r"^function\s"),
-    ("php", "class_declaration", r"^((abstract|final)\s+)?class\s"),
-    ("ruby", "method", r"^def\s"),
-    ("ruby", "class", r"^class\s"),
-    ("c", "preproc_def", r"^#\s*define\s"),
-    ("c", "struct_specifier", r"^(typedef\s+)?struct\s"),
-    ("c", "enum_specifier", r"^(typedef\s+)?enum\s"),
-    ("c", "function_definition", r"^[A-Za-z_][A-Za-z0-9_\s\*]*\([^;]*$"),
-    ("c", "declaration", r";$"),
-    ("cpp", "preproc_def", r"^#\s*define\s"),
-    ("cpp", "preproc_include", r"^#\s*include"),
-    ("cpp", "preproc_if", r"^#\s*if"),
-    ("cpp", "template_declaration", r"^template\s*<"),
-    ("cpp", "namespace_definition", r"^namespace\s"),
-    ("cpp", "class_specifier", r"^class\s"),
-    ("cpp", "struct_specifier", r"^(typedef\s+)?struct\s"),
-    ("cpp", "enum_specifier", r"^(typedef\s+)?enum\s"),
-    ("cpp", "function_definition", r"^[A-Za-z_][A-Za-z0-9_:<>\s\*&]*\([^;]*$"),
-    ("cpp", "declaration", r";$"),
-]
-INDENT_LANGS = ("python",)
-# strings and comments that must not count as braces (one line at a time)
-MASK_RE = r'"([^"\\]|\\.)*"|' + r"'([^'\\]|\\.)*'|//.*$|/\*.*?\*/"
-
-
-def _kind_of(lang: Column, first: Column) -> Column:
-    expr = None
-    for klang, kind, rx in KIND_PATTERNS:
-        if kind not in KINDS_BY_LANG.get(klang, DEFAULT_KINDS):
-            continue
-        cond = (lang == F.lit(klang)) & first.rlike(rx)
-        expr = F.when(cond, F.lit(kind)) if expr is None else expr.when(cond, F.lit(kind))
-    return expr
-
-
-def block_chunks(df: DataFrame, keys: list[str], text: str, lang: str) -> DataFrame:
-    """Outermost definition blocks without a parser (see SURVEY N2).
-
-    Comments are not code: strings and same-line comments are masked, and a
-    running balance of ``/*`` and ``*/`` marks lines inside block comments
-    (``#`` lines in Python). Brace languages: a code line at brace depth 0
-    starts a block when it is the first code line, follows a blank line, or
-    the previous *code* line is a preprocessor line or ends a statement
-    (``;``) or a block (``}``). Python: a code line with indent 0. Blocks run
-    to their last code line; a block is kept when its first line matches a
-    kind of its language. Files without any block fall back to C2. Output
-    columns as ``explode_chunks``.
-    """
-    base = df.select(*keys, F.col(lang).alias("_lang"), F.col(text).alias("_text"))
-    lines = base.select(*keys, "_lang", F.posexplode(lines_l2("_text")).alias("_pos", "_line"))
-    # only lines with a quote or a slash can hold a string or a comment
-    line = F.col("_line")
-    indent_lang = F.col("_lang").isin(*INDENT_LANGS)
-    lines = lines.withColumn("_m", F.when(line.rlike("[\"'/]"), F.regexp_replace(line, MASK_RE, "")).otherwise(line))
-    m = F.col("_m")
-    opens = F.when(indent_lang, F.lit(0)).otherwise((F.length(m) - F.length(F.replace(m, F.lit("/*"), F.lit("")))) / 2)
-    closes = F.when(indent_lang, F.lit(0)).otherwise((F.length(m) - F.length(F.replace(m, F.lit("*/"), F.lit("")))) / 2)
-    w = Window.partitionBy(*keys).orderBy("_pos")
-    before = Window.partitionBy(*keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
-    # inside a block comment at the start of the line: running balance of /* and */
-    lines = (lines.withColumn("_open", opens.cast("int")).withColumn("_close", closes.cast("int"))
-             .withColumn("_inb", F.coalesce(F.sum(F.col("_open") - F.col("_close")).over(before), F.lit(0)) > 0))
-    code = (F.when(indent_lang, F.when(py_strip(line).startswith("#"), F.lit("")).otherwise(line))
-            .when(F.col("_inb"), F.when(F.col("_close") > 0, F.regexp_extract(m, r"^.*\*/(.*)$", 1)).otherwise(F.lit("")))
-            .when(F.col("_open") > 0, F.regexp_extract(m, r"^(.*?)/\*", 1))
-            .otherwise(m))
-    lines = lines.withColumn("_code", py_strip(code))
-    is_code = F.col("_code") != ""
-    c = F.col("_code")
-    delta = F.when(indent_lang, F.lit(0)).otherwise(
-        (F.length(c) - F.length(F.replace(c, F.lit("{"), F.lit(""))))
-        - (F.length(c) - F.length(F.replace(c, F.lit("}"), F.lit("")))))
-    prev = F.lag("_line").over(w)
-    prev_code = F.last(F.when(is_code, c), ignorenulls=True).over(before)
-    brace_start = is_code & (F.coalesce(F.sum(delta).over(before), F.lit(0)) <= 0) & (
-        prev.isNull() | (py_strip(prev) == "") | prev_code.isNull() | prev_code.startswith("#")
-        | prev_code.endswith(";") | prev_code.endswith("}"))
-    indent_start = is_code & (indent_of(line) == 0)
-    is_start = F.when(indent_lang, indent_start).otherwise(brace_start)
-    # "_blank": not code (blank, comment-only or inside a block comment)
-    seg = (lines.withColumn("_seg", F.sum(is_start.cast("int")).over(w)).withColumn("_blank", ~is_code)
-           .select(*keys, "_lang", "_pos", "_line", "_seg", "_blank"))
-    # one row per segment (same partitioning as the window: no new exchange)
-    segs = (seg.groupBy(*keys, "_lang", "_seg").agg(
-        F.array_sort(F.collect_list(F.struct("_pos", "_line", "_blank"))).alias("_ls"))
-        .withColumn("_nb", F.filter("_ls", lambda x: ~x["_blank"])))
-    first = F.element_at("_nb", 1)["_pos"]
-    last = F.element_at("_nb", -1)["_pos"]
-    kind = F.when((F.col("_seg") > 0) & (F.size("_nb") > 0),
-                  _kind_of(F.col("_lang"), py_strip(F.element_at("_nb", 1)["_line"])))
-    body = F.array_join(F.transform(F.filter("_ls", lambda x: x["_pos"] <= last), lambda x: x["_line"]), "\n")
-    block = F.when(kind.isNotNull(), F.struct(
-        first.alias("_first"), (first + 1).cast("int").alias("start_line"), (last + 1).cast("int").alias("end_line"),
-        (last - first + 1).cast("int").alias("n_lines"), kind.alias("kind"), body.alias("text")))
-    everything = F.array_join(F.transform("_ls", lambda x: x["_line"]), "\n")
-    # one row per file: its kept blocks, and its full text for the fallback
-    per_file = segs.groupBy(*keys, "_lang").agg(
-        F.array_sort(F.collect_list(block)).alias("_blocks"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_seg"), everything.alias("t")))),
-                                 lambda x: x["t"]), "\n").alias("_text"))
-    blocks = F.transform("_blocks", lambda b, i: F.struct(
-        i.alias("chunk_no"), b["start_line"].alias("start_line"), b["end_line"].alias("end_line"),
-        F.lit(None).cast("int").alias("start_ord"), F.lit(None).cast("int").alias("end_ord"),
-        b["n_lines"].alias("n_lines"), b["kind"].alias("kind"), b["text"].alias("text")))
-    pf = per_file.withColumn("_fbt", F.when(F.size("_blocks") == 0, F.col("_text")))
-    pf = with_fallback_chunks(pf, "_fbt", threshold_for("_lang"), out="_fb")
-    pf = pf.withColumn("chunks", F.when(F.size("_blocks") > 0, blocks).otherwise(F.col("_fb")))
-    return explode_chunks(pf, keys)
-
-
 # ------------------------------------------------------------------ C1b contained ranges
 
 def drop_contained(df: DataFrame, keys: list[str], start: str, end: str, tie: str, bucket: Column) -> DataFrame:
@@ -292,7 +148,7 @@ def drop_trivial(df: DataFrame, kind: str = "kind", parent_kind: str = "parent_k
     """Drop single-line declarators under 30 characters and nested
     pieces spanning fewer than two line steps."""
     t = py_strip(F.col(text))
-    small_decl = ((F.col(kind) == "variable_declarator") & (F.size(lines_l1(t)) < 2) & (F.length(t) < 30))
+    small_decl = (F.col(kind).eqNullSafe("variable_declarator") & (F.size(lines_l1(t)) < 2) & (F.length(t) < 30))
     nested_small = F.col(parent_kind).isNotNull() & ((F.col(end_line) - F.col(start_line)) < 2)
     return df.filter(~(small_decl | nested_small))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import chunking as C
+from ..operators import blocks as B
 from ..operators import rules as R
 from ..operators import verdicts as V
 
@@ -19,7 +19,7 @@ def scan_source(files: DataFrame, id_col: str = "file_id", lang: str = "lang", c
                 verdict_fn=V.default_verdict_fn, parallelism: int | None = None) -> DataFrame:
     """One row per chunk with its verdict: (id, chunk_no, start_line,
     end_line, chunk_hash, is_vulnerability, cwe, severity, n_flagged)."""
-    chunks = C.block_chunks(files.select(id_col, lang, code), [id_col, lang], code, lang)
+    chunks = B.block_chunks(files.select(id_col, lang, code), [id_col, lang], code, lang)
     f = R.with_findings(chunks, "text", lang)
     req = f.select(id_col, "chunk_no", "start_line", "end_line", F.col("hash").alias("chunk_hash"),
                    F.col(lang).alias("lang"), R.work_key("text", "findings").alias("work_key"),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.dims import FALLBACK_THRESHOLDS, KINDS_BY_LANG, DEFAULT_KINDS, sql_literal
+from ..functions.dims import FALLBACK_THRESHOLDS
 from ..functions.lines import explode_rows, lines_l1, py_strip
+from ..operators import blocks as B
 from ..operators import chunking as C
 from ..operators.splitter import recursive_pieces
 from ..sources.tables import code_corpus, table
@@ -83,44 +84,35 @@ def q_chunk_fallback(spark, sf_dir):
 
 # ------------------------------------------------------------------ C1
 
-def _kind_case(lang: str, first: str) -> str:
-    parts = []
-    for klang, kind, rx in C.KIND_PATTERNS:
-        if kind in KINDS_BY_LANG.get(klang, DEFAULT_KINDS):
-            parts.append(f"WHEN {lang} = '{klang}' AND regexp_matches({first}, {sql_literal(rx)}) THEN '{kind}'")
-    return "CASE " + " ".join(parts) + " END"
-
-
 def blocks_sql(files_cte: str) -> str:
-    """Window-based oracle of C1 over ``files(file_id, lang, code)``; yields CTE ``blk``."""
-    mask = sql_literal(C.MASK_RE)
+    """Oracle of C1 over ``files(file_id, lang, code)`` in python, c and javascript; yields CTE ``blk``. Every line that may begin a
+    definition gets its extent from the lines behind it; those inside of another one go. No state is carried along."""
+    quoted = "\"(?:[^\"\\\\\\n]|\\\\.)*\"|''(?:[^''\\\\\\n]|\\\\.)*''"
     return f"""{files_cte},
-b1 AS (SELECT file_id, lang, unnest(string_split(code, chr(10))) AS line,
-              generate_subscripts(string_split(code, chr(10)), 1) - 1 AS pos FROM files),
-b2 AS (SELECT *, CASE WHEN regexp_matches(line, '["''/]') THEN regexp_replace(line, {mask}, '', 'g') ELSE line END AS m FROM b1),
-b2a AS (SELECT *, CASE WHEN lang = 'python' THEN 0 ELSE (length(m) - length(replace(m, '/*', ''))) // 2 END AS op,
-               CASE WHEN lang = 'python' THEN 0 ELSE (length(m) - length(replace(m, '*/', ''))) // 2 END AS cl FROM b2),
-b2b AS (SELECT *, coalesce(sum(op - cl) OVER (PARTITION BY file_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS inb FROM b2a),
-b2c AS (SELECT *, {pystrip("CASE WHEN lang = 'python' THEN CASE WHEN starts_with(" + pystrip('line') + ", '#') THEN '' ELSE line END WHEN inb THEN CASE WHEN cl > 0 THEN regexp_extract(m, '^.*\\*/(.*)$', 1) ELSE '' END WHEN op > 0 THEN regexp_extract(m, '^(.*?)/\\*', 1) ELSE m END")} AS code FROM b2b),
-b3 AS (SELECT *, code = '' AS blank,
-              CASE WHEN lang = 'python' THEN 0 ELSE (length(code) - length(replace(code, '{{', ''))) - (length(code) - length(replace(code, '}}', ''))) END AS delta FROM b2c),
-b4 AS (SELECT *, coalesce(sum(delta) OVER (PARTITION BY file_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth,
-              {pystrip('lag(line) OVER (PARTITION BY file_id ORDER BY pos)')} AS ps,
-              lag(line) OVER (PARTITION BY file_id ORDER BY pos) IS NULL AS first_line,
-              last_value(CASE WHEN code <> '' THEN code END IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pc FROM b3),
-b5 AS (SELECT *, CASE WHEN lang = 'python' THEN NOT blank AND length(line) - length({pylstrip('line')}) = 0
-                 ELSE NOT blank AND depth <= 0 AND (first_line OR ps = '' OR pc IS NULL OR starts_with(pc, '#') OR ends_with(pc, ';') OR ends_with(pc, '}}')) END AS st FROM b4),
-bg AS (SELECT *, sum(CAST(st AS INTEGER)) OVER (PARTITION BY file_id ORDER BY pos) AS seg FROM b5),
-bb AS (SELECT file_id, lang, seg, min(pos) FILTER (WHERE NOT blank) AS first, max(pos) FILTER (WHERE NOT blank) AS last
-       FROM bg WHERE seg > 0 GROUP BY file_id, lang, seg),
-bt AS (SELECT bb.file_id, bb.lang, bb.first, bb.last, string_agg(bg.line, chr(10) ORDER BY bg.pos) AS text,
-              {pystrip("max(CASE WHEN bg.pos = bb.first THEN bg.line END)")} AS fl
-       FROM bb JOIN bg ON bg.file_id = bb.file_id AND bg.pos BETWEEN bb.first AND bb.last
-       GROUP BY bb.file_id, bb.lang, bb.first, bb.last),
-bk AS (SELECT *, {_kind_case('lang', 'fl')} AS kind FROM bt),
-blk AS (SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY first) - 1 AS INTEGER) AS chunk_no,
-               CAST(first + 1 AS INTEGER) AS start_line, CAST(last + 1 AS INTEGER) AS end_line,
-               CAST(last - first + 1 AS INTEGER) AS n_lines, kind, text FROM bk WHERE kind IS NOT NULL)"""
+bt AS (SELECT file_id, lang, code, array_to_string(list_transform(CASE WHEN lang = 'python' THEN regexp_extract_all(code, '#[^\\n]*|{quoted}|[^"''#]+|(?s:.)')
+           ELSE regexp_extract_all(code, '/\\*(?s:.*?)\\*/|//[^\\n]*|{quoted}|`[^`]*`|[^"''`/]+|(?s:.)') END, lambda t:
+         CASE WHEN lang = 'python' AND t[1] = '#' OR lang <> 'python' AND t[1:2] IN ('/*', '//') THEN regexp_replace(t, '[^\\n]+', '', 'g')
+              WHEN t[1] IN ('"', chr(39), '`') AND len(t) > 1 THEN regexp_replace(t, '[^\\n]+', '_', 'g') ELSE t END), '') AS clean FROM files),
+bl AS (SELECT file_id, lang, unnest(string_split(clean, chr(10))) AS m, generate_subscripts(string_split(clean, chr(10)), 1) AS i FROM bt),
+bd AS (SELECT *, {pystrip('m')} AS c, length(m) - length({pylstrip('m')}) AS ind,
+              length(regexp_replace(m, '[^(\\[{{]', '', 'g')) - length(regexp_replace(m, '[^)\\]}}]', '', 'g')) AS delta FROM bl),
+be AS (SELECT *, sum(delta) OVER (PARTITION BY file_id ORDER BY i) AS after FROM bd WHERE c <> ''),
+bs AS (SELECT *, after - delta AS before,
+         CASE lang WHEN 'python' THEN CASE WHEN c LIKE 'def %' THEN 'function_definition' WHEN c LIKE 'class %' THEN 'class_definition' END
+                   WHEN 'javascript' THEN CASE WHEN c LIKE 'function %' THEN 'function' WHEN split_part(c, ' ', 1) IN ('const', 'let') THEN 'lexical_declaration' END
+                   ELSE CASE WHEN c[1] = '#' OR split_part(c, ' ', 1) IN ('if', 'for', 'while', 'return', 'else') THEN NULL
+                             WHEN regexp_matches(c, '^struct [A-Za-z]+ *[{{]') THEN 'struct_specifier'
+                             WHEN regexp_matches(c, '^[a-z]+ [a-z0-9]+\\(') THEN 'function_definition' WHEN c[-1] = ';' THEN 'declaration' END END AS kind FROM be),
+sp AS (SELECT s.file_id, s.kind, s.i AS first,
+              min(n.i) FILTER (WHERE s.lang = 'python' AND n.i > s.i AND n.before = 0 AND n.ind <= s.ind) AS next,
+              min(n.i) FILTER (WHERE s.lang <> 'python' AND n.after <= s.before AND n.c[-1] IN (';', '}}')) AS closing
+       FROM bs s JOIN bs n ON n.file_id = s.file_id AND n.i >= s.i WHERE s.kind IS NOT NULL AND (s.lang <> 'python' OR s.before = 0) GROUP BY ALL),
+bx AS (SELECT sp.file_id, sp.kind, sp.first, coalesce(closing, max(n.i)) AS last
+       FROM sp JOIN bs n ON n.file_id = sp.file_id AND (next IS NULL OR n.i < next) GROUP BY sp.file_id, sp.kind, sp.first, closing),
+bo AS (SELECT * FROM bx ANTI JOIN (SELECT i.file_id, i.first FROM bx i JOIN bx o ON o.file_id = i.file_id AND o.first < i.first AND o.last >= i.first) USING (file_id, first)),
+blk AS (SELECT bo.file_id, CAST(row_number() OVER (PARTITION BY bo.file_id ORDER BY first) - 1 AS INTEGER) AS chunk_no, CAST(first AS INTEGER) AS start_line,
+               CAST(last AS INTEGER) AS end_line, CAST(last - first + 1 AS INTEGER) AS n_lines, kind,
+               array_to_string(string_split(code, chr(10))[first:last], chr(10)) AS text FROM bo JOIN files USING (file_id))"""
 
 
 BLOCKS_ORACLE = f"""WITH RECURSIVE {blocks_sql(CC + ", files AS (SELECT file_id, lang, code FROM cc)")},
@@ -131,45 +123,37 @@ UNION ALL SELECT id, chunk_no, start_line, end_line, n_lines, NULL, sha256(text)
 
 @query("chunk_blocks", BLOCKS_ORACLE, kind="R")
 def q_chunk_blocks(spark, sf_dir):
-    out = C.block_chunks(code_corpus(spark, sf_dir), ["file_id"], "code", "lang")
+    out = B.block_chunks(code_corpus(spark, sf_dir), ["file_id"], "code", "lang")
     return out.select("file_id", "chunk_no", "start_line", "end_line", "n_lines", "kind", "hash")
 
 
 # ------------------------------------------------------------------ C1c
 
 @query("drop_trivial_chunks", f"""WITH RECURSIVE {blocks_sql(CC + ", files AS (SELECT file_id, lang, code FROM cc)")},
+{fallback_sql("srcs AS (SELECT 'code' AS src, file_id AS id, lang, code AS text FROM files WHERE file_id NOT IN (SELECT file_id FROM blk))")},
+kl AS (SELECT file_id, chunk_no, start_line, kind, unnest(string_split(text, chr(10))) AS line,
+              generate_subscripts(string_split(text, chr(10)), 1) AS i FROM blk WHERE kind = 'class_definition'),
+kc AS (SELECT *, length(line) - length({pylstrip('line')}) AS ind FROM kl WHERE {pystrip('line')} <> ''),
+ms AS (SELECT m.file_id, m.chunk_no, m.start_line, m.i, min(n.i) FILTER (WHERE n.i > m.i AND n.ind <= m.ind) AS next
+       FROM kc m JOIN kc n USING (file_id, chunk_no) WHERE m.ind > 0 AND regexp_matches(m.line, '^\\s+(async\\s+)?def\\s') GROUP BY ALL),
+methods AS (SELECT ms.file_id, ms.start_line + ms.i - 1 AS start_line, ms.start_line + max(p.i) - 1 AS end_line
+            FROM ms JOIN kc p ON p.file_id = ms.file_id AND p.chunk_no = ms.chunk_no AND (next IS NULL OR p.i < next) GROUP BY ms.file_id, ms.start_line, ms.i),
 pieces AS (
   SELECT file_id, start_line, end_line, kind, NULL AS parent_kind, text FROM blk
+  UNION ALL SELECT id, start_line, end_line, NULL, NULL, text FROM fb
+  UNION ALL SELECT file_id, start_line, end_line, 'function_definition', 'class_definition', NULL FROM methods
   UNION ALL
-  SELECT file_id, start_line + list_position(list_transform(string_split(text, chr(10)), lambda s: regexp_matches(s, '^\\s+def\\s')), true) - 1,
-         end_line, 'function_definition', 'class_definition',
-         array_to_string(string_split(text, chr(10))[list_position(list_transform(string_split(text, chr(10)), lambda s: regexp_matches(s, '^\\s+def\\s')), true):], chr(10))
-  FROM blk WHERE kind = 'class_definition' AND regexp_matches(text, '\\n\\s+def\\s')
-  UNION ALL
-  SELECT file_id, start_line, start_line, 'variable_declarator', 'lexical_declaration',
-         regexp_extract(text, '^(const|let)\\s+(.*);\\s*$', 2)
+  SELECT file_id, start_line, end_line, 'variable_declarator', 'lexical_declaration',
+         regexp_extract(text, '^(const|let)\\s+((?s:.*));\\s*$', 2)
   FROM blk WHERE kind = 'lexical_declaration')
 SELECT file_id, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, kind, parent_kind
 FROM pieces
-WHERE NOT ((kind = 'variable_declarator' AND len({l1(pystrip('text'))}) < 2 AND length({pystrip('text')}) < 30)
-           OR (parent_kind IS NOT NULL AND end_line - start_line < 2))""", kind="R")
+WHERE NOT coalesce((kind = 'variable_declarator' AND len({l1(pystrip('text'))}) < 2 AND length({pystrip('text')}) < 30), false)
+  AND NOT (parent_kind IS NOT NULL AND end_line - start_line < 2)""", kind="R")
 def q_drop_trivial_chunks(spark, sf_dir):
-    blocks = C.block_chunks(code_corpus(spark, sf_dir), ["file_id"], "code", "lang").filter(F.col("kind").isNotNull())
-    piece = "struct<start_line:int,end_line:int,kind:string,parent_kind:string,text:string>"
-    ls = F.split("text", "\n", -1)
-    pos = F.array_position(F.transform(ls, lambda s: s.rlike(r"^\s+def\s")), True).cast("int")
-    top = F.struct("start_line", "end_line", "kind", F.lit(None).cast("string").alias("parent_kind"), "text")
-    method = F.when((F.col("kind") == "class_definition") & F.col("text").rlike(r"\n\s+def\s"), F.struct(
-        (F.col("start_line") + pos - 1).alias("start_line"), F.col("end_line"), F.lit("function_definition").alias("kind"),
-        F.lit("class_definition").alias("parent_kind"), F.array_join(F.slice(ls, pos, F.size(ls) - pos + 1), "\n").alias("text")))
-    decl = F.when(F.col("kind") == "lexical_declaration", F.struct(
-        F.col("start_line"), F.col("start_line").alias("end_line"), F.lit("variable_declarator").alias("kind"),
-        F.lit("lexical_declaration").alias("parent_kind"),
-        F.regexp_extract("text", r"^(const|let)\s+(.*);\s*$", 2).alias("text")))
-    # every block yields itself plus its nested pieces, in one pass over the blocks
-    arr = F.filter(F.array(top.cast(piece), method.cast(piece), decl.cast(piece)), lambda p: p.isNotNull())
-    pieces = explode_rows(blocks.withColumn("_p", arr), ["file_id"], "_p", "p").select("file_id", "p.*")
-    return C.drop_trivial(pieces).select("file_id", "start_line", "end_line", "kind", "parent_kind")
+    """Every block, every method of its class and every declarator of its declaration, without the trivial ones."""
+    return C.drop_trivial(B.pieces(B.block_chunks(code_corpus(spark, sf_dir), ["file_id"], "code", "lang"), ["file_id"])).select(
+        "file_id", "start_line", "end_line", "kind", "parent_kind")
 
 
 # ------------------------------------------------------------------ C1b

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from strata.functions.lines import lines_l1, lines_l2, lines_l3, normalize_text
 from strata.operators import cache as K
+from strata.operators import blocks as B
+from strata.operators import blocks as B
 from strata.operators import chunking as C
 from strata.operators import consensus as A
 from strata.operators import diffs as D
@@ -368,7 +370,7 @@ def test_definition_blocks_with_comments(spark):
     files = [(1, "c", C_SRC), (2, "python", PY_SRC)]
     df = spark.createDataFrame(files, "file_id long, lang string, code string")
     got = sorted((r.file_id, r.start_line, r.end_line, r.kind)
-                 for r in C.block_chunks(df, ["file_id"], "code", "lang").collect())
+                 for r in B.block_chunks(df, ["file_id"], "code", "lang").collect())
     assert got == [(1, 6, 8, "function_definition"), (1, 10, 15, "function_definition"),
                    (1, 17, 17, "struct_specifier"), (2, 4, 7, "function_definition"), (2, 9, 10, "class_definition")]
     con = duckdb.connect()
