@@ -6,28 +6,19 @@
   (text, bucket) with map-side combine, so at most ``dim`` rows per text are
   shuffled. A user encoder plugs in as an iterator ``pandas_udf``
   (``encoder_udf``) loading its model once per Python worker.
-* X2/X3 exact L2 top-k: the query side is processed in chunks whose size is
-  checked before they are broadcast; every corpus partition computes its
-  local top-k per query with numpy (blocked, float64), then a window keeps
-  the global top-k per query (k x partitions rows per query). Nothing
-  materialises all pairs.
-* X6 approximate: Spark ML ``BucketedRandomProjectionLSH``.
+* X2, X3 and X6 are in ``knn``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EMBED_DIM = 16
 TOKEN_RE = "[a-z0-9_]+"
-MAX_BROADCAST_BYTES = 256 * 1024 * 1024
-QUERY_CHUNK_ROWS = 50_000
 
 
 def embedding_table(df: DataFrame, id_col: str, text: str, dim: int = EMBED_DIM) -> DataFrame:
@@ -75,110 +66,6 @@ def encoder_udf(load_model, dim: int):
     return enc
 
 
-# ------------------------------------------------------------------ X2 / X3 exact top-k
-
-def _topk_merge(best_d, best_i, d2, ids, k):
-    cand_d = np.concatenate([best_d, d2], axis=1)
-    cand_i = np.concatenate([best_i, np.broadcast_to(ids, d2.shape)], axis=1)
-    keep = min(k, cand_d.shape[1])
-    order = np.lexsort((cand_i, cand_d), axis=1)[:, :keep]  # by (distance, id)
-    return np.take_along_axis(cand_d, order, axis=1), np.take_along_axis(cand_i, order, axis=1)
-
-
-def _sq_dist(q, c):
-    d2 = np.zeros((len(q), len(c)))
-    for j in range(c.shape[1]):  # fixed summation order over dimensions
-        diff = q[:, j][:, None] - c[:, j][None, :]
-        d2 += diff * diff
-    return d2
-
-
-def _local_topk(q_ids, q_grp, q_mat, k, id_col, vec_col, grp_col):
-    """mapInPandas body: local top-k per query over one corpus partition.
-    With a group column, corpus rows are only compared with the queries of
-    their own group."""
-    groups = {None: np.arange(len(q_ids))} if not grp_col else {
-        g: np.flatnonzero(q_grp == g) for g in np.unique(q_grp)}
-
-    def run(batches):
-        best = {g: (np.full((len(ix), 0), np.inf), np.zeros((len(ix), 0), dtype=np.int64)) for g, ix in groups.items()}
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            c_ids = pdf[id_col].to_numpy(dtype=np.int64)
-            c_mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
-            c_grp = pdf[grp_col].to_numpy() if grp_col else None
-            for g, ix in groups.items():
-                sel = np.arange(len(c_ids)) if g is None else np.flatnonzero(c_grp == g)
-                for s in range(0, len(sel), 2048):
-                    part = sel[s:s + 2048]
-                    d2 = _sq_dist(q_mat[ix], c_mat[part])
-                    best[g] = _topk_merge(*best[g], d2, c_ids[part], k)
-        rows_q, rows_c, rows_d = [], [], []
-        for g, ix in groups.items():
-            bd, bi = best[g]
-            for r, qi in enumerate(ix):
-                for c in range(bd.shape[1]):
-                    rows_q.append(q_ids[qi])
-                    rows_c.append(bi[r, c])
-                    rows_d.append(bd[r, c])
-        yield pd.DataFrame({"query_id": np.asarray(rows_q, dtype=np.int64),
-                            "neighbor_id": np.asarray(rows_c, dtype=np.int64),
-                            "d2": np.asarray(rows_d, dtype=np.float64)})
-    return run
-
-
-def knn_exact(corpus: DataFrame, id_col: str, vec_col: str, k: int, queries: DataFrame | None = None,
-              group_col: str | None = None, chunk_rows: int = QUERY_CHUNK_ROWS) -> DataFrame:
-    """Exact L2 top-k neighbours (ties by neighbour id) of every query among
-    the corpus; with ``group_col`` only neighbours of the same group count.
-    Returns (query_id, rank, neighbor_id, dist)."""
-    spark = corpus.sparkSession
-    queries = corpus if queries is None else queries
-    qcols = [id_col, vec_col] + ([group_col] if group_col else [])
-    q = queries.select(*qcols)
-    n_q = q.count()
-    n_chunks = max(1, math.ceil(n_q / chunk_rows))
-    c = corpus.select(*qcols)
-    parts = []
-    for ch in range(n_chunks):
-        qc = q if n_chunks == 1 else q.filter(F.pmod(F.xxhash64(id_col), F.lit(n_chunks)) == ch)
-        pdf = qc.toPandas()
-        mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]]) if len(pdf) else np.zeros((0, 1))
-        if mat.nbytes > MAX_BROADCAST_BYTES:
-            raise ValueError(f"query chunk of {mat.nbytes} bytes exceeds the broadcast bound")
-        b = spark.sparkContext.broadcast((pdf[id_col].to_numpy(dtype=np.int64),
-                                          pdf[group_col].to_numpy() if group_col else None, mat))
-
-        def body(batches, b=b):
-            ids, grp, m = b.value
-            yield from _local_topk(ids, grp, m, k, id_col, vec_col, group_col)(batches)
-        parts.append(c.mapInPandas(body, "query_id long, neighbor_id long, d2 double"))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy("d2", "neighbor_id")
-    return (allp.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select("query_id", F.col("rank").cast("int").alias("rank"), "neighbor_id",
-                    F.round(F.sqrt("d2"), 6).alias("dist")))
-
-
-# ------------------------------------------------------------------ X6 approximate
-
-def knn_lsh(vectors: DataFrame, id_col: str, vec_col: str, threshold: float, bucket_length: float = 2.0,
-            num_tables: int = 4, seed: int = 7) -> DataFrame:
-    """Approximate similarity self-join with random-projection LSH
-    (pairs id_a < id_b within ``threshold``)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    v = vectors.select(id_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                        numHashTables=num_tables, seed=seed).fit(v)
-    j = model.approxSimilarityJoin(v, v, threshold, distCol="dist")
-    return (j.select(F.col(f"datasetA.{id_col}").alias("id_a"), F.col(f"datasetB.{id_col}").alias("id_b"), "dist")
-            .filter(F.col("id_a") < F.col("id_b")))
-
-
 # ------------------------------------------------------------------ X4 / X7 hybrid context
 
 def hybrid_context(files: DataFrame, kb: DataFrame, pattern_hits: DataFrame, sem_k: int = 3, limit: int = 5) -> DataFrame:

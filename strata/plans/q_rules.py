@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dims import RULES, SEVERITY_BUCKETS, SEVERITY_SCORE
 from ..functions.lines import explode_rows
+from ..operators import patterns as U
 from ..operators import rules as R
 from ..operators.consensus import severity_bucket
 from ..sources.tables import code_corpus, table
@@ -110,6 +111,26 @@ def q_pattern_lines(spark, sf_dir):
             .select("file_id", "h.pattern", "h.line_no", "h.line_code"))
 
 
+@query("user_patterns", f"""
+WITH w AS (SELECT regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM benchmark),
+p AS (SELECT DISTINCT array_to_string(ws[i:i + n - 1], ' ') AS pattern
+      FROM (SELECT ws, unnest(range(1, len(ws) - n + 2)) AS i, n FROM w, (SELECT unnest([2, 3]) AS n) WHERE len(ws) >= n)),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS line_no FROM documents)
+SELECT doc_id, pattern, line_no, sha256({pystrip('line')}) AS line_hash FROM l JOIN p ON contains(line, pattern)""")
+def q_user_patterns(spark, sf_dir):
+    """A user's table of patterns (every two and three words of the benchmark passages) against every line of the documents."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)
+    b = table(spark, sf_dir, "benchmark").select(words.alias("w"))
+
+    def windows_of(n):
+        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " ")))
+    windows = [windows_of(2), windows_of(3)]
+    none = F.array().cast("array<string>")
+    b = b.select(F.concat(*[F.coalesce(w, none) for w in windows]).alias("p"))
+    found = U.matches(table(spark, sf_dir, "documents"), "doc_id", "text", explode_rows(b, [], "p", "pattern"))
+    return found.select("doc_id", "pattern", "line_no", F.sha2("line_code", 256).alias("line_hash"))
+
+
 @query("patterns_by_lang", f"""WITH {CC},
 p AS (SELECT language, string_agg(DISTINCT pattern, ' | ' ORDER BY pattern) AS patterns FROM {PATTERNS_SQL} GROUP BY language)
 SELECT p.language AS lang, p.patterns, CAST(count(*) AS BIGINT) AS n_files FROM cc JOIN p ON p.language = cc.lang

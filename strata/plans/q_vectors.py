@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dims import FILTERED_TOP_K, KNOWLEDGE_BASE, RAG_TOP_K
 from ..functions.lines import explode_rows
+from ..operators import knn as K
 from ..operators import rules as R
 from ..operators import vectors as X
 from ..sources.tables import code_corpus, table
@@ -48,23 +49,24 @@ SELECT query_id, CAST(rk AS INTEGER) AS rank, neighbor_id, round(sqrt(d2), 6) AS
 @query("knn_l2", _knn_sql(RAG_TOP_K, False))
 def q_knn_l2(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return X.knn_exact(e, "vec_id", "embedding", RAG_TOP_K)
+    return K.knn_exact(e, "vec_id", "embedding", RAG_TOP_K)
 
 
 @query("knn_filtered", _knn_sql(FILTERED_TOP_K, True))
 def q_knn_filtered(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return X.knn_exact(e, "vec_id", "embedding", FILTERED_TOP_K, group_col="label")
+    return K.knn_exact(e, "vec_id", "embedding", FILTERED_TOP_K, group_col="label")
 
 
-@query("knn_lsh")
-def q_knn_lsh(spark, sf_dir):
-    """Approximate self-join; the distance bound is the median distance to
-    the nearest other vector (from the exact top-2)."""
+#: Every so many ids are the queries of the approximate search.
+QUERY_STEP = 50
+
+
+@query("knn_approximate")
+def q_knn_approximate(spark, sf_dir):
+    """The nearest vectors of every vector whose id is divisible by 50, among all vectors, from inverted lists."""
     e = table(spark, sf_dir, "embeddings")
-    exact = X.knn_exact(e, "vec_id", "embedding", 2).filter(F.col("rank") == 2)
-    thr = exact.agg(F.percentile_approx("dist", 0.5)).first()[0] or 1.0
-    return X.knn_lsh(e, "vec_id", "embedding", float(thr))
+    return K.knn_approximate(e, "vec_id", "embedding", RAG_TOP_K, queries=e.where(F.col("vec_id") % QUERY_STEP == 0))
 
 
 KB_SQL = values([(r[0], r[1], r[2], r[3], r[4]) for r in KNOWLEDGE_BASE],
@@ -111,7 +113,8 @@ def q_context_digest(spark, sf_dir):
 
 # ------------------------------------------------------------------ X5: retrieval flow over real tables
 
-CHUNK_ID_BASE = 1_000_000
+# chunk numbers are ints, so no two chunks share an id
+CHUNK_ID_BASE = 1 << 31
 
 
 def _rag(spark, sf_dir):
@@ -123,7 +126,7 @@ def _rag(spark, sf_dir):
     corpus = X.embedding_table(chunks, "chunk_id", "text")
     queries = X.embedding_table(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id"), "text"),
                                 "chunk_id", "text")
-    top = X.knn_exact(corpus, "chunk_id", "embedding", RAG_TOP_K, queries=queries)
+    top = K.knn_exact(corpus, "chunk_id", "embedding", RAG_TOP_K, queries=queries)
     # Neighbour position -> chunk text and its document
     return (top.join(chunks.withColumnRenamed("chunk_id", "neighbor_id"), "neighbor_id")
             .select(F.col("query_id").alias("item_id"), "rank", "doc_id", "chunk_no", "dist",

@@ -231,7 +231,7 @@ def test_snapshot_compare(spark):
 
 
 def test_knn_ties_and_self(spark):
-    from strata.operators.vectors import knn_exact
+    from strata.operators.knn import knn_exact
     vecs = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [5.0, 5.0])]
     df = spark.createDataFrame(vecs, "id long, v array<float>")
     r = knn_exact(df, "id", "v", 3).filter("query_id = 1").orderBy("rank").collect()
@@ -290,15 +290,40 @@ def test_user_encoder_slot(spark):
     assert got == [[3.0, 1.0], [3.0, 0.0]]
 
 
-def test_knn_query_chunks_equal_single_chunk(spark):
-    from strata.operators.vectors import knn_exact
-    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
-    one = {tuple(r) for r in knn_exact(e, "vec_id", "embedding", 3).collect()}
-    many = {tuple(r) for r in knn_exact(e, "vec_id", "embedding", 3, chunk_rows=37).collect()}
-    assert one == many and len(one) == 3 * e.count()
-    grp = {tuple(r) for r in knn_exact(e, "vec_id", "embedding", 2, group_col="label", chunk_rows=50).collect()}
-    labels = dict((r.vec_id, r.label) for r in e.select("vec_id", "label").collect())
-    assert all(labels[q] == labels[n] for q, _, n, _ in grp)
+def test_knn_of_many_cells_equals_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    from strata.operators import knn
+    rng = np.random.default_rng(4)
+    vecs = np.round(8 * np.concatenate([rng.normal(c, 0.3, (60, 6)) for c in rng.normal(0, 2, (8, 6))] + [np.zeros((90, 6))])) / 8  # sums are exact
+    rows = [(i * 3, v.tolist(), "ab"[i % 2] if i % 7 else "c") for i, v in enumerate(vecs)]
+    frame = spark.createDataFrame([*rows, (None, [0.0] * 6, "a"), (9999, None, "a"), (9998, [0.0] * 6, None)], "id long, v array<double>, g string")
+    want = {}
+    for grouped in (False, True):
+        for i, v, g in rows if grouped else [*rows, (9998, [0.0] * 6, None)]:
+            near = sorted((sum((x - y) ** 2 for x, y in zip(v, w)), j) for j, w, h in (rows if grouped else [*rows, (9998, [0.0] * 6, None)]) if not grouped or g == h)
+            want[(grouped, i)] = [j for _, j in near[:4]]
+    for block in (8192, 40):
+        monkeypatch.setattr(knn, "BLOCK_ROWS", block)
+        for group in (None, "g"):
+            got = {}
+            for r in knn.knn_exact(frame, "id", "v", 4, group_col=group).orderBy("query_id", "rank").collect():
+                got.setdefault((group is not None, r.query_id), []).append(r.neighbor_id)
+            assert got == {k: v for k, v in want.items() if k[0] == (group is not None)}
+    one = spark.createDataFrame([(1, [0.0] * 6)], "id long, v array<double>")
+    assert knn.knn_exact(frame.where("false"), "id", "v", 3).count() == 0 and knn.knn_exact(one, "id", "v", 3).count() == 1
+    assert knn.knn_exact(frame, "id", "v", 3, queries=one.where("false")).count() == 0
+
+
+def test_knn_of_many_dimensions(spark):
+    import numpy as np
+
+    from strata.operators.knn import knn_exact
+    vecs = np.random.default_rng(5).normal(size=(200, 768))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id long, v array<float>")
+    got = {r.query_id: r.neighbor_id for r in knn_exact(frame, "id", "v", 2).where("rank = 2").collect()}
+    d = ((vecs.astype(np.float32).astype(float)[:, None] - vecs.astype(np.float32).astype(float)[None]) ** 2).sum(axis=2) + np.eye(200) * 1e9
+    assert [got[i] for i in range(200)] == d.argmin(axis=1).tolist()
 
 
 def test_blocked_scans_carry_across_blocks(spark):

@@ -3,7 +3,7 @@
 from conftest import SF_SMALL
 
 PY_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
-PYTHON_BY_DESIGN = {"scan_verdicts", "scan_source", "knn_l2", "knn_filtered", "rag_retrieve", "ttl_dedupe_stream"}
+PYTHON_BY_DESIGN = {"scan_verdicts", "scan_source", "knn_l2", "knn_filtered", "knn_approximate", "rag_retrieve", "ttl_dedupe_stream"}
 
 
 def _plan(df):

@@ -28,15 +28,19 @@ def test_recursive_split_contract(spark, catalog):
     assert got.count() == sum(len(split_offsets(t)) for t in docs["text"])
 
 
-def test_lsh_recall(spark, catalog):
-    from strata.operators.vectors import knn_exact
-    e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
-    approx = {(r.id_a, r.id_b) for r in catalog.QUERIES["knn_lsh"](spark, SF_SMALL).collect()}
-    assert all(a < b for a, b in approx)
-    exact = knn_exact(e, "vec_id", "embedding", 2).filter("rank = 2").collect()
-    if approx:
-        found = sum(1 for r in exact if (min(r.query_id, r.neighbor_id), max(r.query_id, r.neighbor_id)) in approx)
-        assert found > 0
+def test_recall_of_approximate_neighbours(spark, catalog):
+    """Against brute force over all vectors, for every query."""
+    import numpy as np
+    for sf in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        e = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
+        vecs, ids = np.stack(e.embedding).astype(float), e.vec_id.to_numpy()
+        want = set()
+        for q in np.flatnonzero(ids % 50 == 0):
+            d = ((vecs - vecs[q]) ** 2).sum(axis=1)
+            want |= {(ids[q], ids[j]) for j in np.lexsort((ids, d))[:3]}
+        got = catalog.QUERIES["knn_approximate"](spark, sf).collect()
+        assert len(got) == len(want) and len(want) >= 30
+        assert len({(r.query_id, r.neighbor_id) for r in got} & want) >= 0.9 * len(want)
 
 
 def test_ttl_stream_equals_batch(spark, catalog):
