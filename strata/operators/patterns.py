@@ -24,24 +24,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lines import explode_rows, lines_l2, py_strip
+from ..session import scratch_path
 
 Q = 4
 
 
-def _grams(text: Column, n: int) -> Column:
-    """The distinct runs of n characters."""
-    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))
+def _grams(chars: str, n: int) -> Column:
+    """The distinct runs of n of the characters in a column (an array: to cut a long string at every place costs its length each time)."""
+    starts = F.slice(chars, 1, F.greatest(F.size(chars) - (n - 1), F.lit(0)))
+    return F.array_distinct(F.transform(starts, lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, n)])))
 
 
-def _all_grams(text: Column, sizes) -> Column:
-    return F.concat(*[_grams(text, n) for n in sizes])
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """Written in the shared folder and read again: Spark knows its size when it plans the join with the lines."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _lines(files: DataFrame, id_col: str, text: str, lang: str | None) -> DataFrame:
     lines = F.transform(lines_l2(text), lambda l, i: F.struct((i + 1).alias("line_no"), l.alias("line")))
     d = files.select(id_col, (F.col(lang) if lang else F.lit(None).cast("string")).alias("_lang"), lines.alias("_l"))
-    return explode_rows(d, [id_col, "_lang"], "_l", "x").select(id_col, "_lang", "x.line_no", "x.line").where("line <> ''")
+    lines = explode_rows(d, [id_col, "_lang"], "_l", "x").select(id_col, "_lang", "x.line_no", "x.line").where("line <> ''")
+    return lines.withColumn("_c", F.split("line", ""))
 
 
 def matches(files: DataFrame, id_col: str, text: str, patterns: DataFrame, lang: str | None = None, pattern: str = "pattern",
@@ -54,14 +59,15 @@ def matches(files: DataFrame, id_col: str, text: str, patterns: DataFrame, lang:
     sizes = sorted(r[0] for r in p.select(F.least(F.length("pattern"), F.lit(Q)).alias("n")).distinct().collect())
     if not sizes:
         return _lines(files, id_col, text, lang).select(id_col, F.lit("").alias("pattern"), "line_no", py_strip("line").alias("line_code")).where("false")
+    p = p.withColumn("_c", F.split("pattern", ""))
     grams = F.lit(None).cast("array<string>")
     for n in sizes:
-        grams = F.when(F.least(F.length("pattern"), F.lit(Q)) == n, _grams(F.col("pattern"), n)).otherwise(grams)
-    of_pattern = explode_rows(p.withColumn("_g", grams), ["pattern", "language"], "_g", "gram")
-    lines = _lines(files, id_col, text, lang).withColumn("_g", _all_grams(F.col("line"), sizes))
+        grams = F.when(F.least(F.size("_c"), F.lit(Q)) == n, _grams("_c", n)).otherwise(grams)
+    of_pattern = _written(explode_rows(p.withColumn("_g", grams), ["pattern", "language"], "_g", "gram"), "pattern-grams")
+    lines = _lines(files, id_col, text, lang).withColumn("_g", F.concat(*[_grams("_c", n) for n in sizes]))
     seen = explode_rows(lines, [], "_g", "gram").join(of_pattern.select("gram").distinct(), "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     by_gram = of_pattern.join(seen, "gram", "left").groupBy("pattern", "language").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest"))
-    index = by_gram.where("rarest.n > 0").select("pattern", "language", F.col("rarest.gram").alias("gram"))
+    index = _written(by_gram.where("rarest.n > 0").select("pattern", "language", F.col("rarest.gram").alias("gram")), "pattern-index")
     found = explode_rows(lines, [id_col, "_lang", "line_no", "line"], "_g", "gram").join(index, "gram")
     same = F.col("language").isNull() | (F.col("language") == F.col("_lang"))
     return (found.where(same & F.contains("line", "pattern"))
