@@ -165,25 +165,29 @@ class _Index:
         self.cells = _written(dealt.groupBy("grp", "cell").agg(F.max("far").alias("radius"), blocks.alias("blocks")), "knn-stats")
         self.members = _in_block(dealt, self.cells)
 
-    def beside(self, queries: DataFrame, grouped: bool) -> DataFrame:
-        """The queries with the cells of their group. Without groups that is one row of at most ``MAX_PIVOTS`` cells, which is broadcast."""
-        cells = self.cells.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("cell", "radius", "blocks"))).alias("cells"))
-        return queries.join(cells if grouped else F.broadcast(cells), "grp")
-
-    def visits(self, queries: DataFrame, wanted, vec: str) -> DataFrame:
-        """A row for each block that a query visits. wanted: of the distances to the pivots, the cells' radii and the batch -> a mask of cells."""
-        shared = self.shared
+    def visits(self, queries: DataFrame, wanted, vec: str, grouped: bool) -> DataFrame:
+        """A row for each block that a query visits. wanted: of the distances to the cells' pivots, the cells' radii and the query's bound -> a
+        mask of cells. Without groups all queries see the same cells, at most ``MAX_PIVOTS``; with groups the cells of theirs come by a join."""
+        shared, cols = self.shared, ["grp", "id", "vec", "home", "home_block", "bound"]
+        if grouped:
+            cells = self.cells.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("cell", "radius", "blocks"))).alias("cells"))
+            queries, common = queries.select(cols).join(cells, "grp").select(*cols, "cells"), None
+        else:
+            queries, common = queries.select(cols), [r.asDict() for r in self.cells.orderBy("cell").collect()]
 
         def visit(batches):
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 d, which, blocks = _to_pivots(_matrix(batch.column("vec")), shared.value), [], []
-                cells = batch.column("cells").to_pylist()
+                cells = batch.column("cells").to_pylist() if common is None else [common] * batch.num_rows
+                bound = batch.column("bound").to_pylist()
                 home = batch.column("home").to_numpy(), batch.column("home_block").to_numpy()
+                cell = None
                 for row, own in enumerate(cells):
-                    cell, radius, n = (np.array([c[x] for c in own]) for x in ("cell", "radius", "blocks"))
-                    go = np.flatnonzero(wanted(d[row][cell], radius, batch, row))
+                    if cell is None or common is None:
+                        cell, radius, n = (np.array([c[x] for c in own], dtype=t) for x, t in (("cell", np.int64), ("radius", float), ("blocks", np.int64)))
+                    go = np.flatnonzero(wanted(d[row][cell], radius, bound[row]))
                     which += [(row, c, b) for c, m in zip(cell[go].tolist(), n[go].tolist()) for b in range(m) if (c, b) != (home[0][row], home[1][row])]
                 row, cell, block = (np.array(x, dtype=np.int32) for x in (zip(*which) if which else ([], [], [])))
                 take = pa.array(row)
@@ -207,10 +211,9 @@ def knn_exact(corpus: DataFrame, id_col: str, vec_col: str, k: int, queries: Dat
     bound = near.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.max("d2")).alias("kth"))
     asked = asked.join(bound, "id", "left").withColumn("bound", F.coalesce("kth", F.lit(math.inf)))
 
-    def reachable(distance, radius, batch, row):
-        limit = math.sqrt(batch.column("bound")[row].as_py())
-        return distance - radius <= limit * (1 + 1e-9) + 1e-6  # the distances to pivots are rounded
-    visits = index.visits(index.beside(asked, group_col is not None).select("grp", "id", "vec", "home", "home_block", "bound", "cells"), reachable, vec)
+    def reachable(distance, radius, bound):
+        return distance - radius <= math.sqrt(bound) * (1 + 1e-9) + 1e-6  # the distances to pivots are rounded
+    visits = index.visits(asked, reachable, vec, group_col is not None)
     return _top(near.union(_visit(index.members, visits, k)), k)
 
 
@@ -244,9 +247,9 @@ def knn_approximate(corpus: DataFrame, id_col: str, vec_col: str, k: int, querie
     asked = _rows(queries, id_col, vec_col, None).withColumn("vec", F.col("vec").cast(vec))
     asked = asked.withColumns({"home": F.lit(-1), "home_block": F.lit(-1), "bound": F.lit(math.inf)})
 
-    def nearest(distance, radius, batch, row):
+    def nearest(distance, radius, bound):
         go = np.zeros(len(distance), dtype=bool)
         go[np.argsort(distance, kind="stable")[:probes]] = True
         return go
-    visits = index.visits(index.beside(asked, False).select("grp", "id", "vec", "home", "home_block", "bound", "cells"), nearest, vec)
+    visits = index.visits(asked, nearest, vec, False)
     return _top(_visit(index.members, visits, k), k)
