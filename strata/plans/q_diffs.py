@@ -1,4 +1,4 @@
-"""Queries: near-copy pairs, diff statistics, diff texts, snapshot comparison."""
+"""Queries: near-copy pairs, diff statistics, diff texts, snapshot comparison."""
 
 from __future__ import annotations
 
