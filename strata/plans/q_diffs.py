@@ -49,8 +49,9 @@ def q_diff_stats(spark, sf_dir):
     return D.diff_stats(_pairs(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-SNAP_SQL = """WITH ev AS (SELECT user_id, ts < TIMESTAMP '2024-01-16 00:00:00' AS is_old,
-        CAST(CASE WHEN ts < TIMESTAMP '2024-01-16 00:00:00' THEN day(ts) ELSE day(ts) - 15 END AS INTEGER) AS day_no,
+SNAP_SQL = """WITH b AS (SELECT min(ts) AS lo, date_trunc('day', min(ts) + (max(ts) - min(ts)) / 2) AS cut FROM events),
+ev AS (SELECT user_id, ts < (SELECT cut FROM b) AS is_old,
+        CAST(date_diff('day', CAST(CASE WHEN ts < (SELECT cut FROM b) THEN (SELECT lo FROM b) ELSE (SELECT cut FROM b) END AS DATE), CAST(ts AS DATE)) AS INTEGER) AS day_no,
         CAST(hour(ts) AS INTEGER) AS hr, event_type AS item FROM events),
 old AS (SELECT * FROM ev WHERE is_old), new AS (SELECT * FROM ev WHERE NOT is_old),
 lst AS (SELECT user_id, day_no, max(hr) AS lh FROM old GROUP BY ALL),
@@ -70,12 +71,15 @@ FROM nr LEFT JOIN ad ON ad.user_id = nr.user_id AND ad.day_no = nr.day_no AND ad
 
 @query("compare_snapshots", SNAP_SQL)
 def q_compare_snapshots(spark, sf_dir):
+    """The later half of the events' time against the earlier one; days count from the first event and from the cut, a midnight."""
     ev = table(spark, sf_dir, "events")
-    cut = F.expr("TIMESTAMP_NTZ '2024-01-16 00:00:00'")
-    is_old = F.col("ts") < cut
-    items = ev.select("user_id", is_old.alias("is_old"),
-                      F.when(is_old, F.dayofmonth("ts")).otherwise(F.dayofmonth("ts") - 15).alias("day_no"),
-                      F.hour("ts").alias("hour"), F.col("event_type").alias("item"))
+    lo = ev.agg(F.min("ts")).scalar()
+    cut = ev.agg(F.date_trunc("DAY", F.min("ts") + (F.max("ts") - F.min("ts")) / 2)).scalar()
+    timed = ev.select("user_id", "ts", lo.alias("lo"), cut.alias("cut"), "event_type")
+    is_old = F.col("ts") < F.col("cut")
+    items = timed.select("user_id", is_old.alias("is_old"),
+                         F.datediff(F.col("ts").cast("date"), F.when(is_old, F.col("lo")).otherwise(F.col("cut")).cast("date")).alias("day_no"),
+                         F.hour("ts").alias("hour"), F.col("event_type").alias("item"))
     old = items.filter("is_old").drop("is_old")
     new = items.filter(~F.col("is_old")).drop("is_old")
     return D.compare_snapshots(old, new, ["user_id", "day_no"], "hour", "item")
