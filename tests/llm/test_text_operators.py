@@ -40,6 +40,22 @@ def test_dedup_odd_rows(odd, none):
     assert exact_dedup.dedup(none).collect() == []
 
 
+def test_dedup_equals_its_sql_on_odd_rows(spark, tmp_path):
+    """Repeated rows, null ids beside others and alone."""
+    import duckdb
+
+    from strata.llm.oracles import SQL
+    rows = [*ODD, (None, "alone"), (None, "alone"), (12, "alone too"), (12, "alone too"), (-4, "alone too")]
+    path = str(tmp_path / "documents.parquet")
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    frame.coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    want = con.execute(f"SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ({SQL['op2_exact_dedup']})").fetchall()
+    got = [(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.dedup(frame).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_directory_splits_only_overfull_buckets():
     counts = [(p, 100 if p == 5 else 1, 10) for p in range(16)]
     buckets = exact_dedup.directory(counts, 4, 8, 1 << 20)
