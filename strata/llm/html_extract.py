@@ -2,19 +2,23 @@
 
 A page becomes a sequence of text blocks. Each block has a score: the log-odds
 that it is content, from a naive Bayes classifier over features of its text
-(length, links, punctuation, tag), plus what the surrounding elements say
-(navigation, form, advert, article and so on). A positive score is the capacity
-from the source, a negative one that to the sink. Blocks next to each other, and
-next children of one parent, are joined by edges whose capacity falls with their
-distance in the element tree. The minimum cut, found by maximum flow, labels the
-source's side content.
+(length, links, punctuation, tag), plus what the elements around it mark
+(navigation, form, advert, article and so on; nothing on many pages). Both have
+bounds of like size. A positive score is the capacity from the source, a negative
+one that to the sink. Blocks next to each other, and next children of one parent,
+are joined by edges on the scale of the scores, whose capacity falls with their
+distance in the element tree and is small across a border of marks. The minimum
+cut, found by maximum flow, labels the source's side content. So marks that are
+certain (an advert within an article) hold against text and neighbours, while
+unmarked and weakly marked blocks go with their text and their neighbours.
 
 The classifier is trained here: blocks inside marked elements are its labels, and
 the markers aren't among its features. It learns from a bounded sample of pages,
 drawn by a hash of the page's id.
 
 Defined results: null html counts as empty and gives the empty text, as do pages
-without content. A page of any length is read whole. Rows are kept as they come,
+without content. A page of any length and depth of nesting is read whole, in time
+that grows with its length. Rows are kept as they come,
 also repeated ones; columns other than page_id, url and html play no part. White
 space in a block, also a line break element or a no-break space, is one space.
 Equal flows either way (a score of exactly what the cut edges cost) label content.
@@ -41,7 +45,7 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
                    "form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead "
                    "tr ul".split())
-UNREAD = frozenset("script style noscript template svg iframe object canvas audio video map math head title textarea select button datalist".split())
+UNREAD = frozenset("script style noscript template svg iframe object canvas audio video map head title textarea select button datalist".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - frozenset("body html td th tr tbody thead tfoot caption".split())
 SIBLINGS = {"li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "th", "th": "td", "option": "option"}
@@ -54,31 +58,43 @@ BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising spons
                       "skip toc tags outbrain taboola copyright legal disclaimer".split())
 GOOD_WORDS = frozenset("article post entry story content main body text prose".split())
 STRONG = frozenset("article post entry story main".split())
+LISTS = ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "menu")
+
+#: Log-odds at most of the marks around a block and of its text. An edge between blocks under different marks is
+#: ``smooth / ACROSS``; a block has at most four edges.
+MARK, TEXT, ACROSS = 4.0, 3.0, 20
 
 
 def parse(page: str) -> tuple[list[dict], list[dict]]:
-    """Text blocks in page order, and the elements: parent, tag, mark (-1 clutter, 1 article, 0 neither), holds_article."""
+    """Text blocks in page order, and the elements: parent, tag, mark (-1 clutter, 1 article, 0 neither), holds (an article).
+
+    Time grows with the page, however deep its elements nest: ``open_at`` knows the open places of each tag."""
     elements = [{"parent": -1, "tag": "", "mark": 0, "tagged": False, "holds": False, "depth": 0}]
     stack = [0]
+    open_at: dict[str, list[int]] = {}  # tag -> its places on the stack
+    open_blocks = [0]                   # places of block elements, and the root
+    endless: set[str] = set()           # tags that have no end tag any more
     blocks: list[dict] = []
     parts: list[str] = []
     linked = 0
-    links = 0  # open <a>
 
     def flush():
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                at = next((e for e in reversed(stack) if elements[e]["tag"] in BLOCKS), 0)
-                blocks.append({"text": text, "element": at, "linked": min(1.0, linked / len(text))})
+                blocks.append({"text": text, "element": stack[open_blocks[-1]], "linked": min(1.0, linked / len(text))})
             parts.clear()
         linked = 0
 
+    def last(tag: str) -> int:
+        return open_at[tag][-1] if open_at.get(tag) else 0
+
     def close(depth):
-        nonlocal links
         for e in stack[depth:]:
-            links -= elements[e]["tag"] == "a"
+            open_at[elements[e]["tag"]].pop()
+        while open_blocks[-1] >= depth:
+            open_blocks.pop()
         del stack[depth:]
 
     at, size = 0, len(page)
@@ -88,7 +104,7 @@ def parse(page: str) -> tuple[list[dict], list[dict]]:
         if raw:
             text = _html.unescape(raw) if "&" in raw else raw
             parts.append(text)
-            if links:
+            if last("a"):
                 linked += len(text.strip())
         if m is None:
             break
@@ -99,19 +115,21 @@ def parse(page: str) -> tuple[list[dict], list[dict]]:
         if m[1]:
             if tag in BLOCKS:
                 flush()
-            for depth in range(len(stack) - 1, 0, -1):
-                if elements[stack[depth]]["tag"] == tag:
-                    close(depth)
-                    break
+            if last(tag):
+                close(last(tag))
             continue
         if tag in UNREAD:
-            if not m[3].rstrip().endswith("/"):
+            if not m[3].rstrip().endswith("/") and tag not in endless:
                 if tag == "head":  # its end tag may be missing
                     end = re.compile(r"</head\s*>|(?=<body[\s>])", re.I).search(page, at)
-                    at = end.end() if end else at
                 else:
                     end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                    at = end.end() if end else (size if tag in ("script", "style") else at)
+                if end:
+                    at = end.end()
+                elif tag in ("script", "style"):
+                    at = size
+                else:
+                    endless.add(tag)
             parts.append(" " if tag in ("button", "select", "textarea") else "")
             continue
         if tag in BLOCKS:
@@ -120,30 +138,24 @@ def parse(page: str) -> tuple[list[dict], list[dict]]:
             parts.append(" ")
         if tag in EMPTY:
             continue
-        if tag in CLOSES_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                open_tag = elements[stack[depth]]["tag"]
-                if open_tag == "p":
-                    close(depth)
-                    break
-                if open_tag in BLOCKS:
-                    break
+        if tag in CLOSES_P and elements[stack[open_blocks[-1]]]["tag"] == "p":
+            close(open_blocks[-1])
         if tag in SIBLINGS:
-            for depth in range(len(stack) - 1, 0, -1):
-                open_tag = elements[stack[depth]]["tag"]
-                if open_tag in (tag, SIBLINGS[tag]):
-                    close(depth)
-                    break
-                if open_tag in ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "menu"):
-                    break
-        mark, tagged = _mark(tag, m[3], stack, elements)
+            before = max(last(tag), last(SIBLINGS[tag]))
+            if before > max(map(last, LISTS)):
+                close(before)
+        inside = bool(last("article") or last("main"))
+        mark, tagged = _mark(tag, m[3], inside)
         if mark > 0 and (tagged or words_of(m[3]) & STRONG) or tag == "h1":
-            for e in stack:
+            for e in reversed(stack):
+                if elements[e]["holds"]:
+                    break  # so do all around it
                 elements[e]["holds"] = True
-        elements.append({"parent": stack[-1], "tag": tag, "mark": mark, "tagged": tagged, "holds": False,
-                         "depth": elements[stack[-1]]["depth"] + 1})
+        elements.append({"parent": stack[-1], "tag": tag, "mark": mark, "tagged": tagged, "holds": False, "depth": len(stack)})
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag in BLOCKS:
+            open_blocks.append(len(stack))
         stack.append(len(elements) - 1)
-        links += tag == "a"
     flush()
     return blocks, elements
 
@@ -152,8 +164,8 @@ def words_of(attributes: str) -> set[str]:
     return {w.lower() for name, a, b, c in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id") for w in WORD.findall(a or b or c)}
 
 
-def _mark(tag: str, attributes: str, stack: list[int], elements: list[dict]) -> tuple[int, bool]:
-    """What an element marks, and whether its tag or role says so rather than its class."""
+def _mark(tag: str, attributes: str, inside: bool) -> tuple[int, bool]:
+    """What an element marks, and whether its tag or role says so rather than its class; ``inside``: within an article."""
     words: set[str] = set()
     role = ""
     if attributes and tag not in ("html", "body"):
@@ -166,7 +178,6 @@ def _mark(tag: str, attributes: str, stack: list[int], elements: list[dict]) ->
                 role = value.strip().lower()
     if tag in BAD_TAGS or role in BAD_ROLES:
         return -1, True
-    inside = any(elements[e]["tag"] in ("article", "main") for e in stack)
     if tag == "header" and not inside:
         return -1, True
     if words & BAD_WORDS:
@@ -178,22 +189,19 @@ def _mark(tag: str, attributes: str, stack: list[int], elements: list[dict]) ->
     return (1, False) if words & GOOD_WORDS else (0, False)
 
 
-def surroundings(element: int, elements: list[dict]) -> float:
-    """Log-odds from the elements around a block. Clutter holds all within it, unless only its class says so
-    and it holds an article."""
-    path = []
-    while element > 0:
-        path.append(elements[element])
-        element = elements[element]["parent"]
-    score = 0.0
-    for e in reversed(path):
-        if e["mark"] < 0:
-            if not e["holds"] or e["tagged"] and e["tag"] != "form":
-                return -8.0
-            score -= 0.5
-        elif e["mark"] > 0:
-            score = max(score, 6.0) if e["tagged"] else max(score, 1.5)
-    return score
+def surroundings(elements: list[dict]) -> list[float]:
+    """Per element, the log-odds from what is around its text. Clutter holds all within it, unless only its class says
+    so and it holds an article."""
+    scores = [0.0]
+    for e in elements[1:]:  # parents come first
+        score = scores[e["parent"]]
+        if score > -MARK:
+            if e["mark"] < 0:
+                score = -MARK if not e["holds"] or e["tagged"] and e["tag"] != "form" else max(score - 0.5, 0.5 - MARK)
+            elif e["mark"] > 0:
+                score = max(score, MARK if e["tagged"] else 1.5)
+        scores.append(score)
+    return scores
 
 
 def features(block: dict, tag: str) -> list[str]:
@@ -326,26 +334,29 @@ def distance(a: int, b: int, elements: list[dict]) -> int:
     return steps
 
 
-def extract(page: str, weights: dict[str, float], smooth: float = 1.5) -> tuple[str, int]:
+def extract(page: str, weights: dict[str, float], smooth: float = 4.0) -> tuple[str, int]:
     """The main text of a page, and its number of blocks."""
     blocks, elements = parse(page)
     if not blocks:
         return "", 0
-    around: dict[int, float] = {}
+    around = surroundings(elements)
     scores, edges = [], []
     last_of: dict[int, int] = {}  # parent -> its last block so far
+
+    def join(i, j, steps):
+        a, b = around[blocks[i]["element"]], around[blocks[j]["element"]]
+        edges.append((i, j, smooth / (1 + steps) if a == b else smooth / ACROSS))
+
     for i, b in enumerate(blocks):
         e = b["element"]
-        if e not in around:
-            around[e] = surroundings(e, elements)
         odds = sum(weights.get(f, 0.0) for f in features(b, elements[e]["tag"]))
-        scores.append(around[e] + max(-3.0, min(3.0, weights.get("", 0.0) + odds)))
+        scores.append(around[e] + max(-TEXT, min(TEXT, weights.get("", 0.0) + odds)))
         if i:
-            edges.append((i - 1, i, smooth / (1 + distance(blocks[i - 1]["element"], e, elements))))
+            join(i - 1, i, distance(blocks[i - 1]["element"], e, elements))
         parent = elements[e]["parent"]
         before = last_of.get(parent)
         if before is not None and before < i - 1:
-            edges.append((before, i, smooth / 3))
+            join(before, i, 2)
         last_of[parent] = i
     keep = cut(scores, edges)
     return "\n".join(b["text"] for b, k in zip(blocks, keep) if k), len(blocks)
@@ -356,9 +367,10 @@ def _labelled(batches):
         found: Counter = Counter()
         for page in batch.column("html").to_pylist():
             blocks, elements = parse(page or "")
+            around = surroundings(elements)
             for b in blocks:
-                s = surroundings(b["element"], elements)
-                if s <= -8 or s >= 6:
+                s = around[b["element"]]
+                if abs(s) >= MARK:
                     for f in ["", *features(b, elements[b["element"]]["tag"])]:
                         found[f, s > 0] += 1
         yield pa.RecordBatch.from_pylist([{"feature": f, "content": c, "n": n} for (f, c), n in found.items()],

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 from collections import Counter
 from fractions import Fraction
 
@@ -31,6 +32,31 @@ def test_extract(page, text):
     assert extract(page) == text
 
 
+LONG = "A paragraph of some length, with commas, goes on for a while. It has sentences. " * 3
+
+
+def test_edges_decide_unmarked_blocks():
+    weights = {"stops 0": -1.0, "stops 4": 1.0, "commas 3": 1.0, "links 4": -1.0, "tag p": 0.5, "rights True": -1.0}
+    page = (f"<body><div><a href=/>Home</a></div><ul><li><a href=/n>News</a><li><a href=/o>Old</a></ul><div><h1>{LONG}</h1><p>{LONG}</p><p>Chapter two</p>"
+            f"<p>{LONG}</p></div><div>© 2020</div>")
+    long = LONG.strip()
+    assert html_extract.extract(page, weights)[0].split("\n") == [long, long, "Chapter two", long]
+    assert html_extract.extract(page, weights, smooth=0)[0].split("\n") == [long, long, long]  # without edges a short block is lost
+
+
+def test_certain_marks_hold_against_text_and_neighbours():
+    for clutter in ("<div class=ad>{}</div>", "<aside>{}</aside>", "<p class=cookie-notice>{}</p>", "<section id=comments><p>{0}</p><p>{0}</p></section>"):
+        assert extract(f"<article><h1>T</h1><p>{LONG}</p>{clutter.format(LONG)}<p>{LONG}</p></article>").split("\n") == ["T", LONG.strip(), LONG.strip()]
+    assert extract("<article><p><a href=x>See also</a></p><p>x <math><mi>y</mi></math> z</p></article><nav>" + LONG + "</nav>") == "See also\nx y z"
+
+
+@pytest.mark.parametrize("page, blocks", [("<div>" * 100_000 + "x", 1), ("<div>a" * 30_000, 30_000), ("<b><div></div>" * 50_000 + "t", 1),
+                                          ("<div>" * 50_000 + "</x>" * 50_000, 0), ("<svg>" * 50_000 + "x", 1), ("<div class=main><h1>a" * 20_000, 20_000)])
+def test_time_grows_with_the_page(page, blocks):
+    begin = time.process_time()
+    assert html_extract.extract(page, {})[1] == blocks and time.process_time() - begin < 5
+
+
 def test_cut_is_minimal():
     rng = random.Random(3)
     for _ in range(60):
