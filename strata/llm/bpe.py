@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -35,14 +36,15 @@ class RankQueue:
     """Places by rank; the lowest rank first."""
 
     def __init__(self, ranks: int):
-        self.buckets: list[list[int]] = [[] for _ in range(ranks)]
+        self.buckets: list[array | None] = [None] * ranks
         self.words = [0] * (ranks // 64 + 1)             # a bit per rank
         self.blocks = [0] * (len(self.words) // 64 + 1)  # a bit per word
         self.top = 0                                     # a bit per block
 
     def push(self, rank: int, place: int) -> None:
         bucket = self.buckets[rank]
-        if not bucket:
+        if bucket is None:
+            bucket = self.buckets[rank] = array("i")
             w = rank >> 6
             self.words[w] |= 1 << (rank & 63)
             self.blocks[w >> 6] |= 1 << (w & 63)
@@ -56,13 +58,12 @@ class RankQueue:
         b = (self.top & -self.top).bit_length() - 1
         w = (b << 6) + (self.blocks[b] & -self.blocks[b]).bit_length() - 1
         rank = (w << 6) + (self.words[w] & -self.words[w]).bit_length() - 1
-        places, self.buckets[rank] = self.buckets[rank], []
+        places, self.buckets[rank] = sorted(self.buckets[rank]), None
         self.words[w] &= self.words[w] - 1
         if not self.words[w]:
             self.blocks[b] &= self.blocks[b] - 1
             if not self.blocks[b]:
                 self.top &= self.top - 1
-        places.sort()
         return rank, places
 
 
@@ -107,8 +108,8 @@ class Codec:
             begins[at] = 1
             at += len(p)
         begins[n] = 1
-        after = list(range(1, n + 1))    # where the next part begins; 0 if the part is gone
-        before = list(range(-1, n))      # where the previous part begins
+        after = array("i", range(1, n + 1))  # where the next part begins; 0 if the part is gone
+        before = array("i", range(-1, n))    # where the previous part begins
         for i in range(n - 1):
             if not begins[i + 1]:
                 r = get(data[i:i + 2])
