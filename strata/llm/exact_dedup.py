@@ -35,13 +35,15 @@ from .common import prepare, text_blocks, written
 ROWS = "doc_id bigint, ordinal bigint, entry string, h bigint, sha binary, top_id bigint, n bigint, size bigint, text string"
 #: A hash prefix of the directory's input has this many bits at most (2^20 counters).
 MAX_BITS = 20
+#: A task closes its entries when it holds so many rows.
+HELD_ROWS = 1 << 18
 
 
 def _fold(batches):
     """Rows of one map task with their entries; the row that opens an entry carries its text.
 
-    Entries are closed when their texts reach the bound, so memory is bounded; a later copy then opens another
-    entry of the same text, which the owner joins with the first.
+    Entries are closed when their texts or their rows (copies and empty texts hold no further text) reach a bound,
+    so memory is bounded; a later copy then opens another entry of the same text, which the owner joins with the first.
     """
     from pyspark import TaskContext
 
@@ -86,7 +88,7 @@ def _fold(batches):
                 entry[3] = doc_id
             rows.append((doc_id, serial, opened, entry))
             serial += 1
-        if held > bound:
+        if held > bound or len(rows) >= HELD_ROWS:
             yield from close()
     yield from close()
 
