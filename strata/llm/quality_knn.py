@@ -111,7 +111,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, trai
     known = known.groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
     total = known.count()
     sample = known.where(unit_hash(F.col("doc_id"), 7) < train_rows / max(total, 1))  # so many rows on average
-    rows = (docs.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
+    # of a repeated id the lowest text teaches, so that the rows fetched are no more than those sampled
+    rows = (docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
             .mapInArrow(_count_rows, f"doc_id {dict(docs.dtypes)['doc_id']}, label int, tf binary").toArrow().sort_by("doc_id"))
     tf = np.array([np.frombuffer(x, dtype=np.int32) for x in rows.column("tf").to_pylist()]).reshape(-1, FEATURES)
     x = _unit(np.sqrt(tf).astype(np.float32) * idf).astype(np.float64)
