@@ -194,6 +194,9 @@ def build(counts: dict[str, Counter], order: int) -> Model:
                 contexts[k].setdefault(ctx, {})[lang] = w
     model.unseen = np.array(unseen, dtype=np.float32)
 
+    for k in range(order - 1):
+        for ctx in contexts[k + 1]:  # a context of START marks alone ends no n-gram, yet has a weight
+            per_order[k].setdefault(ctx, {})
     lp: list[dict[str, np.ndarray]] = []
     for k in range(order):
         table = {}
@@ -242,7 +245,7 @@ def _count(order: int):
     return count
 
 
-def _entropy_rows(shared):
+def _entropy_rows(shared, prefix: str = ""):
     def score(batches):
         model = shared.value
         for batch, texts in text_blocks(batches):
@@ -257,6 +260,7 @@ def _entropy_rows(shared):
                     "score": pa.array(np.where(letters, share, 0.0), pa.float64()),
                     "cross_entropy": pa.array(np.where(letters, low, np.nan), pa.float64()),
                     "rejected": pa.array(~letters | (low > limit), pa.bool_())}
+            cols = {prefix + name: col for name, col in cols.items()}
             for name in cols:
                 i = batch.schema.get_field_index(name)
                 if i >= 0:
@@ -338,13 +342,14 @@ def train(docs: DataFrame, label: str = "lang", usable: Column | None = None, or
     return model
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred, score, cross_entropy and rejected (columns of these names are replaced)."""
+def identify(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
+    """``docs`` with lang_pred, score, cross_entropy and rejected, after ``prefix`` (columns of these names are replaced)."""
     prepare(docs.sparkSession)
-    names = {c.split()[0] for c in RESULT.split(", ")}
+    result = ", ".join(prefix + c for c in RESULT.split(", "))
+    names = {c.split()[0] for c in result.split(", ")}
     kept = docs.drop(*[c for c in docs.columns if c in names])
     if not model.languages:
-        return kept.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0),
-                                 "cross_entropy": F.lit(None).cast("double"), "rejected": F.lit(True)})
+        return kept.withColumns({f"{prefix}lang_pred": F.lit(UNDETERMINED), f"{prefix}score": F.lit(0.0),
+                                 f"{prefix}cross_entropy": F.lit(None).cast("double"), f"{prefix}rejected": F.lit(True)})
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(_entropy_rows(docs.sparkSession.sparkContext.broadcast(model)), f"{fields}, {RESULT}")
+    return kept.mapInArrow(_entropy_rows(docs.sparkSession.sparkContext.broadcast(model), prefix), f"{fields}, {result}")
