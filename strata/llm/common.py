@@ -38,6 +38,17 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """A name for each wanted temporary column that no column of ``df`` has (names differ by more than case)."""
+    used, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def id_remainder(col: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % F.lit(mod)

@@ -16,8 +16,9 @@ larger blocks), so it's worked out on the driver in exact integers and broadcast
 Defined results: a null source is a source of its own. Sources without a target
 weight, or with one that isn't positive, run after all others, in order of name. Of
 equal deadlines the source with the lower name runs first (null lowest). Rows of
-one id and source share a block. Other columns are kept by ``mixed``; an empty table
-gives an empty result.
+one id and source share a block. Other columns are kept by ``mixed``, whatever their
+names; an empty table gives an empty result. More than ``MAX_SOURCES`` sources are
+an error, as the schedule is worked out in one place.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 MAX_SOURCES = 100_000
 
 
@@ -103,11 +106,12 @@ def plan(docs: DataFrame, weights: dict[str | None, float] | None = None, block_
 def slots(docs: DataFrame, planned: DataFrame, source: str = "source", key: str = "doc_id", prefix: str = "mix_") -> DataFrame:
     """``docs`` with mix_block, mix_slot, mix_release and mix_deadline (columns of these names are replaced)."""
     docs = docs.drop(*[prefix + n for n in ("block", "slot", "release", "deadline")])
-    total = F.broadcast(planned.select(F.col("source").alias("_s"), F.col("blocks").alias("_n")).distinct())
-    at = F.broadcast(planned.select(F.col("source").alias("_t"), *[F.col(n).alias(prefix + n) for n in ("block", "slot", "release", "deadline")]))
-    rows = docs.join(total, docs[source].eqNullSafe(F.col("_s"))).drop("_s")
-    rows = rows.withColumn("_b", _block(F.col(key), F.col("_n"))).drop("_n")
-    return rows.join(at, rows[source].eqNullSafe(F.col("_t")) & (F.col("_b") == F.col(f"{prefix}block"))).drop("_t", "_b")
+    s, n, t, b = free_names(docs, "_s", "_n", "_t", "_b")
+    total = F.broadcast(planned.select(F.col("source").alias(s), F.col("blocks").alias(n)).distinct())
+    at = F.broadcast(planned.select(F.col("source").alias(t), *[F.col(n).alias(prefix + n) for n in ("block", "slot", "release", "deadline")]))
+    rows = docs.join(total, docs[source].eqNullSafe(F.col(s))).drop(s)
+    rows = rows.withColumn(b, _block(F.col(key), F.col(n))).drop(n)
+    return rows.join(at, rows[source].eqNullSafe(F.col(t)) & (F.col(b) == F.col(f"{prefix}block"))).drop(t, b)
 
 
 def _block(key: Column, blocks: Column) -> Column:
@@ -117,8 +121,11 @@ def _block(key: Column, blocks: Column) -> Column:
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = 1000, max_blocks: int = 20_000,
           source: str = "source", key: str = "doc_id") -> DataFrame:
     """``docs`` in the order of the schedule: by slot, and within a block by a hash of the id. One shuffle, by ranges of slots."""
-    columns = docs.columns
-    rows = slots(docs, plan(docs, weights, block_rows, max_blocks, source), source, key, "_mixing_")
+    columns, prefix = docs.columns, "_mixing_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = "_" + prefix
+    slot = f"{prefix}slot"
+    rows = slots(docs, plan(docs, weights, block_rows, max_blocks, source), source, key, prefix)
     turn = F.xxhash64(F.col(key), F.lit(11))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(parts, "_mixing_slot", turn).sortWithinPartitions("_mixing_slot", turn).select(*columns)
+    return rows.repartitionByRange(parts, slot, turn).sortWithinPartitions(slot, turn).select(*columns)

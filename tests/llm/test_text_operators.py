@@ -4,10 +4,13 @@ import base64
 import hashlib
 import itertools
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -229,6 +232,74 @@ def test_kneser_ney_probabilities():
         assert abs(total - 1) < 0.02, ctx
 
 
+def plain_kneser_ney(counts, order):
+    """P(character | context) by the textbook's recursion over dictionaries."""
+    levels = [counts]
+    while len(levels) < order:
+        levels.insert(0, Counter(g[1:] for g in levels[0]))
+    discounts, total, kinds = [], [Counter() for _ in levels], [Counter() for _ in levels]
+    for level, t, k in zip(levels, total, kinds):
+        once, twice = (sum(v == n for v in level.values()) for n in (1, 2))
+        discounts.append(min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5)
+        for g, c in level.items():
+            t[g[:-1]] += c
+            k[g[:-1]] += 1
+
+    def p(ctx, c):
+        n = len(ctx)
+        lower = p(ctx[1:], c) if n else 1 / (len(levels[0]) + 1)
+        if not total[n][ctx]:
+            return lower
+        return (max(levels[n][ctx + c] - discounts[n], 0) + discounts[n] * kinds[n][ctx] * lower) / total[n][ctx]
+    return p
+
+
+def test_language_model_equals_a_plain_scorer():
+    rng, order, counts = random.Random(1), 4, {}
+
+    def marked(t):
+        return "\0" * (order - 1) + re.sub("[^a-z\u4e00é]+", " ", t.lower()).lstrip()
+
+    for lang, letters in (("a", "abcde "), ("b", "cdefg "), ("c", "xyzab ")):
+        said = [marked("".join(rng.choices(letters, k=60))) for _ in range(4)]
+        counts[lang] = Counter(t[i:i + order] for t in said for i in range(len(t) - order + 1))
+    model, plain = langid.build(counts, order), {lang: plain_kneser_ney(c, order) for lang, c in counts.items()}
+    texts = ["".join(rng.choices("abcdefgxyzQ é,\u4e00", k=rng.randint(1, 30))) for _ in range(200)]
+    found, sizes, _ = model.entropies(texts)
+    for t, row, n in zip(texts, found, sizes):
+        s = marked(t)
+        assert n == len(s) - order + 1
+        if not n:
+            assert not row.any()
+            continue
+        want = [-sum(np.log(plain[x](s[i - order + 1:i], s[i])) for i in range(order - 1, len(s))) / n for x in model.languages]
+        assert np.allclose(row, want, atol=1e-4), t
+        assert model.languages[row.argmin()] == model.languages[int(np.argmin(want))] or np.ptp(want) < 1e-3
+
+
+def test_fold_closes_entries_of_copies(monkeypatch):
+    from types import SimpleNamespace
+
+    import pyspark
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(exact_dedup, "HELD_ROWS", 100)
+    batches = [pa.record_batch({"doc_id": pa.array(range(i, i + 50)), "text": pa.array(["copy"] * 49 + [None])}) for i in range(0, 1000, 50)]
+    made = list(exact_dedup._fold(iter(batches)))
+    assert sum(b.num_rows for b in made) == 1000 and max(b.num_rows for b in made) == 100
+    assert all(len(set(b.column("entry").to_pylist())) == 2 and b.column("text").null_count == 98 for b in made)
+
+
+def test_bpe_memory_of_a_very_long_pre_token(codec):
+    import tracemalloc
+    data = "".join(random.Random(2).choices("abcdefghijklmnopqrstuvwxyz", k=300_000)).encode()
+    tracemalloc.start()
+    try:
+        codec.merge([data])
+        assert tracemalloc.get_traced_memory()[1] < 40 * len(data)
+    finally:
+        tracemalloc.stop()
+
+
 def test_language_id(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
     model = langid.train(docs.where("doc_id % 2 = 0"))
