@@ -28,6 +28,7 @@ VERDICT = T.StructType([
     T.StructField("fixCode", T.StringType()),
 ])
 REQUIRED = [f.name for f in VERDICT.fields]
+INTEGER_KINDS = ("BIGINT",)
 
 
 def _c(x) -> Column:
@@ -41,16 +42,52 @@ def json_span(raw) -> Column:
 
 def with_parsed(df: DataFrame, raw: str, out: str = "verdict") -> DataFrame:
     """V1 + strict parse: adds ``out`` (struct VERDICT or null when the span
-    is not exactly one JSON object) and ``risk_numeric`` (riskLevel was a
-    JSON number)."""
+    is not exactly one JSON object), ``risk_numeric`` (riskLevel was a
+    JSON number) and ``bad_types`` (fields whose JSON value has another type
+    than VERDICT says; a wrong element makes its array wrong). An object that
+    repeats a key is no VARIANT under Spark's defaults: its last value
+    counts and no type is checked."""
     d = df.withColumn("_j", json_span(raw))
     arr = F.from_json(F.concat(F.lit("["), F.col("_j"), F.lit("]")), T.ArrayType(VERDICT))
     d = d.withColumn("_a", arr)
     ok = F.col("_a").isNotNull() & (F.size("_a") == 1)
     d = d.withColumn(out, F.when(ok, F.element_at("_a", 1)))
-    kind = F.schema_of_variant(F.variant_get(F.try_parse_json(F.col("_j")), "$.riskLevel", "variant"))
-    d = d.withColumn("risk_numeric", F.when(F.col(f"{out}.riskLevel").isNotNull(), ~kind.startswith("STRING")))
-    return d.drop("_j", "_a")
+    d = d.withColumn("_v", F.when(ok, F.try_parse_json(F.col("_j"))))
+    d = d.withColumn("risk_numeric", F.when(F.col(f"{out}.riskLevel").isNotNull(), ~_kind(F.col("_v"), "riskLevel").startswith("STRING")))
+    return d.withColumn("bad_types", _wrong_types(F.col("_v"))).drop("_j", "_a", "_v")
+
+
+def _kind(value: Column, field: str) -> Column:
+    """JSON type of a field (VOID for a JSON null; null if there is none)."""
+    return F.schema_of_variant(F.try_variant_get(value, f"$.{field}", "variant"))
+
+
+def _wrong_types(v: Column) -> Column:
+    """Names of the fields of VERDICT whose value is there but of another type."""
+    def wrong(value, field):
+        kind, t = _kind(value, field), field_types[field]
+        if isinstance(t, T.BooleanType):
+            right = kind == "BOOLEAN"
+        elif isinstance(t, T.IntegerType):
+            right = kind.isin(*INTEGER_KINDS)
+        elif field == "riskLevel":  # a label or a number
+            right = (kind == "STRING") | kind.isin(*INTEGER_KINDS, "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+        else:
+            right = kind == "STRING"
+        return kind.isNotNull() & (kind != "VOID") & ~right
+
+    def wrong_line(e):
+        # an element must be an object with both fields, rightly typed
+        whole = F.schema_of_variant(e).startswith("OBJECT")
+        fields = [_kind(e, f.name).isNotNull() & (_kind(e, f.name) != "VOID") & ~wrong(e, f.name) for f in VULN_LINE.fields]
+        return ~(whole & fields[0] & fields[1])
+
+    field_types = {f.name: f.dataType for s in (VERDICT, VULN_LINE) for f in s.fields}
+    lines = F.try_variant_get(v, "$.vulnerabilityLines", "array<variant>")
+    kind = _kind(v, "vulnerabilityLines")
+    bad_lines = kind.isNotNull() & (kind != "VOID") & (lines.isNull() | F.exists(lines, wrong_line))
+    checks = [F.when(bad_lines if name == "vulnerabilityLines" else wrong(v, name), F.lit(name)) for name in REQUIRED]
+    return F.filter(F.array(*checks), lambda x: x.isNotNull())
 
 
 def normalize_risk(raw, is_numeric) -> Column:
@@ -76,15 +113,16 @@ def normalize_risk(raw, is_numeric) -> Column:
     return F.struct(score.cast("double").alias("risk_score"), reason.alias("reason"))
 
 
-def validate(verdict: str = "verdict", is_numeric: str = "risk_numeric") -> Column:
+def validate(verdict: str = "verdict", is_numeric: str = "risk_numeric", bad_types: str = "bad_types") -> Column:
     """V6/V7: struct<accepted boolean, reason string, risk_score double>.
-    The reason names the first missing required field, else a risk problem;
-    an unparsed verdict is ``bad_json``."""
+    The reason names the first required field that is missing (or null) or of a
+    wrong type, else a risk problem; an unparsed verdict is ``bad_json``."""
     v = F.col(verdict)
     risk = normalize_risk(v["riskLevel"], F.col(is_numeric))
     reason = F.when(v.isNull(), F.lit("bad_json"))
     for name in REQUIRED:
-        reason = reason.when(v[name].isNull(), F.lit(f"missing:{name}"))
+        reason = (reason.when(F.array_contains(F.col(bad_types), name), F.lit(f"bad_type:{name}"))
+                  .when(v[name].isNull(), F.lit(f"missing:{name}")))
     reason = reason.when(risk["reason"].isNotNull(), F.concat(F.lit("risk:"), risk["reason"]))
     return F.struct(reason.isNull().alias("accepted"), reason.alias("reason"),
                     F.when(reason.isNull(), risk["risk_score"]).alias("risk_score"))
@@ -138,7 +176,7 @@ def with_defaults(verdict: str, language, code) -> Column:
 def default_verdict_fn(batches):
     """Deterministic stand-in for the model call (pandas, one Arrow batch at
     a time): a verdict built from the rule findings of the request.
-    Input columns: work_key, lang, findings_json. Output: VERDICT_OUT."""
+    Input columns: work_key, lang, code, findings_json. Output: VERDICT_OUT."""
     import json
 
     import pandas as pd
@@ -146,27 +184,57 @@ def default_verdict_fn(batches):
     for pdf in batches:
         rows = []
         for key, lang, fj in zip(pdf["work_key"], pdf["lang"], pdf["findings_json"]):
-            try:
-                fs = json.loads(fj) if fj else []
-                flagged = [f for f in fs if f.get("cwe")]
-                top = max(flagged, key=lambda f: (sev_rank.get(f.get("severity"), 0), -f["line"])) if flagged else None
-                rows.append({
-                    "work_key": key, "language": lang, "is_vulnerability": bool(flagged),
-                    "cwe": top["cwe"] if top else "",
-                    "n_lines": len(flagged),
-                    "severity": top["severity"] if top else "info",
-                    "explanation": "; ".join(f["message"] for f in flagged) if flagged else "no rule finding",
-                    "error": None,
-                })
-            except Exception as e:  # a failed call becomes an error row, not a task failure
-                rows.append({"work_key": key, "language": lang, "is_vulnerability": False, "cwe": "",
-                             "n_lines": 0, "severity": "info", "explanation": "", "error": str(e)})
-        yield pd.DataFrame(rows, columns=["work_key", "language", "is_vulnerability", "cwe", "n_lines",
-                                          "severity", "explanation", "error"])
+            fs = json.loads(fj) if fj else []
+            flagged = [f for f in fs if f.get("cwe")]
+            top = max(flagged, key=lambda f: (sev_rank.get(f.get("severity"), 0), -f["line"])) if flagged else None
+            rows.append({
+                "work_key": key, "language": lang, "is_vulnerability": bool(flagged),
+                "cwe": top["cwe"] if top else "",
+                "n_lines": len(flagged),
+                "severity": top["severity"] if top else "info",
+                "explanation": "; ".join(f["message"] for f in flagged) if flagged else "no rule finding",
+                "lines": sorted({f["line"] for f in flagged}), "fix": None, "error": None,
+            })
+        yield pd.DataFrame(rows)
 
 
 VERDICT_OUT = ("work_key string, language string, is_vulnerability boolean, cwe string, n_lines int, "
-               "severity string, explanation string, error string")
+               "severity string, explanation string, lines array<int>, fix string, error string")
+
+
+def failure_record(error: Column) -> dict[str, Column]:
+    """V4 for a call that failed: the columns of VERDICT_OUT but for the key, with the error."""
+    return {"language": F.lit(None).cast("string"), "is_vulnerability": F.lit(False), "cwe": F.lit(""), "n_lines": F.lit(0),
+            "severity": F.lit("info"), "explanation": F.lit(FAILED_EXPLANATION), "lines": F.array().cast("array<int>"),
+            "fix": F.lit(None).cast("string"), "error": error}
+
+
+def _answers(fn):
+    """``fn`` over Arrow batches so that no call fails its task: a batch that raises is called again row by row, and
+    the rows that raise alone, or get no answer, yield their key and an error."""
+    names = [c.split()[0] for c in VERDICT_OUT.split(", ")]
+
+    def call(pdf):
+        import pandas as pd
+        try:
+            got = pd.concat([*fn(iter([pdf])), pd.DataFrame(columns=["work_key"])]).reindex(columns=names)
+            got = got[got["work_key"].isin(pdf["work_key"])].drop_duplicates("work_key")
+        except Exception as e:
+            if len(pdf) > 1:
+                return [x for i in range(len(pdf)) for x in call(pdf.iloc[i:i + 1])]
+            return [failed(pdf["work_key"], f"{type(e).__name__}: {e}")]
+        return [got, failed(pdf["work_key"][~pdf["work_key"].isin(got["work_key"])], "no answer")]
+
+    def failed(keys, error):
+        import pandas as pd
+        return pd.DataFrame({"work_key": keys, "error": error}).reindex(columns=names)
+
+    def run(batches):
+        for pdf in batches:
+            for out in call(pdf):
+                if len(out):
+                    yield out.astype(object).where(out.notna(), None)
+    return run
 
 
 def findings_for_fn(findings) -> Column:
@@ -176,26 +244,42 @@ def findings_for_fn(findings) -> Column:
         f["cwe"].alias("cwe"), f["severity"].alias("severity"))))
 
 
-def run_verdicts(requests: DataFrame, fn=default_verdict_fn, parallelism: int | None = None) -> DataFrame:
-    """Call ``fn`` once per distinct work key (H6 order: cache/dedupe
-    first), in Arrow batches. ``parallelism`` bounds concurrent calls
-    (``repartition`` before the call) when the function hits a rate-limited
-    service; Spark task retries replace the retry decorator."""
-    distinct = requests.select("work_key", "lang", "findings_json").dropDuplicates(["work_key"])
+def run_verdicts(requests: DataFrame, fn=default_verdict_fn, parallelism: int | None = None, cache: DataFrame | None = None) -> DataFrame:
+    """One verdict (VERDICT_OUT and ``code``) per distinct work key of ``requests`` (work_key, lang, findings_json, code).
+
+    ``fn`` takes an iterator of pandas frames and yields frames of VERDICT_OUT's columns (missing ones are null); it is
+    called once per Arrow batch, so it should keep what is costly to load in its module. Keys that ``cache`` (columns of
+    VERDICT_OUT) answers without an error are not called. A call that raises or gives no answer becomes a failure record
+    with its ``error``. Of requests with one key the lowest language, findings and code count. ``parallelism`` bounds
+    concurrent calls when the function hits a rate-limited service; Spark task retries replace the retry decorator."""
+    distinct = requests.groupBy("work_key").agg(*[F.min(c).alias(c) for c in ("lang", "findings_json", "code")])
+    names = [c.split()[0] for c in VERDICT_OUT.split(", ")]
+    todo, known = distinct, None
+    if cache is not None:
+        answered = cache.where("error is null and work_key is not null").select(*names).dropDuplicates(["work_key"])
+        known = distinct.select("work_key", "code").join(answered, "work_key")
+        todo = distinct.join(answered.select("work_key"), "work_key", "left_anti")
     if parallelism:
-        distinct = distinct.repartition(parallelism, "work_key")
-    return distinct.mapInPandas(fn, VERDICT_OUT)
+        todo = todo.repartition(parallelism, "work_key")
+    out = todo.mapInPandas(_answers(fn), VERDICT_OUT)
+    record = failure_record(F.col("error"))
+    out = out.select("work_key", *[F.when(F.col("error").isNotNull(), c).otherwise(F.col(n)).alias(n) for n, c in record.items()])
+    out = todo.select("work_key", "code").join(out, "work_key")
+    return out if known is None else out.unionByName(known)
 
 
 def scan_verdicts(requests: DataFrame, keys: list[str], fn=default_verdict_fn,
-                  parallelism: int | None = None) -> DataFrame:
-    """U1 end to end: the request table (keys, lang, work_key, findings_json)
-    is written once to the shared checkpoint folder, so the expensive call
+                  parallelism: int | None = None, cache: DataFrame | None = None) -> DataFrame:
+    """U1 end to end: the request table (keys, lang, work_key, findings_json,
+    code) is written once to the shared checkpoint folder, so the expensive call
     and the join back read the same rows (no recomputation of the rule scan,
     and a retried task never re-derives its requests); verdicts are computed
-    per distinct work key and joined back to every request."""
+    per distinct work key and joined back to every request. Every request gets a row:
+    a failed call has ``error`` set and V4's defaults."""
     from ..session import checkpoint_dir
     checkpoint_dir(requests.sparkSession)
-    req = requests.select(*keys, "lang", "work_key", "findings_json").checkpoint(eager=True)
-    out = run_verdicts(req, fn, parallelism)
+    if "code" not in requests.columns:
+        requests = requests.withColumn("code", F.lit(None).cast("string"))
+    req = requests.select(*keys, "lang", "work_key", "findings_json", "code").checkpoint(eager=True)
+    out = run_verdicts(req, fn, parallelism, cache)
     return req.select(*keys, "work_key").join(out, "work_key", "inner")

@@ -10,20 +10,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lines import lines_l2, py_strip
 from ..operators import blocks as B
 from ..operators import rules as R
 from ..operators import verdicts as V
 
 
 def scan_source(files: DataFrame, id_col: str = "file_id", lang: str = "lang", code: str = "code",
-                verdict_fn=V.default_verdict_fn, parallelism: int | None = None) -> DataFrame:
+                verdict_fn=V.default_verdict_fn, parallelism: int | None = None, cache: DataFrame | None = None) -> DataFrame:
     """One row per chunk with its verdict: (id, chunk_no, start_line,
-    end_line, chunk_hash, is_vulnerability, cwe, severity, n_flagged)."""
+    end_line, chunk_hash, lang, code, is_vulnerability, cwe, severity, n_flagged,
+    vulnerable_lines, explanation, fix_code, failed, error).
+
+    ``vulnerable_lines`` holds the verdict's lines that the chunk has, as (line of the file,
+    trimmed code), V2; ``fix_code`` is guarded by V3. A failed call gives V4's record with
+    ``failed`` and ``error``; ``sinks.result_envelope`` counts them. ``cache`` holds
+    verdicts by work key (columns of VERDICT_OUT); its keys aren't called."""
     chunks = B.block_chunks(files.select(id_col, lang, code), [id_col, lang], code, lang)
     f = R.with_findings(chunks, "text", lang)
-    req = f.select(id_col, "chunk_no", "start_line", "end_line", F.col("hash").alias("chunk_hash"),
+    req = f.select(F.struct(id_col, "chunk_no", "start_line", "end_line", F.col("hash").alias("chunk_hash"), F.col(lang).alias("lang")).alias("_k"),
                    F.col(lang).alias("lang"), R.work_key("text", "findings").alias("work_key"),
-                   V.findings_for_fn("findings").alias("findings_json"))
-    out = V.scan_verdicts(req.withColumn("_k", F.struct(id_col, "chunk_no", "start_line", "end_line", "chunk_hash")),
-                          ["_k"], verdict_fn, parallelism)
-    return out.select("_k.*", "is_vulnerability", "cwe", "severity", F.col("n_lines").alias("n_flagged"))
+                   V.findings_for_fn("findings").alias("findings_json"), F.col("text").alias("code"))
+    out = V.scan_verdicts(req, ["_k"], verdict_fn, parallelism, cache)
+    said = F.transform(F.coalesce("lines", F.array().cast("array<int>")), lambda n: F.struct(n.alias("lineNum"), F.lit("").alias("lineCode")))
+    out = out.withColumns({"_said": V.clip_lines(said, F.col("code")), "_text": lines_l2("code")})
+    lines = F.transform("_said", lambda x: F.struct((F.col("_k.start_line") + x["lineNum"] - 1).cast("int").alias("line"),
+                                                    py_strip(F.element_at("_text", x["lineNum"])).alias("code")))
+    return out.select("_k.*", "code", "is_vulnerability", "cwe", "severity", F.col("n_lines").alias("n_flagged"),
+                      lines.alias("vulnerable_lines"), "explanation", V.guard_fix(F.col("fix"), F.col("code")).alias("fix_code"),
+                      F.col("error").isNotNull().alias("failed"), "error")

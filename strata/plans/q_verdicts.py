@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.dims import RISK_LABELS
+from ..functions.dims import RISK_LABELS, sql_literal
 from ..functions.lines import explode_rows, lines_l2, py_strip
 from ..operators import rules as R
 from ..operators import verdicts as V
@@ -137,6 +137,39 @@ def q_validate_verdicts(spark, sf_dir):
     return p.select("event_id", V.validate().alias("v")).select("event_id", "v.accepted", "v.reason", "v.risk_score")
 
 
+#: Replacements that give some answers a field of a wrong type: (every nth event, text, its replacement).
+RETYPED = [(19, '"is_vulnerability": true', '"is_vulnerability": "yes"'), (23, '"lineNum": ', '"lineNum": 0.5, "at": '),
+           (29, '"cwe": "CWE-', '"cwe": 1, "old_cwe": "CWE-'), (31, '"riskLevel": ', '"riskLevel": [1], "old_risk": '),
+           (37, '"vulnerabilityLines": [', '"vulnerabilityLines": [null, '), (41, '"fixCode": "', '"fixCode": null, "old_fix": "')]
+
+
+def _retyped_sql() -> str:
+    raw = "raw"
+    for n, a, b in RETYPED:
+        raw = f"CASE WHEN event_id % {n} = 0 THEN replace({raw}, {sql_literal(a)}, {sql_literal(b)}) ELSE {raw} END"
+    kind = lambda f: f"json_type(j, '$.{f}')"
+    wrong = {f: f"{kind(f)} <> 'VARCHAR'" for f in ("language", "vulnerabilityType", "cwe", "explanation", "fixCode")}
+    wrong["is_vulnerability"] = f"{kind('is_vulnerability')} <> 'BOOLEAN'"
+    wrong["riskLevel"] = f"{kind('riskLevel')} NOT IN ('VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE')"
+    wrong["vulnerabilityLines"] = (f"({kind('vulnerabilityLines')} <> 'ARRAY' OR len(list_filter(CAST(json_extract(j, '$.vulnerabilityLines') AS JSON[]), lambda e: "
+                                   "coalesce(json_type(e, '$.lineNum'), '') NOT IN ('BIGINT', 'UBIGINT') OR coalesce(json_type(e, '$.lineCode'), '') <> 'VARCHAR')) > 0)")
+    checks = " ".join(f"WHEN coalesce({kind(f)}, 'NULL') = 'NULL' THEN 'missing:{f}' WHEN {wrong[f]} THEN 'bad_type:{f}'" for f in V.REQUIRED)
+    return f"""WITH {RAW_SQL.split("pj AS (")[0]}
+t AS (SELECT event_id, regexp_extract({raw}, '(?s)\\{{.*\\}}', 0) AS j FROM raw),
+q AS (SELECT event_id, CASE WHEN json_valid(j) AND json_type(j) = 'OBJECT' THEN j END AS j FROM t),
+r AS (SELECT event_id, j, json_extract_string(j, '$.riskLevel') AS risk_raw, json_type(j, '$.riskLevel') <> 'VARCHAR' AS risk_numeric FROM q),
+s AS (SELECT event_id, CASE WHEN j IS NULL THEN 'bad_json' {checks} WHEN {_RE} IS NOT NULL THEN 'risk:' || {_RE} END AS reason FROM r)
+SELECT event_id, reason IS NULL AS accepted, reason FROM s"""
+
+
+@query("validate_types", _retyped_sql())
+def q_validate_types(spark, sf_dir):
+    rows = raw_answers(spark, sf_dir)
+    for n, a, b in RETYPED:
+        rows = rows.withColumn("raw", F.when(F.col("event_id") % n == 0, F.replace("raw", F.lit(a), F.lit(b))).otherwise(F.col("raw")))
+    return V.with_parsed(rows, "raw").select("event_id", V.validate().alias("v")).select("event_id", "v.accepted", "v.reason")
+
+
 _SC2, _RE2 = _risk_sql("raw", "is_num")
 
 
@@ -300,19 +333,29 @@ ch AS (SELECT file_id, chunk_no, start_line, end_line, text FROM blk
 cl AS (SELECT ch.file_id, ch.chunk_no, cc.lang, unnest(string_split(ch.text, chr(10))) AS line,
               generate_subscripts(string_split(ch.text, chr(10)), 1) AS line_no
        FROM ch JOIN cc ON cc.file_id = ch.file_id),
-hh AS (SELECT cl.file_id, cl.chunk_no, cl.line_no, r.rule_id AS check_id, r.cwe, r.severity, s.rk
+hh AS (SELECT cl.file_id, cl.chunk_no, cl.line_no, cl.line, r.rule_id AS check_id, r.cwe, r.severity, r.message, s.rk
        FROM cl JOIN {RULES_SQL} r ON (r.rlang = '*' OR r.rlang = cl.lang) AND regexp_matches(cl.line, r.regex)
        JOIN {SEV_RANK_SQL} s ON s.sv = r.severity WHERE r.cwe IS NOT NULL),
+said AS (SELECT file_id, chunk_no, string_agg(message, '; ' ORDER BY line_no, check_id) AS expl FROM hh GROUP BY file_id, chunk_no),
+vl AS (SELECT d.file_id, d.chunk_no, string_agg(CAST(ch.start_line + d.line_no - 1 AS VARCHAR) || ': ' || {pystrip('d.line')}, chr(10) ORDER BY d.line_no) AS vlines
+       FROM (SELECT DISTINCT file_id, chunk_no, line_no, line FROM hh) d
+       JOIN ch ON ch.file_id = d.file_id AND ch.chunk_no = d.chunk_no GROUP BY d.file_id, d.chunk_no),
 top AS (SELECT file_id, chunk_no, cwe, severity, n FROM (
           SELECT *, row_number() OVER (PARTITION BY file_id, chunk_no ORDER BY rk DESC, line_no, check_id) AS rn,
                  count(*) OVER (PARTITION BY file_id, chunk_no) AS n FROM hh) WHERE rn = 1)
 SELECT ch.file_id, ch.chunk_no, ch.start_line, ch.end_line, sha256(ch.text) AS chunk_hash,
        top.n IS NOT NULL AS is_vulnerability, coalesce(top.cwe, '') AS cwe, coalesce(top.severity, 'info') AS severity,
-       CAST(coalesce(top.n, 0) AS INTEGER) AS n_flagged
-FROM ch LEFT JOIN top ON top.file_id = ch.file_id AND top.chunk_no = ch.chunk_no"""
+       CAST(coalesce(top.n, 0) AS INTEGER) AS n_flagged, coalesce(vl.vlines, '') AS vulnerable_lines,
+       coalesce(said.expl, 'no rule finding') AS explanation, sha256(ch.text) AS fix_hash, CAST(NULL AS VARCHAR) AS error
+FROM ch LEFT JOIN top ON top.file_id = ch.file_id AND top.chunk_no = ch.chunk_no
+LEFT JOIN said ON said.file_id = ch.file_id AND said.chunk_no = ch.chunk_no
+LEFT JOIN vl ON vl.file_id = ch.file_id AND vl.chunk_no = ch.chunk_no"""
 
 
 @query("scan_source", _scan_source_sql(), kind="R")
 def q_scan_source(spark, sf_dir):
     from .pipeline import scan_source
-    return scan_source(code_corpus(spark, sf_dir))
+    rows = scan_source(code_corpus(spark, sf_dir))
+    said = F.transform("vulnerable_lines", lambda x: F.concat(x["line"].cast("string"), F.lit(": "), x["code"]))
+    return rows.select("file_id", "chunk_no", "start_line", "end_line", "chunk_hash", "is_vulnerability", "cwe", "severity", "n_flagged",
+                       F.array_join(said, "\n").alias("vulnerable_lines"), "explanation", F.sha2("fix_code", 256).alias("fix_hash"), "error")

@@ -178,6 +178,64 @@ def test_validation_reasons(spark):
     assert reasons == [f"missing:{f}" for f in V.REQUIRED]
 
 
+def test_validation_types(spark):
+    import json
+    full = json.loads(VERDICT)
+    line = {"lineNum": 1, "lineCode": "x"}
+    cases = [("language", 5), ("is_vulnerability", "true"), ("is_vulnerability", 1), ("vulnerabilityType", ["x"]), ("cwe", 79), ("vulnerabilityLines", "none"),
+             ("vulnerabilityLines", [line, {"lineNum": "1", "lineCode": "x"}]), ("vulnerabilityLines", [{"lineNum": 1.5, "lineCode": "x"}]),
+             ("vulnerabilityLines", [{"lineNum": 1}]), ("vulnerabilityLines", [line, None]), ("vulnerabilityLines", [3]), ("riskLevel", True),
+             ("riskLevel", {"score": 3}), ("explanation", {}), ("fixCode", 0)]
+    good = [("vulnerabilityLines", []), ("vulnerabilityLines", [line, {**line, "note": None}]), ("riskLevel", 7), ("riskLevel", 7.5)]
+    raws = [json.dumps({**full, f: x}) for f, x in cases + good] + [json.dumps({**full, "cwe": None})]
+    df = V.with_parsed(spark.createDataFrame([(r,) for r in raws], "raw string"), "raw")
+    reasons = [r.v.reason for r in df.select(V.validate().alias("v")).collect()]
+    assert reasons == [f"bad_type:{f}" for f, _ in cases] + [None] * len(good) + ["missing:cwe"]
+
+
+def _verdict_fns():
+    """Functions of a test, which workers get by value."""
+    def failing_fn(batches):
+        for pdf in batches:
+            if pdf["code"].str.contains("BOOM").any():
+                raise ValueError("no answer today")
+            out = pdf[~pdf["code"].str.contains("SILENT")]
+            yield out.assign(language=out["lang"], is_vulnerability=True, cwe="CWE-1", n_lines=3, severity="low", explanation="said",
+                             lines=[[1, 2, 99]] * len(out), fix="one line")[["work_key", "language", "is_vulnerability", "cwe", "n_lines", "severity", "explanation", "lines", "fix"]]
+
+    def always_failing_fn(batches):
+        raise RuntimeError("service is down")
+    return failing_fn, always_failing_fn
+
+
+def test_failed_calls_become_records(spark):
+    from strata.operators.sinks import result_envelope
+    from strata.plans.pipeline import scan_source
+    failing_fn, always_failing_fn = _verdict_fns()
+    code = {1: "# first\ndef f():\n    return 1", 2: "def g():\n    return 'BOOM'", 3: "def h():\n    return 'SILENT'", 4: "def g():\n    return 'BOOM'"}
+    files = spark.createDataFrame([(i, "python", c) for i, c in code.items()], "file_id int, lang string, code string")
+    rows = {r.file_id: r for r in scan_source(files, verdict_fn=failing_fn).collect()}
+    assert len(rows) == 4 and not rows[1].failed and rows[1].is_vulnerability and rows[1].code == "def f():\n    return 1"
+    assert [tuple(x) for x in rows[1].vulnerable_lines] == [(2, "def f():"), (3, "return 1")]  # lines of the file; line 99 is none of the chunk's
+    assert rows[1].fix_code == rows[1].code and rows[1].error is None  # a fix of another length is no fix
+    assert rows[2].error == rows[4].error == "ValueError: no answer today" and rows[3].error == "no answer"
+    for i in (2, 3, 4):
+        r = rows[i]
+        assert (r.failed, r.is_vulnerability, r.cwe, r.n_flagged, r.vulnerable_lines, r.explanation, r.fix_code) == (True, False, "", 0, [], "Analysis failed", code[i])
+    down = scan_source(files, verdict_fn=always_failing_fn)
+    e = result_envelope(down, "lang", "failed", "is_vulnerability").first()
+    assert (e.status, e.n_results, e.n_rejects, e.error) == ("FAILURE", 4, 4, "4 result(s) failed")
+
+
+def test_cached_verdicts_are_not_called(spark):
+    failing_fn, always_failing_fn = _verdict_fns()
+    req = spark.createDataFrame([(i, "python", f"k{i % 3}", "[]", "x") for i in range(6)], "id int, lang string, work_key string, findings_json string, code string")
+    cache = V.run_verdicts(req.where("work_key = 'k1'")).drop("code").withColumn("explanation", F.lit("cached"))
+    stale = V.run_verdicts(req.where("work_key = 'k2'"), always_failing_fn).drop("code")  # a failure isn't an answer
+    got = V.scan_verdicts(req, ["id"], failing_fn, cache=cache.unionByName(stale).unionByName(cache))
+    assert {r.id: r.explanation for r in got.collect()} == {0: "said", 1: "cached", 2: "said", 3: "said", 4: "cached", 5: "said"}
+
+
 def _votes(spark, rows):
     return spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)],
                                  "g int, o int, flag boolean, cwe string, risk double, fix string")
