@@ -6,11 +6,12 @@
   distinct line hash sets have Jaccard >= threshold are found with
   *prefix filtering* (exact): tokens are ordered by (document frequency,
   hash); two sets that reach the threshold must share a token inside both
-  prefixes, so only prefix tokens are joined. Candidates are verified with
-  the exact intersection size. No all-pairs join.
+  prefixes, so only prefix tokens are joined, under a length and a position
+  filter; a frequent token's texts are dealt to parts. Candidates are verified
+  with the exact intersection size. No all-pairs join.
 * D1b multiset line statistics: per-document line counts, joined per pair
   with a full outer join.
-* D3 snapshot comparison: relational set differences (anti joins).
+* D3 snapshot comparison: counts per (key, row, item) of both snapshots.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from pyspark.sql import functions as F
 from ..functions.lines import lines_l1, py_strip
 
 
+#: Texts of one part of a frequent token.
+PART_TEXTS = 2_000
+
+
 def line_token_array(text, min_len: int = 1) -> Column:
     """Distinct sha256 hashes of the stripped lines of at least ``min_len`` characters (in-row); 1: all that aren't blank."""
     return F.array_distinct(F.transform(F.filter(F.transform(lines_l1(text), lambda l: py_strip(l)),
@@ -46,11 +51,17 @@ def near_copy_pairs(docs: DataFrame, id_col: str, text: str, threshold_num: int
     ranked = toks.join(df_tok, "tok").withColumn("_pos", F.row_number().over(w))
     # prefix length for Jaccard >= t: n - ceil(t * n) + 1
     need = F.ceil(F.col("_n") * threshold_num / threshold_den)
-    prefix = ranked.filter(F.col("_pos") <= F.col("_n") - need + 1).select("id", "tok", "_n")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    cand = (a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.id") < F.col("b.id")))
-            # length filter: |small| >= t * |large|
-            .filter((F.least("a._n", "b._n") * threshold_den) >= (F.greatest("a._n", "b._n") * threshold_num))
+    prefix = ranked.filter(F.col("_pos") <= F.col("_n") - need + 1)
+    # the texts of a frequent token are dealt to parts; each meets all texts of the token, part by part
+    parts = F.ceil(F.col("_df") / PART_TEXTS).cast("int")
+    a = prefix.select("id", "tok", "_n", "_pos", F.pmod(F.xxhash64("id"), parts).cast("int").alias("_part")).alias("a")
+    b = prefix.select("id", "tok", "_n", "_pos", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part")).alias("b")
+    # position filter: what two texts share is at most what lies up to the shared token in both, and what lies behind it in both
+    most = F.least("a._pos", "b._pos") + F.least(F.col("a._n") - F.col("a._pos"), F.col("b._n") - F.col("b._pos"))
+    cand = (a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a._part") == F.col("b._part")) & (F.col("a.id") < F.col("b.id"))
+                   # length filter: |small| >= t * |large|
+                   & (F.least("a._n", "b._n") * threshold_den >= F.greatest("a._n", "b._n") * threshold_num)
+                   & (most * (threshold_num + threshold_den) >= (F.col("a._n") + F.col("b._n")) * threshold_num))
             .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct())
     sa, sb = reps.alias("sa"), reps.alias("sb")
     v = (cand.join(sa, F.col("id_a") == F.col("sa.id")).join(sb, F.col("id_b") == F.col("sb.id"))
@@ -103,31 +114,36 @@ def compare_snapshots(old_items: DataFrame, new_items: DataFrame, keys: list[str
     """D3 over item rows ``(keys..., row, item)``: a snapshot row is a
     (key, row) group with a list of items. For old duplicates of a key the
     last row wins; each new row reports the items it added (not in the old
-    list) and the old items it lost (not in its own list), duplicates kept.
-    Relational: anti joins on (key, item); no lists are collected."""
-    last = old_items.groupBy(*keys).agg(F.max(row).alias("_last"))
-    old = old_items.join(last, keys).filter(F.col(row) == F.col("_last")).select(*keys, item)
-    old_set = old.select(*keys, item).distinct()
-    new_rows = new_items.select(*keys, row).distinct()
-    added = new_items.join(old_set, [*keys, item], "left_anti")
-    new_set = new_items.select(*keys, row, item).distinct()
-    removed = old.join(new_rows, keys).join(new_set, [*keys, row, item], "left_anti")
-    a = added.groupBy(*keys, row).agg(F.count(F.lit(1)).cast("bigint").alias("n_added"),
-                                      F.array_join(F.array_sort(F.collect_set(item)), ",").alias("added"))
-    r = removed.groupBy(*keys, row).agg(F.count(F.lit(1)).cast("bigint").alias("n_removed"),
-                                        F.array_join(F.array_sort(F.collect_set(item)), ",").alias("removed"))
-    out = (new_rows.join(a, [*keys, row], "left").join(r, [*keys, row], "left")
-           .select(*keys, row, F.coalesce("n_added", F.lit(0).cast("bigint")).alias("n_added"),
-                   F.coalesce("added", F.lit("")).alias("added"),
-                   F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"),
-                   F.coalesce("removed", F.lit("")).alias("removed")))
+    list) and the old items it lost (not in its own list). The counts keep
+    duplicates, the texts name each item once.
+
+    Both snapshots are counted per (key, row, item) in one aggregation. An item
+    of a new row then meets at most one count of the old list, and what a row
+    lost is the old list's total less what it shares, so no join multiplies old
+    items by new rows. Null items match nothing; a row with a null key has no old list."""
+    tagged = (old_items.select(*keys, row, item, F.lit(True).alias("_is_old"))
+              .unionByName(new_items.select(*keys, row, item, F.lit(False).alias("_is_old"))))
+    counts = tagged.groupBy(*keys, row, item, "_is_old").agg(F.count(F.lit(1)).alias("_n"))
+    old, new = counts.filter("_is_old").drop("_is_old"), counts.filter("not _is_old").drop("_is_old")
+    last = old.groupBy(*keys).agg(F.max(row).alias("_last"))
+    old = (old.join(last, keys).filter(F.col(row) == F.col("_last")).select(*keys, item, F.col("_n").alias("_old_n")))
+    lists = old.groupBy(*keys).agg(F.sum("_old_n").alias("_old_total"), F.sort_array(F.collect_set(item)).alias("_old_names"))
+    is_new = F.col("_old_n").isNull()
+    rows = (new.join(old, [*keys, item], "left").groupBy(*keys, row)
+            .agg(F.sum(F.when(is_new, F.col("_n")).otherwise(0)).alias("n_added"),
+                 F.array_join(F.sort_array(F.collect_set(F.when(is_new, F.col(item)))), ",").alias("added"),
+                 F.sum(F.coalesce("_old_n", F.lit(0))).alias("_shared"), F.collect_set(item).alias("_names")))
+    lost = F.coalesce(F.array_except("_old_names", "_names"), F.array().cast("array<string>"))
+    out = (rows.join(lists, keys, "left")
+           .select(*keys, row, F.col("n_added").cast("bigint").alias("n_added"), "added",
+                   (F.coalesce("_old_total", F.lit(0)) - F.col("_shared")).cast("bigint").alias("n_removed"),
+                   F.array_join(lost, ",").alias("removed")))
     if include_removed:
-        gone = old.join(new_rows.select(*keys).distinct(), keys, "left_anti")
-        g = gone.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("n_removed"),
-                                    F.array_join(F.array_sort(F.collect_set(item)), ",").alias("removed"))
-        out = out.unionByName(g.select(*keys, F.lit(None).cast(new_items.schema[row].dataType).alias(row),
-                                       F.lit(0).cast("bigint").alias("n_added"), F.lit("").alias("added"),
-                                       "n_removed", "removed"))
+        gone = lists.join(rows.select(*keys).distinct(), keys, "left_anti")
+        out = out.unionByName(gone.select(*keys, F.lit(None).cast(new_items.schema[row].dataType).alias(row),
+                                          F.lit(0).cast("bigint").alias("n_added"), F.lit("").alias("added"),
+                                          F.col("_old_total").cast("bigint").alias("n_removed"),
+                                          F.array_join("_old_names", ",").alias("removed")))
     return out
 
 

@@ -481,3 +481,29 @@ def test_snapshots_of_any_month_equal_their_oracle(spark, tmp_path):
     cols = ["user_id", "day_no", "hour", "n_added", "added", "n_removed", "removed"]
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({SNAP_SQL})").fetchall()
     assert sorted(tuple(r[c] for c in cols) for r in got) == sorted(want) and any(r.n_removed for r in got)
+
+
+def test_snapshot_counts_keep_duplicates_and_nulls(spark):
+    old = spark.createDataFrame([("a", 1, "X"), ("a", 2, "X"), ("a", 2, "X"), ("a", 2, "Y"), ("a", 2, None), ("z", 1, "V")], "k string, r int, item string")
+    new = spark.createDataFrame([("a", 1, "Y"), ("a", 1, "W"), ("a", 1, "W"), ("a", 1, None), ("a", 3, "X"), ("b", 1, "Q"), (None, 1, "N")],
+                                "k string, r int, item string")
+    got = {(r.k, r.r): (r.n_added, r.added, r.n_removed, r.removed) for r in D.compare_snapshots(old, new, ["k"], "r", "item", include_removed=True).collect()}
+    assert got == {("a", 1): (3, "W", 3, "X"), ("a", 3): (0, "", 2, "Y"), ("b", 1): (1, "Q", 0, ""), (None, 1): (1, "N", 0, ""), ("z", None): (0, "", 1, "V")}
+    assert D.compare_snapshots(old.limit(0), new.limit(0), ["k"], "r", "item").collect() == []
+
+
+def test_near_copies_equal_brute_force_with_split_tokens(spark, monkeypatch):
+    import random
+    monkeypatch.setattr(D, "PART_TEXTS", 3)
+    rnd = random.Random(5)
+    # few lines in all, so that every token is frequent and every text has many neighbours
+    rows = [(i, "\n".join(rnd.sample("abcdefgh", rnd.randint(1, 6)))) for i in range(120)] + [(900, None), (901, "")]
+    texts = {}
+    for i, t in rows:
+        if t:
+            texts.setdefault(t, i)
+    sets = [(i, set(t.split("\n"))) for t, i in texts.items()]
+    want = {(min(i, j), max(i, j)) for n, (i, a) in enumerate(sets) for j, b in sets[:n] if 2 * len(a & b) >= len(a | b)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = D.near_copy_pairs(docs, "doc_id", "text").collect()
+    assert {(r.id_a, r.id_b) for r in got} == want and len(got) == len(want) > 100
