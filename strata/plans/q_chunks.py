@@ -8,7 +8,7 @@ from ..functions.dims import FALLBACK_THRESHOLDS
 from ..functions.lines import explode_rows, lines_l1, py_strip
 from ..operators import blocks as B
 from ..operators import chunking as C
-from ..operators.splitter import recursive_pieces
+from ..operators.splitter import with_recursive_pieces
 from ..sources.tables import code_corpus, table
 from .catalog import query
 from .sqlparts import CC, l1, pylstrip, pystrip, values
@@ -233,9 +233,32 @@ def q_pack_batches(spark, sf_dir):
 
 # ------------------------------------------------------------------ C4
 
-@query("chunk_recursive")
+def _cut_sql(source: str, sep: str) -> str:
+    """Spans (id, path, s) of ``source``, those of more than 512 characters cut at ``sep``, which stays in front of what follows."""
+    return f"""SELECT id, path, s FROM {source} WHERE length(s) <= 512
+  UNION ALL SELECT id, list_append(path, i), CASE WHEN i = 1 THEN s[1] || part ELSE {sep} || part END
+  FROM (SELECT id, path, s, unnest(string_split(s[2:], {sep})) AS part, generate_subscripts(string_split(s[2:], {sep}), 1) AS i
+        FROM {source} WHERE length(s) > 512)"""
+
+
+# Every span that may begin a piece knows the span that ends this piece and the one the next piece begins with.
+RECURSIVE_ORACLE = f"""WITH RECURSIVE s0 AS (SELECT doc_id AS id, CAST([] AS BIGINT[]) AS path, text AS s FROM documents WHERE text <> ''),
+s1 AS ({_cut_sql('s0', 'chr(10) || chr(10)')}), s2 AS ({_cut_sql('s1', 'chr(10)')}), s3 AS ({_cut_sql('s2', "';'")}),
+sp AS (SELECT id, coalesce(sum(length(s)) OVER (PARTITION BY id ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o,
+              length(s) AS len FROM s3),
+back AS (SELECT c.id, c.o, min(b.o) AS again FROM sp c JOIN sp b ON b.id = c.id AND b.o <= c.o AND (b.o = c.o OR b.o >= c.o - least(64, 512 - c.len)) GROUP BY ALL),
+stop AS (SELECT a.id, a.o AS start, min(c.o) AS o FROM sp a JOIN sp c ON c.id = a.id AND c.o > a.o AND c.o + c.len - a.o > 512 GROUP BY ALL),
+nx AS (SELECT stop.id, start, stop.o AS stop, again FROM stop JOIN back ON back.id = stop.id AND back.o = stop.o),
+r AS (SELECT id, 0 AS k, CAST(0 AS HUGEINT) AS start FROM s0
+      UNION ALL SELECT r.id, r.k + 1, nx.again FROM r JOIN nx ON nx.id = r.id AND nx.start = r.start),
+p AS (SELECT r.id, r.k, r.start, coalesce(nx.stop, length(s0.s)) AS stop, s0.s FROM r JOIN s0 ON s0.id = r.id LEFT JOIN nx ON nx.id = r.id AND nx.start = r.start)
+SELECT id AS doc_id, CAST(k AS INTEGER) AS piece_no, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS "end",
+       CAST(stop - start AS INTEGER) AS n_chars, sha256(substring(s, CAST(start AS BIGINT) + 1, CAST(stop - start AS BIGINT))) AS hash FROM p"""
+
+
+@query("chunk_recursive", RECURSIVE_ORACLE, kind="R")
 def q_chunk_recursive(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("pieces", recursive_pieces("text"))
+    d = with_recursive_pieces(table(spark, sf_dir, "documents"), "text")
     return (explode_rows(d, ["doc_id"], "pieces", "p")
             .select("doc_id", "p.piece_no", "p.start", "p.end", F.length("p.text").alias("n_chars"),
                     F.sha2("p.text", 256).alias("hash")))

@@ -1,31 +1,59 @@
 """Independent plain-Python checks for queries without an SQL oracle."""
 
 
-import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from strata.operators.splitter import split_offsets
 from strata.functions.dims import SPLIT_OVERLAP, SPLIT_SEPARATORS, SPLIT_SIZE
 
 
-def _docs():
-    return pq.read_table(f"{SF_SMALL}/documents.parquet").to_pandas()
-
-
-def test_recursive_split_contract(spark, catalog):
-    docs = _docs()
-    for text in docs["text"]:
-        pieces = split_offsets(text)
-        assert pieces[0][0] == 0 and pieces[-1][1] == len(text)
-        for (a0, b0), (a1, b1) in zip(pieces, pieces[1:]):
-            assert a1 <= b0 and b0 - a1 <= SPLIT_OVERLAP  # no gap, bounded overlap
-            assert a1 > a0
-        for a, b in pieces:
-            if b - a > SPLIT_SIZE:
-                assert not any(s in text[a + 1:b] for s in SPLIT_SEPARATORS)
-    got = catalog.QUERIES["chunk_recursive"](spark, SF_SMALL)
-    assert got.count() == sum(len(split_offsets(t)) for t in docs["text"])
+def _segments(text, lo, hi, seps, size):
+    if hi - lo <= size or not seps:
+        return [(lo, hi)]
+    cuts, j = [lo], text.find(seps[0], lo + 1, hi)
+    while j != -1:
+        cuts.append(j)
+        j = text.find(seps[0], j + len(seps[0]), hi)
+    return [x for a, b in zip(cuts, [*cuts[1:], hi]) for x in _segments(text, a, b, seps[1:], size)]
+
+
+def _plain_pieces(text, size, overlap, seps):
+    """(start, end) of the pieces of a text: close when the next span doesn't fit, go on with what may be repeated."""
+    if not text:
+        return []
+    pieces, cur = [], []
+    for lo, hi in _segments(text, 0, len(text), seps, size):
+        if cur and hi - cur[0][0] > size:
+            pieces.append((cur[0][0], cur[-1][1]))
+            cur = [s for s in cur if lo - s[0] <= overlap and hi - s[0] <= size]
+        cur.append((lo, hi))
+    return [*pieces, (cur[0][0], cur[-1][1])]
+
+
+def test_recursive_split(spark):
+    import random
+
+    from strata.operators import splitter
+    rnd = random.Random(3)
+    texts = [None, "", "a", "\n", "x" * 2000, ";" * 1500, "\n" * 1501, "ü;ß\n" * 400, "ab;" * 3000]
+    for _ in range(150):
+        words = ["\n\n", "\n", ";", "\n\n\n", " ", "é" * rnd.randint(1, 30), "w" * rnd.randint(1, 300)]
+        texts.append("".join(rnd.choices(words, [1, 3, 3, 1, 5, 6, 1], k=rnd.randint(1, 400))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    # a small size, so that many blocks of spans are folded, and the production one
+    for size, overlap, block in ((SPLIT_SIZE, SPLIT_OVERLAP, 512), (40, 8, 7), (5, 0, 3)):
+        splitter.BLOCK_SPANS, before = block, splitter.BLOCK_SPANS
+        try:
+            got = splitter.with_recursive_pieces(df, "text", size, overlap).collect()
+        finally:
+            splitter.BLOCK_SPANS = before
+        for r in got:
+            want = _plain_pieces(r.text, size, overlap, SPLIT_SEPARATORS)
+            assert [(p.start, p.end, p.text) for p in r.pieces] == [(a, b, r.text[a:b]) for a, b in want], (r.doc_id, size)
+            for (a0, b0), (a1, b1) in zip(want, want[1:]):
+                assert a0 < a1 <= b0 and b0 - a1 <= overlap
+            for a, b in want:
+                assert b - a <= size or not any(s in r.text[a + 1:b] for s in SPLIT_SEPARATORS)
 
 
 def test_recall_of_approximate_neighbours(spark, catalog):
