@@ -22,11 +22,62 @@ def test_source_tree(spark, tmp_path):
     got = {r.name: r.text for r in df.collect()}
     assert set(got) == {"a.py", "__init__.py", ".hid.py"}
     assert got["a.py"] == "x = 1\ny = 2\n"
-    one_per_task = (spark.read.format("sourcetree").option("extensions", ".py").option("exclude_dirs", "vendor")
-                    .option("files_per_partition", "1").load(str(root)))
+    one_per_task = scan_source_tree(spark, str(root), [".py"], ["vendor"], files_per_task=1)
     assert one_per_task.rdd.getNumPartitions() >= 3 and one_per_task.count() == 3
 
 
+def test_source_tree_by_uri(spark, tmp_path):
+    """A URI with odd characters, excluded names at any depth, links that lead back, an empty and a missing root."""
+    root = tmp_path / "a tree%41"
+    deep = root / "x" / "y" / "z"
+    deep.mkdir(parents=True)
+    (root / "x" / "vendor").mkdir()
+    (root / "x" / "vendor" / "v.c").write_text("v")
+    (deep / "_d.c").write_text("int a;\r\n")
+    (root / "h.h").write_text("")
+    (root / "x" / "back").symlink_to(root)
+    (root / "gone.c").symlink_to(root / "nothing")
+    (root / "f.c").mkdir()
+    got = {r.path: (r.size, r.text) for r in scan_source_tree(spark, root.as_uri(), [".c", ".h"], ["vendor"]).collect()}
+    assert got == {f"{root.as_uri()}/x/y/z/_d.c": (8, "int a;\n"), f"{root.as_uri()}/h.h": (0, "")}
+    assert scan_source_tree(spark, str(deep), [".py"]).collect() == []
+    assert scan_source_tree(spark, str(tmp_path / "missing")).collect() == []
+
+
+def test_c_windows_of_a_tree(spark, tmp_path):
+    from strata.plans.pipeline import tree_windows
+    (tmp_path / "vendor").mkdir()
+    (tmp_path / "vendor" / "a.c").write_text("".join(f"line {i}\n" for i in range(45)))
+    (tmp_path / "b.py").write_text("x")
+    got = sorted((r.name, r.chunk_no, r.start_line, r.end_line, r.text[:7]) for r in tree_windows(spark, str(tmp_path)).collect())
+    assert got == [("a.c", 0, 1, 20, "line 0\n"), ("a.c", 1, 21, 40, "line 20"), ("a.c", 2, 41, 45, "line 40")]
+
+
+def test_scan_of_a_tree_in_one_flow(spark, tmp_path):
+    """Tree, language, chunks, rules, cached and new verdicts, written rows and envelope; failed calls are counted."""
+    from strata.operators.verdicts import VERDICT_OUT
+    from strata.plans.pipeline import scan_tree
+    root = tmp_path / "src"
+    (root / "skip").mkdir(parents=True)
+    (root / "a.py").write_text("import os\n\ndef f(x):\n    return eval(x)\n")
+    (root / "b.py").write_text("def g(x):\n    return x\n")
+    (root / "notes.txt").write_text("def no(): eval(1)\n")
+    (root / "skip" / "c.py").write_text("def h(x):\n    return eval(x)\n")
+    rows, envelope = scan_tree(spark, str(root), str(tmp_path / "out"), "r", exclude_dirs=["skip"])
+    got = {r.file_path.rsplit("/", 1)[1]: r for r in rows.collect()}
+    assert set(got) == {"a.py", "b.py"} and got["a.py"].is_vulnerability and not got["b.py"].is_vulnerability
+    assert [(x.line, x.code) for x in got["a.py"].vulnerable_lines] == [(4, "return eval(x)")]
+    assert [(e.status, e.n_results, e.n_flagged, e.n_rejects) for e in envelope.collect()] == [("SUCCESS", 2, 1, 0)]
+
+    def broken(batches):
+        raise RuntimeError("no service")
+    cache = spark.createDataFrame([(got["a.py"].work_key, "python", True, "CWE-95", 1, "high", "known", [2], None, None)], VERDICT_OUT)
+    rows, envelope = scan_tree(spark, str(root), str(tmp_path / "out2"), "r", exclude_dirs=["skip"], verdict_fn=broken, cache=cache)
+    got = {r.file_path.rsplit("/", 1)[1]: (r.failed, r.explanation) for r in rows.collect()}
+    assert got["a.py"] == (False, "known") and got["b.py"][0]
+    assert [(e.status, e.n_rejects) for e in envelope.collect()] == [("FAILURE", 1)]
+
+
 def test_results_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("f.c", 1, [("c", True)])],
                                  "file_path string, start_line int, vulnerabilities array<struct<language:string,is_vulnerability:boolean>>")
