@@ -180,14 +180,16 @@ def with_merged_gaps(df: DataFrame, lines: Column, is_gap, out: str = "merged")
 # ------------------------------------------------------------------ C5 greedy packing
 
 def with_packed(df: DataFrame, pieces: str, max_chars: int = BATCH_MAX_CHARS,
-                delimiter: str = BATCH_DELIMITER, out: str = "batches") -> DataFrame:
+                delimiter: str = BATCH_DELIMITER, out: str = "batches", carry: tuple[str, ...] = ()) -> DataFrame:
     """C5 over one ordered array column of struct<ord, text>: next-fit packing.
 
     A piece closes the open batch when ``len(batch) + len(delimiter) +
     len(piece) > max_chars`` (the delimiter is counted even for the first
     piece of a batch); a batch is never closed before it has a piece, so no
     empty batch is produced and an oversize piece stands alone.
-    Adds array<struct<batch_no, first_ord, last_ord, n_pieces, text>>.
+    Adds array<struct<batch_no, first_ord, last_ord, n_pieces, text>>; with ``carry``
+    (fields of the pieces, e.g. their line ranges) also ``functions``, an array of
+    these fields of the batch's pieces.
     """
     dl = len(delimiter)
     init = F.struct(F.lit(0).cast("bigint").alias("len"), F.lit(0).alias("n"),
@@ -211,7 +213,8 @@ def with_packed(df: DataFrame, pieces: str, max_chars: int = BATCH_MAX_CHARS,
         # the delimiter goes between pieces, except right after an empty batch text
         body = F.aggregate(texts, F.lit(""), lambda acc, t: F.when(acc == "", t).otherwise(F.concat(acc, F.lit(delimiter), t)))
         return F.struct(k.alias("batch_no"), F.element_at(part, 1)["ord"].alias("first_ord"),
-                        F.element_at(part, -1)["ord"].alias("last_ord"), (nxt - s).alias("n_pieces"), body.alias("text"))
+                        F.element_at(part, -1)["ord"].alias("last_ord"), (nxt - s).alias("n_pieces"), body.alias("text"),
+                        *([F.transform(part, lambda p: F.struct(*[p[c].alias(c) for c in carry])).alias("functions")] if carry else []))
     return d.withColumn(out, F.transform(starts, mk)).drop("_bs")
 
 

@@ -132,6 +132,21 @@ def build_request(lang, code, digest) -> Column:
         F.lit("\n\n### Code:\n"), _c(code), _c(digest))
 
 
+def build_context_request(lang, code, context) -> Column:
+    """P7 with retrieved knowledge (X7): the context goes first, the code last."""
+    return F.concat(
+        F.lit("Review this "), _c(lang), F.lit(" code for security weaknesses with the help of what is known about similar code."),
+        F.lit("\n\n### Known:\n"), F.coalesce(_c(context), F.lit("")), F.lit("\n\n### Code:\n"), _c(code))
+
+
+def build_snippet_request(code, chunks) -> Column:
+    """P7 for a snippet with chunks of source files (X5), nearest first."""
+    return F.concat(
+        F.lit("Name the language of this snippet and review each of its functions for security weaknesses. "),
+        F.lit("Give the weakness type, affected lines with numbers, the risk and the whole block with a fix, as one JSON object."),
+        F.lit("\n\n### Snippet:\n"), _c(code), F.lit("\n\n### From source files:\n"), F.array_join(_c(chunks), "\n\n"))
+
+
 # ---------------------------------------------------------------- knowledge base patterns
 
 def kb_table(spark) -> DataFrame:

@@ -209,10 +209,10 @@ def failure_record(error: Column) -> dict[str, Column]:
             "fix": F.lit(None).cast("string"), "error": error}
 
 
-def _answers(fn):
+def _answers(fn, schema: str = VERDICT_OUT):
     """``fn`` over Arrow batches so that no call fails its task: a batch that raises is called again row by row, and
     the rows that raise alone, or get no answer, yield their key and an error."""
-    names = [c.split()[0] for c in VERDICT_OUT.split(", ")]
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def call(pdf):
         import pandas as pd
@@ -283,3 +283,51 @@ def scan_verdicts(requests: DataFrame, keys: list[str], fn=default_verdict_fn,
     req = requests.select(*keys, "lang", "work_key", "findings_json", "code").checkpoint(eager=True)
     out = run_verdicts(req, fn, parallelism, cache)
     return req.select(*keys, "work_key").join(out, "work_key", "inner")
+
+
+# ------------------------------------------------------------------ requests with context, answered in text
+
+REPLY_OUT = "work_key string, reply string, error string"
+
+
+def default_reply_fn(batches):
+    """Deterministic stand-in for a model that answers in text: reports the pattern lines of the request's context.
+    Input columns: work_key, request. Output: REPLY_OUT."""
+    import json
+    import re
+
+    import pandas as pd
+    for pdf in batches:
+        replies = []
+        for request in pdf["request"]:
+            known, code = request.split("\n\n### Code:\n", 1)
+            lines = re.findall(r"^- Pattern match at line (\d+): (.*) \(Risk: \w+\)$", known, re.M)
+            verdict = {"language": "", "is_vulnerability": bool(lines), "vulnerabilityType": "pattern" if lines else "", "cwe": "",
+                       "vulnerabilityLines": [{"lineNum": int(n), "lineCode": c} for n, c in lines],
+                       "riskLevel": "high" if lines else "none", "explanation": f"{len(lines)} known pattern(s)", "fixCode": code}
+            replies.append(f"The result is {json.dumps(verdict)} as asked.")
+        yield pd.DataFrame({"work_key": pdf["work_key"], "reply": replies, "error": None})
+
+
+def review_with_context(files: DataFrame, context: DataFrame, keys: list[str], lang: str, code: str,
+                        fn=default_reply_fn, parallelism: int | None = None) -> DataFrame:
+    """Retrieval flow: context (``keys``, context; X7) -> request (P7) -> one reply per distinct request (U1) -> parse (V1),
+    validation (V6), clipped lines, guarded fix and defaults (V2-V4). One row per file, without context too:
+    (keys, record, accepted, reason, risk_score, error). A call that fails or a reply without one JSON
+    object gives V4's failure record; ``error`` tells them apart. ``fn`` takes frames (work_key, request) and yields REPLY_OUT."""
+    from ..functions.lines import _col
+    from ..session import checkpoint_dir
+    from .rules import build_context_request
+    checkpoint_dir(files.sparkSession)
+    req = files.select(*keys, _col(lang).alias("_lang"), _col(code).alias("_code")).join(context.select(*keys, "context"), keys, "left")
+    # written once: the calls and the join back read the same rows
+    req = req.withColumn("request", build_context_request("_lang", "_code", "context"))
+    req = req.select(*keys, "_lang", "_code", "request", F.sha2("request", 256).alias("work_key")).checkpoint(eager=True)
+    todo = req.where("work_key is not null").groupBy("work_key").agg(F.min("request").alias("request"))
+    if parallelism:
+        todo = todo.repartition(parallelism, "work_key")
+    replies = todo.mapInPandas(_answers(fn, REPLY_OUT), REPLY_OUT)
+    d = with_parsed(req.drop("request").join(replies, "work_key", "left"), "reply")
+    valid = validate()
+    return d.select(*keys, with_defaults("verdict", "_lang", F.col("_code")).alias("record"), valid["accepted"].alias("accepted"),
+                    valid["reason"].alias("reason"), valid["risk_score"].alias("risk_score"), "error")

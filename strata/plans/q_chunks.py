@@ -231,6 +231,20 @@ def q_pack_batches(spark, sf_dir):
     return conv.unionByName(dpk)
 
 
+@query("pack_functions", PACK_ORACLE[:PACK_ORACLE.index("SELECT r.src")].replace("AS ord, text", "AS ord, 0 AS start_line, 0 AS end_line, text", 1)
+       .replace("AS BIGINT), text, chunk_no + 1", "AS BIGINT), start_line, end_line, text, chunk_no + 1") + """
+SELECT r.id AS doc_id, CAST(r.b AS INTEGER) AS batch_no, string_agg(p.start_line || '-' || p.end_line, ',' ORDER BY p.o) AS functions
+FROM r JOIN pieces p ON p.src = r.src AND p.id = r.id AND p.o = r.o WHERE r.src = 'doc' GROUP BY r.id, r.b""", kind="R")
+def q_pack_functions(spark, sf_dir):
+    """The line ranges of the chunks in each packed batch of a document."""
+    docs = C.with_fallback_chunks(table(spark, sf_dir, "documents"), "text", C.threshold_for("lang"))
+    pieces = docs.select("doc_id", F.transform("chunks", lambda c: F.struct(
+        c["chunk_no"].cast("bigint").alias("ord"), c["text"].alias("text"), c["start_line"].alias("start_line"), c["end_line"].alias("end_line"))).alias("pieces"))
+    packed = explode_rows(C.with_packed(pieces, "pieces", carry=("start_line", "end_line")), ["doc_id"], "batches", "b")
+    ranges = F.transform("b.functions", lambda f: F.concat_ws("-", f["start_line"], f["end_line"]))
+    return packed.select("doc_id", "b.batch_no", F.array_join(ranges, ",").alias("functions"))
+
+
 # ------------------------------------------------------------------ C4
 
 def _cut_sql(source: str, sep: str) -> str:

@@ -9,6 +9,7 @@ from ..functions.lines import explode_rows
 from ..operators import knn as K
 from ..operators import rules as R
 from ..operators import vectors as X
+from ..operators import verdicts as V
 from ..sources.tables import code_corpus, table
 from .catalog import query
 from .q_rules import PATTERNS_SQL
@@ -117,7 +118,7 @@ def q_context_digest(spark, sf_dir):
 CHUNK_ID_BASE = 1 << 31
 
 
-def _rag(spark, sf_dir):
+def _rag_texts(spark, sf_dir):
     from ..operators import chunking as C
     docs = C.with_fixed_line_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     chunks = explode_rows(docs, ["doc_id"], "chunks", "c").select(
@@ -129,12 +130,10 @@ def _rag(spark, sf_dir):
     top = K.knn_exact(corpus, "chunk_id", "embedding", RAG_TOP_K, queries=queries)
     # Neighbour position -> chunk text and its document
     return (top.join(chunks.withColumnRenamed("chunk_id", "neighbor_id"), "neighbor_id")
-            .select(F.col("query_id").alias("item_id"), "rank", "doc_id", "chunk_no", "dist",
-                    F.sha2("text", 256).alias("chunk_hash")))
+            .select(F.col("query_id").alias("item_id"), "rank", "doc_id", "chunk_no", "dist", "text"))
 
 
-def _rag_sql() -> str:
-    return f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l2 FROM documents),
+RAG_SQL = f"""l AS (SELECT doc_id, string_split(text, chr(10)) AS l2 FROM documents),
 x AS (SELECT doc_id, unnest(l2) AS line, generate_subscripts(l2, 1) AS i, len(l2) AS n2 FROM l),
 y AS (SELECT doc_id, i, CASE WHEN i < n2 THEN line || chr(10) ELSE line END AS lt FROM x),
 chunks AS (SELECT doc_id * {CHUNK_ID_BASE} + (i - 1) // 20 AS chunk_id, doc_id, CAST((i - 1) // 20 AS INTEGER) AS chunk_no,
@@ -145,11 +144,73 @@ bq AS (SELECT item_id, text FROM benchmark),
 d AS (SELECT qe.id AS item_id, ce.id AS chunk_id,
         list_sum(list_transform(range(1, {DIM} + 1), lambda i: (qe.vec[i] - ce.vec[i]) * (qe.vec[i] - ce.vec[i]))) AS d2
       FROM qe JOIN ce ON true),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY d2, chunk_id) AS rk FROM d)
-SELECT r.item_id, CAST(r.rk AS INTEGER) AS rank, c.doc_id, c.chunk_no, round(sqrt(r.d2), 6) AS dist, sha256(c.text) AS chunk_hash
-FROM r JOIN chunks c ON c.chunk_id = r.chunk_id WHERE r.rk <= {RAG_TOP_K}"""
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY d2, chunk_id) AS rk FROM d),
+rag AS (SELECT r.item_id, CAST(r.rk AS INTEGER) AS rank, c.doc_id, c.chunk_no, round(sqrt(r.d2), 6) AS dist, c.text
+        FROM r JOIN chunks c ON c.chunk_id = r.chunk_id WHERE r.rk <= {RAG_TOP_K})"""
 
 
-@query("rag_retrieve", _rag_sql())
+@query("rag_retrieve", f"WITH {RAG_SQL} SELECT item_id, rank, doc_id, chunk_no, dist, sha256(text) AS chunk_hash FROM rag")
 def q_rag_retrieve(spark, sf_dir):
-    return _rag(spark, sf_dir)
+    return _rag_texts(spark, sf_dir).select("item_id", "rank", "doc_id", "chunk_no", "dist", F.sha2("text", 256).alias("chunk_hash"))
+
+
+# ------------------------------------------------------------------ requests with context (P7) and their answers
+
+@query("snippet_requests", f"""WITH {RAG_SQL}
+SELECT b.item_id, CAST(count(rag.rank) AS INTEGER) AS n_chunks,
+  sha256('Name the language of this snippet and review each of its functions for security weaknesses. '
+    || 'Give the weakness type, affected lines with numbers, the risk and the whole block with a fix, as one JSON object.'
+    || chr(10) || chr(10) || '### Snippet:' || chr(10) || any_value(b.text) || chr(10) || chr(10) || '### From source files:' || chr(10)
+    || coalesce(string_agg(rag.text, chr(10) || chr(10) ORDER BY rag.rank), '')) AS request_hash
+FROM benchmark b LEFT JOIN rag ON rag.item_id = b.item_id GROUP BY b.item_id""")
+def q_snippet_requests(spark, sf_dir):
+    """X5 -> P7: every benchmark text as a snippet, with its three nearest chunks of the documents (at most three a snippet)."""
+    near = _rag_texts(spark, sf_dir).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("near"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text").join(near, "item_id", "left")
+    chunks = F.coalesce(F.transform("near", lambda x: x["text"]), F.array().cast("array<string>"))
+    return items.select("item_id", F.size(chunks).alias("n_chunks"), F.sha2(R.build_snippet_request("text", chunks), 256).alias("request_hash"))
+
+
+@query("context_requests", f"""WITH {HYBRID_SQL},
+cd AS (SELECT file_id, string_agg('- ' || text || ' (Risk: ' || risk_level || ')', chr(10) ORDER BY rank) AS context FROM ctx GROUP BY file_id)
+SELECT cc.file_id, 'Review this ' || lang || ' code for security weaknesses with the help of what is known about similar code.'
+  || chr(10) || chr(10) || '### Known:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || '### Code:' || chr(10) || code AS request
+FROM cc LEFT JOIN cd ON cd.file_id = cc.file_id""")
+def q_context_requests(spark, sf_dir):
+    """X4 -> X7 -> P7 for every source file."""
+    files = code_corpus(spark, sf_dir).join(X.context_digest(_hybrid(spark, sf_dir)), "file_id", "left")
+    return files.select("file_id", R.build_context_request("lang", "code", "context").alias("request"))
+
+
+@query("review_with_context", f"""WITH {HYBRID_SQL},
+pn AS (SELECT file_id, count(*) AS n FROM ctx WHERE kind = 'pattern' GROUP BY file_id)
+SELECT cc.file_id, lang, n IS NOT NULL AS is_vulnerability, CAST(coalesce(n, 0) AS INTEGER) AS n_lines, CAST(coalesce(n, 0) AS INTEGER) AS n_matching,
+       CAST(CASE WHEN n IS NULL THEN 0 ELSE 7 END AS DOUBLE) AS risk_score, coalesce(n, 0) || ' known pattern(s)' AS explanation, sha256(code) AS fix_hash, false AS failed
+FROM cc LEFT JOIN pn ON pn.file_id = cc.file_id""")
+def q_review_with_context(spark, sf_dir):
+    """X4 -> X7 -> P7 -> U1 -> V1-V6 for every source file, with the stand-in for the model."""
+    files = code_corpus(spark, sf_dir)
+    out = V.review_with_context(files, X.context_digest(_hybrid(spark, sf_dir)), ["file_id"], "lang", "code")
+    lines = F.col("record.vulnerabilityLines")
+    return out.select("file_id", F.col("record.language").alias("lang"), "record.is_vulnerability", F.size(lines).alias("n_lines"),
+                      F.size(F.filter(lines, lambda l: l["line_matches"])).alias("n_matching"), "risk_score", "record.explanation",
+                      F.sha2("record.fixCode", 256).alias("fix_hash"), "record.failed")
+
+
+# ------------------------------------------------------------------ U2: a user's encoder
+
+def _letter_shares():
+    """A small encoder: the share of each letter a to h among a text's characters."""
+    def encode(texts):
+        return [[t.count(c) / max(len(t), 1) for c in "abcdefgh"] for t in texts]
+    return encode
+
+
+@query("encode_by_user_model", """SELECT doc_id, CAST(i - 1 AS INTEGER) AS dim,
+  round((length(t) - length(replace(t, chr(CAST(96 + i AS INTEGER)), ''))) / greatest(length(t), 1), 6) AS value
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents), range(1, 9) r(i)""")
+def q_encode_by_user_model(spark, sf_dir):
+    """Every document by an encoder that the user passes in."""
+    enc = X.encoder_udf(_letter_shares, 8)
+    d = table(spark, sf_dir, "documents").select("doc_id", enc("text").alias("v"))
+    return d.select("doc_id", F.posexplode("v").alias("dim", "v")).select("doc_id", "dim", F.round("v", 6).alias("value"))

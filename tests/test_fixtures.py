@@ -507,3 +507,38 @@ def test_near_copies_equal_brute_force_with_split_tokens(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = D.near_copy_pairs(docs, "doc_id", "text").collect()
     assert {(r.id_a, r.id_b) for r in got} == want and len(got) == len(want) > 100
+
+
+def test_review_with_context_keeps_failures(spark):
+    """A call that fails, a reply without JSON, a reply with lines beyond the code and a fix of another length."""
+    import json
+
+    from strata.operators.verdicts import review_with_context
+
+    def model(batches):
+        import pandas as pd
+        for pdf in batches:
+            out = []
+            for key, request in zip(pdf["work_key"], pdf["request"]):
+                if "boom" in request:
+                    raise ValueError("boom")
+                if "silent" not in request:
+                    lines = [{"lineNum": n, "lineCode": "b"} for n in (0, 2, 9)]
+                    good = {"language": "c", "is_vulnerability": True, "vulnerabilityType": "t", "cwe": "CWE-1", "vulnerabilityLines": lines,
+                            "riskLevel": "High", "explanation": "known" if "hint" in request else "new", "fixCode": "one line"}
+                    out.append((key, "no result" if "vague" in request else f"So: {json.dumps(good)}"))
+            yield pd.DataFrame(out, columns=["work_key", "reply"])
+    files = spark.createDataFrame([(1, "c", "a\nb"), (2, "c", "boom"), (3, "c", "vague"), (4, "c", "silent"), (5, "c", "a\nb"), (6, "c", None), (7, "c", "a\nb")],
+                                  "id long, lang string, code string")
+    context = spark.createDataFrame([(7, "- hint (Risk: Low)")], "id long, context string")
+    got = {r.id: r for r in review_with_context(files, context, ["id"], "lang", "code", model).collect()}
+    assert len(got) == 7
+    for i, word in ((1, "new"), (5, "new"), (7, "known")):
+        r = got[i]
+        assert [(x.lineNum, x.line_matches) for x in r.record.vulnerabilityLines] == [(2, True)]
+        assert (r.record.fixCode, r.record.explanation, r.accepted, r.risk_score, r.error) == ("a\nb", word, True, 7.0, None)
+    assert got[2].record.failed and "boom" in got[2].error and got[2].record.fixCode == "boom"
+    assert got[3].record.failed and got[3].reason == "bad_json" and got[3].error is None
+    assert got[4].record.failed and got[4].error == "no answer"
+    assert got[6].record.failed and not got[6].accepted
+    assert review_with_context(files.limit(0), context, ["id"], "lang", "code", model).collect() == []

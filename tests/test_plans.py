@@ -3,7 +3,8 @@
 from conftest import SF_SMALL
 
 PY_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
-PYTHON_BY_DESIGN = {"scan_verdicts", "scan_source", "knn_l2", "knn_filtered", "knn_approximate", "rag_retrieve", "ttl_dedupe_stream"}
+PYTHON_BY_DESIGN = {"scan_verdicts", "scan_source", "knn_l2", "knn_filtered", "knn_approximate", "rag_retrieve", "ttl_dedupe_stream", "snippet_requests",
+                    "review_with_context", "encode_by_user_model"}
 
 
 def _plan(df):
