@@ -58,11 +58,14 @@ def dedupe_work(df: DataFrame, id_col: str, content: str, work) -> DataFrame:
     distinct content and join the result back to every row.
 
     ``work`` receives one row per distinct hash with columns
-    (_hash, rep_id, <content>)."""
+    (_hash, rep_id, <content>) and gives one row per hash. The smallest id of a
+    hash is found over ids and hashes alone; only then are contents joined, so
+    no aggregation holds them. Null contents have no hash and give no row."""
     d = df.select(id_col, content).withColumn("_hash", F.sha2(F.col(content), 256))
-    reps = d.groupBy("_hash").agg(F.min_by(F.struct(F.col(id_col).alias("rep_id"), F.col(content).alias(content)),
-                                           F.col(id_col)).alias("_r")).select("_hash", "_r.rep_id", f"_r.{content}")
-    done = work(reps)
+    first = d.where("_hash is not null").groupBy("_hash").agg(F.min(id_col).alias("rep_id")).withColumnRenamed("_hash", "_rh")
+    reps = d.join(first, (F.col("_hash") == F.col("_rh")) & F.col(id_col).eqNullSafe(F.col("rep_id"))).select("_hash", "rep_id", content)
+    # an id that repeats with its content is worked on twice, but answers once
+    done = work(reps).dropDuplicates(["_hash"])
     return d.select(id_col, "_hash").join(done, "_hash", "inner")
 
 

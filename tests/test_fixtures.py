@@ -542,3 +542,11 @@ def test_review_with_context_keeps_failures(spark):
     assert got[4].record.failed and got[4].error == "no answer"
     assert got[6].record.failed and not got[6].accepted
     assert review_with_context(files.limit(0), context, ["id"], "lang", "code", model).collect() == []
+
+
+def test_work_is_done_once_per_content(spark):
+    rows = [(3, "a"), (1, "b"), (2, "a"), (2, "a"), (None, "c"), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = K.dedupe_work(df, "id", "text", lambda reps: reps.select("_hash", "rep_id", F.length("text").alias("n")))
+    assert sorted((r.id or 0, r.rep_id or 0, r.n) for r in got.collect()) == [(0, 0, 1), (1, 1, 1), (2, 2, 1), (2, 2, 1), (3, 2, 1), (5, 5, 0)]
+    assert K.dedupe_work(df.limit(0), "id", "text", lambda reps: reps.select("_hash", "rep_id")).collect() == []
