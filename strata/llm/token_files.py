@@ -22,6 +22,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -109,15 +110,39 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (mix64(keys ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)).astype("<u4")
 
 
-def _write_shard(folder: str, shard: int, end_id: int, width: int, payloads: list[bytes], ids, ordinals) -> None:
-    def raw(f):
-        f.write(HEADER.pack(MAGIC, 1, width, end_id))
-        for p in payloads:
-            f.write(p)
-
-    keys = key_hash(np.array([i or 0 for i in ids], dtype=np.int64), np.array([i is None for i in ids]),
-                    np.array(ordinals, dtype=np.int64))
-    counts = np.array([len(p) // width for p in payloads], dtype=np.int64)
+class ShardWriter:
+    """Writes the ids of one shard as they come; only keys and counts stay in memory until the index is written."""
+
+    def __init__(self, folder: str, shard: int, end_id: int, width: int):
+        self.folder, self.shard, self.width = folder, shard, width
+        self.store, self.base = _store(folder)
+        self.store.create_dir(self.base, recursive=True)
+        self.tmp = f"{self.base}/.shard-{shard:06d}.ids.{uuid.uuid4().hex}"
+        self.out = self.store.open_output_stream(self.tmp)
+        self.out.write(HEADER.pack(MAGIC, 1, width, end_id))
+        self.ids, self.nulls, self.ordinals, self.counts = array("q"), bytearray(), array("q"), array("q")
+
+    def add(self, doc_id: int | None, data: bytes) -> None:
+        again = len(self.ids) > 0 and self.ids[-1] == (doc_id or 0) and self.nulls[-1] == (doc_id is None)
+        self.ordinals.append(self.ordinals[-1] + 1 if again else 0)
+        self.ids.append(doc_id or 0)
+        self.nulls.append(doc_id is None)
+        self.counts.append(len(data) // self.width)
+        self.out.write(data)
+
+    def close(self) -> pa.RecordBatch:
+        """Put both files in place; the keys (doc_id, ordinal, shard, n). Readers see whole files only, and a repeated task does no harm."""
+        self.out.close()
+        ids, ordinals, counts = (np.frombuffer(x, dtype=np.int64) for x in (self.ids, self.ordinals, self.counts))
+        nulls = np.frombuffer(self.nulls, dtype=np.uint8).astype(bool)
+        index = shard_index(key_hash(ids, nulls, ordinals), counts)
+        self.store.move(self.tmp, f"{self.base}/shard-{self.shard:06d}.ids")
+        _put(self.folder, f"shard-{self.shard:06d}.idx", lambda f: f.write(index.getbuffer()))
+        return pa.RecordBatch.from_arrays([pa.array(ids, mask=nulls), pa.array(ordinals), pa.array(np.full(len(ids), self.shard, dtype=np.int32)),
+                                           pa.array(counts)], names=["doc_id", "ordinal", "shard", "n"])
+
+
+def shard_index(keys: np.ndarray, counts: np.ndarray) -> io.BytesIO:
     starts = np.cumsum(counts) - counts
     ph = PerfectHash.build(keys)
     slot = ph.slots(keys)
@@ -127,8 +152,7 @@ def _write_shard(folder: str, shard: int, end_id: int, width: int, payloads: lis
         table[name][slot] = col
     buf = io.BytesIO()
     np.savez(buf, **table)
-    _put(folder, f"shard-{shard:06d}.ids", raw)
-    _put(folder, f"shard-{shard:06d}.idx", lambda f: f.write(buf.getbuffer()))
+    return buf
 
 
 class Shard:
@@ -206,28 +230,17 @@ def _encode(shared, bounds, end_id, width):
 
 def _write(folder, end_id, width):
     def write(batches):
-        now, payloads, ids, ordinals = None, [], [], []
-
-        def close():
-            _write_shard(folder, now, end_id, width, payloads, ids, ordinals)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(ordinals, pa.int64()), pa.array([now] * len(ids), pa.int32()),
-                 pa.array([len(p) // width for p in payloads], pa.int64())], names=["doc_id", "ordinal", "shard", "n"])
-            for x in (payloads, ids, ordinals):
-                x.clear()
-            return out
-
+        now = None
         for batch in batches:
-            for doc_id, shard, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "shard", "ids"))):
-                if shard != now:
-                    if ids:
-                        yield close()
-                    now = shard
-                ordinals.append(ordinals[-1] + 1 if ids and ids[-1] == doc_id else 0)
-                ids.append(doc_id)
-                payloads.append(data)
-        if ids:
-            yield close()
+            shards, data = batch.column("shard").to_pylist(), batch.column("ids")
+            for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+                if now is None or shards[i] != now.shard:
+                    if now:
+                        yield now.close()
+                    now = ShardWriter(folder, shards[i], end_id, width)
+                now.add(doc_id, data[i].as_py())
+        if now:
+            yield now.close()
     return write
 
 
@@ -235,7 +248,8 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int, shard_chars: int
                  folder: str | None = None) -> tuple[str, DataFrame]:
     """Encode ``docs`` (doc_id, text) and write the shards; the folder and the table of keys (doc_id, ordinal, shard, n).
 
-    A shard holds about ``shard_chars`` characters or ``shard_docs`` documents; a writer holds one shard in memory.
+    A shard holds about ``shard_chars`` characters or ``shard_docs`` documents; a writer holds the keys of one shard in memory,
+    not its ids, so a range of ids with long texts, or an id that repeats, makes a longer file but takes no more memory.
     The folder must be one that all executors share.
     """
     spark = docs.sparkSession

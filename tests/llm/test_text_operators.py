@@ -210,6 +210,27 @@ def test_token_files_round_trip(spark, odd, none):
     assert token_files.read_digests(spark, folder, keys).collect() == []
 
 
+def test_writer_holds_no_ids(tmp_path):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def batches():
+        for i in range(60):
+            payload = np.full(1 << 19, i, dtype="<u2").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([7 if i < 50 else i, i + 100 if i >= 50 else 7]), pa.array([0, 0], pa.int32()),
+                                              pa.array([payload, payload[:2]])], names=["doc_id", "shard", "ids"])
+    tracemalloc.start()
+    keys = pa.Table.from_batches(token_files._write(str(tmp_path), 2, 2)(batches()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20 < (tmp_path / "shard-000000.ids").stat().st_size
+    assert keys.column("ordinal").to_pylist()[:100] == [*range(100)] and keys.num_rows == 120
+    shard = token_files.Shard(str(tmp_path), 0)
+    known, starts, counts = shard.find(token_files.key_hash(np.array([7, 7, 59]), np.zeros(3, bool), np.array([0, 99, 0])))
+    assert known.all() and counts.tolist() == [1 << 19, 1, 1 << 19] and set(shard.ids(int(starts[2]), 9).tolist()) == {59}
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.sets(st.integers(0, (1 << 64) - 1), max_size=300))
 def test_perfect_hash_is_minimal(keys):
