@@ -5,8 +5,8 @@ fits its host and all subdomains. The entries fill a blocked Bloom filter: a key
 hash picks one 64-bit word, four more hash pieces pick bits within it, so a probe reads one
 word. The filter is a table (block, word), made by one aggregation.
 
-Each distinct URL (host, path) gives one probe per host suffix and per path length
-that an entry has. Probes that the filter passes go to the exact join on (host,
+Each distinct URL (host, path) gives one probe per number of host labels and per path
+length that an entry has. Probes that the filter passes go to the exact join on (host,
 path), which removes false positives. The longest rule that fits decides; without
 one, a URL with a listed entry is blocked and any other is allowed.
 
@@ -68,12 +68,14 @@ def judge(pages: DataFrame, entries: DataFrame, keys_per_block: int = 4) -> Data
     entries = written(entries.select("host", "path", "verdict", "listed", F.concat("host", "path").alias("rule")).distinct(), "url-entries")
     count = entries.count()
     lengths = [r["n"] for r in entries.select(F.length("path").alias("n")).distinct().collect()]  # numbers up to a URL's length
+    depths = [r["n"] for r in entries.select(F.size(F.split("host", "\\.", -1)).alias("n")).distinct().collect()]  # likewise, of labels
     blocks = max(1, -(-count // keys_per_block))
 
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     urls = rows.where("host <> ''").select("host", "path").distinct()
     labels = F.split("host", "\\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    ends = [F.when(F.size(labels) >= n, F.array_join(F.slice(labels, -n, n), ".")) for n in sorted(depths)]
+    suffixes = F.array_compact(F.array(*ends)) if ends else F.array().cast("array<string>")
     probes = urls.select("host", "path", F.explode(suffixes).alias("e_host"))
     starts = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted(lengths)]) if lengths else F.array().cast("array<string>")
     probes = probes.select("host", "path", "e_host", F.explode(F.array_compact(starts)).alias("e_path"))

@@ -94,6 +94,16 @@ def test_url_rules(spark):
     assert {r.verdict for r in url_filter.judge(frame, entries.where("false")).collect()} == {"allow"}
 
 
+def test_url_of_very_many_labels(spark):
+    """Its probes are as many as the entries have numbers of labels, not as its labels."""
+    host = "a." * 200_000 + "spam-farm.example.org"
+    frame = spark.createDataFrame([(1, f"x://{host}/"), (2, "x://org/"), (3, "x://.spam-farm.example.org/")], "page_id int, url string")
+    entries = spark.createDataFrame([("spam-farm.example.org", "/", "block", True), ("org", "/fr/", "allow", False)],
+                                    "host string, path string, verdict string, listed boolean")
+    got = {r.page_id: (len(r.host), r.verdict) for r in url_filter.judge(frame, entries).collect()}
+    assert got == {1: (len(host), "block"), 2: (3, "allow"), 3: (22, "block")}
+
+
 def test_bloom_has_no_false_negatives(spark):
     from pyspark.sql import functions as F
     keys = spark.range(2000).select(F.col("id").cast("string").alias("key"))
