@@ -13,7 +13,7 @@ rules. Of the admitted cutoffs, the one that rejects the most bad documents, les
 Words are runs of characters other than ASCII white space.
 
 Defined results: null text has no words; its counts are 0 and it fails the base rule. A null
-language is a stratum of its own. Labels other than 0 and 1 teach nothing; a
+and an empty language are one stratum. Labels other than 0 and 1 teach nothing; a
 repeated label counts as often as it occurs. Rows are kept as they come; other columns
 play no part. Without labels only the base rule rejects.
 """
