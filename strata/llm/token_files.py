@@ -36,6 +36,8 @@ from .pieces import BYTE_LEVEL, PieceEncoder
 
 MAGIC = b"STRATAID"
 HEADER = struct.Struct("<8sHHI")
+#: Bytes of ids that a writer gathers before it writes.
+WRITE_BYTES = 1 << 20
 NULL_KEY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -121,6 +123,7 @@ class ShardWriter:
         self.out = self.store.open_output_stream(self.tmp)
         self.out.write(HEADER.pack(MAGIC, 1, width, end_id))
         self.ids, self.nulls, self.ordinals, self.counts = array("q"), bytearray(), array("q"), array("q")
+        self.held = bytearray()
 
     def add(self, doc_id: int | None, data: bytes) -> None:
         again = len(self.ids) > 0 and self.ids[-1] == (doc_id or 0) and self.nulls[-1] == (doc_id is None)
@@ -128,10 +131,14 @@ class ShardWriter:
         self.ids.append(doc_id or 0)
         self.nulls.append(doc_id is None)
         self.counts.append(len(data) // self.width)
-        self.out.write(data)
+        self.held += data
+        if len(self.held) >= WRITE_BYTES:
+            self.out.write(bytes(self.held))
+            self.held.clear()
 
     def close(self) -> pa.RecordBatch:
         """Put both files in place; the keys (doc_id, ordinal, shard, n). Readers see whole files only, and a repeated task does no harm."""
+        self.out.write(bytes(self.held))
         self.out.close()
         ids, ordinals, counts = (np.frombuffer(x, dtype=np.int64) for x in (self.ids, self.ordinals, self.counts))
         nulls = np.frombuffer(self.nulls, dtype=np.uint8).astype(bool)
@@ -232,13 +239,12 @@ def _write(folder, end_id, width):
     def write(batches):
         now = None
         for batch in batches:
-            shards, data = batch.column("shard").to_pylist(), batch.column("ids")
-            for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                if now is None or shards[i] != now.shard:
+            for doc_id, shard, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "shard", "ids"))):
+                if now is None or shard != now.shard:
                     if now:
                         yield now.close()
-                    now = ShardWriter(folder, shards[i], end_id, width)
-                now.add(doc_id, data[i].as_py())
+                    now = ShardWriter(folder, shard, end_id, width)
+                now.add(doc_id, data)
         if now:
             yield now.close()
     return write
