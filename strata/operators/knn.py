@@ -4,9 +4,14 @@ Vectors are dealt to the cell of their nearest pivot. Pivots are a bounded
 sample of the corpus (at most ``MAX_PIVOTS`` vectors, the only vectors that the
 driver holds); every vector of the corpus is in a cell. Cells fall into blocks
 of about ``BLOCK_ROWS`` vectors, so a cell of many equal vectors is spread over
-tasks. A task holds one block and streams the queries that visit it; a query
+tasks. A task holds one block and streams the queries that visit it, or a part of
+them: a block that many queries visit goes with a copy to each part. A query
 leaves a block with its ``k`` nearest of that block, and a window merges them.
 
+In a task one matrix product gives the distances of many pairs, rounded to single
+precision; pairs that the bound of this rounding leaves in question, few per query,
+get their distance summed in double. Of equal vectors a block keeps the ``k`` smallest ids.
+
 Exact (``knn_exact``): first every query visits one block of its own cell, and
 the k-th distance found there bounds its answer. A cell whose pivot is at
 distance d and whose farthest member is at r holds nothing nearer than d - r,
@@ -33,13 +38,21 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship_package
 
-#: Vectors of a block; the number of pivots is such that a cell has about one block, up to the bound.
-BLOCK_ROWS = 8192
+#: Vectors of a block, and of a part of its queries; the number of pivots is such that a cell has about one block, up to the bound.
+BLOCK_ROWS = 32_768
+#: Numbers in the vectors of a block: vectors of many dimensions make smaller blocks.
+BLOCK_VALUES = 1 << 22
 MAX_PIVOTS = 4096
 #: Sample that the coarse quantiser is fitted on, and how often its centres move.
 QUANTISER_ROWS, QUANTISER_ROUNDS = 16_384, 8
 #: Cells of the distance arrays held at a time.
 CELLS = 1 << 21
+#: Pairs that get an exact distance at a time.
+PAIRS = 1 << 16
+#: So many times k members in question for a query, on average: then its bound is narrowed first.
+NARROW = 16
+#: Longer vectors don't fit single precision: all their pairs are summed.
+LONG = 1e15
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -53,15 +66,6 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances, summed in the order of the dimensions."""
-    out = np.zeros((len(a), len(b)))
-    for j in range(a.shape[1]):
-        diff = a[:, j][:, None] - b[:, j][None, :]
-        out += diff * diff
-    return out
-
-
 def _to_pivots(a: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Distances to the pivots; only for bounds and cells, so rounding errors don't matter there."""
     d = (a * a).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None] - 2 * a @ pivots.T
@@ -100,52 +104,125 @@ def _in_block(rows: DataFrame, cells: DataFrame) -> DataFrame:
 _FOUND = "query_id bigint, neighbor_id bigint, d2 double"
 
 
-def _nearest(k: int):
-    """Rows (grp, cell, block, role, id, vec, bound) in order: a block's members (role 0), then its queries -> the k nearest members of each
-    query that are within its bound."""
-    def best(ids, vecs, bounds, member_ids, members):
-        d2 = squared(vecs, members)
-        d2[d2 > bounds[:, None]] = np.inf
-        keep = min(k, d2.shape[1])
-        # all that tie with the k-th stay in until the ids decide
-        kth = np.partition(d2, keep - 1, axis=1)[:, keep - 1]
-        q, m = np.nonzero((d2 <= kth[:, None]) & np.isfinite(d2))
-        order = np.lexsort((member_ids[m], d2[q, m], q))
-        q, m = q[order], m[order]
-        place = np.arange(len(q)) - np.searchsorted(q, q)
-        q, m = q[place < k], m[place < k]
-        return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(member_ids[m]), pa.array(d2[q, m])], names=["query_id", "neighbor_id", "d2"])
+def _exact(vecs: np.ndarray, members: np.ndarray, q: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Squared distances of pairs, summed in the order of the dimensions."""
+    out = np.zeros(len(q))
+    for lo in range(0, len(q), PAIRS):
+        x, y = vecs[q[lo:lo + PAIRS]], members[m[lo:lo + PAIRS]]
+        for j in range(x.shape[1]):
+            diff = x[:, j] - y[:, j]
+            out[lo:lo + PAIRS] += diff * diff
+    return out
+
+
+class _Block:
+    """Members of a block, for the k nearest of queries. With members b shifted by their mean, the product of (a, 1) and (b, -|b|^2 / 2)
+    is (|a|^2 - distance^2) / 2; it is rounded by ``slack`` at most."""
+
+    def __init__(self, ids: list, vecs: list, k: int):
+        ids, vecs = np.concatenate(ids), np.concatenate(vecs)
+        order = np.argsort(ids, kind="stable")
+        # what isn't finite is at no distance
+        order = order[np.isfinite(vecs[order]).all(axis=1)]
+        ids, vecs = ids[order], np.ascontiguousarray(vecs[order])
+        # of equal vectors only the k smallest ids can be among the k nearest
+        if vecs.size:
+            same = np.unique(vecs.view(np.dtype((np.void, vecs.itemsize * vecs.shape[1]))).ravel(), return_inverse=True)[1].ravel()
+            by = np.argsort(same, kind="stable")
+            first = np.searchsorted(same[by], same[by])
+            keep = np.sort(by[np.arange(len(by)) - first < k])
+            ids, vecs = ids[keep], vecs[keep]
+        self.k, self.ids, self.vecs = k, ids, vecs
+        if not len(ids):
+            return
+        with np.errstate(all="ignore"):
+            self.mean = vecs.mean(axis=0)
+            b = vecs - self.mean
+            half = (b * b).sum(axis=1) / 2
+            self.longest = math.sqrt(2 * half.max())
+            self.right = np.concatenate([b, -half[:, None]], axis=1).astype(np.float32).T.copy()
+
+    def best(self, ids, vecs, bounds):
+        k = self.k
+        with np.errstate(all="ignore"):
+            a = vecs - self.mean
+            long = np.sqrt((a * a).sum(axis=1))
+            value = np.concatenate([a, np.ones((len(a), 1))], axis=1).astype(np.float32) @ self.right
+            # sums of n rounded products, each term rounded before; doubled for the rounding of this bound
+            slack = (a.shape[1] + 8) * 2.0 ** -23 * (long * self.longest + self.longest ** 2 / 2) + 2.0 ** -23 * long ** 2 + 1e-30
+            least = (long ** 2 - bounds) / 2 - slack
+            if max(self.longest, long.max()) < LONG:
+                maybe = value >= _below(least)
+                if np.count_nonzero(maybe) > NARROW * k * len(a):
+                    maybe = value >= _below(np.maximum(least, self._kth(value) - 2 * slack))
+            else:
+                maybe = np.ones(value.shape, dtype=bool)
+        q, m = np.divmod(np.flatnonzero(maybe), value.shape[1])
+        d2 = _exact(vecs, self.vecs, q, m)
+        go = np.isfinite(d2) & (d2 <= bounds[q])
+        q, m, d2 = q[go], m[go], d2[go]
+        # members stand in the order of their ids
+        order = np.lexsort((m, d2, q))
+        q, m, d2 = q[order], m[order], d2[order]
+        go = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return pa.RecordBatch.from_arrays([pa.array(ids[q[go]]), pa.array(self.ids[m[go]]), pa.array(d2[go])], names=["query_id", "neighbor_id", "d2"])
+
+    def _kth(self, value: np.ndarray) -> np.ndarray:
+        """A value that k members at least reach: the k-th of the largest ones of shares of the members."""
+        shares = min(value.shape[1], 32 * self.k)
+        if shares < self.k:
+            return np.full(len(value), -np.inf)
+        cuts = np.arange(shares) * value.shape[1] // shares
+        top = np.maximum.reduceat(value, cuts, axis=1)
+        return np.partition(top, shares - self.k, axis=1)[:, shares - self.k].astype(np.float64)
+
+
+def _below(least: np.ndarray) -> np.ndarray:
+    """The bounds of rows as single precision, rounded down."""
+    return np.nextafter(least.astype(np.float32), np.float32(-np.inf))[:, None]
 
+
+def _nearest(k: int):
+    """Rows (grp, cell, block, part, role, id, vec, bound) in order: a block's members (role 0), then a part of its queries -> the k nearest
+    members of each query that are within its bound."""
     def nearest(batches):
-        key, ids, vecs = None, [], []
+        key, ids, vecs, held = None, [], [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
             grp, role = batch.column("grp").to_numpy(zero_copy_only=False), batch.column("role").to_numpy()
-            cell, block = batch.column("cell").to_numpy(), batch.column("block").to_numpy()
-            edges = np.flatnonzero((grp[1:] != grp[:-1]) | (cell[1:] != cell[:-1]) | (block[1:] != block[:-1]) | (role[1:] != role[:-1])) + 1
+            cell, block, share = (batch.column(c).to_numpy() for c in ("cell", "block", "part"))
+            edges = np.flatnonzero((grp[1:] != grp[:-1]) | (cell[1:] != cell[:-1]) | (block[1:] != block[:-1]) | (share[1:] != share[:-1])
+                                   | (role[1:] != role[:-1])) + 1
             for lo, hi in zip([0, *edges], [*edges, batch.num_rows]):
                 part = batch.slice(lo, hi - lo)
-                if (now := (grp[lo], cell[lo], block[lo])) != key:
-                    key, ids, vecs = now, [], []
+                if (now := (grp[lo], cell[lo], block[lo], share[lo])) != key:
+                    key, ids, vecs, held = now, [], [], None
                 if not role[lo]:
                     ids.append(part.column("id").to_numpy())
                     vecs.append(_matrix(part.column("vec")))
-                elif ids:
-                    ids, vecs = [np.concatenate(ids)], [np.concatenate(vecs)]
+                elif ids or held:
+                    if held is None:
+                        held, ids, vecs = _Block(ids, vecs, k), [], []
                     asked, at, bound = part.column("id").to_numpy(), _matrix(part.column("vec")), part.column("bound").to_numpy()
-                    step = max(1, CELLS // len(ids[0]))
+                    if not len(held.ids):
+                        continue
+                    step = max(1, CELLS // len(held.ids))
                     for x in range(0, len(asked), step):
-                        yield best(asked[x:x + step], at[x:x + step], bound[x:x + step], ids[0], vecs[0])
+                        yield held.best(asked[x:x + step], at[x:x + step], bound[x:x + step])
     return nearest
 
 
-def _visit(members: DataFrame, visits: DataFrame, k: int) -> DataFrame:
-    """query_id, neighbor_id, d2 of the k nearest members of each block that a query visits."""
-    cols = ["grp", "cell", "block", "role", "id", "vec", "bound"]
-    rows = members.select("grp", "cell", "block", F.lit(0).alias("role"), "id", "vec", F.lit(0.0).alias("bound")).select(cols)
-    rows = rows.union(visits.withColumn("role", F.lit(1)).select(cols))
-    key = ["grp", "cell", "block"]
+def _visit(members: DataFrame, visits: DataFrame, asked: DataFrame, by: list[str], k: int) -> DataFrame:
+    """query_id, neighbor_id, d2 of the k nearest members of each block that a query visits. asked: of the queries, the columns ``by``: no block
+    is visited by more queries than have its values there, so as many parts share them."""
+    cols = ["grp", "cell", "block", "part", "role", "id", "vec", "bound"]
+    parts = asked.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("parts"))
+    rows = members.join(parts, by).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("grp", "cell", "block", "part", F.lit(0).alias("role"), "id", "vec", F.lit(0.0).alias("bound")).select(cols)
+    part = F.pmod(F.xxhash64("id", F.lit(BLOCK_ROWS)), F.col("parts")).cast("int")
+    rows = rows.union(visits.join(parts, by).withColumns({"part": part, "role": F.lit(1)}).select(cols))
+    key = ["grp", "cell", "block", "part"]
     return rows.repartition(*key).sortWithinPartitions(*key, "role").mapInArrow(_nearest(k), _FOUND)
 
 
@@ -161,7 +238,8 @@ class _Index:
     def __init__(self, rows: DataFrame, pivots: np.ndarray):
         self.shared = rows.sparkSession.sparkContext.broadcast(pivots)
         dealt = _written(_assigned(rows, self.shared), "knn-cells")
-        blocks = F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int")
+        most = max(1, min(BLOCK_ROWS, BLOCK_VALUES // max(1, pivots.shape[1])))
+        blocks = F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int")
         self.cells = _written(dealt.groupBy("grp", "cell").agg(F.max("far").alias("radius"), blocks.alias("blocks")), "knn-stats")
         self.members = _in_block(dealt, self.cells)
 
@@ -207,14 +285,14 @@ def knn_exact(corpus: DataFrame, id_col: str, vec_col: str, k: int, queries: Dat
     # one block of its own cell bounds the distance of each query's k-th neighbour
     asked = _written(_home(asked, index), "knn-queries")
     first = asked.where("home_block >= 0").select("grp", F.col("home").alias("cell"), F.col("home_block").alias("block"), "id", "vec", F.lit(math.inf).alias("bound"))
-    near = _written(_visit(index.members, first, k), "knn-near")
+    near = _written(_visit(index.members, first, first.select("grp", "cell", "block"), ["grp", "cell", "block"], k), "knn-near")
     bound = near.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.max("d2")).alias("kth"))
     asked = asked.join(bound, "id", "left").withColumn("bound", F.coalesce("kth", F.lit(math.inf)))
 
     def reachable(distance, radius, bound):
         return distance - radius <= math.sqrt(bound) * (1 + 1e-9) + 1e-6  # the distances to pivots are rounded
     visits = index.visits(asked, reachable, vec, group_col is not None)
-    return _top(near.union(_visit(index.members, visits, k)), k)
+    return _top(near.union(_visit(index.members, visits, asked.select("grp"), ["grp"], k)), k)
 
 
 def _home(asked: DataFrame, index: _Index) -> DataFrame:
@@ -252,4 +330,4 @@ def knn_approximate(corpus: DataFrame, id_col: str, vec_col: str, k: int, querie
         go[np.argsort(distance, kind="stable")[:probes]] = True
         return go
     visits = index.visits(asked, nearest, vec, False)
-    return _top(_visit(index.members, visits, k), k)
+    return _top(_visit(index.members, visits, asked.select("grp"), ["grp"], k), k)

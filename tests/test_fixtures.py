@@ -550,3 +550,74 @@ def test_work_is_done_once_per_content(spark):
     got = K.dedupe_work(df, "id", "text", lambda reps: reps.select("_hash", "rep_id", F.length("text").alias("n")))
     assert sorted((r.id or 0, r.rep_id or 0, r.n) for r in got.collect()) == [(0, 0, 1), (1, 1, 1), (2, 2, 1), (2, 2, 1), (3, 2, 1), (5, 5, 0)]
     assert K.dedupe_work(df.limit(0), "id", "text", lambda reps: reps.select("_hash", "rep_id")).collect() == []
+
+
+def _brute_nearest(ids, vecs, members, bounds, k):
+    import numpy as np
+    d2 = np.zeros((len(vecs), len(members)))
+    for j in range(vecs.shape[1]):
+        diff = vecs[:, j][:, None] - members[:, j][None]
+        d2 += diff * diff
+    out = []
+    for q, row in enumerate(d2):
+        near = sorted((d, m) for m, d in enumerate(row.tolist()) if np.isfinite(d) and d <= bounds[q])[:k]
+        out += [(int(ids[q]), m, d) for d, m in near]
+    return sorted(out)
+
+
+def test_knn_sums_few_pairs_exactly(monkeypatch):
+    """Rows of a block in, the k nearest out: the same as with the distances of all pairs, of which few are summed."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    from strata.operators import knn
+    rng = np.random.default_rng(6)
+    plain = rng.normal(size=(1500, 16)).astype(np.float32).astype(np.float64)
+    odd = [np.nan, np.inf]
+    cases = {"plain": plain, "far": plain + 1e7, "close": 5 + plain * 1e-9, "ties": np.round(plain[:, :3]), "long": plain * 1e30, "tiny": plain[:300] * 1e-30,
+             "hot": np.concatenate([plain[:300], np.repeat(plain[:1], 1200, axis=0)]), "odd": np.concatenate([plain[:300], np.outer(odd, np.ones(16))])}
+    pairs, exact = [], getattr(knn, "_exact", None)
+    monkeypatch.setattr(knn, "_exact", lambda a, b, q, m: pairs.append(len(q)) or exact(a, b, q, m), raising=False)
+    for name, members in cases.items():
+        n = len(members)
+        asked = members[rng.permutation(n)[:400]]
+        for bounds in (np.full(len(asked), math.inf), np.full(len(asked), np.median((members[:-2] - members[0]) ** 2) * members.shape[1] / 2)):
+            pairs.clear()
+            ids = np.concatenate([np.arange(n), 10_000 + np.arange(len(asked))])
+            size = len(ids)
+            columns = {"grp": pa.array([""] * size), "cell": pa.array(np.zeros(size, np.int32)), "block": pa.array(np.zeros(size, np.int32)),
+                       "part": pa.array(np.zeros(size, np.int32)), "role": pa.array((ids >= 10_000).astype(np.int32)), "id": pa.array(ids),
+                       "vec": pa.array(np.concatenate([members, asked]).tolist()), "bound": pa.array(np.concatenate([np.zeros(n), bounds]))}
+            batches = pa.table(columns).to_batches(max_chunksize=700)
+            got = [tuple(r.values()) for out in knn._nearest(3)(iter(batches)) for r in out.to_pylist()]
+            with np.errstate(all="ignore"):
+                assert sorted(got) == _brute_nearest(ids[n:], asked, members, bounds, 3), name
+            if name in ("plain", "far", "hot"):
+                assert pairs and sum(pairs) < 0.1 * n * len(asked), name
+
+
+def test_knn_queries_of_one_block_are_shared_by_tasks(spark, monkeypatch):
+    from strata.operators import knn
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 50)
+    seen = spark.sparkContext.accumulator(0)
+    tasks = knn._nearest
+
+    def counted(k):
+        run = tasks(k)
+
+        def nearest(batches):
+            def count():
+                for b in batches:
+                    keys = set(zip(*(b.column(c).to_pylist() for c in ("grp", "cell", "block", "part")))) if "part" in b.schema.names else {0}
+                    seen.add(len(keys))
+                    yield b
+            yield from run(count())
+        return nearest
+    monkeypatch.setattr(knn, "_nearest", counted)
+    corpus = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(10)], "id long, v array<double>")
+    queries = spark.range(400).selectExpr("id", "array(id / 40.0, 0.25D) AS v")
+    got = knn.knn_exact(corpus, "id", "v", 1, queries=queries).collect()
+    assert len(got) == 400 and all(r.neighbor_id == min(range(10), key=lambda j: (abs(r.query_id / 40 - j), j)) for r in got)
+    assert seen.value >= 400 // 50
