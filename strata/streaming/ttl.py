@@ -6,9 +6,12 @@ A request is kept when it is at least ``ttl`` after the anchor (strict
 micro-batch the rows of a key are sorted by (time, id) so that the stream
 gives the batch result whenever requests reach a key in time order.
 
-State is dropped by an event-time timeout once the watermark passes
-``anchor + ttl``: after that point any in-order request is kept anyway, so
-the anchor is no longer needed. (``dropDuplicatesWithinWatermark`` is the
+A call of Python costs far more than a row, so it serves a bucket of keys: the
+state of a bucket is the anchors of its keys.
+
+An anchor is dropped once the watermark passes ``anchor + ttl``, with the next
+rows of its bucket or, for the whole bucket, by an event-time timeout: after that
+point any in-order request is kept anyway, so the anchor is no longer needed. (``dropDuplicatesWithinWatermark`` is the
 cheap built-in variant, but it expires entries on a different rule.)
 """
 
@@ -27,32 +30,36 @@ from ..functions.dims import CACHE_TTL_SECONDS
 
 #: Rows of one micro-batch of ``run_in_order``, about: all that a key can have in one frame.
 SLICE_ROWS = 1_000_000
+#: Groups of keys with a state each. A checkpoint is read with the number that it was written with.
+BUCKETS = 1024
+#: Keys travel as JSON.
+JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 EPOCH_NTZ = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
 
 def _ttl_fn(ttl_us: int, out_cols: list[str]):
-    def fn(key, pdfs, state):
+    def fn(bucket, pdfs, state):
         if state.hasTimedOut:
             state.remove()
             return
-        anchor = state.get[0] if state.exists else None
         frames = [p for p in pdfs if len(p)]
         if not frames:
             return
+        anchors = dict(zip(*state.get)) if state.exists else {}
         rows = pd.concat(frames).sort_values(["t_us", "event_id"], kind="mergesort")
         keep = []
-        for t in rows["t_us"].to_numpy():
-            if anchor is None or int(t) - anchor >= ttl_us:
-                keep.append(True)
-                anchor = int(t)
-            else:
-                keep.append(False)
-        expires_ms = (anchor + ttl_us) // 1000
-        if expires_ms <= state.getCurrentWatermarkMs():
+        for key, t in zip(rows["_key"].tolist(), rows["t_us"].tolist()):
+            anchor = anchors.get(key)
+            keep.append(anchor is None or t - anchor >= ttl_us)
+            if keep[-1]:
+                anchors[key] = t
+        watermark = state.getCurrentWatermarkMs()
+        live = {k: t for k, t in anchors.items() if (t + ttl_us) // 1000 > watermark}
+        if live:
+            state.update((list(live), list(live.values())))
+            state.setTimeoutTimestamp((max(live.values()) + ttl_us) // 1000)
+        elif state.exists:
             state.remove()
-        else:
-            state.update((anchor,))
-            state.setTimeoutTimestamp(expires_ms)
         yield rows.loc[keep, out_cols]
     return fn
 
@@ -69,13 +76,17 @@ def ttl_dedupe_stream(stream: DataFrame, keys: list[str], ts: str = "ts", eid: s
     s = stream.select(*keys, eid, F.timestamp_diff("MICROSECOND", F.expr(EPOCH_NTZ), F.col(ts)).alias("t_us"),
                       F.col(ts).cast("timestamp").alias("_wm"))
     s = s.withWatermark("_wm", lateness)
-    key_fields = [f for f in s.schema.fields if f.name in keys]
-    out_schema = T.StructType([*key_fields, T.StructField(eid, T.LongType()), T.StructField("t_us", T.LongType())])
-    state_schema = T.StructType([T.StructField("anchor_us", T.LongType())])
-    out_cols = [*keys, eid, "t_us"]
-    return s.groupBy(*keys).applyInPandasWithState(
+    key = F.struct(*keys)
+    # null keys and large numbers pass pandas as text
+    s = s.select(F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("_bucket"), F.to_json(key, JSON).alias("_key"), eid, "t_us", "_wm")
+    out_schema = T.StructType([T.StructField("_key", T.StringType()), T.StructField(eid, T.LongType()), T.StructField("t_us", T.LongType())])
+    state_schema = T.StructType([T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("anchors_us", T.ArrayType(T.LongType()))])
+    out_cols = ["_key", eid, "t_us"]
+    kept = s.groupBy("_bucket").applyInPandasWithState(
         _ttl_fn(ttl_seconds * 1_000_000, out_cols), out_schema, state_schema, "append",
         GroupStateTimeout.EventTimeTimeout)
+    types = T.StructType([f for f in stream.select(*keys).schema.fields])
+    return kept.select(F.from_json("_key", types, JSON).alias("_key"), eid, "t_us").select("_key.*", eid, "t_us")
 
 
 def run_to_table(spark, streaming_df: DataFrame, out_path: str, checkpoint: str) -> DataFrame:

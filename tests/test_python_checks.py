@@ -140,3 +140,32 @@ def test_stream_bounds_the_rows_of_a_key(spark, catalog, tmp_path, monkeypatch):
     got = sorted(map(tuple, catalog.QUERIES["ttl_dedupe_stream"](spark, folder).collect()))
     assert got == sorted(map(tuple, catalog.QUERIES["ttl_dedupe"](spark, folder).collect())) and got
     assert len(runs) >= 3
+
+
+def test_ttl_stream_calls_python_per_bucket(spark, tmp_path, monkeypatch):
+    """Calls don't grow with keys; null keys and keys beyond 2**53 keep their values."""
+    from pyspark.sql import functions as F
+
+    from strata.operators import cache as K
+    from strata.streaming import ttl
+    calls = spark.sparkContext.accumulator(0)
+    make = ttl._ttl_fn
+
+    def counted(*args):
+        run = make(*args)
+
+        def fn(*group):
+            calls.add(1)
+            yield from run(*group)
+        return fn
+    monkeypatch.setattr(ttl, "_ttl_fn", counted)
+    monkeypatch.setattr(ttl, "BUCKETS", 8, raising=False)
+    big = F.lit(2**53)
+    rows = spark.range(3000).select(F.when(F.col("id") % 500 != 3, big + F.col("id") % 1000).alias("user_id"), F.lit("a\"b").alias("event_type"),
+                                    F.col("id").alias("event_id"), F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 60)").alias("ts"))
+    keys = ["user_id", "event_type"]
+    got = ttl.run_in_order(spark, rows, lambda stream: ttl.ttl_dedupe_stream(stream, keys), str(tmp_path))
+    known = K.ttl_dedupe(rows.where("user_id is not null"), keys, "ts", "event_id")
+    kept = {(r.user_id, r.event_type, r.event_id) for r in got.collect()}
+    assert {r for r in kept if r[0] is not None} == {(r.user_id, r.event_type, r.event_id) for r in known.collect()}
+    assert (None, "a\"b", 3) in kept and calls.value <= 8 * 3
