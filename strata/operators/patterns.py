@@ -1,6 +1,16 @@
 """Matching a table of literal patterns, given by the user, against the lines of files.
 
-A pattern can only stand in a line that holds each of its q-grams (runs of ``Q``
+Patterns with a space are looked up by pairs of neighbouring words, words being what spaces part. Inside a pattern, what
+stands beside a space is the end of a line's word, its beginning, or, between two spaces, the whole word:
+
+1. the distinct pairs of words of the lines are counted;
+2. each pair meets the pairs of the patterns by an equi-join on the ``EDGE`` characters on both sides of the space;
+3. each pattern is indexed under the pairs that fit the space of which the fewest lines hold one;
+4. lines' pairs, without the lines, meet the index by an equi-join; lines join what they may hold, and ``contains`` decides.
+
+So a line's text is in no more rows than it has matches, and it isn't cut into characters.
+
+Other patterns: a pattern can only stand in a line that holds each of its q-grams (runs of ``Q``
 characters; a shorter pattern is one gram of its own length). So a pattern is
 looked up by the one of its grams that the fewest lines hold:
 
@@ -27,6 +37,8 @@ from ..functions.lines import explode_rows, lines_l2, py_strip
 from ..session import scratch_path
 
 Q = 4
+#: Characters beside a space that pairs of words are compared by.
+EDGE = 3
 
 
 def _grams(chars: str, n: int) -> Column:
@@ -55,6 +67,15 @@ def matches(files: DataFrame, id_col: str, text: str, patterns: DataFrame, lang:
     languages only. line_code is stripped. patterns: a table with the column ``pattern``, perhaps ``language``."""
     p = patterns.select(F.col(pattern).alias("pattern"), (F.col(language) if language and lang else F.lit(None).cast("string")).alias("language"))
     p = p.where("pattern <> '' and not contains(pattern, '\n')").distinct()
+    spaced, p = p.where(F.contains("pattern", F.lit(" "))), p.where(~F.contains("pattern", F.lit(" ")))
+    if not spaced.isEmpty():
+        found = _by_pair(files, id_col, text, spaced, lang)
+        return found if p.isEmpty() else found.unionByName(_by_gram(files, id_col, text, p, lang))
+    return _by_gram(files, id_col, text, p, lang)
+
+
+def _by_gram(files: DataFrame, id_col: str, text: str, p: DataFrame, lang: str | None) -> DataFrame:
+    """The matches of any patterns (pattern, language), distinct ones."""
     # gram lengths in use: Q at most
     sizes = sorted(r[0] for r in p.select(F.least(F.length("pattern"), F.lit(Q)).alias("n")).distinct().collect())
     if not sizes:
@@ -72,3 +93,48 @@ def matches(files: DataFrame, id_col: str, text: str, patterns: DataFrame, lang:
     same = F.col("language").isNull() | (F.col("language") == F.col("_lang"))
     return (found.where(same & F.contains("line", "pattern"))
             .select(id_col, "pattern", F.col("line_no").cast("int").alias("line_no"), py_strip("line").alias("line_code")).distinct())
+
+
+def _beside_spaces(words: str) -> Column:
+    """Of an array of words, neighbours that aren't the first or last word whole."""
+    def pair(left, i):
+        last = F.size(words) - 1
+        return F.struct(i.alias("i"), left.alias("left"), F.get(words, i + 1).alias("right"), (i == 0).alias("ends"), (i + 1 == last).alias("begins"))
+    return F.transform(F.slice(words, 1, F.size(words) - 1), pair)
+
+
+def _by_pair(files: DataFrame, id_col: str, text: str, p: DataFrame, lang: str | None) -> DataFrame:
+    """The matches of patterns (pattern, language) that hold a space."""
+    edge = F.concat(F.right("left", F.lit(EDGE)), F.lit(" "), F.left("right", F.lit(EDGE)))
+    of_pattern = p.groupBy("pattern").agg(F.max(F.col("language").isNull()).alias("_every"), F.collect_set("language").alias("languages"))
+    of_pattern = of_pattern.select("pattern", F.when(~F.col("_every"), F.col("languages")).alias("languages")).withColumn("_w", F.split("pattern", " "))
+    of_pattern = explode_rows(of_pattern.withColumn("_x", _beside_spaces("_w")), ["pattern", "languages", F.size("_w").alias("words")], "_x", "x")
+    of_pattern = _written(of_pattern.select("pattern", "languages", "words", "x.*").withColumn("edge", edge), "pattern-pairs")
+    shapes = of_pattern.select(F.least(F.length("left"), F.lit(EDGE)).alias("a"), F.least(F.length("right"), F.lit(EDGE)).alias("b")).distinct().collect()  # few
+
+    lines = _lines(files, id_col, text, lang).drop("_c")
+    of_line = lines.where(F.contains("line", F.lit(" "))).withColumn("_w", F.split("line", " "))
+    neighbours = F.transform(F.slice("_w", 1, F.size("_w") - 1), lambda w, i: F.concat(w, F.lit(" "), F.get("_w", i + 1)))
+    of_line = of_line.withColumn("_p", F.array_distinct(neighbours))
+    seen = explode_rows(of_line, [], "_p", "pair").groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+    word, after = F.substring_index("pair", " ", 1), F.substring_index("pair", " ", -1)
+    edges = [F.when((F.length("word") >= r["a"]) & (F.length("after") >= r["b"]),
+                    F.concat(F.right("word", F.lit(r["a"])), F.lit(" "), F.left("after", F.lit(r["b"])))) for r in shapes]
+    seen = seen.withColumns({"word": word, "after": after}).withColumn("_e", F.array(*edges))
+    fits = (F.when(F.col("ends"), F.endswith("word", "left")).otherwise(F.col("word") == F.col("left"))
+            & F.when(F.col("begins"), F.startswith("after", "right")).otherwise(F.col("after") == F.col("right")))
+    fitting = explode_rows(seen, ["pair", "n", "word", "after"], "_e", "edge").join(of_pattern, "edge").where(fits)
+    fitting = _written(fitting.select("pattern", "languages", "words", "i", "pair", "n"), "pattern-fits")
+    lines_of = fitting.groupBy("pattern", "words", "i").agg(F.sum("n").alias("n"))
+    rarest = (lines_of.groupBy("pattern", "words").agg(F.min(F.struct("n", "i")).alias("r"), F.count(F.lit(1)).alias("spaces"))
+              .where("spaces = words - 1").select("pattern", F.col("r.i").alias("i")))
+    index = _written(fitting.join(rarest, ["pattern", "i"]).select("pair", "pattern", "languages"), "pattern-index")
+
+    maybe = explode_rows(of_line, [id_col, "_lang", "line_no"], "_p", "pair").join(index, "pair")
+    maybe = maybe.where(F.col("languages").isNull() | F.array_contains("languages", F.col("_lang")))
+    maybe = maybe.select(F.col(id_col).alias("_id"), F.col("_lang").alias("_of"), F.col("line_no").alias("_no"), "pattern").distinct()
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_lang").eqNullSafe(F.col("_of")) & (F.col("line_no") == F.col("_no"))
+    found = lines.hint("merge").join(maybe.hint("merge"), same).where(F.contains("line", "pattern"))
+    found = found.select(id_col, "pattern", F.col("line_no").cast("int").alias("line_no"), py_strip("line").alias("line_code"))
+    # only rows of one id can give a match twice
+    return found if files.groupBy(id_col).count().where("count > 1").isEmpty() else found.distinct()

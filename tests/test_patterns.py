@@ -44,3 +44,26 @@ def test_gives_the_rows_of_the_fixed_patterns(spark):
     hits = explode_rows(cc.withColumn("hits", R.pattern_hits("code", "lang")), ["file_id"], "hits", "h").select("file_id", "h.pattern", "h.line_no", "h.line_code")
     got = U.matches(cc, "file_id", "code", table, "lang", language="language")
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in hits.collect()} != set()
+
+
+def test_patterns_with_spaces_equal_searching_every_pattern(spark, monkeypatch):
+    """They are looked up by pairs of words: no line is cut into q-grams for them."""
+    rng = random.Random(2)
+    words = ["", "a", "b", "ab", "aab", "abcab", "cabcab", "éa", "😀", "x\ta", "."]
+
+    def some(n):
+        return " ".join(rng.choice(words) for _ in range(n))
+    files = [(rng.choice([i, i, 7, None]), rng.choice(["a", "b", None]), "\n".join(some(rng.randint(0, 12)) for _ in range(5))) for i in range(60)]
+    files += [(7, "a", "a b"), (7, "a", "a b "), (7, "b", " a b"), (90, "a", None), (91, "b", " "), (92, "b", "  \n a \n")]
+    patterns = [(some(rng.randint(2, 4)), rng.choice([None, "a", "b"])) for _ in range(120)]
+    patterns += [(" ", None), ("  ", "a"), (" a", None), ("a ", "b"), ("b a b", None), ("b a b", "a"), ("not there", None), ("b x\ta", None)]
+    f = spark.createDataFrame(files, "id int, lang string, text string")
+    p = spark.createDataFrame(patterns, "pattern string, language string")
+    monkeypatch.setattr(U, "_grams", None)
+    for languages in (None, "language"):
+        table = patterns if languages else [(x, None) for x, _ in patterns]
+        got = [tuple(r) for r in U.matches(f, "id", "text", p, "lang" if languages else None, language=languages).collect()]
+        assert set(got) == brute(files, [x for x in table if " " in x[0]]) and len(got) == len(set(got))
+    once = f.where("id is not null").dropDuplicates(["id"])
+    got = [tuple(r) for r in U.matches(once, "id", "text", p).collect()]
+    assert set(got) == brute([tuple(r) for r in once.collect()], [(x, None) for x, _ in patterns if " " in x]) and len(got) == len(set(got))
