@@ -68,7 +68,7 @@ def common(n: int) -> int:
 
 
 #: n-grams and documents that a block holds, about. Documents are numbered in 16 bits; the last number stands for several.
-BLOCK_GRAMS, BLOCK_DOCS, SEVERAL = 1 << 22, 60_000, 65_535
+BLOCK_GRAMS, BLOCK_DOCS, SEVERAL = 1 << 20, 60_000, 65_535
 #: kind 1: numbers of a block's documents with n-grams (on the way there) or credits (on the way back); kind 2: a document.
 _PACKED = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()),
                      ("class", pa.binary()), ("credit", pa.int64()), ("owners", pa.binary()), ("grams", pa.binary())])

@@ -289,3 +289,20 @@ def test_link_counts_equal_brute_force(spark, monkeypatch, plain, files):
     spans = {r.doc_id: r.groups for r in alignment.align(frame.where("doc_id >= 500"), *files).collect()}
     assert said([(g.a, g.b) for g in spans[516]]) == said(plain(STRANGE[-1])[2]) and spans[500] == []
     assert [g["from"] for g in spans[516]] == [0, *(g["to"] for g in spans[516][:-1])] and spans[516][-1]["to"] == len(STRANGE[-1]) + 1
+
+
+def test_ngram_blocks_are_bounded(monkeypatch):
+    """A task holds a million n-grams at a time, about: several arrays of that length stand beside them."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from strata.llm import ngram_join
+    monkeypatch.setattr(ngram_join, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    docs = pa.RecordBatch.from_pydict({"doc_id": list(range(14)), "text": [" ".join(f"{i}x{j}" for j in range(250_000)) for i in range(14)]})
+    sent = {}
+    for batch in ngram_join._scatter(5, 80, 4)(iter([docs])):
+        for r in batch.to_pylist():
+            if r["kind"] == 1:
+                sent[r["block"]] = sent.get(r["block"], 0) + len(r["grams"]) // 8
+    assert sum(sent.values()) > 1_200_000 and max(sent.values()) < 1_200_000
