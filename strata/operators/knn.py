@@ -323,7 +323,8 @@ def knn_approximate(corpus: DataFrame, id_col: str, vec_col: str, k: int, querie
     vec = rows.schema["vec"].dataType.simpleString()
     index = _Index(rows, quantiser(rows, min(cells, MAX_PIVOTS)))
     asked = _rows(queries, id_col, vec_col, None).withColumn("vec", F.col("vec").cast(vec))
-    asked = asked.withColumns({"home": F.lit(-1), "home_block": F.lit(-1), "bound": F.lit(math.inf)})
+    # written: joined on the one group as a literal, Spark would plan a cross join
+    asked = _written(asked.withColumns({"home": F.lit(-1), "home_block": F.lit(-1), "bound": F.lit(math.inf)}), "knn-queries")
 
     def nearest(distance, radius, bound):
         go = np.zeros(len(distance), dtype=bool)
