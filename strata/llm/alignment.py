@@ -3,7 +3,7 @@
 Interval coalescing: every token of A and B is an interval of bytes. All intervals are lexsorted by start; the running
 maximum of the ends (``maximum.accumulate``) tells how far the intervals so far reach, and a group ends where a start reaches
 it. Within a group, the B tokens that overlap an A token are a range found by binary search, and are expanded to pairs.
-All texts of a slice (about a million characters) are coalesced at once, laid one behind the other. Overlapping pairs whose
+All texts of a slice (about 256 thousand characters) are coalesced at once, laid one behind the other. Overlapping pairs whose
 ends are equal are *links*.
 
 Counts: the documents of a block (some slices) name their links by the places of the block's distinct id pairs. Only these
@@ -12,7 +12,7 @@ rows that are shuffled are distinct pairs per block and documents, never token o
 but the two vocabularies.
 
 B is encoded by segments: if no piece of its vocabulary goes on behind a word, a text whose spaces are single and inside
-can be cut before each, and each worker process remembers recent segments. Other texts are encoded whole.
+can be cut before each, and each worker process remembers recent segments, up to a bound that holds for A's too. Other texts are encoded whole.
 
 Defined results: a text that is null or empty, or whose tokens of A or of B don't give back the bytes of space and text, has no
 tokens: zeros, and an empty alignment. Every row gives a row, repeated rows too. Only doc_id and text are read.
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -35,8 +36,12 @@ from .common import prepare, text_blocks, written
 from .pieces import Recent
 from .token_files import byte_characters, library_encoder
 
-#: Slices whose distinct pairs are counted together.
-BLOCK_SLICES = 8
+#: Characters of a slice, and slices whose distinct pairs are counted together.
+SLICE_CHARS, BLOCK_SLICES = 1 << 18, 16
+#: A worker remembers so many recent segments of A and of B, twice as many at most. It keeps them while it serves later stages.
+SEGMENTS_A, SEGMENTS_B = 300_000, 100_000
+#: Places in a block of so many pairs fit two bytes.
+SHORT = 1 << 16
 SPACE = "▁"
 
 
@@ -45,14 +50,14 @@ class ByteLevel:
 
     WIDTH = 4
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, limit: int):
         spelled = json.loads(data)
         of_char = {c: b for b, c in enumerate(byte_characters())}
         vocabulary = spelled["model"]["vocab"] | {t["content"]: t["id"] for t in spelled.get("added_tokens", [])}
         self.tokens = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.tokens[i] = bytes(of_char[c] for c in token) if all(c in of_char for c in token) else token.encode()
-        self.library = library_encoder(data, self.WIDTH)
+        self.library = library_encoder(data, self.WIDTH, limit)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(x, dtype="<u4") for x in self.library([" " + t for t in texts])]
@@ -61,7 +66,7 @@ class ByteLevel:
 class Pieces:
     """B: a sentencepiece vocabulary, whose library adds the first space itself."""
 
-    def __init__(self, data: bytes, limit: int = 500_000):
+    def __init__(self, data: bytes, limit: int):
         import sentencepiece
         self.model = sentencepiece.SentencePieceProcessor(model_proto=data)
         names = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
@@ -72,15 +77,21 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [t.split(" ") if self.cuttable and t[:1] != " " and t[-1:] != " " and "  " not in t else None for t in texts]
-        get = self.recent.get
+        get, old = self.recent.young.get, self.recent.old.get
         found = [None if c is None else list(map(get, c)) for c in cut]
-        new = list({s for c, f in zip(cut, found) if c and None in f for s, v in zip(c, f) if v is None})
+        holes = [(c, f, [i for i, v in enumerate(f) if v is None]) for c, f in zip(cut, found) if c and None in f]
+        missed = {c[i] for c, _, miss in holes for i in miss}
+        learnt = {s: v for s in missed if (v := old(s)) is not None}
+        new = [s for s in missed if s not in learnt]
         whole = [t for t, c in zip(texts, cut) if c is None]
-        made = [np.array(x, dtype="<u4").tobytes() for x in self.model.encode(new + whole, num_threads=1)] if new or whole else []
-        learnt, rest = dict(zip(new, made)), iter(made[len(new):])
+        made = [struct.pack(f"<{len(x)}I", *x) for x in self.model.encode(new + whole, num_threads=1)] if new or whole else []
+        learnt.update(zip(new, made))
+        rest = iter(made[len(new):])
         self.recent.keep(learnt)
-        out = [next(rest) if c is None else b"".join([learnt[s] if v is None else v for s, v in zip(c, f)] if None in f else f)
-               for c, f in zip(cut, found)]
+        for c, f, miss in holes:
+            for i in miss:
+                f[i] = learnt[c[i]]
+        out = [next(rest) if f is None else b"".join(f) for f in found]
         return [np.frombuffer(x, dtype="<u4") for x in out]
 
 
@@ -105,7 +116,7 @@ class Aligner:
     """Aligns slices of texts. One per worker process."""
 
     def __init__(self, a: bytes, b: bytes):
-        self.a, self.b = ByteLevel(a), Pieces(b)
+        self.a, self.b = ByteLevel(a, SEGMENTS_A), Pieces(b, SEGMENTS_B)
         self.lengths = [np.array([len(t) for t in x.tokens], dtype=np.int64) for x in (self.a, self.b)]
         self.size = max(len(self.a.tokens), len(self.b.tokens))
         # the decimal ids with what may follow them
@@ -211,7 +222,7 @@ def align(docs: DataFrame, vocabulary_a: str, vocabulary_b: str) -> DataFrame:
         aligner = Aligner.of(*shared.value)
         ids = pa.list_(pa.int64())
         kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64()), ("a", ids), ("b", ids)]))
-        for batch, texts in text_blocks(batches):
+        for batch, texts in text_blocks(batches, SLICE_CHARS):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(aligner(texts).spans(), kind)], names=["doc_id", "groups"])
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SPANS)
 
@@ -221,6 +232,11 @@ BLOCKS = ("block bigint, kind int, doc_id bigint, n_a bigint, n_b bigint, n_grou
           "pairs array<bigint>, counts array<bigint>")
 
 
+def _places(pairs: int) -> str:
+    """The type of places in a block of so many pairs."""
+    return "<u2" if pairs <= SHORT else "<u4"
+
+
 def _blocks(shared):
     names = [c.split()[0] for c in BLOCKS.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -232,13 +248,13 @@ def _blocks(shared):
         def close():
             pairs, place, counts = np.unique(np.concatenate(links), return_inverse=True, return_counts=True)
             cuts = np.cumsum([len(x) for x in links])[:-1]
-            named = [x.astype("<u4").tobytes() for x in np.split(place, cuts)]
+            named = [x.tobytes() for x in np.split(place.astype(_places(len(pairs))), cuts)]
             rows = [(number, 1, None, None, None, None, None, None, pairs, counts)]
             rows += [(number, 2, *row, said, None, None) for row, said in zip(held, named)]
             for lo in range(0, len(rows), 500):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[lo:lo + 500]), kinds)], names=names)
 
-        for batch, texts in text_blocks(batches):
+        for batch, texts in text_blocks(batches, SLICE_CHARS):
             made = aligner(texts)
             groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in made.groups()]
             held += zip(batch.column("doc_id").to_pylist(), np.diff(made.first[0]).tolist(), np.diff(made.first[1]).tolist(), made.n_groups().tolist(), groups)
@@ -272,7 +288,7 @@ def _scores(batches):
                 best.append(part.column("best").to_numpy(zero_copy_only=False))
                 continue
             totals, best = ([np.concatenate(x)] if x else [np.zeros(0, np.int64)] for x in (totals, best))
-            named = [np.frombuffer(x, dtype="<u4") for x in part.column("links").to_pylist()]
+            named = [np.frombuffer(x, dtype=_places(len(totals[0]))) for x in part.column("links").to_pylist()]
             more = {"n_links": [len(x) for x in named], "n_best": [int(best[0][x].sum()) for x in named], "count_sum": [int(totals[0][x].sum()) for x in named]}
             cols = [c.split()[0] for c in RESULT.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(more[c], pa.int64()) if c in more else part.column(c) for c in cols], names=cols)

@@ -199,14 +199,14 @@ def byte_characters() -> str:
 
 
 @lru_cache(maxsize=1)
-def library_encoder(vocabulary: bytes, width: int) -> PieceEncoder:
-    """Encodes with the tokenizers library; special tokens' strings are ordinary text. One per worker process."""
+def library_encoder(vocabulary: bytes, width: int, limit: int = 500_000) -> PieceEncoder:
+    """Encodes with the tokenizers library; special tokens' strings are ordinary text. One per worker process, which remembers ``limit`` pieces."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     import regex
     from tokenizers import Tokenizer
     tok = Tokenizer.from_buffer(vocabulary)
     tok.encode_special_tokens = True
-    kind = f"<u{width}"
+    kind, code = f"<u{width}", {2: "H", 4: "I"}[width]
 
     def whole(texts):
         return [np.array(e.ids, dtype=kind).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -216,9 +216,9 @@ def library_encoder(vocabulary: bytes, width: int) -> PieceEncoder:
     model = tok.model
 
     def encode(tokens):
-        return [np.array([x.id for x in model.tokenize(t.encode("utf-8", "replace").decode("latin-1").translate(spelled))], dtype=kind).tobytes()
-                for t in tokens]
-    return PieceEncoder(encode, regex.compile(BYTE_LEVEL).findall, whole)
+        made = [[x.id for x in model.tokenize(t.encode("utf-8", "replace").decode("latin-1").translate(spelled))] for t in tokens]
+        return [struct.pack(f"<{len(ids)}{code}", *ids) for ids in made]
+    return PieceEncoder(encode, regex.compile(BYTE_LEVEL).findall, whole, limit)
 
 
 def _encode(shared, bounds, end_id, width):

@@ -291,6 +291,44 @@ def test_link_counts_equal_brute_force(spark, monkeypatch, plain, files):
     assert [g["from"] for g in spans[516]] == [0, *(g["to"] for g in spans[516][:-1])] and spans[516][-1]["to"] == len(STRANGE[-1]) + 1
 
 
+def test_alignment_remembers_a_bounded_number_of_segments(monkeypatch, files, plain):
+    """A worker keeps what it remembers while it serves later stages, so there is little of it, and tokens stay right without."""
+    assert alignment.SEGMENTS_A + alignment.SEGMENTS_B <= 400_000
+    monkeypatch.setattr(alignment, "SEGMENTS_A", 300)
+    monkeypatch.setattr(alignment, "SEGMENTS_B", 100)
+    aligner = alignment.Aligner(*(open(f, "rb").read() for f in files))
+    words = ["".join(x) for x in itertools.product("aeiou", "bdfgkl", "aeiou", "mnprst")]
+    texts = [" ".join([*words[lo:lo + 50], *words[:5], f"{lo}x"]) for lo in range(0, len(words), 50)]
+    for t in texts + texts[:2]:
+        assert aligner([t]).groups() == [said(plain(t)[2])]
+        assert 0 < len(aligner.b.recent.young) + len(aligner.b.recent.old) <= 200
+        assert 0 < len(aligner.a.library.rest.young) + len(aligner.a.library.rest.old) <= 600
+
+
+@pytest.mark.parametrize("short", [alignment.SHORT, 3])
+def test_places_of_links_are_read_as_written(monkeypatch, files, plain, short):
+    """Links name pairs by two bytes, in blocks of many pairs by four."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    monkeypatch.setattr(alignment, "SHORT", short)
+    monkeypatch.setattr(alignment, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    texts = [t for t in STRANGE if t]
+    shared = SimpleNamespace(value=tuple(open(f, "rb").read() for f in files))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    rows = [r for b in alignment._blocks(shared)([batch]) for r in b.to_pylist()]
+    pairs, docs = rows[0], rows[1:]
+    width = 4 if short == 3 else 2
+    assert [len(d["links"]) for d in docs] == [width * len(plain(t)[3]) for t in texts]
+    known = [{"block": pairs["block"], "kind": 1, "total": n, "best": 1, "links": None} for n in pairs["counts"]]
+    lines = pa.RecordBatch.from_pylist(known + [d | {"total": None, "best": None} for d in docs],
+                                       schema=pa.schema({"block": pa.int64(), "kind": pa.int32(), "doc_id": pa.int64(), "n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(),
+                                                         "groups_sha256": pa.string(), "links": pa.binary(), "total": pa.int64(), "best": pa.int64()}))
+    got = [r for b in alignment._scores([lines]) for r in b.to_pylist()]
+    count = Counter((p >> 32, p & 0xFFFFFFFF) for t in texts for p in [(a << 32) + b for a, b in plain(t)[3]])
+    assert [(r["n_links"], r["n_best"], r["count_sum"]) for r in got] == [(len(x), len(x), sum(count[p] for p in x)) for x in (plain(t)[3] for t in texts)]
+
+
 def test_ngram_blocks_are_bounded(monkeypatch):
     """A task holds a million n-grams at a time, about: several arrays of that length stand beside them."""
     from types import SimpleNamespace
